@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_dedup, pieces, secret_scan, token_counts, token_files
+from . import language_id, line_dedup, near_dedup, pieces, secret_scan, token_counts, token_files
 from .common import tokenizer_path
 
 
@@ -26,17 +27,26 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select(F.col("n_id").alias("doc_id"), "class_id", "kept", "n_copies")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.token_counts(_documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(_documents(spark, sf_dir))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(spark, _documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op5_sentencepiece, op8_token_counts, op10_token_files)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op5_sentencepiece, op7_near_dedup, op8_token_counts, op9_language_id, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
