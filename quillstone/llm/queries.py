@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, near_dedup, pieces, secret_scan, token_counts, token_files
+from . import decontaminate, language_id, line_dedup, near_dedup, pieces, secret_scan, token_counts, token_files
 from .common import tokenizer_path
 
 
@@ -27,6 +27,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.drop("text_hash")
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"))
     return found.select(F.col("n_id").alias("doc_id"), "class_id", "kept", "n_copies")
@@ -46,7 +51,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op5_sentencepiece, op7_near_dedup, op8_token_counts, op9_language_id, op10_token_files)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op5_sentencepiece, op6_decontaminate, op7_near_dedup, op8_token_counts, op9_language_id, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
