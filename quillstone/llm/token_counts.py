@@ -15,7 +15,7 @@ from .common import plus, without
 from .pieces import chunks, processor, splits_at_marks
 
 #: Entries of a task's table at most before it starts anew; bounds memory, not results.
-TABLE = 300_000
+TABLE = 800_000
 
 
 @lru_cache(maxsize=2)
@@ -37,23 +37,44 @@ def drops_space(path: str) -> bool:
     return all(count(s) == 0 for s in (" ", "\n", "\t \r\n")) and count(" \n".join(words)) == sum(map(count, words))
 
 
+#: Letters whose words need no normalizer but lower case, and marks that end words.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?"
+PLAIN = re.compile(f"([{LETTERS}]+)([{MARKS}]*)")
+
+
+def byte_alphabet() -> dict[int, str]:
+    """For str.translate: the characters that byte-level BPE writes for a character's UTF-8 bytes."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    shown = {b: chr(b) if b in printable else chr(next(other)) for b in range(256)}
+    return {c: "".join(shown[b] for b in chr(c).encode()) for c in range(256)}
+
+
+ALPHABET = byte_alphabet()
+
+
 class CountTable:
     """From a text between white space to its number of tokens, through its pre-tokens."""
 
     def __init__(self, path: str):
-        self.tokenizer = tokenizer(path)
+        self.tokenizer = t = tokenizer(path)
         self.words: dict[str, int] = {}
         self.pieces: dict[str, int] = {}
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [x.content for x in t.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        letters = "".join(chr(c) for c in range(65, 256) if re.match(f"[{LETTERS}]", chr(c)))
+        #: Whether a plain word's pre-tokens are its letters in lower case and then its marks.
+        self.plain = bool(t.pre_tokenizer) and [p for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(letters + MARKS) if t.normalizer else letters + MARKS)] == [letters.lower().translate(ALPHABET), MARKS]
 
     def of_pretoken(self, p: str) -> int:
         if (n := self.pieces.get(p)) is None:
             n = self.pieces[p] = len(self.tokenizer.model.tokenize(p))
         return n
 
-    def __missing__(self, word: str) -> int:
+    def of_word(self, word: str) -> int:
         t = self.tokenizer
+        if self.plain and (m := PLAIN.fullmatch(word)):
+            return self.of_pretoken(m[1].lower().translate(ALPHABET)) + (self.of_pretoken(m[2]) if m[2] else 0)
         if self.special and self.special.search(word):
             return len(t.encode(word, add_special_tokens=False).ids)
         text = t.normalizer.normalize_str(word) if t.normalizer else word
@@ -66,11 +87,17 @@ class CountTable:
         if len(words) + len(self.pieces) > TABLE:
             words.clear()
             self.pieces.clear()
-        for w in frequency.keys() - words.keys():
-            words[w] = self.__missing__(w)
+        for w in [w for w in frequency if w not in words]:
+            words[w] = self.of_word(w)
         return sum(n * words[w] for w, n in frequency.items())
 
 
+@lru_cache(maxsize=1)
+def count_table(path: str) -> CountTable:
+    """One table for all tasks of a worker process."""
+    return CountTable(path)
+
+
 class PieceCounts:
     """The same for sentencepiece models: chunks are the pre-tokens."""
 
@@ -84,7 +111,7 @@ class PieceCounts:
         frequency = Counter(chunks(text))
         if len(self.sizes) > TABLE:
             self.sizes = {"": 1}
-        if new := list(frequency.keys() - self.sizes.keys()):
+        if new := [c for c in frequency if c not in self.sizes]:
             self.sizes.update((k, len(x)) for k, x in zip(new, self.sp.encode(new, num_threads=1), strict=True))
         return sum(n * self.sizes[c] for c, n in frequency.items())
 
@@ -104,7 +131,7 @@ def token_counts(docs: DataFrame, path: str, text_col: str = "text", limit: int
         if path.endswith(".model"):
             count = PieceCounts(path).count
         elif drops_space(path):
-            count = CountTable(path).count
+            count = count_table(path).count
         else:
             count = lambda t: len(tokenizer(path).encode(t, add_special_tokens=False).ids)
         for batch in batches:
