@@ -24,14 +24,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_folder
-from .token_counts import tokenizer
+from .token_counts import ALPHABET, LETTERS, MARKS, tokenizer
 
 FRAME = 65_536
 SKIPPABLE, SEEKABLE, CHECKED = 0x184D2A5E, 0x8F92EAB1, 0x80
 #: Entries of a task's table at most before it starts anew; bounds memory, not results.
-TABLE = 400_000
+TABLE = 700_000
 #: Splits before a space that has other characters on both sides: a pre-token of the byte-level pattern always starts there.
 INNER_SPACE = re.compile(r"(?<=\S)(?= \S)")
+#: A plain word, perhaps after a space, and the marks behind it.
+PLAIN = re.compile(f"( ?[{LETTERS}]+)([{MARKS}]*)")
 MANIFEST = "path string, first_id long, n_docs long, n_tokens long, part int"
 
 
@@ -52,10 +54,31 @@ class IdTable:
         self.tokenizer, self.ids, self.whole = tokenizer(path), {}, not starts_at_space(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        letters = "".join(chr(c) for c in range(65, 256) if re.match(f"[{LETTERS}]", chr(c)))
+        probe = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(f" {letters}{MARKS}\n{letters}")] if self.tokenizer.pre_tokenizer else []
+        self.plain = not self.whole and probe == [x.translate(ALPHABET) for x in (f" {letters}", MARKS, "\n", letters)]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _atom(self, text: str) -> bytes:
+        """Ids of one pre-token of letters, perhaps after a space, or of marks or one line end."""
+        if (found := self.ids.get(text)) is None:
+            found = self.ids[text] = np.array([t.id for t in self.tokenizer.model.tokenize(text.translate(ALPHABET))], "<u4").tobytes()
+        return found
+
+    def _add(self, parts: list[str]) -> None:
+        """Adds stretches. Letters, marks and line ends between words are pre-tokens of their own, and are shared among stretches."""
+        other = []
+        for p in parts:
+            lines = [PLAIN.fullmatch(x) for x in p.split("\n")]
+            if self.plain and all(lines):
+                self.ids[p] = self._atom("\n").join(self._atom(m[1]) + (self._atom(m[2]) if m[2] else b"") for m in lines)
+            else:
+                other.append(p)
+        if other:
+            self.ids.update(zip(other, self._encode(other), strict=True))
+
     def encode(self, text: str) -> bytes:
         if self.whole or self.special and self.special.search(text):
             return self._encode([text])[0]
@@ -68,10 +91,16 @@ class IdTable:
         if len(ids) > TABLE:
             ids.clear()
         if new := [p for p in set(parts) if p not in ids]:
-            ids.update(zip(new, self._encode(new), strict=True))
+            self._add(new)
         return b"".join(map(ids.__getitem__, parts))
 
 
+@lru_cache(maxsize=1)
+def id_table(path: str) -> IdTable:
+    """One table for all tasks of a worker process."""
+    return IdTable(path)
+
+
 class FrameWriter:
     """Writes one file; holds a frame's ids at most, beside the documents' list."""
 
@@ -169,7 +198,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 0,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part = context.partitionId()
-        table, tail = IdTable(path), struct.pack("<I", end_id)
+        table, tail = id_table(path), struct.pack("<I", end_id)
         fs, base = opened(folder)
         name, temp = f"{base}/part-{part:06d}.ids.zst", f"{base}/.part-{part:06d}-{context.taskAttemptId()}"
         writer, sink, total = None, None, 0
