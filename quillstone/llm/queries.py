@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, graph_search, language_id, line_dedup, near_dedup, pieces, secret_scan, token_counts, token_files
+from . import decontaminate, graph_search, html_text, language_id, line_dedup, near_dedup, pieces, secret_scan, token_counts, token_files
 from .common import tokenizer_path
 
 
@@ -27,6 +27,10 @@ def op3_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_search.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.pmod("vec_id", F.lit(50)) == 0)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.visible_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")).select("page_id", "url", "text")
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
@@ -55,7 +59,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_graph_search, op5_sentencepiece, op6_decontaminate, op7_near_dedup, op8_token_counts, op9_language_id, op10_token_files)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_graph_search, op4_html_text, op5_sentencepiece, op6_decontaminate, op7_near_dedup, op8_token_counts, op9_language_id, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
