@@ -47,7 +47,7 @@ def prepayments(txn: DataFrame, accounts: DataFrame, settings: Settings = Settin
     rows = with_account(lines(txn.where(~is_credit()), "date", "description", "reference"), accounts).where(F.col("account_type").isin(*PURE_EXPENSE) & (F.abs("line_amount") > settings.prepayment_min))
     rows = rows.withColumn("p", period(F.concat_ws(" ", "line_text", "description", "reference"), "date")).where("p.start is not null")
     rows = rows.withColumn("year_end", next_year_end("p.start", settings.year_end_month, settings.year_end_day)).withColumn("after", whole_months("year_end", "p.end"))
-    rows = rows.withColumn("total", F.greatest(F.rint((F.datediff("p.end", "p.start") + 1) / 30.44), F.lit(1)))
+    rows = rows.withColumn("total", F.greatest(F.rint(F.datediff("p.end", "p.start") / 30.44), F.lit(1)))
     hit = rows.where((F.col("p.end") > F.col("year_end")) & (F.col("after") >= 1))
     prepaid = F.bround(F.col("line_amount") * F.least(F.col("after"), F.col("total")).cast("decimal(10,0)") / F.col("total").cast("decimal(10,0)"), 2)
     return flags(hit, "prepayment_review", "medium", line_no=F.col("line_no"), current_code=F.col("acct"), reason=prepaid.cast("decimal(12,2)").cast("string"))
