@@ -40,18 +40,19 @@ def repetitions(recall: float = RECALL, hamming: float = HAMMING, samples: int =
     return math.ceil(math.log(1 - recall) / math.log(1 - (1 - hamming) ** samples))
 
 
-def embed(words: np.ndarray, starts: np.ndarray, n: int, steps: np.ndarray, seed: int) -> np.ndarray:
-    """The sampled steps of the walks over words[start : start + n], for every start: starts times steps; 0 past the end."""
-    at, end = starts.astype(np.int64), starts.astype(np.int64) + n
-    out = np.zeros((len(starts), len(steps)), np.uint64)
+def embed(words: np.ndarray, starts: np.ndarray, n: int, steps: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """The sampled steps of the walks over words[start : start + n]: repetitions times starts times samples; 0 past the end.
+
+    steps has a row of sampled steps for each repetition, salts its coins' randomness for each step."""
+    at = np.repeat(starts.astype(np.int64)[None, :], len(steps), axis=0)
+    end = np.minimum(at + n, len(words))
+    out = np.zeros((len(steps), len(starts), steps.shape[1]), np.uint64)
     padded = np.append(words, np.uint64(0))
-    salt = splitmix(np.arange(3 * n, dtype=np.uint64) ^ np.uint64((seed + 1) << 20))
     for j in range(int(steps.max()) + 1):
-        inside = at < np.minimum(end, len(words))
-        word = np.where(inside, padded[np.where(inside, at, len(words))], np.uint64(0))
-        for k in np.flatnonzero(steps == j):
-            out[:, k] = word
-        at += inside & ((splitmix(word ^ salt[j]) & np.uint64(1)) == 1)
+        word = padded[np.where(at < end, at, len(words))]
+        for r, k in zip(*np.nonzero(steps == j), strict=True):
+            out[r, :, k] = word[r]
+        at += (at < end) & ((splitmix(word ^ salts[:, j, None]) & np.uint64(1)) == 1)
     return out
 
 
@@ -94,20 +95,21 @@ class Items:
         self.maybe = {n: np.zeros(1 << 20, bool) for n in self.seeds}
         for n, by_hash in self.seeds.items():
             self.maybe[n][(np.fromiter(by_hash, np.uint64, len(by_hash)) >> np.uint64(44)).astype(np.int64)] = True
-        self.plans: dict[int, list[tuple[np.ndarray, int]]] = {}
-        self.samples: dict[int, list[np.ndarray]] = {}
+        self.plans: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.samples: dict[int, np.ndarray] = {}
 
-    def plan(self, n: int) -> list[tuple[np.ndarray, int]]:
-        """The sampled steps and the walk of each repetition for items of n words."""
+    def plan(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sampled steps and the salts of all repetitions for items of n words."""
         if n not in self.plans:
             rng = np.random.default_rng(n)
-            self.plans[n] = [(np.sort(rng.choice(2 * n, SAMPLES, replace=False)), r) for r in range(self.repeats)]
+            steps = np.array([np.sort(rng.choice(2 * n, SAMPLES, replace=False)) for _ in range(self.repeats)])
+            self.plans[n] = steps, splitmix(np.arange(self.repeats * 2 * n, dtype=np.uint64).reshape(self.repeats, 2 * n) ^ np.uint64(n << 32))
         return self.plans[n]
 
-    def item_samples(self, at: int) -> list[np.ndarray]:
+    def item_samples(self, at: int) -> np.ndarray:
         if at not in self.samples:
             w = self.words[at]
-            self.samples[at] = [embed(w, np.zeros(1, np.int64), len(w), steps, seed)[0] for steps, seed in self.plan(len(w))]
+            self.samples[at] = embed(w, np.zeros(1, np.int64), len(w), *self.plan(len(w)))
         return self.samples[at]
 
     def places(self, texts: list[np.ndarray]) -> list[dict[int, set[int]]]:
@@ -138,11 +140,9 @@ class Items:
             starts = np.unique((np.array(sorted(places))[:, None] + np.arange(-k, k + 1)).ravel())
             starts = starts[(starts >= 0) & (starts < len(words))]
             hit = np.zeros(len(starts), bool)
-            for (steps, seed), own in zip(self.plan(n), self.item_samples(item), strict=True):
-                left = np.flatnonzero(~hit)
-                if not len(left):
-                    break
-                hit[left] = (embed(words, starts[left], n, steps, seed) == own).all(axis=1)
+            for at in range(0, len(starts), 256):
+                part = starts[at : at + 256]
+                hit[at : at + 256] = (embed(words, part, n, *self.plan(n)) == self.item_samples(item)).all(axis=2).any(axis=0)
             best = None
             near, ranges = starts[hit], []
             for s in near:  # windows that overlap are verified together
