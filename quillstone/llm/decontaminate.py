@@ -206,4 +206,4 @@ def _search(spark, rows: DataFrame, items: DataFrame, similarity: float, schema:
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that contain no item, with their columns."""
     bad = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("b_id"), F.col("text_hash").alias("b_text")).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("b_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("b_text")), "left_anti")
+    return docs.join(bad, docs[f"`{id_col}`"].eqNullSafe(bad["b_id"]) & (F.xxhash64(docs[f"`{text_col}`"]) == bad["b_text"]), "left_anti")

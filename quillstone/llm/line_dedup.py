@@ -40,13 +40,15 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     first = windows.groupBy("w_a", "w_b").agg(F.min(F.struct("w_id", "w_text", "w_pos")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("w_a").alias("f_a"), F.col("w_b").alias("f_b"), "f")
     later = windows.join(first, (F.col("w_a") == F.col("f_a")) & (F.col("w_b") == F.col("f_b"))).where(~F.struct("w_id", "w_text", "w_pos").eqNullSafe(F.col("f")))
     cuts = later.groupBy("w_id", "w_text").agg(F.sort_array(F.collect_set("w_pos")).alias("w_cuts"))
-    lines = F.split(F.col(f"`{text_col}`"), "\n")
-    joined = docs.join(cuts, F.col(f"`{id_col}`").eqNullSafe(F.col("w_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("w_text")), "left")
-    left = joined.withColumn("w_lines", lines).withColumn("w_edges", F.concat(F.array(F.lit(-WINDOW)), F.col("w_cuts"), F.array(F.size("w_lines")))).withColumn("w_kept", F.when(F.col("w_cuts").isNotNull(), kept_of("w_lines", "w_edges", "w_cuts")))
-    text = F.when(F.col("w_cuts").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join("w_kept", "\n"))
-    n_lines = F.coalesce(F.when(F.col(f"`{text_col}`").isNotNull(), F.size("w_lines")), F.lit(0)).cast("long")
+    own = F.col("w_row")[text_col]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("w_row"))  # apart from this operator's own names
+    joined = rows.join(cuts, F.col("w_row")[id_col].eqNullSafe(F.col("w_id")) & (F.xxhash64(own) == F.col("w_text")), "left")
+    left = joined.withColumn("w_lines", F.split(own, "\n")).withColumn("w_edges", F.concat(F.array(F.lit(-WINDOW)), F.col("w_cuts"), F.array(F.size("w_lines"))))
+    left = left.withColumn("w_kept", F.when(F.col("w_cuts").isNotNull(), kept_of("w_lines", "w_edges", "w_cuts")))
+    text = F.when(F.col("w_cuts").isNull(), own).otherwise(F.array_join("w_kept", "\n"))
+    n_lines = F.coalesce(F.when(own.isNotNull(), F.size("w_lines")), F.lit(0)).cast("long")
     removed = F.when(F.col("w_cuts").isNull(), F.lit(0)).otherwise(F.size("w_lines") - F.size("w_kept")).cast("long")
-    return left.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], n_lines.alias("n_lines"), removed.alias("n_removed"))
+    return left.select(*[text.alias(c) if c == text_col else F.col("w_row")[c].alias(c) for c in docs.columns], n_lines.alias("n_lines"), removed.alias("n_removed"))
 
 
 def kept_of(lines: str, edges: str, cuts: str) -> Column:

@@ -202,5 +202,5 @@ def _remaining(now: DataFrame, centre: DataFrame, sizes: DataFrame, sets: DataFr
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents less all but one of each class, with their columns; rows that repeat the one that stays go too."""
     kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("n_id").alias("k_id"), F.col("n_text").alias("k_text")).distinct()
-    hit = docs.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("k_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("k_text")), "left_semi")
+    hit = docs.join(kept, docs[f"`{id_col}`"].cast("long").eqNullSafe(kept["k_id"]) & (F.xxhash64(docs[f"`{text_col}`"]) == kept["k_text"]), "left_semi")
     return hit.dropDuplicates([id_col, text_col])
