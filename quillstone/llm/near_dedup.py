@@ -175,6 +175,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = signed.join(labels, F.col("n_key") == F.col("c_key"), "left").select("n_id", "n_text", F.coalesce("c_label", "n_key").alias("g"))
     named = written(named, "named")
     least = named.where(F.col("g").isNotNull()).groupBy("g").agg(F.min("n_id").alias("class_id"), F.min(F.struct(F.col("n_id").isNull(), "n_id", "n_text")).alias("first"), F.count(F.lit(1)).alias("n_copies")).withColumnRenamed("g", "l")
+    least = written(least, "least")  # a table of its own: Spark can then split the join where a class is large
     joined = named.join(least, F.col("g") == F.col("l"), "left")
     alone = F.col("g").isNull()
     kept = alone | (F.col("n_id").eqNullSafe(F.col("first.n_id")) & (F.col("n_text") == F.col("first.n_text")))
