@@ -36,6 +36,18 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in low])
 
 
+#: Rows that Spark hands to a Python worker at once, at most: texts may be long, and a batch is held on both sides.
+BATCH_ROWS = 1024
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, after lowering the session's rows per Arrow batch to BATCH_ROWS where it is higher or unlimited."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer file."""
     import public_tokenizers

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
 from .pieces import few
 from .words import WordHashes, runs, splitmix
 
@@ -200,7 +201,7 @@ def _search(spark, rows: DataFrame, items: DataFrame, similarity: float, schema:
                     cols = list(zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[3:7]), pa.array([1 - k / m for k, m in zip(cols[5], cols[6], strict=True)], pa.float64())], names=["doc_id", "text_hash", "item_id", "start_word", "end_word", "edits", "item_words", "similarity"])
 
-    return rows.mapInArrow(run, schema)
+    return bounded(rows).mapInArrow(run, schema)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

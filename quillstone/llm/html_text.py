@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import plus, without
+from .common import bounded, plus, without
 
 # Element names by their part in HTML's content model.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -341,4 +341,4 @@ def visible_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
             text = pa.array([rendered(x.as_py()) for x in batch.column(place)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, "text"])
 
-    return kept.mapInArrow(run, plus(kept, ("text", "string")))
+    return bounded(kept).mapInArrow(run, plus(kept, ("text", "string")))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plus, without
+from .common import bounded, plus, without
 
 #: Buckets of hashed n-grams; a power of two.
 BUCKETS = 1 << 14
@@ -165,7 +165,7 @@ def train(labelled: DataFrame, order_col: str = "doc_id", text_col: str = "text"
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"b": pa.array(np.append(at, BUCKETS), pa.int32()), "n": pa.array(np.append(df[at], n), pa.int64())})
 
-    seen = rows.select("t").mapInArrow(frequencies, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).collect()  # a row for each bucket at most
+    seen = bounded(rows.select("t")).mapInArrow(frequencies, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).collect()  # a row for each bucket at most
     df = np.zeros(BUCKETS + 1)
     for r in seen:
         df[r.b] = r.n
@@ -190,8 +190,8 @@ def train(labelled: DataFrame, order_col: str = "doc_id", text_col: str = "text"
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["o", "y", "at", "x"])
 
-    bounded = sample.mapInArrow(vectors, "o long, y int, at binary, x binary").withColumn("one", F.lit(1))
-    fitted = bounded.groupBy("one").applyInPandas(lambda pdf: _train(pdf, langs, epochs), "lang string, temperature double, w binary").collect()  # a row for each language
+    few_rows = bounded(sample).mapInArrow(vectors, "o long, y int, at binary, x binary").withColumn("one", F.lit(1))
+    fitted = few_rows.groupBy("one").applyInPandas(lambda pdf: _train(pdf, langs, epochs), "lang string, temperature double, w binary").collect()  # a row for each language
     if not fitted:
         return Model([], np.zeros((0, BUCKETS + 1), np.float32), 1.0, idf)
     return Model([r.lang for r in fitted], np.array([np.frombuffer(r.w, "<f4") for r in fitted]), fitted[0].temperature, idf)
@@ -213,7 +213,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             found = [m.predict(t.as_py()) for t in batch.column(place)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return kept.mapInArrow(run, plus(kept, ("lang_pred", "string"), ("score", "double")))
+    return bounded(kept).mapInArrow(run, plus(kept, ("lang_pred", "string"), ("score", "double")))
 
 
 def held_out(id_col: Column) -> Column:

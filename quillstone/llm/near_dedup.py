@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded, written
 from .pieces import few
 from .words import WordHashes, shingles, splitmix
 
@@ -86,7 +86,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 listed = [next(bands) if has else None for has in with_words]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(listed, pa.list_(pa.int64()))], names=["n_id", "n_text", "n_key", "n_bands"])
 
-    return rows.mapInArrow(run, "n_id long, n_text long, n_key binary, n_bands array<long>")
+    return bounded(rows).mapInArrow(run, "n_id long, n_text long, n_key binary, n_bands array<long>")
 
 
 def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame
                 sets = [np.unique(shingles(table.of(table.words(t.as_py())))).view(np.int64) for t in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["s_key", "s_set"])
 
-    return rows.mapInArrow(run, "s_key binary, s_set array<long>")
+    return bounded(rows).mapInArrow(run, "s_key binary, s_set array<long>")
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plus, without
+from .common import bounded, plus, without
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: Chunks that a task's table holds at most before it starts anew; bounds memory, not results.
-TABLE = 400_000
+TABLE = 250_000
 
 
 @lru_cache(maxsize=2)
@@ -100,7 +100,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFram
                 ids = list_array([one(t.as_py() or "") for t in batch.column(place)])
                 yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
 
-    return kept.mapInArrow(run, plus(kept, ("ids", "array<int>")))
+    return bounded(kept).mapInArrow(run, plus(kept, ("ids", "array<int>")))
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
@@ -118,7 +118,7 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFra
                 text = [sp.decode(x) if x else "" for x in batch.column(place).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return kept.mapInArrow(run, plus(kept, ("decoded", "string")))
+    return bounded(kept).mapInArrow(run, plus(kept, ("decoded", "string")))
 
 
 def digests(docs: DataFrame, model_path: str) -> DataFrame:

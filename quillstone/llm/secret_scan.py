@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plus, without
+from .common import bounded, plus, without
 
 #: Fixed patterns of the base kinds: name, pattern, group that must be long enough, least length.
 BASE = (
@@ -223,7 +223,7 @@ def secret_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
             extra = [pa.array([r[0][k] for r in rows], pa.int64()) for k in range(3)] + [pa.array([r[k] for r in rows], pa.string()) for k in (1, 2)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *new])
 
-    return kept.mapInArrow(run, schema)
+    return bounded(kept).mapInArrow(run, schema)
 
 
 def digests(found: DataFrame) -> DataFrame:

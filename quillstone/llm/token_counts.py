@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plus, without
+from .common import bounded, plus, without
 from .pieces import chunks, processor, splits_at_marks
 
 #: Entries of a task's table at most before it starts anew; bounds memory, not results.
@@ -138,7 +138,7 @@ def token_counts(docs: DataFrame, path: str, text_col: str = "text", limit: int
             n = pa.array([count(x) if (x := t.as_py()) else 0 for t in batch.column(place)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, n], names=[*batch.schema.names, "n_tokens"])
 
-    counted = kept.mapInArrow(run, plus(kept, ("n_tokens", "long")))
+    counted = bounded(kept).mapInArrow(run, plus(kept, ("n_tokens", "long")))
     size = F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long")
     return counted.select(*[F.col(f"`{c}`") for c in kept.columns], size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import bounded, new_folder
 from .token_counts import ALPHABET, LETTERS, MARKS, tokenizer
 
 FRAME = 65_536
@@ -219,7 +219,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 0,
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/part-{part:06d}.ids.zst"], "first_id": pa.array([first], pa.int64()), "n_docs": pa.array([len(writer.docs)], pa.int64()), "n_tokens": pa.array([total], pa.int64()), "part": pa.array([part], pa.int32())})
 
     at = f"{folder}/manifest"
-    rows.mapInArrow(run, MANIFEST).write.parquet(at)
+    bounded(rows).mapInArrow(run, MANIFEST).write.parquet(at)
     return spark.read.schema(MANIFEST).parquet(at)
 
 
@@ -264,7 +264,7 @@ def _read(manifest: DataFrame, want: set[int] | None, made: list) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
 
-    return at.mapInArrow(run, schema)
+    return bounded(at).mapInArrow(run, schema)
 
 
 def token_file_digests(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
