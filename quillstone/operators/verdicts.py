@@ -109,7 +109,7 @@ def is_open(as_of: date | None = None) -> Column:
 def score(audited: Column, trapped: Column, truncate: bool = False) -> Column:
     """Share of clean documents, 0 to 100, rounded half even or cut; null if nothing was audited."""
     x = (audited - trapped).cast("decimal(18,0)") * 100 / F.nullif(audited, F.lit(0)).cast("decimal(18,0)")
-    return F.greatest(F.lit(0), F.least(F.lit(100), (F.floor(x) if truncate else F.bround(x, 0)).cast("int")))
+    return F.when(audited > 0, F.greatest(F.lit(0), F.least(F.lit(100), (F.floor(x) if truncate else F.bround(x, 0)).cast("int"))))
 
 
 def bookkeeping_health(verdicts: DataFrame, audits: DataFrame) -> DataFrame:

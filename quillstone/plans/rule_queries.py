@@ -37,12 +37,12 @@ def rule(name: str, sql: str | None, *cols: str):
 
 
 #: How nulls of numbers, booleans and dates are shown, so that results compare alike whatever reads them.
-_SQL_PLAIN = {"line_no": "CAST(coalesce(line_no, 0) AS INT)", "likely_original": "coalesce(CAST(likely_original AS VARCHAR), '')", "age_days": "coalesce(age_days, -1)", "last_date": "coalesce(CAST(last_date AS VARCHAR), '')"}
+_SQL_PLAIN = {"line_no": "CAST(coalesce(line_no, 0) AS INT)", "likely_original": "coalesce(CAST(likely_original AS VARCHAR), '')", "age_days": "coalesce(age_days, -1)", "last_date": "coalesce(CAST(last_date AS VARCHAR), '')", "average": "CAST(average AS DOUBLE)"}
 
 
 def _plain(c: str):
     col = F.col(c)
-    return {"line_no": F.coalesce(col, F.lit(0)), "age_days": F.coalesce(col, F.lit(-1))}.get(c, F.coalesce(col.cast("string"), F.lit("")) if c in _SQL_PLAIN else col).alias(c)
+    return {"line_no": F.coalesce(col, F.lit(0)), "age_days": F.coalesce(col, F.lit(-1)), "average": col.cast("double")}.get(c, F.coalesce(col.cast("string"), F.lit("")) if c in _SQL_PLAIN else col).alias(c)
 
 
 EMPTY_TAX = "coalesce(trim(tax_code), '') = ''"
