@@ -164,3 +164,12 @@ def prepayment_schedule(items: DataFrame, year_end: date) -> DataFrame:
 def schedule_totals(schedule: DataFrame) -> DataFrame:
     """What each month of a prepayment_schedule releases."""
     return schedule.where("month is not null").groupBy("company_id", "month").agg(F.sum("monthly").cast("decimal(18,3)").alias("released"), F.count(F.lit(1)).alias("items"))
+
+
+def snapshot(profit: DataFrame, position_: DataFrame, cash: DataFrame, bank: DataFrame) -> DataFrame:
+    """One row a company with the promoted figures of the other KPIs; companies without a profit and loss have none.
+
+    profit: profitability() rows, of which the last period counts; position_, cash (cash_score()) and bank (bank_reconciliation()) may lack companies."""
+    last = profit.groupBy("company_id").agg(F.max_by(F.struct("income", "gross", "net", "period"), "period").alias("p"))
+    rows = last.join(position_, "company_id", "left").join(cash, "company_id", "left").join(bank, "company_id", "left")
+    return rows.select("company_id", "p.period", "p.income", "p.gross", "p.net", corporation_tax(F.col("p.net")).alias("tax"), "working_capital", "current_ratio", F.col("score").alias("cash_score"), F.col("unreconciled").alias("bank_unreconciled"))

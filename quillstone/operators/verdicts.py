@@ -180,3 +180,49 @@ def firm_summary(companies: DataFrame, snapshots: DataFrame) -> DataFrame:
     """One row a firm: companies, those with a snapshot, failed, tight on cash. snapshots: company_id, ok, cash_ratio."""
     rows = companies.join(snapshots.withColumn("has", F.lit(True)), "company_id", "left")
     return rows.groupBy("firm_id").agg(F.count(F.lit(1)).alias("companies"), F.count_if(F.col("has").isNotNull()).alias("with_snapshot"), F.count_if(~F.col("ok")).alias("failed"), F.count_if(F.col("cash_ratio") < 0.2).alias("cash_tight"))
+
+
+# --- lists, settings and events -----------------------------------------------------
+
+
+def bulk(verdicts: DataFrame, asked: DataFrame, action: str) -> DataFrame:
+    """(company_id, document_id, ok, error) for every asked row: each stands alone; rows that aren't there fail, unknown actions fail all."""
+    known = verdicts.select(*KEY).distinct().withColumn("there", F.lit(True))
+    rows = asked.join(known, KEY, "left")
+    error = F.when(F.lit(action not in ("dismiss", "snooze", "mark_ok", "restore", "resolve")), "unknown action").when(F.col("there").isNull(), "not found")
+    return rows.select(*KEY, error.isNull().alias("ok"), F.coalesce(error, F.lit("")).alias("error"))
+
+
+def settings_merged(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(company_id, config) where new entries of a company's map replace old ones of their key. old, new: company_id, config map<string,string>."""
+    both = old.select("company_id", F.col("config").alias("o")).join(new.select("company_id", F.col("config").alias("n")), "company_id", "full")
+    empty = F.create_map().cast("map<string,string>")
+    o, n = F.coalesce("o", empty), F.coalesce("n", empty)
+    return both.select("company_id", F.map_concat(F.map_filter(o, lambda k, _: ~F.array_contains(F.map_keys(n), k)), n).alias("config"))
+
+
+def delivered(log: DataFrame, events: DataFrame) -> DataFrame:
+    """The send log after delivery events: an event meets the row of its message id, else the recipient's latest row; the last event counts.
+
+    log: log_id, message_id, email, created_at, status; events: message_id, email, at, status (null: in passing)."""
+    e = events.where("status is not null")
+    by_id = log.where("message_id is not null").groupBy("message_id").agg(F.max_by("log_id", F.struct("created_at", "log_id")).alias("id1"))
+    by_mail = log.groupBy(F.lower("email").alias("mail")).agg(F.max_by("log_id", F.struct("created_at", "log_id")).alias("id2"))
+    hit = e.join(by_id, "message_id", "left").join(by_mail, F.lower(e["email"]) == F.col("mail"), "left").select(F.coalesce("id1", "id2").alias("log_id"), "at", F.col("status").alias("new"))
+    last = hit.where("log_id is not null").groupBy("log_id").agg(F.max_by("new", "at").alias("new"))
+    return log.join(last, "log_id", "left").select("log_id", "message_id", "email", "created_at", F.coalesce("new", "status").alias("status"))
+
+
+def with_counts(items: DataFrame, notes: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
+    """Items with how many notes and files they have."""
+    n = notes.groupBy(*keys).agg(F.count(F.lit(1)).alias("notes"))
+    f = files.groupBy(*keys).agg(F.count(F.lit(1)).alias("files"))
+    return items.join(n, keys, "left").join(f, keys, "left").withColumn("notes", F.coalesce("notes", F.lit(0))).withColumn("files", F.coalesce("files", F.lit(0)))
+
+
+def default_list(contacts: DataFrame, missing: DataFrame, dismissed: DataFrame) -> DataFrame:
+    """(company_id, contact_id, n_missing, company_missing): contacts less dismissed ones, with what they lack, and how many of the company lack something."""
+    left = contacts.join(dismissed.select("company_id", "contact_id").distinct(), ["company_id", "contact_id"], "left_anti").join(missing, ["company_id", "contact_id"], "left")
+    rows = left.select("company_id", "contact_id", F.coalesce(F.size("missing"), F.lit(0)).alias("n_missing"))
+    total = rows.groupBy("company_id").agg(F.count_if(F.col("n_missing") > 0).alias("company_missing"))
+    return rows.join(total, "company_id")

@@ -8,18 +8,23 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from ..functions import classify as Z
 from ..functions import dates as T
 from ..functions import text as X
 from ..functions.similarity import name_similarity
+from ..operators import contact_rules as C
 from ..operators import documents as D
 from ..operators import flag_ops as O
+from ..operators import kpis as K
+from ..operators import scored_rules as G
 from ..operators import verdicts as S
+from ..operators.groups import connected
 from ..sources import files as W
 from ..sources import mirror as M
 from ..sources import reports as R
 from ..streaming import ingest as I
 from . import ledger_views as V
-from .kpi_queries import _t
+from .kpi_queries import _SECTIONS, _sections, _t
 from .rule_queries import PRELUDE, contacts
 
 QUERIES: dict = {}
@@ -305,3 +310,134 @@ def m01(s, d):
     docs = V.documents(s, d).select("company_id", "transaction_id", "seq")
     made = [docs.where(f"seq % {k} = 0").selectExpr("company_id", "transaction_id", f"'{t}' AS issue_type", "'medium' AS severity", "1 AS line_no") for k, t in ((5, "missing_tax"), (2, "prepayment_review"), (7, "capital_item_review"))]
     return S.grouped(O.superseded(O.union(made))).select("document_id", F.array_join("rule_ids", ",").alias("rules"), "n_superseded")
+
+
+@source("x12_outgoing_categories", "SELECT n_nationkey, CASE WHEN n_nationkey % 9 = 8 THEN 'credit_cards' ELSE ['vat', 'paye_nic', 'loans_other', 'suppliers', 'corporation_tax', 'pension', 'net_wages', 'suppliers'][CAST(n_nationkey % 9 + 1 AS INT)] END AS category FROM nation")
+def x12(s, d):
+    names = F.array(*map(F.lit, ("UK VAT due", "NIC", "Innovation technician fund", "Trade Creditors", "Odd", "Nest pension", "Net Wages", "Innovation grant", "Card")))
+    codes = F.array(*map(F.lit, ("1", "1", "1", "1", " 830 ", "1", "1", "800", "1")))
+    k = (F.col("n_nationkey") % 9).cast("int")
+    return _t(s, d, "nation").select("n_nationkey", Z.outgoing_category(F.get(names, k), F.get(codes, k), F.when(k == 8, "CreditCard")).alias("category"))
+
+
+@source("x20_vendor_accounts", "SELECT c_custkey, CASE WHEN c_mktsegment = 'MACHINERY' THEN '437' WHEN c_mktsegment = 'FURNITURE' THEN '461' ELSE '' END AS account FROM customer")
+def x20(s, d):
+    return _t(s, d, "customer").select("c_custkey", F.coalesce(Z.vendor_account("c_mktsegment", {"furniture": "461", "machine": "437", "furn": "999"}), F.lit("")).alias("account"))
+
+
+@source("x21_event_status", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'delivered' WHEN 1 THEN 'bounced' WHEN 2 THEN 'complained' WHEN 3 THEN 'failed' ELSE '' END AS status FROM events")
+def x21(s, d):
+    names = F.array(*map(F.lit, (" Open", "HARDBOUNCE", "spam", "failed", "queued", "")))
+    return _t(s, d, "events").select("event_id", F.coalesce(Z.event_status(F.get(names, (F.col("event_id") % 6).cast("int"))), F.lit("")).alias("status"))
+
+
+@source("m09_bulk_action", "SELECT concat('O', o_orderkey) AS document_id, o_orderkey % 2 = 0 AS ok, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'not found' END AS error FROM orders WHERE o_orderkey % 5 = 0")
+def m09(s, d):
+    o = _t(s, d, "orders").select(F.lit(V.COMPANY).alias("company_id"), F.concat(F.lit("O"), "o_orderkey").alias("document_id"), F.col("o_orderkey").alias("k"))
+    return S.bulk(o.where("k % 2 = 0"), o.where("k % 5 = 0").drop("k"), "dismiss").drop("company_id")
+
+
+@source("m10_settings_merge", "SELECT n_nationkey AS company_id, CASE WHEN n_nationkey % 2 = 0 THEN 'new' ELSE 'old' END AS a, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE 'kept' END AS b FROM nation")
+def m10(s, d):
+    n = _t(s, d, "nation").withColumnRenamed("n_nationkey", "company_id")
+    old = n.select("company_id", F.when(F.col("company_id") % 3 == 0, F.create_map(F.lit("a"), F.lit("old"))).otherwise(F.create_map(F.lit("a"), F.lit("old"), F.lit("b"), F.lit("kept"))).alias("config"))
+    new = n.where("company_id % 2 = 0").select("company_id", F.create_map(F.lit("a"), F.lit("new")).alias("config"))
+    return S.settings_merged(old, new).select("company_id", F.col("config")["a"].alias("a"), F.coalesce(F.col("config")["b"], F.lit("")).alias("b"))
+
+
+@source("m13_delivery_events", """WITH l AS (SELECT event_id AS log_id, CASE WHEN event_id % 2 = 0 THEN concat('m', event_id) END AS message_id, concat('U', user_id, '@x') AS email, ts AS created_at FROM events WHERE event_id % 4 < 3),
+e AS (SELECT CASE WHEN event_id % 8 = 3 THEN concat('m', event_id - 1) END AS message_id, concat('u', user_id, '@x') AS email, ts AS t0, event_id AS k, CASE WHEN event_id % 3 = 0 THEN 'bounced' ELSE 'delivered' END AS status FROM events WHERE event_id % 4 = 3 AND event_id % 5 > 0),
+h AS (SELECT coalesce(a.id, b.id) AS log_id, t0, k, status FROM e LEFT JOIN (SELECT message_id, arg_max(log_id, (created_at, log_id)) AS id FROM l WHERE message_id IS NOT NULL GROUP BY 1) a ON a.message_id = e.message_id LEFT JOIN (SELECT lower(email) AS mail, arg_max(log_id, (created_at, log_id)) AS id FROM l GROUP BY 1) b ON b.mail = lower(e.email)),
+f AS (SELECT log_id, arg_max(status, (t0, k)) AS status FROM h WHERE log_id IS NOT NULL GROUP BY 1) SELECT l.log_id, coalesce(f.status, 'sent') AS status FROM l LEFT JOIN f USING (log_id)""")
+def m13(s, d):
+    e = _t(s, d, "events")
+    log = e.where("event_id % 4 < 3").selectExpr("event_id AS log_id", "CASE WHEN event_id % 2 = 0 THEN concat('m', event_id) END AS message_id", "concat('U', user_id, '@x') AS email", "ts AS created_at", "'sent' AS status")
+    events = e.where("event_id % 4 = 3").selectExpr("CASE WHEN event_id % 8 = 3 THEN concat('m', event_id - 1) END AS message_id", "concat('u', user_id, '@x') AS email", "struct(ts, event_id) AS at", "CASE WHEN event_id % 5 > 0 THEN CASE WHEN event_id % 3 = 0 THEN 'bounced' ELSE 'delivered' END END AS status")
+    return S.delivered(log, events).select("log_id", "status")
+
+
+@source("j16_a22_note_counts", "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS notes, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 3 = 0) AS files FROM customer")
+def j16(s, d):
+    o = _t(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    return S.with_counts(_t(s, d, "customer").select("c_custkey"), o, o.where("o_orderkey % 3 = 0"), ["c_custkey"])
+
+
+@source("k24_contact_defaults_list", """WITH c AS (SELECT concat('C', c_custkey) AS contact_id, c_custkey AS k FROM customer WHERE c_custkey % 13 > 0 UNION ALL SELECT concat('S', s_suppkey), s_suppkey FROM supplier WHERE s_suppkey % 13 > 0),
+m AS (SELECT *, CASE WHEN k % 11 = 0 THEN 0 ELSE (k % 3 = 0)::INT + (k % 5 = 0)::INT END AS n FROM c) SELECT contact_id, CAST(n AS INT) AS n_missing, (SELECT count(*) FROM m WHERE n > 0) AS company_missing FROM m""")
+def k24(s, d):
+    c = contacts(s, d)
+    return S.default_list(c.select("company_id", "contact_id"), C.missing_defaults(c), c.where("k % 13 = 0")).drop("company_id")
+
+
+@source("p14_year_ends", """SELECT o_orderkey, CAST(CASE WHEN make_date(year(d), 3, 31) <= d THEN make_date(year(d), 3, 31) ELSE make_date(year(d) - 1, 3, 31) END AS VARCHAR) AS last_completed, CAST(CASE WHEN make_date(year(d), 3, 31) >= d THEN make_date(year(d), 3, 31) ELSE make_date(year(d) + 1, 3, 31) END AS VARCHAR) AS next FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""")
+def p14(s, d):
+    o = _t(s, d, "orders").withColumn("d", F.col("o_orderdate").cast("date"))
+    return o.select("o_orderkey", T.last_year_end("d", 3, 31).cast("string").alias("last_completed"), T.next_year_end("d", 3, 31).cast("string").alias("next"))
+
+
+@source("x_d7_month_spine", "SELECT n_nationkey, string_agg(CAST(last_day(make_date(2023, k, 1)) AS VARCHAR), ',' ORDER BY k) AS ends FROM nation, range(1, 13) r(k) GROUP BY 1")
+def xd7(s, d):
+    return _t(s, d, "nation").select("n_nationkey", F.array_join(F.transform(T.year_month_ends(F.lit(date(2023, 12, 31))), lambda m: m.cast("string")), ",").alias("ends"))
+
+
+def _stub(pdf):
+    """A stand-in for a model: widgets go to 461, rings to an account that doesn't exist, the rest to 200, more or less surely."""
+    import pandas as pd
+
+    text = pdf["description"]
+    code = text.map(lambda t: "461" if "widget" in t else "999" if "ring" in t else "200")
+    return pd.DataFrame({"suggested_code": code, "confidence": text.map(lambda t: 0.95 if "red" in t else 0.85)})
+
+
+@source("r37_l01_wrong_category", """WITH x AS (SELECT d.transaction_id, d.type LIKE 'ACCREC%' AS sale, d.account_code AS code, CASE WHEN description LIKE '%widget%' THEN '461' WHEN description LIKE '%ring%' THEN '999' ELSE '200' END AS s, CASE WHEN description LIKE '%red%' THEN 0.95 ELSE 0.85 END AS conf FROM docs d),
+y AS (SELECT *, CASE WHEN sale THEN coalesce(code IN ('200', '260'), false) ELSE coalesce(code IN ('429', '461', '473'), false) END AS ok FROM x WHERE s <> '999' AND s <> coalesce(code, '') AND CASE WHEN sale THEN s = '200' ELSE s = '461' END)
+SELECT transaction_id, CASE WHEN ok THEN 'medium' ELSE 'high' END AS severity, s AS suggested_code FROM y WHERE conf >= CASE WHEN ok THEN 0.9 ELSE 0.8 END""", prelude=True)
+def r37(s, d):
+    return G.wrong_category(V.documents(s, d), V.accounts(s), _stub).select("transaction_id", "severity", "suggested_code")
+
+
+@source("r38_l02_anomaly", """WITH m AS (SELECT contact_id, quantile_cont(CAST(amount AS DOUBLE), 0.5) AS mid FROM docs WHERE amount > 0 GROUP BY 1 HAVING count(*) >= 4)
+SELECT transaction_id, CASE WHEN transaction_id LIKE '%1%' THEN 0.9 ELSE 0.8 END AS confidence FROM docs JOIN m USING (contact_id) WHERE amount >= 4 * mid AND amount >= 100 AND transaction_id NOT LIKE '%7%'""", prelude=True)
+def r38(s, d):
+    import pandas as pd
+
+    stub = lambda pdf: pd.DataFrame({"sure": pdf["transaction_id"].map(lambda t: 0.5 if "7" in t else 0.9 if "1" in t else 0.8)})
+    return G.anomalies(V.documents(s, d), stub).select("transaction_id", "confidence")
+
+
+@source("a18_contact_groups", """WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey * 7 % 100 AS b FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey * 7 % 100 <> s_suppkey), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b) SELECT a AS id, least(min(b), a) AS group_id FROM r GROUP BY a""")
+def a18(s, d):
+    k = F.col("s_suppkey")
+    e = _t(s, d, "supplier").where(k % 3 == 0).select(F.lit(V.COMPANY).alias("company_id"), k.alias("a"), (k * 7 % 100).alias("b")).where("a <> b")
+    return connected(e).select("id", "group_id")
+
+
+@source("h30_not_annotated", "SELECT concat('O', o_orderkey) AS document_id FROM orders WHERE o_orderkey % 2 > 0 AND o_orderkey % 3 > 0 AND o_orderkey % 5 > 0")
+def h30(s, d):
+    o = _t(s, d, "orders").select(F.lit(V.COMPANY).alias("company_id"), F.concat(F.lit("O"), "o_orderkey").alias("document_id"), (F.col("o_orderkey") % 2 == 0).alias("resolved"), (F.col("o_orderkey") % 3 == 0).alias("dismissed"), F.col("o_orderkey").alias("k"))
+    return G.not_annotated(o, o.where("k % 5 = 0")).select("document_id")
+
+
+@source("k23_snapshot", None)
+def k23(s, d):
+    profit = K.profitability(_sections(s, d))
+    label = lambda t, v: s.createDataFrame([(V.COMPANY, t, 0, v)], "company_id string, label string, pos int, value double").withColumn("value", F.col("value").cast("decimal(18,2)"))
+    position = K.position(label("Total Current Assets", 900.0).union(label("Total Current Liabilities", 300.0)))
+    cash = s.createDataFrame([(V.COMPANY, 80.0)], "company_id string, score double")
+    out = K.snapshot(profit, position, cash, K.bank_reconciliation(V.bank(s, d)))
+    return out.select("period", *(F.col(c).cast("double").alias(c) for c in ("income", "gross", "net", "tax", "working_capital", "current_ratio", "cash_score")), "bank_unreconciled")
+
+
+SQL["k23_snapshot"] = PRELUDE.rstrip() + f""",
+s AS ({_SECTIONS}), t AS (SELECT period, coalesce(sum(value) FILTER (part = 'income'), 0) AS income, coalesce(sum(value) FILTER (part = 'cogs'), 0) AS cogs, coalesce(sum(value) FILTER (part = 'expenses'), 0) AS expenses, coalesce(sum(value) FILTER (part = 'other'), 0) AS other FROM s GROUP BY 1 ORDER BY 1 DESC LIMIT 1),
+n AS (SELECT period, CAST(income AS DOUBLE) AS income, CAST(income - cogs AS DOUBLE) AS gross, CAST(income - cogs - expenses + other AS DOUBLE) AS net FROM t)
+SELECT *, CAST(CASE WHEN net <= 0 THEN 0 WHEN net <= 50000 THEN round(net * 0.19, 2) WHEN net >= 250000 THEN round(net * 0.25, 2) ELSE round(net * 0.25 - (250000 - net) * 0.015, 2) END AS DOUBLE) AS tax, CAST(600 AS DOUBLE) AS working_capital, CAST(3 AS DOUBLE) AS current_ratio, CAST(80 AS DOUBLE) AS cash_score, (SELECT count(*) FROM v_bank WHERE NOT reconciled) AS bank_unreconciled FROM n"""
+
+
+@source("r43_rule_catalog", None)
+def r43(s, d):
+    """The registered rules by name."""
+    from .rule_queries import QUERIES as rules
+
+    return s.createDataFrame([(n.partition("_")[0], n.partition("_")[2]) for n in sorted(rules)], "rule_id string, name string")
