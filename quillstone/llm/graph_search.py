@@ -19,7 +19,7 @@ from .common import written
 
 #: Distinct vectors of a shard; queries searched at once; a node's edges; beam widths of building and of search.
 SHARD, BLOCK = 2048, 4096
-DEGREE, BUILD_WIDTH, WIDTH, ALPHA = 24, 40, 48, 1.2
+DEGREE, BUILD_WIDTH, WIDTH, ALPHA = 24, 40, 64, 1.2
 BATCH = 256
 
 
@@ -183,14 +183,16 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     shards = max(1, math.ceil(nodes.count() / SHARD))
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("h1", F.lit("shard")), F.lit(shards)).cast("int"))
     item = rows.schema["v"].dataType.simpleString()
-    index = dealt.groupBy("dim", "shard").applyInPandas(_index_shard, f"dim int, shard int, v {item}, ids array<long>, node int, edges array<int>, entry int")
+    by_shard = dealt.repartition(shards, "dim", "shard")  # a task for each shard: the work is in the graph, not in the bytes
+    index = by_shard.groupBy("dim", "shard").applyInPandas(_index_shard, f"dim int, shard int, v {item}, ids array<long>, node int, edges array<int>, entry int")
     asked = rows.where("asks").select(F.col("h1").alias("q1"), F.col("h2").alias("q2"), "dim", F.col("v").alias("qv"))
     asked = written(asked.dropDuplicates(["q1", "q2", "dim"]), "asked")
     blocks = max(1, math.ceil(asked.count() / BLOCK))
     spread = asked.withColumn("block", F.pmod(F.xxhash64("q1", F.lit("block")), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     copies = index if blocks == 1 else written(index, "index")
     copies = copies.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = copies.groupBy("dim", "shard", "block").cogroup(spread.groupBy("dim", "shard", "block")).applyInPandas(_search_shard(k), "q1 long, q2 long, vec_id long, score double")
+    keys = ["dim", "shard", "block"]
+    found = copies.repartition(shards * blocks, *keys).groupBy(*keys).cogroup(spread.repartition(shards * blocks, *keys).groupBy(*keys)).applyInPandas(_search_shard(k), "q1 long, q2 long, vec_id long, score double")
     top = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("nth", F.row_number().over(top)).where(F.col("nth") <= k + 1).select("q1", "q2", "vec_id", "score")
     own = rows.where("asks").select(F.col("id").alias("query_id"), F.col("h1").alias("q1"), F.col("h2").alias("q2"))

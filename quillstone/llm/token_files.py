@@ -214,6 +214,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 0,
         if writer is not None:
             writer.close()
             sink.close()
+            if fs.get_file_info(name).type != pafs.FileType.NotFound:  # some stores don't move onto a file
+                fs.delete_file(name)
             fs.move(temp, name)
             first = next((d for d, _ in writer.docs if d is not None), None)
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/part-{part:06d}.ids.zst"], "first_id": pa.array([first], pa.int64()), "n_docs": pa.array([len(writer.docs)], pa.int64()), "n_tokens": pa.array([total], pa.int64()), "part": pa.array([part], pa.int32())})
