@@ -37,7 +37,7 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
 
 
 #: Rows that Spark hands to a Python worker at once, at most: texts may be long, and a batch is held on both sides.
-BATCH_ROWS = 1024
+BATCH_ROWS = 512
 
 
 def bounded(df: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from .common import bounded, plus, without
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: Chunks that a task's table holds at most before it starts anew; bounds memory, not results.
-TABLE = 250_000
+TABLE = 150_000
 
 
 @lru_cache(maxsize=2)

@@ -10,7 +10,7 @@ import xxhash
 WORD = re.compile(r"\w+")
 SHINGLE = 5
 #: Words that a task's table holds at most before it starts anew; bounds memory, not results.
-TABLE = 250_000
+TABLE = 150_000
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:
