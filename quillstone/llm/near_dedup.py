@@ -4,8 +4,9 @@ A shingle's weight is 1 + ln(its count). Its arrivals form a Poisson process of
 which keeps the earliest, and a shingle stops when its next arrival is later than every register's (Ertl, ProbMinHash). Registers of two
 documents agree with the probability Jaccard similarity of their weighted shingles. Documents that agree on a whole band
 share a bucket. Buckets are never expanded into pairs: each member is held against its bucket's most central member, the one
-that shares buckets with the most others; members of other groups are then held against the next; what is left in
-a bucket is compared in full while it is small, and by what its members have beyond the centre when it is large. A pair is linked when
+that shares buckets with the most others; members of other groups are then held against the next. The pairs of different groups that are
+left in a bucket are compared in full while it is small; in a large one by prefix filtering, which loses none: two sets of the needed similarity
+share one of their first shingles, in an order that puts those first that the centre lacks. A pair is linked when
 the exact Jaccard similarity of its distinct shingles is at least 0.8, and linked documents form one class.
 """
 
@@ -26,7 +27,7 @@ from .words import WordHashes, shingles, splitmix
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 SIMILARITY = 0.8
-#: Rounds against central members; members of other groups in a bucket up to which the rest is compared in full.
+#: Rounds against central members; members of a bucket up to which all pairs of different groups are compared.
 ROUNDS, SMALL = 2, 48
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -158,16 +159,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     compared, labels = None, None
     for k in range(ROUNDS + 1):
         now = _labelled(members, labels)
-        centre = now.groupBy("band", "h").agg(F.max(F.struct("degree", "key", "label")).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "h", F.col("c.key").alias("c_key"), F.col("c.label").alias("c_label"))
+        centre = now.groupBy("band", "h").agg(F.max(F.struct("degree", "key", "label")).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
+        centre = centre.where("lo < hi").select("band", "h", "n", F.col("c.key").alias("c_key"), F.col("c.label").alias("c_label"))
         others = now.join(centre, ["band", "h"]).where("label != c_label")
         if k == 0:
             pairs = others.select(*_ordered("key", "c_key")).distinct()
         else:
-            rest = written(others.select("band", "h", "key", "degree", "label"), "rest")
-            sizes = rest.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("degree", "key", "label")).alias("c"))
-            second = rest.join(sizes, ["band", "h"]).where("label != c.label").select(*_ordered("key", "c.key"))
-            pairs = second.distinct() if k < ROUNDS else _remaining(now, centre, sizes.select("band", "h", "n"), sets).union(second).distinct()
-            pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+            if k < ROUNDS:
+                rest = written(others.select("band", "h", "key", "degree", "label"), "rest")
+                second = rest.groupBy("band", "h").agg(F.max(F.struct("degree", "key", "label")).alias("c"))
+                pairs = rest.join(second, ["band", "h"]).where("label != c.label").select(*_ordered("key", "c.key"))
+            else:
+                pairs = _remaining(now, centre, sets, similarity)
+            pairs = pairs.distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti")
         found = written(_links(pairs, sets), "compared")
         compared = found if compared is None else written(compared.union(found), "compared")
         labels = components(compared.where(F.col("j") >= similarity))
@@ -182,21 +186,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select("n_id", "n_text", F.when(alone, F.col("n_id")).otherwise(F.col("class_id")).alias("class_id"), kept.alias("kept"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
 
 
-def _remaining(now: DataFrame, centre: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of different groups in one bucket that are still to be compared.
+def _remaining(now: DataFrame, centre: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of different groups in one bucket that can still be linked; none that is linked is missing.
 
-    Where at most SMALL members stand outside the centre's group: all pairs of those. Elsewhere: a member that isn't linked to the centre can only be linked to another (unless both are mostly parts of the
-    centre, which the rounds against second centres find) if they share a shingle that the centre lacks; so members are dealt by such
-    shingles, and each is held against the most central one that shares it. Linear in the bucket's size.
+    Buckets of at most SMALL members: all pairs of different groups. Larger ones: sets a and b of similarity s share at least
+    s / (1 + s) * (|a| + |b|) shingles, hence one of the first |a| - s |a| + 1 of a in any order that both follow, and enough of them can still follow the first
+    that they share. The order puts the shingles first that the bucket's centre lacks, so that few members meet at each. Members of a
+    shingle's foremost group meet only those of other groups.
     """
-    small = now.join(sizes.where(F.col("n") <= SMALL), ["band", "h"]).join(centre, ["band", "h"]).where("label != c_label").select("band", "h", "key", "label")
+    small = now.join(centre.where(F.col("n") <= SMALL), ["band", "h"]).select("band", "h", "key", "label")
     other = small.select("band", "h", F.col("key").alias("key2"), F.col("label").alias("label2"))
     full = small.join(other, ["band", "h"]).where("label < label2").select(*_ordered("key", "key2"))
-    large = now.join(sizes.where(F.col("n") > SMALL), ["band", "h"]).join(centre, ["band", "h"]).where("key != c_key").select("c_key", "key", "label", "degree").distinct()
-    with_sets = large.join(sets.select(F.col("s_key").alias("key"), F.col("s_set").alias("sk")), "key").join(sets.select(F.col("s_key").alias("c_key"), F.col("s_set").alias("sc")), "c_key")
-    extra = with_sets.select("c_key", "key", "label", "degree", F.explode(F.array_except("sk", "sc")).alias("x"))
-    best = extra.groupBy("c_key", "x").agg(F.max(F.struct("degree", "key", "label")).alias("r"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("c_key", "x", "r")
-    beyond = extra.join(best, ["c_key", "x"]).where("label != r.label").select(*_ordered("key", "r.key"))
+
+    large = now.join(centre.where(F.col("n") > SMALL), ["band", "h"]).where("key != c_key").select("c_key", "key", "label", "degree").distinct()
+    both = large.join(sets.select(F.col("s_key").alias("key"), F.col("s_set").alias("sk")), "key").join(sets.select(F.col("s_key").alias("c_key"), F.col("s_set").alias("sc")), "c_key")
+    size = F.size("sk")
+    first = F.slice(F.concat(F.array_except("sk", "sc"), F.array_intersect("sk", "sc")), F.lit(1), size - F.ceil(size * similarity - 1e-9).cast("int") + 1)
+    entries = written(both.select("c_key", "key", "label", "degree", size.alias("size"), F.posexplode(first).alias("at", "x")), "entries")
+    groups = entries.groupBy("c_key", "x").agg(F.max(F.struct("degree", "key", "label")).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("c_key", "x", F.col("m.label").alias("foremost"))
+    outer = entries.join(groups, ["c_key", "x"]).where("label != foremost").select("c_key", "x", "key", "label", "size", "at")
+    inner = entries.select("c_key", "x", F.col("key").alias("key2"), F.col("label").alias("label2"), F.col("size").alias("size2"), F.col("at").alias("at2"))
+    enough = F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2")) >= (F.col("size") + F.col("size2")) * (similarity / (1 + similarity)) - 1e-9
+    beyond = outer.join(inner, ["c_key", "x"]).where((F.col("label") != F.col("label2")) & enough).select(*_ordered("key", "key2"))
     return full.union(beyond)
 
 

@@ -371,12 +371,29 @@ def test_near_duplicates_large_group_and_repeats(spark):
     df = spark.createDataFrame(rows + [rows[3], rows[3], (None, "solo words that nobody else has here")], DOCS)
     out = near_dedup.near_duplicates(df).collect()
     got = {r.n_id: r.class_id for r in out if r.n_id is not None}
-    assert sum(got[i] != want[i] for i in got) <= 2
+    assert got == want
     kept = near_dedup.deduplicated(df).collect()
     assert len(kept) == len({got[i] for i in got}) + 1
     assert near_dedup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_remaining_pairs_of_a_large_bucket_lose_no_link(spark):
+    rng = random.Random(11)
+    centre = list(range(100, 160))
+    sets = {b"c": centre}
+    for i in range(70):  # chains: each set changes little from one before, so that many are like it and unlike the centre
+        s = set(rng.choice(list(sets.values())))
+        s -= set(rng.sample(sorted(s), rng.randrange(0, 6)))
+        s |= {rng.randrange(300) for _ in range(rng.randrange(0, 6))}
+        sets[b"k%02d" % i] = sorted(s)
+    now = spark.createDataFrame([(0, 1, k, 1, k) for k in sets], "band int, h long, key binary, degree int, label binary")
+    middle = spark.createDataFrame([(0, 1, len(sets), b"c", b"c")], "band int, h long, n int, c_key binary, c_label binary")
+    found = near_dedup._remaining(now, middle, spark.createDataFrame(list(sets.items()), "s_key binary, s_set array<long>"), 0.8).collect()
+    found = {(bytes(r.a), bytes(r.b)) for r in found}
+    linked = {(a, b) for a, b in itertools.combinations(sorted(set(sets) - {b"c"}), 2) if len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})}
+    assert linked and linked <= found
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(10)
     a = rng.integers(1 << 62, size=400).astype(np.uint64)
