@@ -29,6 +29,8 @@ REGISTERS = BANDS * ROWS
 SIMILARITY = 0.8
 #: Rounds against central members; members of a bucket up to which all pairs of different groups are compared.
 ROUNDS, SMALL = 2, 48
+#: Sizes of sets are told apart in so many steps for a factor of e.
+SIZE_STEPS = 64
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -91,7 +93,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(s_key, s_set) of the wanted (s_key, s_id, s_text): the distinct shingles of one row of each key."""
+    """(s_key, s_set, s_size) of the wanted (s_key, s_id, s_text): the distinct shingles of one row of each key, and their number."""
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"), F.col(f"`{text_col}`").alias("t"))
     rows = texts.join(wanted, F.col("i").eqNullSafe(F.col("s_id")) & (F.col("h") == F.col("s_text"))).select("s_key", "t")
 
@@ -100,9 +102,9 @@ def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame
         for big in batches:
             for batch in few(big):
                 sets = [np.unique(shingles(table.of(table.words(t.as_py())))).view(np.int64) for t in batch.column(1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["s_key", "s_set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(map(len, sets), pa.int32())], names=["s_key", "s_set", "s_size"])
 
-    return bounded(rows).mapInArrow(run, "s_key binary, s_set array<long>")
+    return bounded(rows).mapInArrow(run, "s_key binary, s_set array<long>, s_size int")
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -191,7 +193,8 @@ def _remaining(now: DataFrame, centre: DataFrame, sets: DataFrame, similarity: f
 
     Buckets of at most SMALL members: all pairs of different groups. Larger ones: sets a and b of similarity s share at least
     s / (1 + s) * (|a| + |b|) shingles, hence one of the first |a| - s |a| + 1 of a in any order that both follow, and enough of them can still follow the first
-    that they share. The order puts the shingles first that the bucket's centre lacks, so that few members meet at each. Members of a
+    that they share. The order puts the shingles first that the bucket's centre lacks, so that few members meet at each. |b| is at least
+    s |a|, and at least the next size that occurs at all (in steps of SIZE_STEPS to the power e), which shortens what is dealt. Members of a
     shingle's foremost group meet only those of other groups.
     """
     small = now.join(centre.where(F.col("n") <= SMALL), ["band", "h"]).select("band", "h", "key", "label")
@@ -199,10 +202,15 @@ def _remaining(now: DataFrame, centre: DataFrame, sets: DataFrame, similarity: f
     full = small.join(other, ["band", "h"]).where("label < label2").select(*_ordered("key", "key2"))
 
     large = now.join(centre.where(F.col("n") > SMALL), ["band", "h"]).where("key != c_key").select("c_key", "key", "label", "degree").distinct()
+    large = large.join(sets.select(F.col("s_key").alias("key"), F.col("s_size").alias("size")), "key")
+    step = lambda size: F.floor(F.log(size) * SIZE_STEPS).cast("int")
+    occurring = large.groupBy(F.col("c_key").alias("o_key")).agg(F.collect_set(step(F.col("size"))).alias("steps"))
+    least = F.greatest(F.col("size") * similarity, F.exp(F.array_min(F.filter("steps", lambda x: x >= step(F.col("size") * similarity * (1 - 1e-9)))) / SIZE_STEPS) * (1 - 1e-9))
+    needed = F.ceil((F.col("size") + least) * (similarity / (1 + similarity)) - 1e-6).cast("int")
+    large = large.join(occurring, F.col("c_key") == F.col("o_key")).select("c_key", "key", "label", "degree", "size", (F.col("size") - needed + 1).alias("n_first"))
     both = large.join(sets.select(F.col("s_key").alias("key"), F.col("s_set").alias("sk")), "key").join(sets.select(F.col("s_key").alias("c_key"), F.col("s_set").alias("sc")), "c_key")
-    size = F.size("sk")
-    first = F.slice(F.concat(F.array_except("sk", "sc"), F.array_intersect("sk", "sc")), F.lit(1), size - F.ceil(size * similarity - 1e-9).cast("int") + 1)
-    entries = written(both.select("c_key", "key", "label", "degree", size.alias("size"), F.posexplode(first).alias("at", "x")), "entries")
+    first = F.slice(F.concat(F.array_except("sk", "sc"), F.array_intersect("sk", "sc")), F.lit(1), F.col("n_first"))
+    entries = written(both.select("c_key", "key", "label", "degree", "size", F.posexplode(first).alias("at", "x")), "entries")
     groups = entries.groupBy("c_key", "x").agg(F.max(F.struct("degree", "key", "label")).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("c_key", "x", F.col("m.label").alias("foremost"))
     outer = entries.join(groups, ["c_key", "x"]).where("label != foremost").select("c_key", "x", "key", "label", "size", "at")
     inner = entries.select("c_key", "x", F.col("key").alias("key2"), F.col("label").alias("label2"), F.col("size").alias("size2"), F.col("at").alias("at2"))

@@ -388,7 +388,7 @@ def test_remaining_pairs_of_a_large_bucket_lose_no_link(spark):
         sets[b"k%02d" % i] = sorted(s)
     now = spark.createDataFrame([(0, 1, k, 1, k) for k in sets], "band int, h long, key binary, degree int, label binary")
     middle = spark.createDataFrame([(0, 1, len(sets), b"c", b"c")], "band int, h long, n int, c_key binary, c_label binary")
-    found = near_dedup._remaining(now, middle, spark.createDataFrame(list(sets.items()), "s_key binary, s_set array<long>"), 0.8).collect()
+    found = near_dedup._remaining(now, middle, spark.createDataFrame([(k, v, len(v)) for k, v in sets.items()], "s_key binary, s_set array<long>, s_size int"), 0.8).collect()
     found = {(bytes(r.a), bytes(r.b)) for r in found}
     linked = {(a, b) for a, b in itertools.combinations(sorted(set(sets) - {b"c"}), 2) if len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})}
     assert linked and linked <= found
