@@ -204,7 +204,7 @@ def _remaining(now: DataFrame, centre: DataFrame, sets: DataFrame, similarity: f
     large = now.join(centre.where(F.col("n") > SMALL), ["band", "h"]).where("key != c_key").select("c_key", "key", "label", "degree").distinct()
     large = large.join(sets.select(F.col("s_key").alias("key"), F.col("s_size").alias("size")), "key")
     step = lambda size: F.floor(F.log(size) * SIZE_STEPS).cast("int")
-    occurring = large.groupBy(F.col("c_key").alias("o_key")).agg(F.collect_set(step(F.col("size"))).alias("steps"))
+    occurring = written(large.groupBy(F.col("c_key").alias("o_key")).agg(F.collect_set(step(F.col("size"))).alias("steps")), "occurring")  # of its own: the join can then be split
     least = F.greatest(F.col("size") * similarity, F.exp(F.array_min(F.filter("steps", lambda x: x >= step(F.col("size") * similarity * (1 - 1e-9)))) / SIZE_STEPS) * (1 - 1e-9))
     needed = F.ceil((F.col("size") + least) * (similarity / (1 + similarity)) - 1e-6).cast("int")
     large = large.join(occurring, F.col("c_key") == F.col("o_key")).select("c_key", "key", "label", "degree", "size", (F.col("size") - needed + 1).alias("n_first"))
