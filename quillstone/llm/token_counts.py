@@ -1,21 +1,29 @@
-"""Token counts by pre-token: pieces are counted once per distinct pre-token, then weighted by each document's frequencies."""
+"""Token counts by pre-token: pieces are counted once per distinct pre-token, joined to each document's frequencies, and summed.
+
+A pre-token is here a text between white space (or a chunk, for sentencepiece models). Frequent ones are joined by a broadcast
+table of bounded size; the others, of which each is in few documents or long, by a shuffle.
+"""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, plus, without
-from .pieces import chunks, processor, splits_at_marks
+from .common import bounded, without, written
+from .pieces import chunks, few, processor, splits_at_marks
 
-#: Entries of a task's table at most before it starts anew; bounds memory, not results.
-TABLE = 800_000
+#: Entries of the table within a task at most before it starts anew; bounds memory, not results.
+TABLE = 150_000
+#: Pre-tokens that are broadcast at most, and the characters of each: 20 MB or so. The others are joined by a shuffle.
+HEAD, SHORT = 100_000, 64
 
 
 @lru_cache(maxsize=2)
@@ -58,7 +66,6 @@ class CountTable:
 
     def __init__(self, path: str):
         self.tokenizer = t = tokenizer(path)
-        self.words: dict[str, int] = {}
         self.pieces: dict[str, int] = {}
         special = [x.content for x in t.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
@@ -80,66 +87,93 @@ class CountTable:
         text = t.normalizer.normalize_str(word) if t.normalizer else word
         return sum(self.of_pretoken(p) for p, _ in t.pre_tokenizer.pre_tokenize_str(text)) if t.pre_tokenizer else self.of_pretoken(text)
 
-    def count(self, text: str) -> int:
-        frequency = Counter(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
-        frequency.pop("", None)
-        words = self.words
-        if len(words) + len(self.pieces) > TABLE:
-            words.clear()
+    def of_words(self, words: list[str]) -> list[int]:
+        if len(self.pieces) > TABLE:
             self.pieces.clear()
-        for w in [w for w in frequency if w not in words]:
-            words[w] = self.of_word(w)
-        return sum(n * words[w] for w, n in frequency.items())
+        return [self.of_word(w) for w in words]
 
 
-@lru_cache(maxsize=1)
-def count_table(path: str) -> CountTable:
-    """One table for all tasks of a worker process."""
-    return CountTable(path)
+def _frequencies(path: str) -> Callable[[str], Counter] | None:
+    """What counts a text's pre-tokens; None where white space doesn't part tokens."""
+    if path.endswith(".model"):
+        return (lambda text: Counter(chunks(text))) if splits_at_marks(path) else None
+    if not drops_space(path):
+        return None
 
+    def words(text: str) -> Counter:
+        found = Counter(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+        found.pop("", None)
+        return found
 
-class PieceCounts:
-    """The same for sentencepiece models: chunks are the pre-tokens."""
+    return words
 
-    def __init__(self, path: str):
-        self.sp, self.sizes = processor(path), {"": 1}
-        self.alone = splits_at_marks(path)
 
-    def count(self, text: str) -> int:
-        if not self.alone:
-            return len(self.sp.encode(text, num_threads=1))
-        frequency = Counter(chunks(text))
-        if len(self.sizes) > TABLE:
-            self.sizes = {"": 1}
-        if new := [c for c in frequency if c not in self.sizes]:
-            self.sizes.update((k, len(x)) for k, x in zip(new, self.sp.encode(new, num_threads=1), strict=True))
-        return sum(n * self.sizes[c] for c, n in frequency.items())
+def _sizes(path: str) -> Callable[[list[str]], list[int]]:
+    """What counts the tokens of pre-tokens, or of whole texts where _frequencies has none."""
+    if not path.endswith(".model"):
+        return CountTable(path).of_words if drops_space(path) else lambda texts: [len(tokenizer(path).encode(t, add_special_tokens=False).ids) for t in texts]
+    alone = splits_at_marks(path)
+    return lambda texts: [len(x) if t or not alone else 1 for t, x in zip(texts, processor(path).encode(texts, num_threads=1), strict=True)]
 
 
 def token_counts(docs: DataFrame, path: str, text_col: str = "text", limit: int = 2048) -> DataFrame:
-    """Adds n_bytes (long; UTF-8), n_tokens (long; as the library for the file counts, special strings inside texts as by its
-    default) and over_limit (boolean; n_tokens > limit).
+    """(other columns, n_bytes, n_tokens, over_limit) of every row: bytes in UTF-8 (long), tokens (long; as the library for the file
+    counts, special strings inside texts as by its default), and whether n_tokens > limit (boolean).
 
     Null and empty texts count 0. A tokenizer for which white space doesn't part tokens is run on whole texts. Whole texts are
-    counted, however long; repeated rows each. Other columns pass through; input columns of the three names are replaced. An
-    empty table gives an empty table.
+    counted, however long; repeated rows each. The text itself isn't passed on; other input columns of the three names are replaced.
+    An empty table gives an empty table.
     """
-    kept = without(docs, [n for n in ("n_bytes", "n_tokens", "over_limit") if n != text_col])
-    place = kept.columns.index(text_col)
+    others = without(docs, ["n_bytes", "n_tokens", "over_limit", text_col]).columns
+    text = F.col(f"`{text_col}`")
+    own = F.struct(*[F.col(f"`{c}`") for c in others], F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes")).alias("own")
+    rows = docs.select(own, F.coalesce(text, F.lit("")).alias("t"))
+    summed = _by_pretoken(rows, path) if _frequencies(path) else _whole(rows, path)
+    return summed.select("own.*", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
 
+def _whole(rows: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path.endswith(".model"):
-            count = PieceCounts(path).count
-        elif drops_space(path):
-            count = count_table(path).count
-        else:
-            count = lambda t: len(tokenizer(path).encode(t, add_special_tokens=False).ids)
+        sizes = _sizes(path)
+        for big in batches:
+            for batch in few(big):
+                n = pa.array([sizes([t])[0] if t else 0 for t in batch.column(1).to_pylist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), n], names=["own", "n_tokens"])
+
+    return bounded(rows).mapInArrow(run, T.StructType([rows.schema["own"], T.StructField("n_tokens", T.LongType())]))
+
+
+def _by_pretoken(rows: DataFrame, path: str) -> DataFrame:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequencies = _frequencies(path)
+        for big in batches:
+            for batch in few(big):
+                found = [frequencies(t) if t else {} for t in batch.column(1).to_pylist()]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype("<i4")
+                w = pa.array([w for x in found for w in x], pa.string())
+                n = pa.array([n for x in found for n in x.values()], pa.int64())
+                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([w, n], ["w", "n"]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), listed], names=["own", "f"])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = _sizes(path)
         for batch in batches:
-            n = pa.array([count(x) if (x := t.as_py()) else 0 for t in batch.column(place)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, n], names=[*batch.schema.names, "n_tokens"])
-
-    counted = bounded(kept).mapInArrow(run, plus(kept, ("n_tokens", "long")))
-    size = F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long")
-    return counted.select(*[F.col(f"`{c}`") for c in kept.columns], size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-
-
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes(batch.column(0).to_pylist()), pa.int64())], names=["w", "n_docs", "pieces"])
+
+    schema = T.StructType([rows.schema["own"], T.StructField("f", T.DataType.fromDDL("array<struct<w:string,n:bigint>>"))])
+    counted = written(bounded(rows).mapInArrow(count, schema).withColumn("row", F.monotonically_increasing_id()), "frequencies")
+    flat = counted.select("row", F.inline("f"))
+    pieces = written(flat.groupBy("w").agg(F.count(F.lit(1)).alias("n_docs")).mapInArrow(measure, "w string, n_docs long, pieces long"), "pieces")
+
+    n, least = pieces.count(), 0
+    head = pieces.where(F.length("w") <= SHORT)
+    while (n_head := head.where(F.col("n_docs") > least).count()) > HEAD:
+        least = max(1, 2 * least)
+    head = F.broadcast(head.where(F.col("n_docs") > least).select("w", "pieces"))
+    weighed = [flat.join(head, "w").select("row", (F.col("n") * F.col("pieces")).alias("k"))]
+    if n_head < n:
+        tail = pieces.where((F.length("w") > SHORT) | (F.col("n_docs") <= least)).select("w", "pieces")
+        weighed.append(flat.join(head.select("w"), "w", "left_anti").join(tail, "w").select("row", (F.col("n") * F.col("pieces")).alias("k")))
+    per_row = [x.groupBy(F.col("row").alias("r")).agg(F.sum("k").alias("k")) for x in weighed]
+    sums = per_row[0] if len(per_row) == 1 else per_row[0].union(per_row[1]).groupBy("r").agg(F.sum("k").alias("k"))
+    return counted.join(sums, F.col("row") == F.col("r"), "left").select("own", F.coalesce("k", F.lit(0)).cast("long").alias("n_tokens"))
