@@ -27,10 +27,10 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """df, computed once and kept as Parquet in the shared folder: cuts lineage, and survives lost executors."""
     at = new_folder(df.sparkSession, label)
-    df.write.parquet(at)
+    df.write.option("compression", compression).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

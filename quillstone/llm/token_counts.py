@@ -22,8 +22,8 @@ from .pieces import chunks, few, processor, splits_at_marks
 
 #: Entries of the table within a task at most before it starts anew; bounds memory, not results.
 TABLE = 150_000
-#: Pre-tokens that are broadcast at most, and the characters of each: 20 MB or so. The others are joined by a shuffle.
-HEAD, SHORT = 100_000, 64
+#: Pre-tokens that are broadcast at most, and the characters of each: about 40 MB. The others are joined by a shuffle.
+HEAD, SHORT = 400_000, 64
 
 
 @lru_cache(maxsize=2)
@@ -151,7 +151,7 @@ def _by_pretoken(rows: DataFrame, path: str) -> DataFrame:
                 found = [frequencies(t) if t else {} for t in batch.column(1).to_pylist()]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype("<i4")
                 w = pa.array([w for x in found for w in x], pa.string())
-                n = pa.array([n for x in found for n in x.values()], pa.int64())
+                n = pa.array([n for x in found for n in x.values()], pa.int32())
                 listed = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([w, n], ["w", "n"]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), listed], names=["own", "f"])
 
@@ -160,8 +160,8 @@ def _by_pretoken(rows: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes(batch.column(0).to_pylist()), pa.int64())], names=["w", "n_docs", "pieces"])
 
-    schema = T.StructType([rows.schema["own"], T.StructField("f", T.DataType.fromDDL("array<struct<w:string,n:bigint>>"))])
-    counted = written(bounded(rows).mapInArrow(count, schema).withColumn("row", F.monotonically_increasing_id()), "frequencies")
+    schema = T.StructType([rows.schema["own"], T.StructField("f", T.DataType.fromDDL("array<struct<w:string,n:int>>"))])
+    counted = written(bounded(rows).mapInArrow(count, schema).withColumn("row", F.monotonically_increasing_id()), "frequencies", "zstd")
     flat = counted.select("row", F.inline("f"))
     pieces = written(flat.groupBy("w").agg(F.count(F.lit(1)).alias("n_docs")).mapInArrow(measure, "w string, n_docs long, pieces long"), "pieces")
 
