@@ -290,8 +290,7 @@ _CONTACTS = """WITH contacts AS (SELECT concat('C', c_custkey) AS contact_id, c_
 
 @rule("r34_duplicate_contact", None, "contact_id", "partner_id", "similarity", "severity", "is_split")
 def r34(s, d):
-    spoken = s.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id AS k", "regexp_extract(text, '^([^.,]{4,40})', 1) AS name").where("length(name) >= 4")
-    return C.duplicate_contacts(spoken.selectExpr(f"'{V.COMPANY}' AS company_id", "concat('D', k) AS contact_id", "name", "CASE WHEN k % 4 = 0 THEN concat('GB', k % 9) END AS vat", "k % 2 = 0 AS is_customer", "k % 2 = 1 AS is_supplier", "false AS is_archived"))
+    return C.duplicate_contacts(contacts(s, d))
 
 
 @rule("r35_contact_defaults", _CONTACTS + """ SELECT contact_id, concat_ws(',', CASE WHEN k % 3 = 0 THEN side || '_account' END, CASE WHEN k % 5 = 0 THEN side || '_tax' END) AS missing FROM contacts WHERE k % 3 = 0 OR k % 5 = 0""")

@@ -1,7 +1,11 @@
 """Small cases with known answers, and what rules do with nulls, empty tables and ties."""
 
+import itertools
+import os
+import random
+import re
 from datetime import date
-from decimal import Decimal
+from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
 import pytest
@@ -10,6 +14,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import dates, similarity, text
 from quillstone.operators import contact_rules, document_rules, duplicate_rules, kpis, line_rules, verdicts
 from quillstone.operators.base import Settings, lines
+from quillstone.plans import rule_queries
 from quillstone.sources import reports
 from quillstone.streaming import ingest
 
@@ -117,6 +122,51 @@ def test_contacts(spark):
     assert {(r.contact_id, r.partner_id, r.severity) for r in out} == {("1", "2", "high"), ("2", "1", "high")}
 
 
+def _duplicates_by_brute_force(contacts):
+    from quillstone.functions.text import FILLERS, SUFFIXES
+
+    plain = lambda n: " ".join(w for w in re.sub(r"[\W_]+", " ", n.lower()).split() if w not in SUFFIXES)
+    core = lambda n: " ".join(w for w in n.split() if w not in FILLERS) or n
+    grams = lambda n: {s[i : i + 3] for s in [n.replace(" ", "")] for i in range(max(1, len(s) - 2))}
+    live = [(i, plain(n), (v or "").strip().upper(), c, s) for i, n, v, c, s, archived in contacts if n and plain(n) and not archived]
+    found = set()
+    for (i, a, v, ac, asu), (j, b, w, bc, bs) in itertools.permutations(live, 2):
+        if grams(a) & grams(b):
+            raw = 0.85 * similarity.ratio(core(a), core(b)) + 0.15 * similarity.ratio(a, b)
+            sim = raw if not (v and w) else min(raw + 0.1, 1.0) if v == w else raw * 0.4
+            split = (ac and not asu and bs and not bc) or (asu and not ac and bc and not bs)
+            if sim >= 0.7:
+                found.add((i, j, float(Decimal(str(sim)).quantize(Decimal("0.0001"), ROUND_HALF_UP)), "low" if split else "high" if sim >= 0.9 else "medium", split))
+    return found
+
+
+def _shown_duplicates(df):
+    rows = [(r.contact_id, r.partner_id, round(r.similarity, 4), r.severity, r.is_split) for r in df.collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+def test_duplicate_contacts_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(contact_rules, "BLOCK", 16)  # groups of a trigram in several blocks
+    rng = random.Random(4)
+    words = ["acme", "acmee", "apex", "north", "northern", "river", "rivers", "services", "group", "ltd", "limited", "12", "ab"]
+    made = [(str(i), " ".join(rng.choice(words).title() for _ in range(rng.randint(1, 4))), rng.choice([None, "", "GB1", "gb1", "GB2"]), rng.random() < 0.6, rng.random() < 0.6, rng.random() < 0.1) for i in range(160)]
+    made += [("n1", None, None, True, False, False), ("n2", "  ", None, True, False, False), ("n3", "Ltd", None, True, False, False)]
+    got = contact_rules.duplicate_contacts(spark.createDataFrame([("co", *m) for m in made], "company_id string, contact_id string, name string, vat string, is_customer boolean, is_supplier boolean, is_archived boolean"))
+    want = _duplicates_by_brute_force(made)
+    assert len(want) > 1000 and _shown_duplicates(got) == want
+
+
+def test_duplicate_contacts_query_covers_customers_and_suppliers(spark):
+    data = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    made = [(r.contact_id, r.name, r.vat, r.is_customer, r.is_supplier, r.is_archived) for r in rule_queries.contacts(spark, data).collect()]
+    want = _duplicates_by_brute_force(made)
+    assert {i[0] for i, *_ in want} == {"C", "S"}
+    assert _shown_duplicates(rule_queries.QUERIES["r34_duplicate_contact"](spark, data)) == want
+
+
 def test_settings_ignore_what_is_bad():
     s = Settings.of({"overdue_days": "7", "capital_min": "x", "unknown": 1, "duplicate_also_check_paid": "yes", "vague_codes": [" 1 ", ""], "low_cost_limit": float("inf")})
     assert (s.old_unpaid_bill_days, s.capital_min, s.duplicate_also_check_paid, s.vague_codes, s.low_cost_limit) == (7, 500, True, ("1",), 10000)
