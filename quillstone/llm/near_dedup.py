@@ -1,9 +1,9 @@
-"""Near-duplicates by ProbMinHash signatures of weighted five-word shingles, banding, and exact verification.
+"""Near-duplicates by ProbMinHash signatures of five-word shingles, banding, and exact verification.
 
-A shingle's weight is 1 + ln(its count). Its arrivals form a Poisson process of that rate; each falls on a random register,
+Each distinct shingle has the weight 1, however often it occurs, as in the similarity that decides links. Its arrivals form a Poisson process of that rate; each falls on a random register,
 which keeps the earliest, and a shingle stops when its next arrival is later than every register's (Ertl, ProbMinHash). Registers of two
-documents agree with the probability Jaccard similarity of their weighted shingles. Documents that agree on a whole band
-share a bucket. Buckets are never expanded into pairs: each member is held against its bucket's most central member, the one
+documents agree with their distinct shingles' Jaccard similarity, for which the bands are sized: documents at 0.8 agree on a whole band with
+probability 0.99995, whatever repeats in them. Those that do share a bucket. Buckets are never expanded into pairs: each member is held against its bucket's most central member, the one
 that shares buckets with the most others; members of other groups are then held against the next. The pairs of different groups that are
 left in a bucket are compared in full while it is small; in a large one by prefix filtering, which loses none: two sets of the needed similarity
 share one of their first shingles, in an order that puts those first that the centre lacks. A pair is linked when
@@ -36,10 +36,9 @@ _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 def signatures(docs: list[np.ndarray]) -> np.ndarray:
     """ProbMinHash registers (32 bits of the winning shingle) of documents given as arrays of shingles, with repeats, not empty."""
-    found = [np.unique(d, return_counts=True) for d in docs]
-    element = np.concatenate([u for u, _ in found])
-    weight = 1 + np.log(np.concatenate([c for _, c in found]))
-    doc = np.repeat(np.arange(len(docs)), [len(u) for u, _ in found])
+    found = [np.unique(d) for d in docs]
+    element = np.concatenate(found)
+    doc = np.repeat(np.arange(len(docs)), [len(u) for u in found])
     registers = np.full(len(docs) * REGISTERS, _NONE)
     rows = registers.reshape(len(docs), REGISTERS)
     last = np.zeros(len(element))
@@ -47,7 +46,7 @@ def signatures(docs: list[np.ndarray]) -> np.ndarray:
     while len(element):
         g = 1 if arrival < 3 else 4 if arrival < 16 else 16
         draw = splitmix(element[:, None] ^ splitmix(np.arange(arrival + 1, arrival + g + 1, dtype=np.uint64)))
-        at = last[:, None] + np.cumsum(-np.log(((draw >> np.uint64(11)) + np.uint64(1)) * 2.0**-53) / weight[:, None], axis=1)
+        at = last[:, None] + np.cumsum(-np.log(((draw >> np.uint64(11)) + np.uint64(1)) * 2.0**-53), axis=1)
         place = doc[:, None] * REGISTERS + (splitmix(draw) % np.uint64(REGISTERS)).astype(np.int64)
         packed = (at.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | (element[:, None] >> np.uint64(32))
         np.minimum.at(registers, place.ravel(), packed.ravel())
@@ -56,7 +55,7 @@ def signatures(docs: list[np.ndarray]) -> np.ndarray:
         latest = np.zeros(len(docs), np.uint64)
         latest[left] = rows[left].max(axis=1) >> np.uint64(32)
         go = last.astype(np.float32).view(np.uint32) <= latest[doc]
-        element, weight, doc, last = element[go], weight[go], doc[go], last[go]
+        element, doc, last = element[go], doc[go], last[go]
         arrival += g
     return (rows & np.uint64(0xFFFFFFFF)).astype(np.uint64)
 

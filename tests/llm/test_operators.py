@@ -407,6 +407,16 @@ def test_signatures_estimate_similarity():
     assert len(set(s[3].tolist())) == 1
 
 
+def test_near_duplicates_differ_in_what_repeats(spark):
+    rows = []
+    for i in range(24):  # distinct shingles alike by 0.83 to 0.94, counts of one half and the other far apart
+        p, q, r = ([f"{x}{i}n{k}" for k in range(60)] for x in "pqr")
+        rows += [(2 * i, " ".join(p * 50 + q)), (2 * i + 1, " ".join(p + q * 50 + r[: i % 3 * 7]))]
+    want = classes(rows)
+    assert all(want[2 * i + 1] == 2 * i for i in range(24))
+    assert {r.n_id: r.class_id for r in near_dedup.near_duplicates(docs(spark, [t for _, t in rows])).collect()} == want
+
+
 # --- 9 ---------------------------------------------------------------------------
 
 
