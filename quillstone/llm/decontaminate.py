@@ -6,7 +6,8 @@ samples a few steps of a walk; an item-sized window of a document is a candidate
 repetition, and the number of repetitions follows from the recall that is asked for. Candidates are verified by their exact edit distance.
 
 Windows are cut only where they can match: of an item cut into (edits allowed + 1) segments, one must stand in any match unchanged,
-at a place that differs by no more than the edits allowed. That drops no match.
+at a place that differs by no more than the edits allowed. That drops no match. An item that allows no edit (under five words) is one segment,
+and found where that stands.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .common import bounded
 from .pieces import few
 from .words import WordHashes, runs, splitmix
 
-SIMILARITY, LEAST_WORDS = 0.8, 5
+SIMILARITY = 0.8
 #: Words of items that go to the tasks at once; a larger benchmark takes more passes over the documents.
 BLOCK_WORDS = 4_000_000
 SAMPLES = 2
@@ -80,9 +81,9 @@ def edits(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int]
 class Items:
     """Benchmark items, ready for search: segments by hash, and the items' samples for each repetition."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY):
+    def __init__(self, items: list[tuple[int | None, str]], similarity: float = SIMILARITY):
         self.table = WordHashes()
-        kept = [(i, w) for i, t in items if len(w := self.table.words(t)) >= LEAST_WORDS]
+        kept = [(i, w) for i, t in items if (w := self.table.words(t))]
         self.ids = [i for i, _ in kept]
         self.words = [self.table.of(w) for _, w in kept]
         self.similarity, self.repeats = similarity, repetitions()
@@ -132,12 +133,16 @@ class Items:
                         found[d].setdefault(item, set()).add(int(p) - int(first[d]) - offset)
         return found
 
-    def matches(self, words: np.ndarray, places_of: dict[int, set[int]]) -> list[tuple[int, int, int, int, int]]:
+    def matches(self, words: np.ndarray, places_of: dict[int, set[int]]) -> list[tuple[int | None, int, int, int, int]]:
         """(item's id, start, end, edits, words) of the best match of each item that the words contain."""
         out = []
         for item, places in places_of.items():
             w = self.words[item]
             n, k = len(w), allowed(len(w), self.similarity)
+            if not k:  # the one segment is the whole item
+                if exact := [p for p in places if np.array_equal(words[p : p + n], w)]:
+                    out.append((self.ids[item], min(exact), min(exact) + n, 0, n))
+                continue
             starts = np.unique((np.array(sorted(places))[:, None] + np.arange(-k, k + 1)).ravel())
             starts = starts[(starts >= 0) & (starts < len(words))]
             hit = np.zeros(len(starts), bool)
@@ -158,7 +163,7 @@ class Items:
                     best = (d, a + s, a + e)
             if best:
                 out.append((self.ids[item], best[1], best[2], best[0], n))
-        return sorted(out)
+        return sorted(out, key=lambda m: (m[0] is None, m[0] or 0, m[1:]))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -166,8 +171,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     A document contains an item if a stretch of its words is within (1 - similarity) edits (words put in, left out or changed) per word of the item; of several
     stretches the one with the fewest edits counts, then the first. Words are runs of letters, digits and _, in any case. Null
-    and empty texts contain nothing; items of under five words are not searched. Items that repeat an id are searched each, and
-    the best counts. Repeated rows give one row; long texts are searched whole. Extra columns aren't read. Either table
+    and empty texts contain nothing, and nothing contains items without words; items of one to four words allow no edit. Items that repeat an id are searched each, and
+    the best counts; those of null id share the item_id null. Repeated rows give one row; long texts are searched whole. Extra columns aren't read. Either table
     empty: no rows. Benchmarks beyond BLOCK_WORDS words are searched block by block, each with a pass over the documents.
     """
     spark = docs.sparkSession
@@ -186,7 +191,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def _search(spark, rows: DataFrame, items: DataFrame, similarity: float, schema: str) -> DataFrame:
-    listed = sorted((r.i, r.t) for r in items.toLocalIterator() if r.i is not None)  # one block, of bounded size
+    listed = sorted(((r.i, r.t) for r in items.toLocalIterator()), key=lambda item: (item[0] is None, item[0] or 0, item[1]))  # one block, of bounded size
     shared = spark.sparkContext.broadcast(listed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

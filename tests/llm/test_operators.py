@@ -307,6 +307,16 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 and decontaminate.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_null_ids_and_short_items(spark):
+    long = [f"a{k}" for k in range(12)]
+    items = [(None, " ".join(long)), (None, "Null item!"), (1, "One"), (2, "two words"), (3, "four 日本語 short words"), (4, "..."), (5, "five whole words stand here")]
+    texts = [" ".join(long[:5] + ["typo"] + long[6:]), "x null item null item", "one, two. words one", "two x words", "so four 日本語 short words", "four 日本 short words", "...", "five whole odd words stand here", None, "null and item"]
+    df, bench = docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.start_word, r.end_word, r.edits, r.item_words) for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == {(0, None, 0, 12, 1, 12), (1, None, 1, 3, 0, 2), (2, 1, 0, 1, 0, 1), (2, 2, 1, 3, 0, 2), (4, 3, 1, 5, 0, 4), (7, 5, 0, 6, 1, 5)}
+    assert {r.doc_id for r in decontaminate.decontaminated(df, bench).collect()} == {3, 5, 6, 8, 9}
+
+
 def test_decontamination_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 20)
     items = [(i, " ".join(f"k{i}x{j}" for j in range(10))) for i in range(6)]
