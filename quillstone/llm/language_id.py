@@ -1,7 +1,7 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Document frequencies come from all training documents, counted in tasks. The weights are trained in one task over a bounded
-sample of them (SAMPLE_PER_LANG rows a language on average), with follow-the-regularised-leader per coordinate and elastic-net penalties (the
+sample of them (SAMPLE_PER_LANG rows a language on average, fewer where languages are many), with follow-the-regularised-leader per coordinate and elastic-net penalties (the
 L1 part keeps weights at zero), and a temperature is then fitted on a fifth of the sample that training leaves out. Prediction runs on every whole text.
 """
 
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyspark.sql.types as T
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,8 @@ from .common import bounded, plus, without
 
 #: Buckets of hashed n-grams; a power of two.
 BUCKETS = 1 << 14
-#: The bound on training: so many rows of each language on average, and so many languages (the most frequent ones).
-SAMPLE_PER_LANG, MAX_LANGS = 1200, 256
+#: The bound on training: so many rows of each language on average, fewer where all languages would give more than SAMPLE together. No language is left out.
+SAMPLE_PER_LANG, SAMPLE = 1200, 1200 * 256
 UNDETERMINED = "und"
 
 
@@ -151,7 +152,7 @@ def train(labelled: DataFrame, order_col: str = "doc_id", text_col: str = "text"
     """A model from labelled texts. Rows of null text or lang teach nothing; texts without letters count only as documents.
 
     order_col spreads the sample and fixes its order; ties in it fall in language order. Document frequencies cover every row; the weights see rows
-    of which each language gives SAMPLE_PER_LANG on average. Without a row the model knows no language, and predicts none.
+    of which each language gives SAMPLE_PER_LANG on average, or an equal share of SAMPLE if that is less. Every label is learned, however rare. Without a row the model knows no language, and predicts none.
     """
     rows = labelled.select(F.xxhash64(F.col(f"`{order_col}`"), F.lit("sample")).alias("o"), F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").alias("l")).where("t is not null and l is not null")
 
@@ -170,16 +171,13 @@ def train(labelled: DataFrame, order_col: str = "doc_id", text_col: str = "text"
     for r in seen:
         df[r.b] = r.n
     idf = np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1
-    shares = sorted(((r.n, r.l) for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGS).collect()), reverse=True)
-    langs = sorted(lang for _, lang in shares)
+    shares = [(r.l, r.n) for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()]  # a row for each language
+    langs = sorted(lang for lang, _ in shares)
     if not langs:
         return Model([], np.zeros((0, BUCKETS + 1), np.float32), 1.0, idf)
-    quota: Column = F.lit(None)
-    number: Column = F.lit(None)
-    for n, lang in shares:
-        quota = F.when(F.col("l") == lang, F.lit(min(1.0, SAMPLE_PER_LANG / n))).otherwise(quota)
-        number = F.when(F.col("l") == lang, F.lit(langs.index(lang))).otherwise(number)
-    sample = rows.withColumn("y", number.cast("int")).where(F.pmod("o", F.lit(1 << 20)) < quota * (1 << 20)).select("o", "y", "t")
+    each, place = min(SAMPLE_PER_LANG, max(1, SAMPLE // len(langs))), {lang: k for k, lang in enumerate(langs)}
+    quotas = rows.sparkSession.createDataFrame([(lang, place[lang], min(1.0, each / n)) for lang, n in shares], T.StructType([T.StructField("l", rows.schema["l"].dataType), T.StructField("y", T.IntegerType()), T.StructField("quota", T.DoubleType())]))
+    sample = rows.join(quotas, "l").where(F.pmod("o", F.lit(1 << 20)) < F.col("quota") * (1 << 20)).select("o", "y", "t")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

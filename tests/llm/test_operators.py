@@ -449,6 +449,12 @@ def test_language_id_held_out(spark):
         assert out[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
 
 
+def test_language_id_learns_every_label(spark):
+    rows = [(2 * i + k, chr(0x4E00 + i) * 8, f"l{i}") for i in range(260) for k in range(2 if i < 257 else 1)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), epochs=1)
+    assert model.langs == sorted({lang for *_, lang in rows}) and len(model.weights) == 260
+
+
 def test_language_id_without_training_rows(spark):
     df = spark.createDataFrame([(1, "some words", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in language_id.identified(df).collect()] == [("und", 0.0)]
