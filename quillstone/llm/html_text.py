@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -21,7 +22,9 @@ from .common import bounded, plus, without
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "xmp", "iframe", "noembed", "noframes"}
 RCDATA = {"textarea", "title"}
-HIDDEN = {"head", "title", "meta", "link", "base", "script", "style", "template", "noscript", "noembed", "noframes", "iframe", "object", "audio", "video", "canvas", "svg", "math", "datalist", "area", "param", "source", "track", "col", "colgroup", "map"}
+HIDDEN = {"head", "title", "meta", "link", "base", "script", "style", "template", "noscript", "noembed", "noframes", "iframe", "object", "audio", "video", "canvas", "datalist", "area", "param", "source", "track", "col", "colgroup", "annotation", "annotation-xml", "mphantom"}
+#: Of drawings only these show text; what stands in those is for reference, or shown elsewhere.
+DRAWN, UNDRAWN = {"text", "foreignobject"}, {"desc", "defs", "metadata", "symbol", "clippath", "mask", "pattern", "marker"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption", "xmp", "textarea", "select"}
 SPACED = {"blockquote", "dl", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "ol", "p", "pre", "table", "ul", "menu", "dir", "fieldset", "xmp"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul", "li", "dt", "dd", "xmp"}
@@ -34,10 +37,12 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: An end tag doesn't reach past these.
 SCOPES = {"table", "td", "th", "caption", "html", "template", "button"}
 DEPTH = 400  # deeper elements become siblings, as in browsers
+FRAMES = 1000 + 8 * DEPTH  # of Python's stack: a nested list or table takes up to five an element
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*))(?:>|\Z)", re.DOTALL)
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
+CLOSED = re.compile(r"(?:^|[\s\"']|(?:^|\s)[^\s=]+)/$")
 NO_SHOW = re.compile(r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))")
 
 
@@ -125,6 +130,8 @@ def tree(text: str) -> Node:
             inside = text[at : e.start() if e else size]
             node.children.append(html.unescape(inside) if name in RCDATA else inside)
             at = text.find(">", e.start()) + 1 or size if e else size
+        elif m["attrs"].endswith("/") and CLOSED.search(m["attrs"]) and (name in ("svg", "math") or any(n.name in ("svg", "math") for n in stack)):
+            pass  # only there a slash ends an element
         elif name not in VOID and len(stack) < DEPTH:
             stack.append(node)
     return root
@@ -191,6 +198,20 @@ class Page:
         return lines
 
 
+def drawn(node: Node) -> list:
+    """The elements of a drawing that show text, each between spaces."""
+    found, todo = [], [node]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str) or n.hidden() or n.name in UNDRAWN or n.attrs.get("display") == "none" or n.attrs.get("visibility") in ("hidden", "collapse"):
+            continue
+        if n.name in DRAWN:
+            found += [" ", n, " "]
+        else:
+            todo += reversed(n.children)
+    return found
+
+
 def flow(nodes: list, page: Page, keep: bool) -> None:
     for n in nodes:
         if isinstance(n, str):
@@ -203,6 +224,8 @@ def flow(nodes: list, page: Page, keep: bool) -> None:
             page.line_end()
         elif name == "wbr" or name == "img":
             pass
+        elif name == "svg":
+            flow(drawn(n), page, keep)
         elif name == "input":
             page.text(n.attrs.get("value", ""), False)
         elif name in ("ul", "ol", "menu", "dir"):
@@ -320,7 +343,9 @@ def lines_of(nodes: list) -> list[str]:
 
 
 def rendered(page_html: str | None) -> str:
-    """All visible text of a page."""
+    """All visible text of a page: that of formulas and drawings too."""
+    if sys.getrecursionlimit() < FRAMES:
+        sys.setrecursionlimit(FRAMES)
     page = Page()
     flow(tree(page_html or "").children, page, False)
     return "\n".join(page.done()).replace("\xa0", " ")

@@ -184,6 +184,18 @@ def test_html_survives_anything():
     assert len(html_text.rendered("<a x" * 100000 + '"')) > 0
 
 
+def test_html_shows_formulas_drawings_and_maps():
+    page = "<p>a <math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></semantics></math> b</p><svg><title>no</title><desc>no</desc><defs/><path d='M0'/><g><text>one <tspan>two</tspan></text><text display='none'>no</text></g>no<defs><text>no</text></defs><text>three</text></svg><map name=m>area <area href=x></map>"
+    assert html_text.rendered(page).split() == "a x=2 b one two three area".split()
+
+
+def test_html_nested_lists_and_tables():
+    assert html_text.rendered("<ul>" * 390 + "<li>x").strip() == "- x"
+    assert html_text.rendered("<ol><li>" * 195 + "x").endswith("1. x")
+    assert html_text.rendered("<table>" * 390 + "x").strip() == "x"
+    assert html_text.rendered("<table><tr><td>" * 130 + "x").strip() == "x"
+
+
 # --- 5, 8, 10 --------------------------------------------------------------------
 
 
