@@ -4,9 +4,9 @@ Each distinct shingle has the weight 1, however often it occurs, as in the simil
 which keeps the earliest, and a shingle stops when its next arrival is later than every register's (Ertl, ProbMinHash). Registers of two
 documents agree with their distinct shingles' Jaccard similarity, for which the bands are sized: documents at 0.8 agree on a whole band with
 probability 0.99995, whatever repeats in them. Those that do share a bucket. Buckets are never expanded into pairs: each member is held against its bucket's most central member, the one
-that shares buckets with the most others; members of other groups are then held against the next. The pairs of different groups that are
+that shares buckets with the most others. The pairs of different groups that are
 left in a bucket are compared in full while it is small; in a large one by prefix filtering, which loses none: two sets of the needed similarity
-share one of their first shingles, in an order that puts those first that the centre lacks. A pair is linked when
+share one of their first shingles, in an order that puts those first that the centre lacks, rare ones foremost. A pair is linked when
 the exact Jaccard similarity of its distinct shingles is at least 0.8, and linked documents form one class.
 """
 
@@ -27,8 +27,8 @@ from .words import WordHashes, shingles, splitmix
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 SIMILARITY = 0.8
-#: Rounds against central members; members of a bucket up to which all pairs of different groups are compared.
-ROUNDS, SMALL = 2, 48
+#: Members of a bucket up to which all pairs of different groups are compared.
+SMALL = 48
 #: Sizes of sets are told apart in so many steps for a factor of e.
 SIZE_STEPS = 64
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -132,11 +132,11 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members with their group: the label of their component, else their own key."""
-    if labels is None:
-        return members.withColumn("label", F.col("key"))
-    return members.join(labels, F.col("key") == F.col("c_key"), "left").select(*members.columns, F.coalesce("c_label", "key").alias("label"))
+def _open_buckets(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with their group (the label of their component, else their own key), and the buckets of several groups with their sizes and most central members."""
+    now = members.join(labels, F.col("key") == F.col("c_key"), "left").select(*members.columns, F.coalesce("c_label", "key").alias("label"))
+    found = now.groupBy("band", "h").agg(F.max(F.struct("degree", "key", "label")).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    return now, found.select("band", "h", "n", F.col("c.key").alias("c_key"), F.col("c.label").alias("c_label"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -157,25 +157,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = members.select("key").distinct().join(copies, F.col("key") == F.col("n_key")).select(F.col("key").alias("s_key"), F.col("one.n_id").alias("s_id"), F.col("one.n_text").alias("s_text"))
     sets = written(_shingle_sets(docs, id_col, text_col, wanted).dropDuplicates(["s_key"]), "sets")
 
-    compared, labels = None, None
-    for k in range(ROUNDS + 1):
-        now = _labelled(members, labels)
-        centre = now.groupBy("band", "h").agg(F.max(F.struct("degree", "key", "label")).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
-        centre = centre.where("lo < hi").select("band", "h", "n", F.col("c.key").alias("c_key"), F.col("c.label").alias("c_label"))
-        others = now.join(centre, ["band", "h"]).where("label != c_label")
-        if k == 0:
-            pairs = others.select(*_ordered("key", "c_key")).distinct()
-        else:
-            if k < ROUNDS:
-                rest = written(others.select("band", "h", "key", "degree", "label"), "rest")
-                second = rest.groupBy("band", "h").agg(F.max(F.struct("degree", "key", "label")).alias("c"))
-                pairs = rest.join(second, ["band", "h"]).where("label != c.label").select(*_ordered("key", "c.key"))
-            else:
-                pairs = _remaining(now, centre, sets, similarity)
-            pairs = pairs.distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        found = written(_links(pairs, sets), "compared")
-        compared = found if compared is None else written(compared.union(found), "compared")
-        labels = components(compared.where(F.col("j") >= similarity))
+    centre = members.groupBy("band", "h").agg(F.max(F.struct("degree", "key")).alias("c"))
+    pairs = members.join(centre, ["band", "h"]).where("key != c.key").select(*_ordered("key", "c.key")).distinct()
+    compared = written(_links(pairs, sets), "compared")
+    labels = components(compared.where(F.col("j") >= similarity))
+    pairs = _remaining(*_open_buckets(members, labels), sets, similarity).distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    more = written(_links(pairs, sets).where(F.col("j") >= similarity), "more")
+    if not more.isEmpty():
+        labels = components(compared.where(F.col("j") >= similarity).union(more))
 
     named = signed.join(labels, F.col("n_key") == F.col("c_key"), "left").select("n_id", "n_text", F.coalesce("c_label", "n_key").alias("g"))
     named = written(named, "named")
@@ -192,7 +181,8 @@ def _remaining(now: DataFrame, centre: DataFrame, sets: DataFrame, similarity: f
 
     Buckets of at most SMALL members: all pairs of different groups. Larger ones: sets a and b of similarity s share at least
     s / (1 + s) * (|a| + |b|) shingles, hence one of the first |a| - s |a| + 1 of a in any order that both follow, and enough of them can still follow the first
-    that they share. The order puts the shingles first that the bucket's centre lacks, so that few members meet at each. |b| is at least
+    that they share. The order puts the shingles first that the bucket's centre lacks, the rarest among the centre's members foremost, so that
+    few members meet at each: what one member holds alone fills its prefix, and meets nobody. |b| is at least
     s |a|, and at least the next size that occurs at all (in steps of SIZE_STEPS to the power e), which shortens what is dealt. Members of a
     shingle's foremost group meet only those of other groups.
     """
@@ -208,8 +198,17 @@ def _remaining(now: DataFrame, centre: DataFrame, sets: DataFrame, similarity: f
     needed = F.ceil((F.col("size") + least) * (similarity / (1 + similarity)) - 1e-6).cast("int")
     large = large.join(occurring, F.col("c_key") == F.col("o_key")).select("c_key", "key", "label", "degree", "size", (F.col("size") - needed + 1).alias("n_first"))
     both = large.join(sets.select(F.col("s_key").alias("key"), F.col("s_set").alias("sk")), "key").join(sets.select(F.col("s_key").alias("c_key"), F.col("s_set").alias("sc")), "c_key")
-    first = F.slice(F.concat(F.array_except("sk", "sc"), F.array_intersect("sk", "sc")), F.lit(1), F.col("n_first"))
-    entries = written(both.select("c_key", "key", "label", "degree", "size", F.posexplode(first).alias("at", "x")), "entries")
+    first = F.slice(F.array_intersect("sk", "sc"), F.lit(1), F.col("n_first"))
+    both = written(both.select("c_key", "key", "label", "degree", "size", "n_first", F.array_except("sk", "sc").alias("own"), first.alias("common")), "large")
+    held = both.select("c_key", "key", F.explode("own").alias("x"))
+    often = written(held.groupBy("c_key", "x").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
+    ranked = held.join(often, ["c_key", "x"]).groupBy(F.col("c_key").alias("r_c"), F.col("key").alias("r_key")).agg(F.sort_array(F.collect_list(F.struct("often", "x"))).alias("ranked"))
+    both = both.join(ranked, (F.col("c_key") == F.col("r_c")) & (F.col("key") == F.col("r_key")), "left").withColumn("shared", F.coalesce(F.col("ranked.x"), F.array().cast("array<long>")))
+    alone = F.size("own") - F.size("shared")  # those come first in the order, and meet nobody
+    both = both.withColumn("alone", alone).where("alone < n_first")
+    meeting = F.slice(F.concat("shared", "common"), F.lit(1), F.col("n_first") - F.col("alone"))
+    entries = both.select("c_key", "key", "label", "degree", "size", "alone", F.posexplode(meeting).alias("k", "x"))
+    entries = written(entries.withColumn("at", F.col("alone") + F.col("k")).drop("alone", "k"), "entries")
     groups = entries.groupBy("c_key", "x").agg(F.max(F.struct("degree", "key", "label")).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("c_key", "x", F.col("m.label").alias("foremost"))
     outer = entries.join(groups, ["c_key", "x"]).where("label != foremost").select("c_key", "x", "key", "label", "size", "at")
     inner = entries.select("c_key", "x", F.col("key").alias("key2"), F.col("label").alias("label2"), F.col("size").alias("size2"), F.col("at").alias("at2"))

@@ -419,6 +419,19 @@ def test_remaining_pairs_of_a_large_bucket_lose_no_link(spark):
     assert linked and linked <= found
 
 
+def test_large_group_of_copies_that_differ_makes_few_candidates(spark):
+    rng = random.Random(12)
+    centre = list(range(200))
+    rows = []
+    for i in range(400):  # each 0.67 like the centre, and less like each other: no pair is linked
+        own = [1000 + rng.randrange(40 * 1000) for _ in range(40)]
+        rows.append((b"k%03d" % i, sorted(set(rng.sample(centre, 160) + own))))
+    now = spark.createDataFrame([(0, 1, k, 1, k) for k, _ in rows] + [(0, 1, b"c", 9, b"c")], "band int, h long, key binary, degree int, label binary")
+    middle = spark.createDataFrame([(0, 1, len(rows) + 1, b"c", b"c")], "band int, h long, n int, c_key binary, c_label binary")
+    sets = spark.createDataFrame([(k, v, len(v)) for k, v in [*rows, (b"c", centre)]], "s_key binary, s_set array<long>, s_size int")
+    assert near_dedup._remaining(now, middle, sets, 0.8).count() <= 2 * len(rows)  # all pairs: 79,800
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(10)
     a = rng.integers(1 << 62, size=400).astype(np.uint64)
