@@ -3,16 +3,21 @@
 The lexer looks at every assignment operator of a text (source code, INI, YAML, JSON, .env, keyword arguments), reads the
 name to its left and the expression to its right, and keeps name-literal pairs. Constants propagate: where the right side names
 another constant (``password = PREFIX + "x"``, ``${DB_PASS}``), its literals count for the sensitive target too. A literal is
-scored by how sensitive its target's name is and by how much it looks like a generated or chosen secret.
+scored by how sensitive its target's name is and by how much it looks like a generated or chosen secret. Values may stand in brackets (lists,
+tuples), on the line after an open bracket or a YAML block mark, and as defaults of look-ups (``getenv("X", "default")``).
+
+The work grows in proportion to the text: unquoted values of a run without blanks reach to its end for the run's first operator, and to the next operator for
+those behind it; each definition is followed once, from the most sensitive name that reaches it.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,10 +40,15 @@ PAIRS = {("api", "key"): 1.0, ("access", "key"): 0.9, ("private", "key"): 1.0, (
 ABOUT = {"file", "path", "url", "uri", "name", "id", "count", "len", "length", "type", "field", "label", "expiry", "expires", "ttl", "limit", "max", "min", "size", "hint", "policy", "regex", "pattern", "placeholder", "reset", "prompt", "index"}
 PLACEHOLDER = re.compile(r"(?i)^(change_?me|example|sample|dummy|test|none|null|nil|true|false|undefined|string|str|int|redacted|password|secret|token|x+|\*+|\.+|-+|0+|todo|tbd|your[_ -].*|<.*>|\[.*\]|\{.*\})$")
 LOOKUPS = {"getenv", "environ", "env", "get", "config", "input", "getpass", "prompt", "require", "import", "open", "read"}
+#: Pairs of adjoining words written as one, and the words of names that the scores don't list in the plural.
+JOINED = {a + b: s for (a, b), s in PAIRS.items()}
 
 OPERATOR = re.compile(r"[:=]")
 STRING = re.compile(r"\"\"\"(.*?)\"\"\"|'''(.*?)'''|\"((?:\\.|[^\"\\\n])*)\"|'((?:\\.|[^'\\\n])*)'|`((?:\\.|[^`\\\n])*)`", re.DOTALL)
-BARE = re.compile(r"[^\s,;'\"`(){}\[\]<>#]+")
+BARE = re.compile(r"[^\s,;'\"`(){}\[\]<>#&|]+")
+BLOCK = re.compile(r"[ \t]*[|>][+-]?[ \t]*\r?\n[ \t]+")
+LINE = re.compile(r"[^\r\n]*[^\s]")
+BLANKS, ANY_BLANKS = re.compile(r"[ \t]*"), re.compile(r"\s*")
 IDENT = re.compile(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_]\w*)*")
 HOLE = re.compile(r"\$\{(\w+)\}|\$(\w+)|%(\w+)%|\{(\w+)\}")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -55,10 +65,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def word_score(word: str) -> float:
+    """Of one word of a name, in the singular or plural, or of two words written as one."""
+    return max(WORDS.get(word, 0.0), JOINED.get(word, 0.0), word_score(word[:-1]) if word.endswith("s") and len(word) > 3 else 0.0)
+
+
 def name_score(name: str) -> float:
     """0 to 1: how sensitive a target name is."""
     words = [w.lower() for w in PARTS.findall(name)]
-    best = max([WORDS.get(w, 0.0) for w in words] + [PAIRS.get(p, 0.0) for p in zip(words, words[1:], strict=False)], default=0.0)
+    pairs_of = ((a, b.removesuffix("s")) for a, b in zip(words, words[1:], strict=False))
+    best = max([word_score(w) for w in words] + [PAIRS.get(p, 0.0) for p in pairs_of], default=0.0)
     return best * (0.2 if words and words[-1] in ABOUT else 1.0)
 
 
@@ -86,36 +102,96 @@ def _name_before(text: str, at: int) -> tuple[str, int]:
     return text[s:e].strip(".-"), s
 
 
-def _terms(text: str, at: int) -> list[tuple[str, int, int, str]]:
-    """The right side from position at: (what: lit, bare or ref; start; end; value), joined by + or by standing side by side."""
-    terms: list[tuple[str, int, int, str]] = []
-    n = len(text)
+class Runs:
+    """Where unquoted values end. Positions must be asked for in ascending order of their operators."""
+
+    def __init__(self, text: str, operators: list[int]):
+        self.text, self.operators, self.end = text, operators, 0
+
+    def value(self, at: int, operator: int) -> tuple[int, int] | None:
+        """The unquoted value from at: to the end of its run for the run's first operator, to the next operator for others."""
+        if at < self.end and operator < self.end:
+            k = bisect_left(self.operators, at)
+            to = min(self.end, self.operators[k] if k < len(self.operators) else self.end)
+            return (at, to) if to > at else None
+        m = BARE.match(self.text, at)
+        if m is None:
+            return None
+        self.end = max(self.end, m.end())
+        return at, m.end()
+
+
+Term = tuple[str, int, int, str]
+
+
+def _string(m: re.Match) -> Term:
+    g = m.lastindex or 3
+    return "lit", m.start(g), m.end(g), m[g]
+
+
+def _listed(text: str, at: int) -> list[Term]:
+    """Literals of a list or tuple whose bracket was before position at, until it closes, nests or assigns."""
+    terms: list[Term] = []
     while True:
-        while at < n and text[at] in " \t(":
+        at = ANY_BLANKS.match(text, at).end()
+        if at < len(text) and text[at] == ",":
             at += 1
+        elif m := STRING.match(text, at):
+            terms.append(_string(m))
+            at = m.end()
+        elif (m := BARE.match(text, at)) and not OPERATOR.search(m[0]):
+            terms.append(("bare", m.start(), m.end(), m[0]))
+            at = m.end()
+        else:  # a literal that an operator follows is a key, not an element
+            return terms[:-1] if terms and at < len(text) and text[at] in ":=" else terms
+
+
+def _default(text: str, at: int) -> list[Term]:
+    """The default of a look-up whose bracket was before position at: a literal behind its first argument."""
+    m = STRING.match(text, ANY_BLANKS.match(text, at).end()) or IDENT.match(text, ANY_BLANKS.match(text, at).end())
+    at = ANY_BLANKS.match(text, m.end() if m else at).end()
+    if m and at < len(text) and text[at] == "," and (found := STRING.match(text, ANY_BLANKS.match(text, at + 1).end())):
+        return [_string(found)]
+    return []
+
+
+def _terms(text: str, operator: int, at: int, runs: Runs) -> list[Term]:
+    """The right side from position at: (what: lit, bare or ref; start; end; value), joined by + or by standing side by side."""
+    terms: list[Term] = []
+    n, blanks = len(text), BLANKS
+    if text[operator] == ":" and (m := BLOCK.match(text, at)):
+        return [("bare", line.start(), line.end(), line[0])] if (line := LINE.match(text, m.end())) else []
+    while True:
+        at = blanks.match(text, at).end()
+        while at < n and text[at] == "(":
+            blanks = ANY_BLANKS
+            at = blanks.match(text, at + 1).end()
+        if at < n and text[at] in "[{" and not terms:
+            return _listed(text, at + 1)
         if m := STRING.match(text, at):
-            g = m.lastindex or 3
-            terms.append(("lit", m.start(g), m.end(g), m[g]))
+            terms.append(_string(m))
             at = m.end()
+            if blanks is ANY_BLANKS and not terms[1:] and text[(k := ANY_BLANKS.match(text, at).end()) : k + 1] == ",":
+                return terms + _listed(text, k + 1)
         elif m := IDENT.match(text, at):
             if m.end() < n and text[m.end()] in "\"'" and len(m[0]) <= 2:  # prefixes of strings: b"", f"", rb""
                 at = m.end()
                 continue
             if m.end() < n and text[m.end()] == "(":
                 if m[0].rpartition(".")[2].lower() in LOOKUPS:
-                    return terms
-                at = m.end() + 1
+                    return terms + _default(text, m.end() + 1)
+                at, blanks = m.end() + 1, ANY_BLANKS
                 continue
-            b = BARE.match(text, at)
-            if b and b.end() > m.end() and text[m.end()] != "+":
-                terms.append(("bare", b.start(), b.end(), b[0]))
-                at = b.end()
+            b = runs.value(at, operator)
+            if b and b[1] > m.end() and text[m.end()] != "+":
+                terms.append(("bare", *b, text[b[0] : b[1]]))
+                at = b[1]
             else:
                 terms.append(("ref", m.start(), m.end(), m[0]))
                 at = m.end()
-        elif m := BARE.match(text, at):
-            terms.append(("bare", m.start(), m.end(), m[0]))
-            at = m.end()
+        elif b := runs.value(at, operator):
+            terms.append(("bare", *b, text[b[0] : b[1]]))
+            at = b[1]
         else:
             return terms
         e = at
@@ -125,6 +201,8 @@ def _terms(text: str, at: int) -> list[tuple[str, int, int, str]]:
             at = e + 1
         elif e < n and text[e] in "\"'" and terms[-1][0] == "lit":
             at = e
+        elif blanks is ANY_BLANKS and terms[-1][0] == "lit" and (k := ANY_BLANKS.match(text, at).end()) < n and text[k] in "\"'":
+            at = k
         else:
             return terms
 
@@ -132,8 +210,10 @@ def _terms(text: str, at: int) -> list[tuple[str, int, int, str]]:
 def pairs(text: str) -> list[tuple[str, list[tuple[str, int, int, str]]]]:
     """Name-literal pairs of a text in order: the target name, and the terms assigned to it."""
     found = []
-    for m in OPERATOR.finditer(text):
-        at, end = m.start(), m.end()
+    operators = [m.start() for m in OPERATOR.finditer(text)]
+    runs = Runs(text, operators)
+    for at in operators:
+        end = at + 1
         if end < len(text) and text[end] in "=>:":  # ==, =>, ::, := and their like
             if text[end] == ">":
                 end += 1
@@ -151,7 +231,7 @@ def pairs(text: str) -> list[tuple[str, list[tuple[str, int, int, str]]]]:
             back -= 1
         if text[at] == "=" and back and text[back - 1] == ":":  # an annotation: password: str = "..."
             names.append(_name_before(text, back - 1)[0])
-        if terms := _terms(text, end):
+        if terms := _terms(text, at, end, runs):
             found += [(x, terms) for x in names if x]
     return found
 
@@ -169,8 +249,9 @@ def literal_spans(text: str) -> list[tuple[int, int]]:
         known.setdefault(name, []).append(i)
     spans: dict[tuple[int, int], float] = {}
 
-    def follow(i: int, score: float, seen: set[int]) -> None:
-        todo = [i]
+    seen: set[int] = set()
+    for score, first in sorted(targets, reverse=True):  # the most sensitive first: a definition's first visit counts
+        todo = [first]
         while todo:
             i = todo.pop()
             if i in seen:
@@ -180,7 +261,7 @@ def literal_spans(text: str) -> list[tuple[int, int]]:
                 refs = [next(filter(None, h)) for h in HOLE.findall(value)] if what != "ref" else [value]
                 for ref in refs:  # the last definition before this use, else the first one
                     if places := known.get(ref):
-                        todo.append(max((p for p in places if p < i), default=places[0]))
+                        todo.append(places[max(0, bisect_left(places, i) - 1)])
                 if what == "ref" or refs and what != "lit":
                     continue
                 worth = score * literal_score(value)
@@ -188,9 +269,6 @@ def literal_spans(text: str) -> list[tuple[int, int]]:
                     worth = 0.0
                 if worth >= THRESHOLD:
                     spans[start, end] = max(worth, spans.get((start, end), 0.0))
-
-    for score, i in targets:
-        follow(i, score, set())
     return sorted(spans)
 
 
@@ -200,13 +278,15 @@ def scan(text: str | None) -> tuple[list[int], str, str]:
     counts = [sum(k == i for *_, k in base) for i in range(3)]
     every = base
     if more := literal_spans(text or ""):
-        every = sorted(base + [(s, e, 3) for s, e in more if not any(a <= s and e <= b for a, b, _ in base)])
+        starts, ends = [a for a, *_ in base], list(accumulate((b for _, b, _ in base), max))
+        covered = lambda s, e: (k := bisect_right(starts, s)) > 0 and ends[k - 1] >= e
+        every = sorted(base + [(s, e, 3) for s, e in more if not covered(s, e)])
     show = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in spans)
     return counts, show(base), show(every)
 
 
 def secret_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds n_assign, n_access, n_hex (long; base patterns only), base_spans and spans (string) to every row.
+    """Adds n_assign, n_access, n_hex (long; base patterns only), base_spans and spans (string; with literals tied to sensitive names) to every row.
 
     Null and empty texts: counts 0 and empty strings. Long texts are scanned whole. Repeated rows: each is scanned. Spans that
     tie on their start come in the order of KINDS. Other columns pass through; input columns of the five names are replaced.
@@ -229,9 +309,3 @@ def secret_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def digests(found: DataFrame) -> DataFrame:
     """The columns that the query returns."""
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
-
-
-def brute_digest(text: str | None) -> tuple[int, int, int, str]:
-    """For tests: the base part for one text."""
-    counts, base, _ = scan(text)
-    return (*counts, hashlib.sha256(base.encode()).hexdigest())
