@@ -1,28 +1,34 @@
 """SentencePiece encoding and decoding through a table of distinct chunks.
 
 Where no piece of a model crosses a whitespace marker (a piece has markers at its start only), a text's ids are the ids of its
-chunks, one after the other: a chunk is a run of markers with the word behind it. Each task keeps a table from chunk to
-ids, segments a chunk the first time that it meets it, and joins ids back by position. The table belongs to the task: to deal
-every word of the corpus by chunk and back by position would shuffle many times the text.
+chunks, one after the other: a chunk is a run of markers with the word behind it. Each distinct chunk of the corpus is segmented once, and its ids are
+joined back by position. Frequent chunks (those that some task meets twice, at most HEAD of them) form a table that is broadcast; the others
+are dealt by chunk, segmented, and dealt back by a hash of the text that they stand in. A hash that two texts share does no harm: what comes back
+is a table from chunk to ids, of which each text takes what its own chunks ask for.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import uuid
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, plus, without
+from .common import bounded, plus, without, written
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-#: Chunks that a task's table holds at most before it starts anew; bounds memory, not results.
-TABLE = 150_000
+#: Chunks that are broadcast at most, and their characters: about 25 MB. The others are joined by shuffles.
+HEAD, HEAD_CHARS = 600_000, 16_000_000
+#: Chunks and characters that a task counts before it reports those met twice and starts anew; bounds memory, not results.
+COUNTED, COUNTED_CHARS = 1_000_000, 64_000_000
 
 
 @lru_cache(maxsize=2)
@@ -49,23 +55,23 @@ def chunks(text: str) -> list[str]:
     return [c[1:] for c in CHUNK.findall(marked)] if MARK * 2 in marked or marked[-1] == MARK else marked[1:].split(MARK)
 
 
-class ChunkTable:
-    """From chunk to its ids as bytes (32-bit, little-endian)."""
+def segmenter(path: str) -> Callable[[list[str]], list[bytes]]:
+    """What encodes chunks, each to its ids as bytes (32-bit, little-endian)."""
+    sp = processor(path)
+    mark = np.array([sp.piece_to_id(MARK)], "<i4").tobytes()
+    return lambda keys: [np.array(ids, "<i4").tobytes() if k else mark for k, ids in zip(keys, sp.encode(keys, num_threads=1), strict=True)]
+
+
+_HEADS: dict[str, dict[str, bytes]] = {}
 
-    def __init__(self, path: str):
-        self.sp, self.ids = processor(path), {}
-        self.mark = np.array([self.sp.piece_to_id(MARK)], "<i4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        keys = chunks(text)
-        if len(self.ids) > TABLE:
-            self.ids = {}
-        if new := [k for k in set(keys) if k not in self.ids]:
-            for k, ids in zip(new, self.sp.encode(new, num_threads=1), strict=True):
-                self.ids[k] = np.array(ids, "<i4").tobytes()
-            if "" in new:
-                self.ids[""] = self.mark
-        return b"".join(map(self.ids.__getitem__, keys))
+def head_table(name: str, packed: bytes) -> dict[str, bytes]:
+    """The broadcast table, built once for all tasks of a worker process."""
+    if name not in _HEADS:
+        _HEADS.clear()
+        with pa.ipc.open_stream(packed) as reader:
+            _HEADS[name] = {k: v for batch in reader for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)}
+    return _HEADS[name]
 
 
 def list_array(parts: list[bytes]) -> pa.Array:
@@ -82,27 +88,132 @@ def few(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
         yield batch.slice(k, rows)
 
 
-def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
-    """Adds ids (array<int>): each whole text as the library encodes it, without begin and end ids.
-
-    Null and empty texts have no ids. A model whose pieces may cross marks is run on whole texts. Repeated rows are encoded
-    each; long texts are not cut. Other columns pass through; an input column ids is replaced. An empty table
-    gives an empty table.
-    """
-    kept = without(docs, ["ids"] if text_col != "ids" else [])
+def frequent_chunks(texts: DataFrame, path: str) -> DataFrame:
+    """(w, x): at most HEAD chunks of at most HEAD_CHARS characters, the most frequent ones of those that a task meets twice, with their ids."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[str] = Counter()
+        chars = 0
+
+        def met_twice() -> pa.RecordBatch:
+            often = [(w, n) for w, n in found.items() if n > 1]
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], names=["w", "n"])
+
+        for batch in batches:
+            for t in batch.column(0):
+                text = t.as_py() or ""
+                found.update(chunks(text))
+                chars += len(text)
+                if len(found) > COUNTED or chars > COUNTED_CHARS:
+                    yield met_twice()
+                    found.clear()
+                    chars = 0
+        yield met_twice()
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment = segmenter(path)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(segment(batch.column(0).to_pylist()), pa.binary())], names=["w", "x"])
+
+    counted = written(bounded(texts).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "counted", "zstd")
+    least = 1
+    while True:
+        held = counted.where(F.col("n") > least)
+        n, chars = held.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("w")), F.lit(0))).first()
+        if n <= HEAD and chars <= HEAD_CHARS:
+            return held.select("w").mapInArrow(encoded, "w string, x binary")
+        least *= 2
+
+
+def _by_chunk(kept: DataFrame, path: str, text_col: str, shown: list[str]) -> DataFrame:
+    """The columns shown and ids, by the table of distinct chunks."""
+    spark, text = kept.sparkSession, F.col(f"`{text_col}`")
+    head = frequent_chunks(kept.select(text), path).toArrow()  # of bounded size
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, head.schema) as writer:
+        writer.write_table(head)
+    shared, name = spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = head_table(name, shared.value).keys()
+        for big in batches:
+            for batch in few(big):
+                found = [(h, list(set(chunks(t)).difference(known)) if t else []) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([h for h, _ in found], [len(x) for _, x in found]).astype("i8")), pa.array([w for _, x in found for w in x], pa.string())], names=["h", "w"])
+
+    def segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment, last, ids = segmenter(path), None, b""
+        for batch in batches:  # in the order of w
+            words = batch.column(1).to_pylist()
+            new = list(dict.fromkeys(w for w in words if w != last))
+            table = dict(zip(new, segment(new), strict=True))
+            if words[:1] == [last]:
+                table[last] = ids
+            if words:
+                last, ids = words[-1], table[words[-1]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([table[w] for w in words], pa.binary())], names=["h", "w", "x"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            z = pa.array([pack(t.as_py().encode()) if t.is_valid else None for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), z, batch.column(2)], names=["h", "z", "own"])
+
+    def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack, table = zstandard.ZstdDecompressor().decompress, head_table(name, shared.value)
+        for big in batches:
+            for batch in few(big, 64):
+                texts, out = [None if z is None else unpack(z).decode() for z in batch.column(1).to_pylist()], []
+                for t, more in zip(texts, batch.column(3), strict=True):
+                    own = dict(zip(more.values.field(0).to_pylist(), more.values.field(1).to_pylist(), strict=True)) if more.is_valid else {}
+                    out.append(b"".join([own[k] if k in own else table[k] for k in chunks(t)]) if t else b"")
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(texts if text_col in shown else [None] * len(out), pa.string()), list_array(out)], names=["h", "own", "t", "ids"])
+
+    hashed = F.xxhash64(text).alias("h")
+    rare = bounded(kept.select(hashed, text.alias("t"))).mapInArrow(others, "h long, w string")
+    dealt = bounded(rare.repartition("w").sortWithinPartitions("w")).mapInArrow(segmented, "h long, w string, x binary")
+    back = dealt.groupBy(F.col("h").alias("b_h")).agg(F.collect_set(F.struct("w", "x")).alias("more"))
+    rest = [c for c in shown if c != text_col]
+    rows = kept.select(hashed, text.alias("t"), F.struct(F.lit(0).alias("quillstone_row"), *[F.col(f"`{c}`") for c in rest]).alias("own"))
+    own = rows.schema["own"]
+    zipped = bounded(rows).mapInArrow(packed, T.StructType([rows.schema["h"], T.StructField("z", T.BinaryType()), own]))
+    joined = zipped.join(back, F.col("h") == F.col("b_h"), "left").select("h", "z", "own", "more")
+    done = bounded(joined).mapInArrow(assembled, T.StructType([rows.schema["h"], own, T.StructField("t", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return done.select(*[F.col("t").alias(c) if c == text_col else F.col("own").getField(c).alias(c) for c in shown], "ids")
+
+
+def _whole(kept: DataFrame, path: str, text_col: str) -> DataFrame:
+    """All columns and ids, text by text."""
     place = kept.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, alone = ChunkTable(model_path), splits_at_marks(model_path)
-        one = table.encode if alone else lambda t: np.array(table.sp.encode(t, num_threads=1), "<i4").tobytes()
+        sp = processor(path)
         for big in batches:
             for batch in few(big):
-                ids = list_array([one(t.as_py() or "") for t in batch.column(place)])
+                ids = list_array([np.array(sp.encode(t.as_py() or "", num_threads=1), "<i4").tobytes() for t in batch.column(place)])
                 yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
 
     return bounded(kept).mapInArrow(run, plus(kept, ("ids", "array<int>")))
 
 
+def encode(docs: DataFrame, model_path: str, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """Adds ids (array<int>): each whole text as the library encodes it, without begin and end ids.
+
+    Null and empty texts have no ids. A model whose pieces may cross marks is run on whole texts. Repeated rows are encoded
+    each; long texts are not cut. Other columns pass through (the text itself only with keep_text); an input column ids is replaced. An empty table
+    gives an empty table.
+    """
+    kept = without(docs, ["ids"] if text_col != "ids" else [])
+    shown = [c for c in kept.columns if keep_text or c != text_col]
+    if not splits_at_marks(model_path):
+        return _whole(kept, model_path, text_col).select(*[F.col(f"`{c}`") for c in shown], "ids")
+    return _by_chunk(kept, model_path, text_col, shown)
+
+
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
     """Adds decoded (string): the text that the library gives for each row's ids; null and empty ids give an empty text.
 
@@ -123,5 +234,5 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFra
 
 def digests(docs: DataFrame, model_path: str) -> DataFrame:
     """The columns that the query returns."""
-    both = decode(encode(docs.select("doc_id", "text"), model_path).select("doc_id", "ids"), model_path)
+    both = decode(encode(docs.select("doc_id", "text"), model_path, keep_text=False), model_path)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -221,11 +221,16 @@ def odd_texts(n=300):
     return ODD + ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 25))) for _ in range(n)]
 
 
-def test_chunk_table_equals_library():
+@pytest.mark.parametrize("head, counted", [(600_000, 1_000_000), (5, 1_000_000), (0, 40)])
+def test_chunk_table_equals_library(spark, monkeypatch, head, counted):
+    monkeypatch.setattr(pieces, "HEAD", head)
+    monkeypatch.setattr(pieces, "COUNTED", counted)
     path = tokenizer_path("piece_bpe_32k.model")
-    table = pieces.ChunkTable(path)
-    for t in odd_texts():
-        assert np.frombuffer(table.encode(t or ""), "<i4").tolist() == table.sp.encode(t or "")
+    sp, texts = pieces.processor(path), odd_texts() * 2  # each row repeats
+    rows = docs(spark, texts).repartition(5)
+    out = pieces.encode(clashing(rows, "h", "z", "own", "w"), path).collect()
+    assert len(out) == len(texts)
+    assert all(r.ids == sp.encode(texts[r.doc_id] or "") and r.text == texts[r.doc_id] and r.own == "own" for r in out)
 
 
 @pytest.mark.parametrize("name, head", [("word_bpe_49k.json", None), ("word_bpe_49k.json", 5), ("byte_bpe_50k.json", None), ("piece_bpe_32k.model", None), ("piece_bpe_32k.model", 5)])
