@@ -74,6 +74,20 @@ def head_table(name: str, packed: bytes) -> dict[str, bytes]:
     return _HEADS[name]
 
 
+def entry(chunk: str, ids: bytes) -> bytes:
+    """A chunk and its ids as one value: the number of ids, they (16 bits each where they all fit), and the chunk."""
+    x = np.frombuffer(ids, "<i4")
+    small = not len(x) or x.max() < 1 << 16
+    return (2 * len(x) + (not small)).to_bytes(4, "little") + (x.astype("<u2").tobytes() if small else ids) + chunk.encode()
+
+
+def chunk_of(packed: bytes) -> tuple[str, bytes]:
+    """The chunk and the ids (32 bits each) of an entry."""
+    n, wide = divmod(int.from_bytes(packed[:4], "little"), 2)
+    end = 4 + n * (4 if wide else 2)
+    return packed[end:].decode(), packed[4:end] if wide else np.frombuffer(packed[4:end], "<u2").astype("<i4").tobytes()
+
+
 def list_array(parts: list[bytes]) -> pa.Array:
     """An array of lists of 32-bit integers from their bytes."""
     offsets = np.zeros(len(parts) + 1, "<i4")
@@ -135,7 +149,7 @@ def _by_chunk(kept: DataFrame, path: str, text_col: str, shown: list[str]) -> Da
     shared, name = spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = head_table(name, shared.value).keys()
+        known = head_table(name, shared.value)
         for big in batches:
             for batch in few(big):
                 found = [(h, list(set(chunks(t)).difference(known)) if t else []) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
@@ -151,12 +165,12 @@ def _by_chunk(kept: DataFrame, path: str, text_col: str, shown: list[str]) -> Da
                 table[last] = ids
             if words:
                 last, ids = words[-1], table[words[-1]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([table[w] for w in words], pa.binary())], names=["h", "w", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([entry(w, table[w]) for w in words], pa.binary())], names=["h", "e"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=9).compress
         for batch in batches:
             z = pa.array([pack(t.as_py().encode()) if t.is_valid else None for t in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), z, batch.column(2)], names=["h", "z", "own"])
@@ -169,14 +183,14 @@ def _by_chunk(kept: DataFrame, path: str, text_col: str, shown: list[str]) -> Da
             for batch in few(big, 64):
                 texts, out = [None if z is None else unpack(z).decode() for z in batch.column(1).to_pylist()], []
                 for t, more in zip(texts, batch.column(3), strict=True):
-                    own = dict(zip(more.values.field(0).to_pylist(), more.values.field(1).to_pylist(), strict=True)) if more.is_valid else {}
+                    own = dict(map(chunk_of, more.as_py())) if more.is_valid else {}
                     out.append(b"".join([own[k] if k in own else table[k] for k in chunks(t)]) if t else b"")
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(texts if text_col in shown else [None] * len(out), pa.string()), list_array(out)], names=["h", "own", "t", "ids"])
 
     hashed = F.xxhash64(text).alias("h")
     rare = bounded(kept.select(hashed, text.alias("t"))).mapInArrow(others, "h long, w string")
-    dealt = bounded(rare.repartition("w").sortWithinPartitions("w")).mapInArrow(segmented, "h long, w string, x binary")
-    back = dealt.groupBy(F.col("h").alias("b_h")).agg(F.collect_set(F.struct("w", "x")).alias("more"))
+    dealt = bounded(rare.repartition("w").sortWithinPartitions("w")).mapInArrow(segmented, "h long, e binary")
+    back = dealt.groupBy(F.col("h").alias("b_h")).agg(F.collect_set("e").alias("more"))
     rest = [c for c in shown if c != text_col]
     rows = kept.select(hashed, text.alias("t"), F.struct(F.lit(0).alias("quillstone_row"), *[F.col(f"`{c}`") for c in rest]).alias("own"))
     own = rows.schema["own"]
