@@ -288,7 +288,7 @@ def contacts(s: SparkSession, d: str) -> DataFrame:
 _CONTACTS = """WITH contacts AS (SELECT concat('C', c_custkey) AS contact_id, c_custkey AS k, 'sales' AS side FROM customer WHERE c_custkey % 11 > 0 UNION ALL SELECT concat('S', s_suppkey), s_suppkey, 'purchase' FROM supplier WHERE s_suppkey % 11 > 0)"""
 
 
-@rule("r34_duplicate_contact", None, "contact_id", "partner_id", "similarity", "severity", "is_split")
+@rule("r34_duplicate_contact", None, "contact_id", "partner_id", "similarity", "confidence", "vat_status", "severity", "is_split")
 def r34(s, d):
     return C.duplicate_contacts(contacts(s, d))
 

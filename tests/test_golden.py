@@ -120,6 +120,10 @@ def test_contacts(spark):
     c = spark.createDataFrame([("co", "1", "Acme Ltd", None, True, False, False), ("co", "2", "ACME Limited", None, True, False, False), ("co", "3", "Acme", "GB1", True, False, True), ("co", "4", None, None, True, True, False)], "company_id string, contact_id string, name string, vat string, is_customer boolean, is_supplier boolean, is_archived boolean")
     out = contact_rules.duplicate_contacts(c).collect()
     assert {(r.contact_id, r.partner_id, r.severity) for r in out} == {("1", "2", "high"), ("2", "1", "high")}
+    vats = spark.createDataFrame([("co", "1", "Basket Case", "GB1", True, False, False), ("co", "2", "Basket Cased", "GB2", True, False, False), ("co", "3", "Riverside Bakery", "GB3", True, False, False), ("co", "4", "Riverdale Bakers", "gb3", True, False, False)], c.schema)
+    out = contact_rules.duplicate_contacts(vats).collect()
+    assert {(r.contact_id, r.vat_status, r.severity) for r in out if r.contact_id in "12"} == {("1", "mismatch", "low"), ("2", "mismatch", "low")}
+    assert [r.confidence for r in out] == sorted((r.confidence for r in out), reverse=True)
 
 
 def _duplicates_by_brute_force(contacts):
@@ -133,15 +137,16 @@ def _duplicates_by_brute_force(contacts):
     for (i, a, v, ac, asu), (j, b, w, bc, bs) in itertools.permutations(live, 2):
         if grams(a) & grams(b):
             raw = 0.85 * similarity.ratio(core(a), core(b)) + 0.15 * similarity.ratio(a, b)
-            sim = raw if not (v and w) else min(raw + 0.1, 1.0) if v == w else raw * 0.4
+            vat = "unknown" if not (v and w) else "match" if v == w else "mismatch"
+            conf = {"unknown": raw, "match": min(raw + 0.1, 1.0), "mismatch": raw * 0.4}[vat]
             split = (ac and not asu and bs and not bc) or (asu and not ac and bc and not bs)
-            if sim >= 0.7:
-                found.add((i, j, float(Decimal(str(sim)).quantize(Decimal("0.0001"), ROUND_HALF_UP)), "low" if split else "high" if sim >= 0.9 else "medium", split))
+            if raw >= 0.7:
+                found.add((i, j, *(float(Decimal(str(x)).quantize(Decimal("0.0001"), ROUND_HALF_UP)) for x in (raw, conf)), vat, "low" if split or vat == "mismatch" else "high" if conf >= 0.85 else "medium", split))
     return found
 
 
 def _shown_duplicates(df):
-    rows = [(r.contact_id, r.partner_id, round(r.similarity, 4), r.severity, r.is_split) for r in df.collect()]
+    rows = [(r.contact_id, r.partner_id, round(r.similarity, 4), round(r.confidence, 4), r.vat_status, r.severity, r.is_split) for r in df.collect()]
     assert len(rows) == len(set(rows))
     return set(rows)
 
