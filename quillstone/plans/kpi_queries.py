@@ -206,7 +206,7 @@ def k13t(s, d):
 # --- verdicts --------------------------------------------------------------------
 
 _RULES = (("missing_tax", 5), ("duplicate_bill", 3), ("future_dated", 7))
-_VERDICTS = "v AS (SELECT seq, concat('co', seq % 4) AS company_id, transaction_id AS document_id, type, contact_id, amount, amount_due, date AS ran_at, list_filter([" + ", ".join(f"CASE WHEN seq % {k} = 0 THEN '{r}' END" for r, k in _RULES) + "], lambda x: x IS NOT NULL) AS rule_ids, seq % 13 = 0 AS resolved, seq % 17 = 0 AS dismissed, seq % 19 = 0 AS marked_ok, seq % 23 = 0 AS auto_cleared, CASE WHEN seq % 29 = 0 THEN date + 900 END AS snoozed_until FROM docs)"
+_VERDICTS = "v AS MATERIALIZED (SELECT seq, concat('co', seq % 4) AS company_id, transaction_id AS document_id, type, contact_id, amount, amount_due, date AS ran_at, list_filter([" + ", ".join(f"CASE WHEN seq % {k} = 0 THEN '{r}' END" for r, k in _RULES) + "], lambda x: x IS NOT NULL) AS rule_ids, seq % 13 = 0 AS resolved, seq % 17 = 0 AS dismissed, seq % 19 = 0 AS marked_ok, seq % 23 = 0 AS auto_cleared, CASE WHEN seq % 29 = 0 THEN date + 900 END AS snoozed_until FROM docs)"
 _OPEN = "NOT resolved AND NOT dismissed AND NOT marked_ok AND NOT auto_cleared"
 _AWAKE = _OPEN + " AND (snoozed_until IS NULL OR snoozed_until <= DATE '2001-12-31')"
 
@@ -281,7 +281,7 @@ def k22(s, d):
     return S.report(v, flags).withColumn("action", F.coalesce("action", F.lit("")))
 
 
-_OLD = "old AS (SELECT * FROM v WHERE seq % 5 < 4), new AS (SELECT company_id, document_id, ['old_unpaid_bill', 'missing_tax'] AS n_ids FROM v WHERE seq % 3 = 0)"
+_OLD = "old AS MATERIALIZED (SELECT * FROM v WHERE seq % 5 < 4), new AS MATERIALIZED (SELECT company_id, document_id, ['old_unpaid_bill', 'missing_tax'] AS n_ids FROM v WHERE seq % 3 = 0)"
 
 
 def _runs(s, d):
@@ -290,7 +290,7 @@ def _runs(s, d):
 
 
 def _merge_sql(ids: str) -> str:
-    return f"""WITH {_VERDICTS}, {_OLD}, j AS (SELECT coalesce(old.company_id, new.company_id) AS company_id, coalesce(old.document_id, new.document_id) AS document_id, rule_ids, n_ids, coalesce(resolved, false) AS resolved, coalesce(dismissed, false) AS dismissed, coalesce(marked_ok, false) AS marked_ok, coalesce(auto_cleared, false) AS auto_cleared FROM old FULL JOIN new ON old.company_id = new.company_id AND old.document_id = new.document_id)
+    return f"""WITH {_VERDICTS}, {_OLD}, j AS (SELECT coalesce(old.company_id, new.company_id) AS company_id, coalesce(old.document_id, new.document_id) AS document_id, rule_ids, n_ids, coalesce(resolved, false) AS resolved, coalesce(dismissed, false) AS dismissed, coalesce(marked_ok, false) AS marked_ok, coalesce(auto_cleared, false) AS auto_cleared FROM old FULL JOIN new ON old.document_id = new.document_id)
 SELECT company_id, document_id, array_to_string(CASE WHEN resolved OR dismissed OR marked_ok OR n_ids IS NULL THEN rule_ids ELSE {ids} END, ',') AS rules, resolved, dismissed, marked_ok, CASE WHEN n_ids IS NOT NULL AND NOT (resolved OR dismissed OR marked_ok) THEN false ELSE auto_cleared END AS auto_cleared FROM j"""
 
 
