@@ -29,6 +29,8 @@ CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 HEAD, HEAD_CHARS = 600_000, 16_000_000
 #: Chunks and characters that a task counts before it reports those met twice and starts anew; bounds memory, not results.
 COUNTED, COUNTED_CHARS = 1_000_000, 64_000_000
+#: Bytes of entries that a task gathers by text before it passes them on; frequent chunks that compressed texts refer to.
+GROUPED, SHORTHAND = 16_000_000, 12_000
 
 
 @lru_cache(maxsize=2)
@@ -74,18 +76,32 @@ def head_table(name: str, packed: bytes) -> dict[str, bytes]:
     return _HEADS[name]
 
 
-def entry(chunk: str, ids: bytes) -> bytes:
-    """A chunk and its ids as one value: the number of ids, they (16 bits each where they all fit), and the chunk."""
-    x = np.frombuffer(ids, "<i4")
-    small = not len(x) or x.max() < 1 << 16
-    return (2 * len(x) + (not small)).to_bytes(4, "little") + (x.astype("<u2").tobytes() if small else ids) + chunk.encode()
+def _sized(n: int) -> bytes:
+    return bytes([n]) if n < 255 else b"\xff" + n.to_bytes(4, "little")
 
 
-def chunk_of(packed: bytes) -> tuple[str, bytes]:
-    """The chunk and the ids (32 bits each) of an entry."""
-    n, wide = divmod(int.from_bytes(packed[:4], "little"), 2)
-    end = 4 + n * (4 if wide else 2)
-    return packed[end:].decode(), packed[4:end] if wide else np.frombuffer(packed[4:end], "<u2").astype("<i4").tobytes()
+def entry(chunk: str, ids: bytes) -> bytes:
+    """A chunk and its ids: the size of the ids (16 bits each where they all fit), the size of the chunk, they."""
+    x, w = np.frombuffer(ids, "<i4"), chunk.encode()
+    small = not len(x) or x.max() < 1 << 16
+    return _sized(2 * len(x) + (not small)) + _sized(len(w)) + (x.astype("<u2").tobytes() if small else ids) + w
+
+
+def chunks_of(packed: bytes) -> Iterator[tuple[str, bytes]]:
+    """The chunks of entries that stand one behind another, each with its ids (32 bits each)."""
+    at, size = 0, len(packed)
+    while at < size:
+        sizes = []
+        for _ in range(2):
+            n, at = packed[at], at + 1
+            if n == 255:
+                n, at = int.from_bytes(packed[at : at + 4], "little"), at + 4
+            sizes.append(n)
+        mid = at + (sizes[0] >> 1) * (4 if sizes[0] & 1 else 2)
+        end = mid + sizes[1]
+        ids = packed[at:mid]
+        yield packed[mid:end].decode(), ids if sizes[0] & 1 else np.frombuffer(ids, "<u2").astype("<i4").tobytes()
+        at = end
 
 
 def list_array(parts: list[bytes]) -> pa.Array:
@@ -103,7 +119,7 @@ def few(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_chunks(texts: DataFrame, path: str) -> DataFrame:
-    """(w, x): at most HEAD chunks of at most HEAD_CHARS characters, the most frequent ones of those that a task meets twice, with their ids."""
+    """(w, x, n): at most HEAD chunks of at most HEAD_CHARS characters, the most frequent ones of those that a task meets twice, with their ids and counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[str] = Counter()
@@ -127,7 +143,7 @@ def frequent_chunks(texts: DataFrame, path: str) -> DataFrame:
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment = segmenter(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(segment(batch.column(0).to_pylist()), pa.binary())], names=["w", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(segment(batch.column(0).to_pylist()), pa.binary()), batch.column(1)], names=["w", "x", "n"])
 
     counted = written(bounded(texts).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "counted", "zstd")
     least = 1
@@ -135,18 +151,19 @@ def frequent_chunks(texts: DataFrame, path: str) -> DataFrame:
         held = counted.where(F.col("n") > least)
         n, chars = held.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("w")), F.lit(0))).first()
         if n <= HEAD and chars <= HEAD_CHARS:
-            return held.select("w").mapInArrow(encoded, "w string, x binary")
+            return held.mapInArrow(encoded, "w string, x binary, n long")
         least *= 2
 
 
 def _by_chunk(kept: DataFrame, path: str, text_col: str, shown: list[str]) -> DataFrame:
     """The columns shown and ids, by the table of distinct chunks."""
     spark, text = kept.sparkSession, F.col(f"`{text_col}`")
-    head = frequent_chunks(kept.select(text), path).toArrow()  # of bounded size
+    head = frequent_chunks(kept.select(text), path).toArrow().sort_by([("n", "descending"), ("w", "ascending")]).select(["w", "x"])  # of bounded size
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, head.schema) as writer:
         writer.write_table(head)
-    shared, name = spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex
+    often = " ".join(head.column(0).slice(0, SHORTHAND).to_pylist()).encode()  # what compressed texts refer to
+    shared, short, name = spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), spark.sparkContext.broadcast(often), uuid.uuid4().hex
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = head_table(name, shared.value)
@@ -156,21 +173,35 @@ def _by_chunk(kept: DataFrame, path: str, text_col: str, shown: list[str]) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat([h for h, _ in found], [len(x) for _, x in found]).astype("i8")), pa.array([w for _, x in found for w in x], pa.string())], names=["h", "w"])
 
     def segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment, last, ids = segmenter(path), None, b""
-        for batch in batches:  # in the order of w
+        segment, last, known = segmenter(path), (None, None), (None, b"")
+        held: dict[int, bytearray] = {}
+        size = 0
+
+        def grouped() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([bytes(e) for e in held.values()], pa.binary())], names=["h", "e"])
+
+        for batch in batches:  # in the order of chunks, then of hashes
             words = batch.column(1).to_pylist()
-            new = list(dict.fromkeys(w for w in words if w != last))
-            table = dict(zip(new, segment(new), strict=True))
-            if words[:1] == [last]:
-                table[last] = ids
+            new = list(dict.fromkeys(w for w in words if w != known[0]))
+            table = {w: entry(w, ids) for w, ids in zip(new, segment(new), strict=True)} | {known[0]: known[1]}
+            for h, w in zip(batch.column(0).to_pylist(), words, strict=True):
+                if (h, w) != last:  # else it is a copy of the text
+                    last = h, w
+                    held.setdefault(h, bytearray()).extend(table[w])
+                    size += len(table[w])
             if words:
-                last, ids = words[-1], table[words[-1]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([entry(w, table[w]) for w in words], pa.binary())], names=["h", "e"])
+                known = words[-1], table[words[-1]]
+            if size > GROUPED:
+                yield grouped()
+                held.clear()
+                size = 0
+        if held:
+            yield grouped()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=9).compress
+        pack = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(short.value, zstandard.DICT_TYPE_RAWCONTENT)).compress if short.value else zstandard.ZstdCompressor(level=6).compress
         for batch in batches:
             z = pa.array([pack(t.as_py().encode()) if t.is_valid else None for t in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), z, batch.column(2)], names=["h", "z", "own"])
@@ -178,19 +209,23 @@ def _by_chunk(kept: DataFrame, path: str, text_col: str, shown: list[str]) -> Da
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        unpack, table = zstandard.ZstdDecompressor().decompress, head_table(name, shared.value)
+        unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(short.value, zstandard.DICT_TYPE_RAWCONTENT)).decompress if short.value else zstandard.ZstdDecompressor().decompress
+        table = head_table(name, shared.value)
         for big in batches:
             for batch in few(big, 64):
                 texts, out = [None if z is None else unpack(z).decode() for z in batch.column(1).to_pylist()], []
-                for t, more in zip(texts, batch.column(3), strict=True):
-                    own = dict(map(chunk_of, more.as_py())) if more.is_valid else {}
-                    out.append(b"".join([own[k] if k in own else table[k] for k in chunks(t)]) if t else b"")
+                for t, more in zip(texts, batch.column(3).to_pylist(), strict=True):
+                    own = {w: ids for e in more or () for w, ids in chunks_of(e)}
+                    table.update(own)
+                    out.append(b"".join(map(table.__getitem__, chunks(t))) if t else b"")
+                    for w in own:  # none of them is in the broadcast table itself
+                        del table[w]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(texts if text_col in shown else [None] * len(out), pa.string()), list_array(out)], names=["h", "own", "t", "ids"])
 
-    hashed = F.xxhash64(text).alias("h")
+    hashed = F.pmod(F.xxhash64(text), F.lit(1 << 40)).alias("h")
     rare = bounded(kept.select(hashed, text.alias("t"))).mapInArrow(others, "h long, w string")
-    dealt = bounded(rare.repartition("w").sortWithinPartitions("w")).mapInArrow(segmented, "h long, e binary")
-    back = dealt.groupBy(F.col("h").alias("b_h")).agg(F.collect_set("e").alias("more"))
+    dealt = bounded(rare.repartition("w").sortWithinPartitions("w", "h")).mapInArrow(segmented, "h long, e binary")
+    back = dealt.groupBy(F.col("h").alias("b_h")).agg(F.collect_list("e").alias("more"))
     rest = [c for c in shown if c != text_col]
     rows = kept.select(hashed, text.alias("t"), F.struct(F.lit(0).alias("quillstone_row"), *[F.col(f"`{c}`") for c in rest]).alias("own"))
     own = rows.schema["own"]
@@ -240,7 +275,7 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFra
         sp = processor(model_path)
         for big in batches:
             for batch in few(big):
-                text = [sp.decode(x) if x else "" for x in batch.column(place).to_pylist()]
+                text = [sp.decode(x.values.to_numpy().tolist()) if x.is_valid and len(x) else "" for x in batch.column(place)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return bounded(kept).mapInArrow(run, plus(kept, ("decoded", "string")))
