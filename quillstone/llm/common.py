@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset and all run on this machine (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at and not (spark.sparkContext.master or "").startswith("local["):
+    if not at and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master or ""):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not at:
         own = tempfile.mkdtemp(prefix="quillstone-")
