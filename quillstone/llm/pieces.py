@@ -3,8 +3,9 @@
 Where no piece of a model crosses a whitespace marker (a piece has markers at its start only), a text's ids are the ids of its
 chunks, one after the other: a chunk is a run of markers with the word behind it. Each distinct chunk of the corpus is segmented once, and its ids are
 joined back by position. Frequent chunks (those that some task meets twice, at most HEAD of them) form a table that is broadcast; the others
-are dealt by chunk, segmented, and dealt back by a hash of the text that they stand in. A hash that two texts share does no harm: what comes back
-is a table from chunk to ids, of which each text takes what its own chunks ask for.
+are dealt by chunk, segmented, and dealt back by a hash of the text that they stand in and their place among its rare chunks. Meanwhile a text travels as the ranks of its
+frequent chunks and the rare ones in full. A hash that two texts share does no harm: where they differ, a place comes back twice, and its chunk is segmented again
+where the text is.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,10 @@ CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 HEAD, HEAD_CHARS = 600_000, 16_000_000
 #: Chunks and characters that a task counts before it reports those met twice and starts anew; bounds memory, not results.
 COUNTED, COUNTED_CHARS = 1_000_000, 64_000_000
-#: Bytes of entries that a task gathers by text before it passes them on; frequent chunks that compressed texts refer to.
-GROUPED, SHORTHAND = 16_000_000, 12_000
+#: Bytes of entries that a task gathers by text before it passes them on.
+GROUPED = 16_000_000
+#: Bits of a text's hash, and of the place of a rare chunk among those of its text (further ones are segmented where the text is).
+HASH_BITS, PLACE_BITS = 39, 24
 
 
 @lru_cache(maxsize=2)
@@ -64,44 +68,79 @@ def segmenter(path: str) -> Callable[[list[str]], list[bytes]]:
     return lambda keys: [np.array(ids, "<i4").tobytes() if k else mark for k, ids in zip(keys, sp.encode(keys, num_threads=1), strict=True)]
 
 
-_HEADS: dict[str, dict[str, bytes]] = {}
+_HEADS: dict[str, tuple] = {}
 
 
-def head_table(name: str, packed: bytes) -> dict[str, bytes]:
-    """The broadcast table, built once for all tasks of a worker process."""
-    if name not in _HEADS:
-        _HEADS.clear()
+def head_table(name: str, packed: bytes, what: str):
+    """From the broadcast table, once for all tasks of a worker process: ranks (chunk to rank, from 1), or ids (all ids in a row, where each rank's begin, and their numbers)."""
+    key = f"{name}-{what}"
+    if key not in _HEADS:
+        for old in [k for k in _HEADS if not k.startswith(name)]:
+            del _HEADS[old]
         with pa.ipc.open_stream(packed) as reader:
-            _HEADS[name] = {k: v for batch in reader for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)}
-    return _HEADS[name]
+            table = reader.read_all()
+        if what == "ranks":
+            _HEADS[key] = {w: k for k, w in enumerate(table.column(0).to_pylist(), 1)}
+        else:
+            lists = table.column(1).to_pylist()
+            n = np.array([len(x) // 4 for x in lists], "i8")
+            _HEADS[key] = np.frombuffer(b"".join(lists), "<i4"), np.cumsum(n) - n, n
+    return _HEADS[key]
+
+
+def varints(x: np.ndarray) -> bytes:
+    """Numbers below 2^21 in one to three bytes each: seven bits to a byte, low ones first."""
+    n = 1 + (x >= 1 << 7) + (x >= 1 << 14)
+    at = np.cumsum(n) - n
+    out = np.empty(int(n.sum()), "u1")
+    for k in range(3):
+        has = n > k
+        out[at[has] + k] = (x[has] >> 7 * k & 127) | np.where(n[has] > k + 1, 128, 0)
+    return out.tobytes()
+
+
+def numbers(data: bytes) -> np.ndarray:
+    """What varints was given."""
+    b = np.frombuffer(data, "u1").astype("i8")
+    if not len(b):
+        return b
+    first = np.flatnonzero(np.concatenate([[True], b[:-1] < 128]))
+    place = np.arange(len(b)) - np.repeat(first, np.diff(np.append(first, len(b))))
+    return np.add.reduceat((b & 127) << 7 * place, first)
+
+
+def shorthand(text: str, rank: dict[str, int]) -> bytes:
+    """A text as the ranks of its chunks, 0 for those without one, and those in full (no chunk has a space in it)."""
+    cs = chunks(text)
+    ranks = varints(np.array([rank.get(c, 0) for c in cs], "i8"))
+    return len(ranks).to_bytes(4, "little") + ranks + " ".join([c for c in cs if c not in rank]).encode()
 
 
 def _sized(n: int) -> bytes:
     return bytes([n]) if n < 255 else b"\xff" + n.to_bytes(4, "little")
 
 
-def entry(chunk: str, ids: bytes) -> bytes:
-    """A chunk and its ids: the size of the ids (16 bits each where they all fit), the size of the chunk, they."""
-    x, w = np.frombuffer(ids, "<i4"), chunk.encode()
+def entry(ids: bytes) -> bytes:
+    """The ids of a chunk behind their size: 16 bits each where they all fit."""
+    x = np.frombuffer(ids, "<i4")
     small = not len(x) or x.max() < 1 << 16
-    return _sized(2 * len(x) + (not small)) + _sized(len(w)) + (x.astype("<u2").tobytes() if small else ids) + w
+    return _sized(2 * len(x) + (not small)) + (x.astype("<u2").tobytes() if small else ids)
 
 
-def chunks_of(packed: bytes) -> Iterator[tuple[str, bytes]]:
-    """The chunks of entries that stand one behind another, each with its ids (32 bits each)."""
+def entries(packed: bytes) -> Iterator[tuple[int, bytes]]:
+    """The places and ids (32 bits each) of entries that stand one behind another, each behind its place."""
     at, size = 0, len(packed)
     while at < size:
-        sizes = []
+        found = []
         for _ in range(2):
             n, at = packed[at], at + 1
             if n == 255:
                 n, at = int.from_bytes(packed[at : at + 4], "little"), at + 4
-            sizes.append(n)
-        mid = at + (sizes[0] >> 1) * (4 if sizes[0] & 1 else 2)
-        end = mid + sizes[1]
-        ids = packed[at:mid]
-        yield packed[mid:end].decode(), ids if sizes[0] & 1 else np.frombuffer(ids, "<u2").astype("<i4").tobytes()
-        at = end
+            found.append(n)
+        place, n = found
+        ids = packed[at : at + (n >> 1) * (4 if n & 1 else 2)]
+        at += len(ids)
+        yield place, ids if n & 1 else np.frombuffer(ids, "<u2").astype("<i4").tobytes()
 
 
 def list_array(parts: list[bytes]) -> pa.Array:
@@ -146,13 +185,11 @@ def frequent_chunks(texts: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(segment(batch.column(0).to_pylist()), pa.binary()), batch.column(1)], names=["w", "x", "n"])
 
     counted = written(bounded(texts).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "counted", "zstd")
-    least = 1
-    while True:
-        held = counted.where(F.col("n") > least)
-        n, chars = held.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("w")), F.lit(0))).first()
-        if n <= HEAD and chars <= HEAD_CHARS:
-            return held.mapInArrow(encoded, "w string, x binary, n long")
-        least *= 2
+    step = F.floor(F.log("n") * 8)
+    sizes = counted.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("k"), F.sum(F.length("w")).alias("c")).collect()  # a row for each step, some hundreds at most
+    sizes = sorted(((r.s, r.k, r.c) for r in sizes), reverse=True)
+    fit = [s for (s, _, _), n, c in zip(sizes, accumulate(k for _, k, _ in sizes), accumulate(c for *_, c in sizes), strict=True) if n <= HEAD and c <= HEAD_CHARS]
+    return counted.where(step >= min(fit) if fit else F.lit(False)).mapInArrow(encoded, "w string, x binary, n long")
 
 
 def _by_chunk(kept: DataFrame, path: str, text_col: str, shown: list[str]) -> DataFrame:
@@ -162,15 +199,15 @@ def _by_chunk(kept: DataFrame, path: str, text_col: str, shown: list[str]) -> Da
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, head.schema) as writer:
         writer.write_table(head)
-    often = " ".join(head.column(0).slice(0, SHORTHAND).to_pylist()).encode()  # what compressed texts refer to
-    shared, short, name = spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), spark.sparkContext.broadcast(often), uuid.uuid4().hex
+    shared, name = spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = head_table(name, shared.value)
+        rank = head_table(name, shared.value, "ranks")
         for big in batches:
             for batch in few(big):
-                found = [(h, list(set(chunks(t)).difference(known)) if t else []) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([h for h, _ in found], [len(x) for _, x in found]).astype("i8")), pa.array([w for _, x in found for w in x], pa.string())], names=["h", "w"])
+                found = [[w for w in dict.fromkeys(chunks(t)) if w not in rank][: 1 << PLACE_BITS] if t else [] for t in batch.column(1).to_pylist()]
+                places = [(h << PLACE_BITS) + np.arange(len(x)) for h, x in zip(batch.column(0).to_pylist(), found, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(places), pa.int64()), pa.array([w for x in found for w in x], pa.string())], names=["p", "w"])
 
     def segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment, last, known = segmenter(path), (None, None), (None, b"")
@@ -180,15 +217,16 @@ def _by_chunk(kept: DataFrame, path: str, text_col: str, shown: list[str]) -> Da
         def grouped() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([bytes(e) for e in held.values()], pa.binary())], names=["h", "e"])
 
-        for batch in batches:  # in the order of chunks, then of hashes
+        for batch in batches:  # in the order of chunks, then of texts and places
             words = batch.column(1).to_pylist()
             new = list(dict.fromkeys(w for w in words if w != known[0]))
-            table = {w: entry(w, ids) for w, ids in zip(new, segment(new), strict=True)} | {known[0]: known[1]}
-            for h, w in zip(batch.column(0).to_pylist(), words, strict=True):
-                if (h, w) != last:  # else it is a copy of the text
-                    last = h, w
-                    held.setdefault(h, bytearray()).extend(table[w])
-                    size += len(table[w])
+            table = dict(zip(new, map(entry, segment(new)), strict=True)) | {known[0]: known[1]}
+            for p, w in zip(batch.column(0).to_pylist(), words, strict=True):
+                if (p, w) != last:  # else it is a copy of the text
+                    last = p, w
+                    e = _sized(p & (1 << PLACE_BITS) - 1) + table[w]
+                    held.setdefault(p >> PLACE_BITS, bytearray()).extend(e)
+                    size += len(e)
             if words:
                 known = words[-1], table[words[-1]]
             if size > GROUPED:
@@ -201,38 +239,67 @@ def _by_chunk(kept: DataFrame, path: str, text_col: str, shown: list[str]) -> Da
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(short.value, zstandard.DICT_TYPE_RAWCONTENT)).compress if short.value else zstandard.ZstdCompressor(level=6).compress
-        for batch in batches:
-            z = pa.array([pack(t.as_py().encode()) if t.is_valid else None for t in batch.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), z, batch.column(2)], names=["h", "z", "own"])
+        pack, rank = zstandard.ZstdCompressor(level=3, write_content_size=True).compress, head_table(name, shared.value, "ranks")
+        for big in batches:
+            for batch in few(big, 64):
+                z = pa.array([pack(shorthand(t.as_py(), rank)) if t.as_py() else None for t in batch.column(1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), z, batch.column(2)], names=["h", "z", "own"])
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(short.value, zstandard.DICT_TYPE_RAWCONTENT)).decompress if short.value else zstandard.ZstdDecompressor().decompress
-        table = head_table(name, shared.value)
+        unpack, segment = zstandard.ZstdDecompressor().decompress, segmenter(path)
+        flat, begin, number = head_table(name, shared.value, "ids")
+
+        def rare(words: list[str], more: list[bytes]) -> list[bytes]:
+            got: dict[int, bytes] = {}
+            twice = set()
+            for e in more:
+                for k, ids in entries(e):
+                    if k in got:
+                        twice.add(k)
+                    got[k] = ids
+            again = [k for k in range(len(words)) if k in twice or k not in got]
+            got.update(zip(again, segment([words[k] for k in again]) if again else (), strict=True))
+            return [got[k] for k in range(len(words))]
+
         for big in batches:
             for batch in few(big, 64):
-                texts, out = [None if z is None else unpack(z).decode() for z in batch.column(1).to_pylist()], []
-                for t, more in zip(texts, batch.column(3).to_pylist(), strict=True):
-                    own = {w: ids for e in more or () for w, ids in chunks_of(e)}
-                    table.update(own)
-                    out.append(b"".join(map(table.__getitem__, chunks(t))) if t else b"")
-                    for w in own:  # none of them is in the broadcast table itself
-                        del table[w]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(texts if text_col in shown else [None] * len(out), pa.string()), list_array(out)], names=["h", "own", "t", "ids"])
-
-    hashed = F.pmod(F.xxhash64(text), F.lit(1 << 40)).alias("h")
-    rare = bounded(kept.select(hashed, text.alias("t"))).mapInArrow(others, "h long, w string")
-    dealt = bounded(rare.repartition("w").sortWithinPartitions("w", "h")).mapInArrow(segmented, "h long, e binary")
+                at, own, counts = [np.zeros(0, "i8")], [], []
+                for z, more in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    data = unpack(z) if z else bytes(4)
+                    end = 4 + int.from_bytes(data[:4], "little")
+                    rank = numbers(data[4:end]) - 1
+                    holes = np.flatnonzero(rank < 0)
+                    if len(holes):
+                        full = data[end:].decode().split(" ")
+                        place = {w: k for k, w in enumerate(dict.fromkeys(full))}
+                        rank[holes] = np.array([place[w] for w in full]) + len(number) + len(own)
+                        own += rare(list(place), more or [])
+                    at.append(rank)
+                    counts.append(len(rank))
+                at = np.concatenate(at)
+                mine, other = at >= len(number), np.array([len(x) // 4 for x in own], "i8")
+                n, start = np.empty(len(at), "i8"), np.empty(len(at), "i8")
+                n[~mine], start[~mine] = number[at[~mine]], begin[at[~mine]]
+                n[mine], start[mine] = other[at[mine] - len(number)], (np.cumsum(other) - other)[at[mine] - len(number)] + len(flat)
+                ends = np.concatenate([[0], np.cumsum(n)])
+                source = np.repeat(start - ends[:-1], n) + np.arange(ends[-1])
+                mine, ids = source >= len(flat), np.empty(len(source), "<i4")
+                ids[~mine], ids[mine] = flat[source[~mine]], np.frombuffer(b"".join(own), "<i4")[source[mine] - len(flat)]
+                offsets = ends[np.concatenate([[0], np.cumsum(counts)]).astype("i8")]
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], names=["own", "ids"])
+
+    hashed = F.pmod(F.xxhash64(text), F.lit(1 << HASH_BITS)).alias("h")
+    rows = bounded(kept.select(hashed, text.alias("t"))).mapInArrow(others, "p long, w string")
+    dealt = bounded(rows.repartition("w").sortWithinPartitions("w", "p")).mapInArrow(segmented, "h long, e binary")
     back = dealt.groupBy(F.col("h").alias("b_h")).agg(F.collect_list("e").alias("more"))
-    rest = [c for c in shown if c != text_col]
-    rows = kept.select(hashed, text.alias("t"), F.struct(F.lit(0).alias("quillstone_row"), *[F.col(f"`{c}`") for c in rest]).alias("own"))
+    rows = kept.select(hashed, text.alias("t"), F.struct(F.lit(0).alias("quillstone_row"), *[F.col(f"`{c}`") for c in shown]).alias("own"))
     own = rows.schema["own"]
     zipped = bounded(rows).mapInArrow(packed, T.StructType([rows.schema["h"], T.StructField("z", T.BinaryType()), own]))
-    joined = zipped.join(back, F.col("h") == F.col("b_h"), "left").select("h", "z", "own", "more")
-    done = bounded(joined).mapInArrow(assembled, T.StructType([rows.schema["h"], own, T.StructField("t", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
-    return done.select(*[F.col("t").alias(c) if c == text_col else F.col("own").getField(c).alias(c) for c in shown], "ids")
+    joined = zipped.join(back, F.col("h") == F.col("b_h"), "left").select("z", "own", "more")
+    done = bounded(joined).mapInArrow(assembled, T.StructType([own, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return done.select(*[F.col("own").getField(c).alias(c) for c in shown], "ids")
 
 
 def _whole(kept: DataFrame, path: str, text_col: str) -> DataFrame:

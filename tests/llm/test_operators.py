@@ -215,15 +215,23 @@ def test_sentencepiece_equals_library(spark):
     assert pieces.digests(spark.createDataFrame([], DOCS), path).count() == 0
 
 
+def test_varints_come_back():
+    x = np.array([0, 1, 127, 128, 300, 16383, 16384, 600_000, 2**21 - 1, 0])
+    assert (pieces.numbers(pieces.varints(x)) == x).all() and len(pieces.numbers(pieces.varints(x[:0]))) == 0
+
+
 def odd_texts(n=300):
     rng = random.Random(6)
     bits = ["a", "Word", "é", "ß", " ", "  ", "\n", "\t", ".", ",", "'s", "don't", "12", "日本", "▁", " ", " ", "<|endoftext|>", "<|startoftext|>", "_", "!?", "Å", "Å", "\x85", "\x1c", "😀"]
     return ODD + ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 25))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("head, counted", [(600_000, 1_000_000), (5, 1_000_000), (0, 40)])
-def test_chunk_table_equals_library(spark, monkeypatch, head, counted):
+@pytest.mark.parametrize("head, counted, bits, places", [(600_000, 1_000_000, 39, 24), (5, 1_000_000, 39, 24), (0, 40, 39, 24), (0, 40, 2, 24), (0, 40, 39, 2)])
+def test_chunk_table_equals_library(spark, monkeypatch, head, counted, bits, places):
+    """Also where texts share their hashes, and where a text has more rare chunks than places."""
     monkeypatch.setattr(pieces, "HEAD", head)
+    monkeypatch.setattr(pieces, "HASH_BITS", bits)
+    monkeypatch.setattr(pieces, "PLACE_BITS", places)
     monkeypatch.setattr(pieces, "COUNTED", counted)
     path = tokenizer_path("piece_bpe_32k.model")
     sp, texts = pieces.processor(path), odd_texts() * 2  # each row repeats
