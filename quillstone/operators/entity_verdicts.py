@@ -88,3 +88,18 @@ def company_summary(verdicts: DataFrame, audits: DataFrame, as_of: date, days: i
 def month_labels(day: Column | str) -> tuple[Column, Column]:
     """A date's month as `Jan 2024` and as `Jan-24`."""
     return F.date_format(day, "MMM yyyy"), F.date_format(day, "MMM-yy")
+
+
+def notification_feed(now: DataFrame, history: DataFrame, events: DataFrame, limit: int = 50) -> DataFrame:
+    """The newest alerts and events: (kind, type, severity, title, company_id, id, at), newest first, those without a time last.
+
+    now: company_id, name, score, at. A score below its last record (history: company_id, recorded_at, score) is a drop; one below 70 is low;
+    a good score that didn't fall gives no alert, nor does an unknown one. events: id, type, severity, title, company_id, at. The limit is the page that readers ask for."""
+    last = history.groupBy("company_id").agg(F.max_by("score", "recorded_at").alias("was"))
+    rows = now.where(F.col("score").isNotNull()).join(last, "company_id", "left")
+    fell = F.coalesce(F.col("score") < F.col("was"), F.lit(False))
+    level = F.when(F.col("score") < 40, "critical").when(F.col("score") < 70, "watch").otherwise("info")
+    title = F.when(fell, F.concat_ws(" ", "name", F.lit("fell from"), "was", F.lit("to"), "score")).otherwise(F.concat_ws(" ", "name", F.lit("is at"), "score"))
+    alerts = rows.where(fell | (level != "info")).select(F.lit("alert").alias("kind"), F.when(fell, "score_drop").otherwise("low_score").alias("type"), level.alias("severity"), title.alias("title"), "company_id", F.lit(None).cast("string").alias("id"), "at")
+    told = events.select(F.lit("event").alias("kind"), "type", "severity", "title", "company_id", F.col("id").cast("string").alias("id"), "at")
+    return alerts.union(told).orderBy(F.desc_nulls_last("at"), "kind", "company_id", "id").limit(limit)

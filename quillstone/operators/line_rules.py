@@ -38,7 +38,7 @@ def capital_review(txn: DataFrame, accounts: DataFrame, settings: Settings = Set
     codes = [c.upper() for c in settings.monitored_accounts]
     watched = F.upper("acct").isin(*codes) if codes else has_any("account_name", REVIEWED_NAMES)
     hit = rows.where(F.col("account_type").isin(*PURE_EXPENSE) & (F.abs("line_amount") > settings.capital_min) & (phrase(text, NOT_CAPITAL) == ""))
-    hit = hit.where(F.coalesce(watched, F.lit(False)) | (phrase(text, words) != "") | (phrase("vendor_name", CAPITAL_SUPPLIERS, plural=False) != ""))
+    hit = hit.where(F.coalesce(watched, F.lit(False)) | (phrase(text, words) != "") | (phrase("vendor_name", CAPITAL_SUPPLIERS) != ""))
     return flags(hit, "capital_item_review", "medium", line_no=F.col("line_no"), current_code=F.col("acct"))
 
 

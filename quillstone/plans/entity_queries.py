@@ -118,3 +118,16 @@ def k16s(s, d):
 def xd9(s, d):
     long_label, short_label = E.month_labels("o_orderdate")
     return s.read.parquet(f"{d}/orders.parquet").select(long_label.alias("long_label"), short_label.alias("short_label")).distinct()
+
+
+@entity("k21_notification_feed", """WITH n AS (SELECT concat('C', c_custkey) AS company_id, c_custkey % 101 AS score, CASE WHEN c_custkey % 3 > 0 THEN c_custkey * 7 % 101 END AS was, DATE '1996-01-01' + CAST(c_custkey % 800 AS INT) AS "at" FROM customer),
+f AS (SELECT 'alert' AS kind, CASE WHEN score < was THEN 'score_drop' ELSE 'low_score' END AS type, CASE WHEN score < 40 THEN 'critical' WHEN score < 70 THEN 'watch' ELSE 'info' END AS severity, company_id, '' AS id, "at" FROM n WHERE score < 70 OR coalesce(score < was, false)
+UNION ALL SELECT 'event', 'org_connected', 'info', concat('C', o_custkey), CAST(o_orderkey AS VARCHAR), CAST(o_orderdate AS DATE) FROM orders)
+SELECT kind, type, severity, company_id, id, CAST("at" AS VARCHAR) AS "at" FROM f ORDER BY f."at" DESC, kind, company_id, id LIMIT 200""")
+def k21_feed(s, d):
+    c = s.read.parquet(f"{d}/customer.parquet").selectExpr("concat('C', c_custkey) AS company_id", "c_name AS name", "c_custkey AS k", "c_custkey % 101 AS score", "date_add(DATE'1996-01-01', CAST(c_custkey % 800 AS INT)) AS at")
+    late = c.selectExpr("company_id", "DATE'1995-12-31' AS recorded_at", "CASE WHEN k % 3 > 0 THEN k * 7 % 101 END AS score")
+    early = c.selectExpr("company_id", "DATE'1995-06-30' AS recorded_at", "100 AS score")
+    e = s.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey AS id", "'org_connected' AS type", "'info' AS severity", "'connected' AS title", "concat('C', o_custkey) AS company_id", "CAST(o_orderdate AS DATE) AS at")
+    feed = E.notification_feed(c, late.union(early), e, 200)
+    return feed.select("kind", "type", "severity", "company_id", F.coalesce("id", F.lit("")).alias("id"), F.col("at").cast("string").alias("at"))

@@ -264,6 +264,13 @@ def r32(s, d):
     return U.invoices_paid_directly(V.sales(s, d), V.bank(s, d))
 
 
+@rule("r31_match_details", """WITH m AS (SELECT d.transaction_id, d.date AS d_date, d.amount, b.transaction_id AS bank_id, b.date AS b_date, b.amount AS b_amount, row_number() OVER (PARTITION BY d.transaction_id ORDER BY b.seq) AS k FROM v_bills d JOIN v_bank b ON b.contact_id = d.contact_id AND b.type = 'SPEND' AND b.date - d.date BETWEEN 0 AND 30 AND abs(d.amount - b.amount) <= 0.01
+WHERE d.status IN ('AUTHORISED', 'SUBMITTED')) SELECT transaction_id, CAST(d_date AS VARCHAR) AS document_date, CAST(amount AS DOUBLE) AS amount_due, bank_id, CAST(b_date AS VARCHAR) AS bank_date, CAST(b_amount AS DOUBLE) AS bank_amount, CAST(b_date - d_date AS INT) AS days_apart FROM m WHERE k = 1""")
+def r31_details(s, d):
+    rows = U.direct_matches(V.bills(s, d), V.bank(s, d), "ACCPAY", "SPEND", 30)
+    return rows.select("transaction_id", F.col("document_date").cast("string").alias("document_date"), F.col("amount_due").cast("double").alias("amount_due"), "bank_id", F.col("bank_date").cast("string").alias("bank_date"), F.col("bank_amount").cast("double").alias("bank_amount"), "days_apart")
+
+
 @rule("r33_missing_accrual", """WITH x AS (SELECT account_code AS a, date, amount FROM v_bills WHERE account_code IN ('429', '461', '473') AND month(date) NOT IN (3, 4, CAST(account_code AS INT) % 7 + 6) AND NOT (account_code = '461' AND date BETWEEN DATE '1998-12-01' AND DATE '1998-12-31')),
 m AS (SELECT a, month(date) - 1 AS m, sum(amount) AS s FROM x WHERE year(date) = 1998 AND amount > 0 GROUP BY 1, 2),
 t AS (SELECT a, count(*) AS n, round_even(sum(s) / count(*), 2) AS average FROM m GROUP BY 1),
