@@ -42,15 +42,30 @@ def capital_review(txn: DataFrame, accounts: DataFrame, settings: Settings = Set
     return flags(hit, "capital_item_review", "medium", line_no=F.col("line_no"), current_code=F.col("acct"))
 
 
-def prepayments(txn: DataFrame, accounts: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Every large line of expense whose term runs past the year-end by a whole month: with the prepaid part."""
+def _prepaid(txn: DataFrame, accounts: DataFrame, settings: Settings) -> DataFrame:
+    """Every large line of expense whose term runs past the year-end by a whole month: year_end, months after it and in total, the prepaid part."""
     rows = with_account(lines(txn.where(~is_credit()), "date", "description", "reference"), accounts).where(F.col("account_type").isin(*PURE_EXPENSE) & (F.abs("line_amount") > settings.prepayment_min))
     rows = rows.withColumn("p", period(F.concat_ws(" ", "line_text", "description", "reference"), "date")).where("p.start is not null")
     rows = rows.withColumn("year_end", next_year_end("p.start", settings.year_end_month, settings.year_end_day)).withColumn("after", whole_months("year_end", "p.end"))
     rows = rows.withColumn("total", F.greatest(F.rint(F.datediff("p.end", "p.start") / 30.44), F.lit(1)))
     hit = rows.where((F.col("p.end") > F.col("year_end")) & (F.col("after") >= 1))
     prepaid = F.bround(F.col("line_amount") * F.least(F.col("after"), F.col("total")).cast("decimal(10,0)") / F.col("total").cast("decimal(10,0)"), 2)
-    return flags(hit, "prepayment_review", "medium", line_no=F.col("line_no"), current_code=F.col("acct"), reason=prepaid.cast("decimal(12,2)").cast("string"))
+    return hit.withColumn("prepaid", prepaid.cast("decimal(12,2)"))
+
+
+def prepayments(txn: DataFrame, accounts: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Every large line of expense whose term runs past the year-end by a whole month: with the prepaid part."""
+    return flags(_prepaid(txn, accounts, settings), "prepayment_review", "medium", line_no=F.col("line_no"), current_code=F.col("acct"), reason=F.col("prepaid").cast("string"))
+
+
+def releases(txn: DataFrame, accounts: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(company_id, transaction_id, line_no, n, month, release, remaining): what is released of each prepayment in the months after the year-end.
+
+    Each month takes the line's amount over all its months; the last one leaves nothing, and none less than nothing. Months are labelled `Jan 2024`."""
+    rows = _prepaid(txn, accounts, settings).withColumn("release", F.bround(F.col("line_amount") / F.col("total").cast("decimal(10,0)"), 2).cast("decimal(12,2)"))
+    each = rows.select(*DOC, "line_no", "year_end", "after", "prepaid", "release", F.explode(F.sequence(F.lit(1), F.col("after").cast("int"))).alias("n"))
+    left = F.when(F.col("n") == F.col("after"), F.lit(0)).otherwise(F.greatest(F.col("prepaid") - F.col("release") * F.col("n"), F.lit(0)))
+    return each.select(*DOC, "line_no", "n", F.date_format(F.add_months("year_end", F.col("n")), "MMM yyyy").alias("month"), "release", left.cast("decimal(12,2)").alias("remaining"))
 
 
 def unusual_payments(txn: DataFrame, accounts: DataFrame, settings: Settings = Settings()) -> DataFrame:

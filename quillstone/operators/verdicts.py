@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .catalog import label
+
 KEY = ["company_id", "document_id"]
 USER = ("resolved", "dismissed", "marked_ok")
 DUPLICATES = ("duplicate_invoice", "duplicate_bill", "duplicate_credit_note")
@@ -163,10 +165,24 @@ def feed_totals(rows: DataFrame) -> DataFrame:
 
 
 def report(verdicts: DataFrame, flags: DataFrame) -> DataFrame:
-    """A row for each open document and check, as the report lists them: sections by check, then contact."""
-    rows = flags.join(verdicts.where(is_open()).select("company_id", F.col("document_id").alias("transaction_id"), "contact_id", "amount"), ["company_id", "transaction_id"])
-    action = F.when(F.col("issue_type").isin(*DUPLICATES), F.when(F.col("likely_original"), "KEEP").when(~F.col("likely_original"), "VOID"))
-    return rows.select("company_id", F.col("issue_type").alias("section"), "contact_id", "transaction_id", F.concat(F.lit("£"), F.format_number("amount", 2)).alias("shown"), action.alias("action"))
+    """A row for each open document and check, as the report lists them: section (the check's label) and ten columns, all as text.
+
+    transaction is the number, else the reference, else the display number; amounts carry their currency; blanks stand for what is unknown.
+    verdicts: KEY, the users' decisions, vendor_name, invoice_number, reference, display_number, date, amount, currency_code, doc_status;
+    flags: company_id, transaction_id, issue_type, severity, confidence, dup_of_number, likely_original, reason."""
+    mine = ("vendor_name", "invoice_number", "reference", "display_number", "date", "amount", "currency_code", "doc_status")
+    rows = flags.select("company_id", "transaction_id", "issue_type", "severity", "confidence", "dup_of_number", "likely_original", "reason").join(verdicts.where(is_open()).select("company_id", F.col("document_id").alias("transaction_id"), *mine), ["company_id", "transaction_id"])
+    full = lambda c: F.nullif(F.col(c), F.lit(""))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    currency = F.upper(F.trim(F.coalesce(full("currency_code"), F.lit("GBP"))))
+    symbol = F.when(currency == "GBP", "£").otherwise(F.concat(currency, F.lit(" ")))
+    return rows.select(
+        "company_id", label("issue_type").alias("section"), "transaction_id",
+        text(F.col("vendor_name")).alias("contact"), F.coalesce(full("invoice_number"), full("reference"), full("display_number"), F.lit("")).alias("transaction"),
+        text(F.col("date")).alias("date"), text(F.concat(symbol, F.format_number("amount", 2))).alias("amount"), text(F.col("doc_status")).alias("status"),
+        text(F.col("dup_of_number")).alias("duplicate_of"), F.when(F.col("likely_original"), "KEEP (original)").when(~F.col("likely_original"), "VOID (duplicate)").otherwise("").alias("action"),
+        F.initcap(text(F.col("severity"))).alias("severity"), text(F.concat(F.bround(F.col("confidence") * 100, 0).cast("int"), F.lit("%"))).alias("confidence"), text(F.col("reason")).alias("reason"),
+    )
 
 
 def score_alerts(now: DataFrame, history: DataFrame) -> DataFrame:

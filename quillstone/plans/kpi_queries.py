@@ -274,11 +274,20 @@ def k21(s, d):
     return S.score_alerts(e.select(F.col("user_id").alias("company_id"), (F.col("user_id") * 7 % 100).cast("int").alias("score")).distinct(), h)
 
 
-@kpi("k22_s12_report", f"WITH {_VERDICTS}, o AS (SELECT * FROM v WHERE {_OPEN}), x AS (SELECT company_id, document_id, contact_id, amount, seq, unnest(rule_ids) AS section FROM o) SELECT company_id, section, contact_id, document_id AS transaction_id, format('£{{:,.2f}}', CAST(amount AS DOUBLE)) AS shown, CASE WHEN section = 'duplicate_bill' THEN CASE WHEN seq % 2 = 0 THEN 'KEEP' ELSE 'VOID' END ELSE '' END AS action FROM x")
+_LABELS = "CASE r WHEN 'missing_tax' THEN 'Missing tax code (any document)' WHEN 'duplicate_bill' THEN 'Duplicate bills' ELSE 'Future-dated documents' END"
+
+
+@kpi("k22_s12_report", f"""WITH {_VERDICTS}, o AS (SELECT * FROM v WHERE {_OPEN}), x AS (SELECT *, unnest(rule_ids) AS r FROM o)
+SELECT company_id, document_id AS transaction_id, {_LABELS} AS section, coalesce(contact_id, '') AS contact, CASE WHEN seq % 2 = 0 THEN concat('N', seq) WHEN seq % 3 = 0 THEN 'ref' ELSE '' END AS transaction, CAST(ran_at AS VARCHAR) AS date,
+concat(CASE WHEN seq % 5 = 0 THEN 'EUR ' ELSE '£' END, format('{{:,.2f}}', CAST(amount AS DOUBLE))) AS amount, CASE WHEN seq % 2 = 0 THEN 'PAID' ELSE '' END AS status, CASE WHEN r = 'duplicate_bill' THEN 'N1' ELSE '' END AS duplicate_of,
+CASE WHEN r <> 'duplicate_bill' THEN '' WHEN seq % 2 = 0 THEN 'KEEP (original)' ELSE 'VOID (duplicate)' END AS action, 'Medium' AS severity, CASE WHEN r = 'duplicate_bill' THEN '45%' ELSE '' END AS confidence, CASE WHEN seq % 2 = 0 THEN 'say "so", then' ELSE '' END AS reason FROM x""")
 def k22(s, d):
-    v = verdicts(s, d)
-    flags = v.select("company_id", F.col("document_id").alias("transaction_id"), F.explode("rule_ids").alias("issue_type"), (F.col("seq") % 2 == 0).alias("likely_original"))
-    return S.report(v, flags).withColumn("action", F.coalesce("action", F.lit("")))
+    even = F.col("seq") % 2 == 0
+    v = verdicts(s, d).withColumns({"vendor_name": F.col("contact_id"), "invoice_number": F.when(even, F.concat(F.lit("N"), "seq")), "reference": F.when(F.col("seq") % 3 == 0, "ref"), "display_number": F.lit(""), "date": F.col("ran_at"), "currency_code": F.when(F.col("seq") % 5 == 0, " eur"), "doc_status": F.when(even, "PAID")})
+    dup = F.col("issue_type") == "duplicate_bill"
+    flags = v.select("company_id", F.col("document_id").alias("transaction_id"), F.explode("rule_ids").alias("issue_type"), even.alias("even"))
+    flags = flags.withColumns({"severity": F.lit("medium"), "confidence": F.when(dup, 0.45), "dup_of_number": F.when(dup, "N1"), "likely_original": F.when(dup, F.col("even")), "reason": F.when(F.col("even"), 'say "so", then')})
+    return S.report(v, flags)
 
 
 _OLD = "old AS MATERIALIZED (SELECT * FROM v WHERE seq % 5 < 4), new AS MATERIALIZED (SELECT company_id, document_id, ['old_unpaid_bill', 'missing_tax'] AS n_ids FROM v WHERE seq % 3 = 0)"

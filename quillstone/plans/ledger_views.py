@@ -32,10 +32,10 @@ FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
        'ACCPAY' AS type, CASE ls WHEN 'F' THEN 'PAID' ELSE 'AUTHORISED' END AS status, account_code, tax_code, description,
        CASE ord % 3 WHEN 0 THEN true WHEN 1 THEN false END AS has_attachments
 FROM v_line JOIN {supplier} ON supp = s_suppkey""",
-    "v_bank": """SELECT concat('BR', o_orderkey) AS transaction_id, 'RECEIVE' AS type, concat('C', o_custkey) AS contact_id, {day:CAST(o_orderdate AS DATE):CAST(o_orderkey % 45 AS INT)} AS date, CAST(o_totalprice AS DECIMAL(12,2)) AS amount, o_orderkey AS seq, o_orderkey % 4 = 0 AS reconciled, concat('ACC', o_orderkey % 3) AS bank_account
-FROM {orders} WHERE o_orderkey % 6 = 0
+    "v_bank": """SELECT concat('BR', o_orderkey) AS transaction_id, 'RECEIVE' AS type, concat('C', o_custkey) AS contact_id, {day:CAST(o_orderdate AS DATE):CAST(o_orderkey % 45 AS INT)} AS date, CAST(CASE WHEN o_orderkey % 6 = 0 THEN o_totalprice ELSE o_totalprice + 1 END AS DECIMAL(12,2)) AS amount, o_orderkey AS seq, o_orderkey % 4 = 0 AS reconciled, concat('ACC', o_orderkey % 3) AS bank_account
+FROM {orders}
 UNION ALL
-SELECT concat('BS', ord, '-', line_no), 'SPEND', concat('S', supp), {day:ship:CAST(ord % 45 AS INT)}, amount, 1000000000 + ord * 100 + line_no, ord % 4 = 0, concat('ACC', ord % 3) FROM v_line WHERE ord % 6 = 1""",
+SELECT concat('BS', ord, '-', line_no), 'SPEND', concat('S', supp), {day:ship:CAST(ord % 45 AS INT)}, CAST(CASE WHEN ord % 6 = 1 THEN amount ELSE amount + 1 END AS DECIMAL(12,2)), 1000000000 + ord * 100 + line_no, ord % 4 = 0, concat('ACC', ord % 3) FROM v_line""",
     "docs": """SELECT s.seq, s.transaction_id, s.date, s.amount, s.contact_id, s.vendor_name, s.type, s.status, s.invoice_number, s.reference, s.amount_due, f.account_code, f.tax_code, f.description, s.has_attachments
 FROM v_sales s LEFT JOIN v_line f ON f.ord = s.seq AND f.line_no = 1
 UNION ALL

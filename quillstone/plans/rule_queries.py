@@ -111,14 +111,35 @@ def r13(s, d):
     return L.capital_review(V.documents(s, d), V.accounts(s))
 
 
-@rule("r14_prepayment_review", """WITH p AS (SELECT seq, transaction_id, amount, account_code, CASE WHEN seq % 3 = 0 THEN make_date(year(date), 3, 15) ELSE date END AS s, CASE WHEN seq % 3 = 0 THEN make_date(year(date) + 1, 3, 14) ELSE CAST(date + INTERVAL 12 MONTH - INTERVAL 1 DAY AS DATE) END AS e
+_TERMS = """WITH p AS (SELECT seq, transaction_id, amount, account_code, CASE WHEN seq % 3 = 0 THEN make_date(year(date), 3, 15) ELSE date END AS s, CASE WHEN seq % 3 = 0 THEN make_date(year(date) + 1, 3, 14) ELSE CAST(date + INTERVAL 12 MONTH - INTERVAL 1 DAY AS DATE) END AS e
 FROM v_bills WHERE account_code IN ('429', '461', '473') AND amount > 250),
 q AS (SELECT *, make_date(year(s), 12, 31) AS y FROM p),
-r AS (SELECT *, (year(e) - year(y)) * 12 + month(e) - month(y) - CASE WHEN day(e) < day(y) AND e <> last_day(e) THEN 1 ELSE 0 END AS a, round_even((date_diff('day', s, e) + 1) / 30.44, 0) AS t FROM q)
+r AS (SELECT *, (year(e) - year(y)) * 12 + month(e) - month(y) - CASE WHEN day(e) < day(y) AND e <> last_day(e) THEN 1 ELSE 0 END AS a, round_even((date_diff('day', s, e) + 1) / 30.44, 0) AS t FROM q)"""
+
+
+@rule("r14_prepayment_review", f"""{_TERMS}
 SELECT transaction_id, 'prepayment_review' AS issue_type, 'medium' AS severity, account_code AS current_code FROM r WHERE e > y AND a >= 1""", *ID, "current_code")
 def r14(s, d):
+    return L.prepayments(_termed(s, d), V.accounts(s))
+
+
+def _termed(s, d):
     text = F.when(F.col("seq") % 3 == 0, F.concat(F.lit("Licence 15 Mar "), F.year("date"), F.lit(" to 14 Mar "), F.year("date") + 1)).otherwise("Annual renewal")
-    return L.prepayments(V.bills(s, d).withColumn("description", text), V.accounts(s))
+    return V.bills(s, d).withColumn("description", text)
+
+
+def _half_even(n: str, d: str) -> str:
+    """SQL of n / d, both whole and above 0, rounded half even without fractions."""
+    return f"((2 * {n} + {d}) // (2 * {d}) - CASE WHEN (2 * {n} + {d}) % (2 * {d}) = 0 AND (2 * {n} + {d}) // (2 * {d}) % 2 = 1 THEN 1 ELSE 0 END)"
+
+
+@rule("r14_releases", f"""{_TERMS},
+b AS (SELECT *, CAST(amount * 100 AS BIGINT) AS c, CAST(t AS BIGINT) AS m, CAST(least(a, t) AS BIGINT) AS k FROM r WHERE e > y AND a >= 1),
+h AS (SELECT *, CAST({_half_even('c * k', 'm')} AS DECIMAL(18,2)) / 100 AS prepaid, CAST({_half_even('c', 'm')} AS DECIMAL(18,2)) / 100 AS monthly FROM b),
+g AS (SELECT *, unnest(range(1, CAST(a AS BIGINT) + 1)) AS n FROM h)
+SELECT transaction_id, CAST(n AS INT) AS n, strftime(last_day(CAST(y + INTERVAL (n) MONTH AS DATE)), '%b %Y') AS month, CAST(CAST(monthly AS DECIMAL(12,2)) AS VARCHAR) AS release, CAST(CAST(CASE WHEN n = a THEN 0 ELSE greatest(prepaid - monthly * n, 0) END AS DECIMAL(12,2)) AS VARCHAR) AS remaining FROM g""")
+def r14_releases(s, d):
+    return L.releases(_termed(s, d), V.accounts(s)).select("transaction_id", "n", "month", F.col("release").cast("string").alias("release"), F.col("remaining").cast("string").alias("remaining"))
 
 
 @rule("r15_unusual_payment", """WITH b AS (SELECT *, count(*) OVER (PARTITION BY contact_id) AS n FROM v_bills),

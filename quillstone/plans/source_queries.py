@@ -12,6 +12,8 @@ from ..functions import classify as Z
 from ..functions import dates as T
 from ..functions import text as X
 from ..functions.similarity import name_similarity
+from ..operators import base as B
+from ..operators import catalog as Q
 from ..operators import contact_rules as C
 from ..operators import documents as D
 from ..operators import flag_ops as O
@@ -405,11 +407,11 @@ def r38(s, d):
     return G.anomalies(V.documents(s, d), stub).select("transaction_id", "confidence")
 
 
-@source("a18_contact_groups", """WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey * 7 % 100 AS b FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey * 7 % 100 <> s_suppkey), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@source("a18_contact_groups", """WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey - 1 AS b FROM supplier WHERE s_suppkey % 9 > 0 UNION ALL SELECT s_suppkey, s_suppkey FROM supplier WHERE s_suppkey % 9 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b) SELECT a AS id, least(min(b), a) AS group_id FROM r GROUP BY a""")
 def a18(s, d):
     k = F.col("s_suppkey")
-    e = _t(s, d, "supplier").where(k % 3 == 0).select(F.lit(V.COMPANY).alias("company_id"), k.alias("a"), (k * 7 % 100).alias("b")).where("a <> b")
+    e = _t(s, d, "supplier").select(F.lit(V.COMPANY).alias("company_id"), k.alias("a"), F.when(k % 9 > 0, k - 1).otherwise(k).alias("b"))
     return connected(e).select("id", "group_id")
 
 
@@ -435,9 +437,19 @@ n AS (SELECT period, CAST(income AS DOUBLE) AS income, CAST(income - cogs AS DOU
 SELECT *, CAST(CASE WHEN net <= 0 THEN 0 WHEN net <= 50000 THEN round(net * 0.19, 2) WHEN net >= 250000 THEN round(net * 0.25, 2) ELSE round(net * 0.25 - (250000 - net) * 0.015, 2) END AS DOUBLE) AS tax, CAST(600 AS DOUBLE) AS working_capital, CAST(3 AS DOUBLE) AS current_ratio, CAST(80 AS DOUBLE) AS cash_score, (SELECT count(*) FROM v_bank WHERE NOT reconciled) AS bank_unreconciled FROM n"""
 
 
-@source("r43_rule_catalog", None)
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+_OFF = ("missing_tax", "anomaly")
+
+
+@source("r43_rule_catalog", f"SELECT rule_group, rule, label, built, rule NOT IN ('missing_tax', 'anomaly') AS enabled FROM (VALUES {_values(Q.RULES)}) t(rule_group, rule, label, built)")
 def r43(s, d):
-    """The registered rules by name."""
-    from .rule_queries import QUERIES as rules
+    """The catalogue of rules, of which a company has switched two off."""
+    return Q.rules(s, B.Settings(disabled_rules=_OFF)).drop("pos")
+
 
-    return s.createDataFrame([(n.partition("_")[0], n.partition("_")[2]) for n in sorted(rules)], "rule_id string, name string")
+@source("h45_settings_schema", f"SELECT rule, setting, unit FROM (VALUES {_values((r, n, u) for n, (r, u) in Q.TUNES.items())}) t(rule, setting, unit)")
+def h45(s, d):
+    return Q.settings_schema(s).select("rule", "setting", "unit")

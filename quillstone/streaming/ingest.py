@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -34,15 +35,40 @@ def start(spark: SparkSession, landing: str, state: str, checkpoint: str, schema
     return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, state: str) -> DataFrame:
-    """The latest version of every document over all batches."""
+def start_each(spark: SparkSession, entities: list[str], landing: str, state: str, checkpoint: str) -> dict[str, StreamingQuery]:
+    """A query of its own for each entity (landing, state and checkpoint folders by its name): they run at the same time, and one that fails stops no other."""
+    return {e: start(spark, f"{landing}/{e}", f"{state}/{e}", f"{checkpoint}/{e}") for e in dict.fromkeys(entities)}
+
+
+def outcomes(queries: dict[str, StreamingQuery], company: str, started: datetime) -> list[tuple]:
+    """(company_id, entity, started, error) once all queries have ended: error is null where one succeeded. Rows are few: one an entity."""
+    rows = []
+    for entity, q in queries.items():
+        try:
+            q.awaitTermination()
+            rows.append((company, entity, started, None))
+        except StreamingQueryException as e:
+            rows.append((company, entity, started, str(e).splitlines()[0]))
+    return rows
+
+
+def current(spark: SparkSession, state: str, snapshot: str | None = None) -> DataFrame:
+    """The latest version of every document over all batches: those of a snapshot, and the batches behind it, whose folders alone are read."""
     rows = spark.read.schema(f"{RAW}, batch int").parquet(state)
+    if snapshot:
+        base = spark.read.schema(f"{RAW}, upto int").parquet(snapshot).withColumnRenamed("upto", "batch")
+        upto = base.agg(F.max("batch")).first()[0]
+        rows = base.unionByName(rows if upto is None else rows.where(F.col("batch") > upto))
     return latest(rows, KEY, "updated_ts", "batch").select(*KEY, "raw_json", "updated_ts")
 
 
-def compacted(spark: SparkSession, state: str, into: str) -> None:
-    """Writes the current rows as one batch into another folder, by entity, so that readers prune to what they need."""
-    current(spark, state).repartition("entity", F.pmod(F.xxhash64("source_id"), F.lit(32))).write.partitionBy("entity").parquet(into)
+def compacted(spark: SparkSession, state: str, into: str, snapshot: str | None = None) -> None:
+    """Writes a snapshot of the current rows into a new folder, from the last snapshot and the batches behind it, so that the work follows what is new.
+
+    It is laid out by entity, so that readers prune to what they need, and says up to which batch it goes."""
+    upto = spark.read.schema(f"{RAW}, batch int").parquet(state).agg(F.max("batch")).first()[0]
+    rows = current(spark, state, snapshot).withColumn("upto", F.lit(-1 if upto is None else upto))
+    rows.repartition("entity", F.pmod(F.xxhash64("source_id"), F.lit(32))).write.partitionBy("upto", "entity").parquet(into)
 
 
 def connection_health(runs: DataFrame) -> DataFrame:

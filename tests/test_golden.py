@@ -4,7 +4,7 @@ import itertools
 import os
 import random
 import re
-from datetime import date
+from datetime import date, datetime
 from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
@@ -12,10 +12,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.functions import dates, similarity, text
-from quillstone.operators import contact_rules, document_rules, duplicate_rules, kpis, line_rules, verdicts
+from quillstone.operators import catalog, contact_rules, document_rules, duplicate_rules, kpis, line_rules, records, verdicts
 from quillstone.operators.base import Settings, lines
 from quillstone.plans import rule_queries
-from quillstone.sources import reports
+from quillstone.sources import files, reports
 from quillstone.streaming import ingest
 
 TXN = "company_id string, seq long, transaction_id string, date date, amount decimal(12,2), contact_id string, vendor_name string, type string, status string, invoice_number string, reference string, amount_due decimal(12,2), account_code string, tax_code string, description string, has_attachments boolean, amount_paid decimal(12,2), allocated_amount decimal(12,2), posted_date date, due_date date, line_items array<struct<line_no:int,account_code:string,tax_code:string,amount:decimal(12,2),description:string>>"
@@ -201,3 +201,49 @@ def test_stream_keeps_the_latest(spark, tmp_path):
     assert [r.raw_json for r in ingest.current(spark, f"{at}/state").collect()] == ["new"]
     ingest.compacted(spark, f"{at}/state", f"{at}/small")
     assert spark.read.parquet(f"{at}/small").count() == 1
+    rows("newest", "2024-01-03").write.json(f"{at}/in/2")
+    ingest.start(spark, f"{at}/in/*", f"{at}/state", f"{at}/cp").awaitTermination()
+    assert [r.raw_json for r in ingest.current(spark, f"{at}/state", f"{at}/small").collect()] == ["newest"]
+    ingest.compacted(spark, f"{at}/state", f"{at}/next", f"{at}/small")
+    assert [(r.raw_json, r.upto) for r in spark.read.parquet(f"{at}/next").collect()] == [("newest", 2)]
+    spark.createDataFrame([], ingest.RAW).withColumn("upto", F.lit(0)).write.parquet(f"{at}/empty")
+    assert [r.raw_json for r in ingest.current(spark, f"{at}/state", f"{at}/empty").collect()] == ["newest"]
+
+
+def test_one_entity_fails_alone(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    row = [("co", "good", "1", "{}", datetime(2024, 1, 1))]
+    spark.createDataFrame(row, ingest.RAW).write.json(f"{at}/in/good")
+    spark.createDataFrame(row, ingest.RAW).write.json(f"{at}/in/bad")
+    (tmp_path / "state").mkdir()
+    (tmp_path / "state" / "bad").write_text("a file where a folder should be")
+    ended = ingest.outcomes(ingest.start_each(spark, ["good", "bad"], f"{at}/in", f"{at}/state", f"{at}/cp"), "co", datetime(2024, 1, 2))
+    assert {(company, entity): error is None for company, entity, _, error in ended} == {("co", "good"): True, ("co", "bad"): False}
+    assert ingest.current(spark, f"{at}/state/good").count() == 1
+
+
+def test_report_has_ten_columns_and_a_mark(spark, tmp_path):
+    v = spark.createDataFrame([("co", "d1", "Ann", "N1", date(2024, 1, 2), Decimal("1234.50")), ("co", "d2", None, "", None, None)], "company_id string, document_id string, vendor_name string, invoice_number string, date date, amount decimal(12,2)")
+    v = v.withColumns({c: F.lit(None).cast("boolean") for c in ("resolved", "dismissed", "marked_ok", "auto_cleared")} | {c: F.lit(None).cast("string") for c in ("reference", "display_number", "currency_code", "doc_status")})
+    f = spark.createDataFrame([("co", "d1", "duplicate_bill", "high", 0.285, "N2", True, "a, b"), ("co", "d2", "odd_rule", None, None, None, None, None)], "company_id string, transaction_id string, issue_type string, severity string, confidence double, dup_of_number string, likely_original boolean, reason string")
+    files.write_report(verdicts.report(v, f), f"{tmp_path}/r")
+    text = {p.parent.name: p.read_text("utf-8").split("\n") for p in tmp_path.rglob("part-*.txt")}
+    head = ",".join(files.REPORT.values())
+    assert text["section=Duplicate bills"][:4] == ["\ufeffDuplicate bills — 1 issue(s)", head, 'Ann,N1,2024-01-02,"£1,234.50",,N2,KEEP (original),High,28%,"a, b"', ""]
+    assert text["section=Odd Rule"][2] == ",,,,,,,,,"
+    assert files.report_lines(verdicts.report(v, f.limit(0))).count() == 0
+
+
+def test_annotations_and_suggestions_from_odd_json(spark):
+    raws = [None, "", "nope", "[1]", "3", '{"confidence": "x"}', '{"summary": null}', '{"summary": "s", "confidence": 1}']
+    rows = spark.createDataFrame([(n, r) for n, r in enumerate(raws)], "n int, raw string")
+    assert [r.a is not None for r in rows.select("n", records.annotation("raw").alias("a")).orderBy("n").collect()] == [False] * 6 + [True] * 2
+    asked = rows.selectExpr("'co' AS company_id", "string(n) AS document_id", "'wrong_category' AS primary_rule", "CAST(NULL AS STRING) AS suggested_code", "CAST(NULL AS STRING) AS vendor_name", "raw")
+    out = records.suggestions(asked).collect()
+    assert {(r.strategy, r.minutes, r.updates, r.target, r.account) for r in out} == {("manual_review", 0, None, None, None)} and len(out) == len(raws)
+
+
+def test_settings_belong_to_rules_of_the_catalogue():
+    assert {r for r, _ in catalog.TUNES.values()} <= {r[1] for r in catalog.RULES}
+    assert len({r[1] for r in catalog.RULES}) == len(catalog.RULES)
+    assert set(catalog.TUNES) | {"historical_code", "disabled_rules"} == set(Settings.__dataclass_fields__)
