@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -188,9 +189,9 @@ def opened(path: str):
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every text, appends end_id, and writes the ids in ascending id order, a file for each partition; returns the manifest.
 
-    Null and empty texts have the end id alone. Null ids come first; rows that repeat an id stay apart, ordered by text. A file
-    appears under its name when it is whole, so that a task that runs again replaces it. Extra columns aren't stored.
-    An empty table gives no files.
+    Null and empty texts have the end id alone. Null ids come first; rows that repeat an id stay apart, ordered by text. Each
+    attempt of a task writes a file of its own, and the manifest lists those of the attempts that counted: a task that runs
+    again, or twice at once, touches no file of another. Extra columns aren't stored. An empty table gives no files.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.col(f"`{text_col}`").alias("t")).repartitionByRange("d").sortWithinPartitions("d", "t")
@@ -200,13 +201,13 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 0,
         part = context.partitionId()
         table, tail = id_table(path), struct.pack("<I", end_id)
         fs, base = opened(folder)
-        name, temp = f"{base}/part-{part:06d}.ids.zst", f"{base}/.part-{part:06d}-{context.taskAttemptId()}"
+        name = f"part-{part:06d}-{context.taskAttemptId()}.ids.zst"
         writer, sink, total = None, None, 0
         for batch in batches:
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if writer is None:
                     fs.create_dir(base, recursive=True)
-                    sink = fs.open_output_stream(temp)
+                    sink = fs.open_output_stream(f"{base}/{name}", compression=None)  # the writer has compressed already
                     writer = FrameWriter(sink)
                 ids = table.encode(t.as_py() or "") + tail
                 total += len(ids) // 4
@@ -214,11 +215,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 0,
         if writer is not None:
             writer.close()
             sink.close()
-            if fs.get_file_info(name).type != pafs.FileType.NotFound:  # some stores don't move onto a file
-                fs.delete_file(name)
-            fs.move(temp, name)
             first = next((d for d, _ in writer.docs if d is not None), None)
-            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/part-{part:06d}.ids.zst"], "first_id": pa.array([first], pa.int64()), "n_docs": pa.array([len(writer.docs)], pa.int64()), "n_tokens": pa.array([total], pa.int64()), "part": pa.array([part], pa.int32())})
+            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "first_id": pa.array([first], pa.int64()), "n_docs": pa.array([len(writer.docs)], pa.int64()), "n_tokens": pa.array([total], pa.int64()), "part": pa.array([part], pa.int32())})
 
     at = f"{folder}/manifest"
     bounded(rows).mapInArrow(run, MANIFEST).write.parquet(at)
@@ -229,7 +227,8 @@ def read_token_files(manifest: DataFrame, want: set[int] | None = None) -> DataF
     """(doc_id, start, n_tokens, ids as bytes) of the documents of a manifest's files, or of the wanted ones alone.
 
     start counts the ids of all documents before, over all files: each file's first place is a sum over the manifest, which
-    has a row for each file. Frames are checked against their checksums.
+    has a row for each file. Files are in the order of their ids, so wanted documents are looked for only in the file whose
+    ids can include them. Frames are checked against their checksums.
     """
     return _read(manifest, want, [("ids", T.BinaryType(), pa.binary(), lambda ids: ids)])
 
@@ -241,9 +240,15 @@ def read_checksums(manifest: DataFrame) -> DataFrame:
 
 def _read(manifest: DataFrame, want: set[int] | None, made: list) -> DataFrame:
     spark = manifest.sparkSession
-    files = sorted((r.part, r.path, r.n_tokens) for r in manifest.select("part", "path", "n_tokens").collect())
-    starts = np.concatenate([[0], np.cumsum([n for *_, n in files])]) if files else [0]
-    listed = [(p, int(s)) for (_, p, _), s in zip(files, starts, strict=False)]
+    files = sorted((r.part, r.path, r.n_tokens, r.first_id) for r in manifest.select("part", "path", "n_tokens", "first_id").collect())
+    starts = np.concatenate([[0], np.cumsum([n for _, _, n, _ in files])]) if files else [0]
+    listed = [(path, int(s), first) for (_, path, _, first), s in zip(files, starts, strict=False)]
+    if want is not None:
+        held = [f for f in listed if f[2] is not None]  # a file without a first id holds null ids alone
+        firsts = [f[2] for f in held]
+        places = {bisect_right(firsts, d) - 1 for d in want}
+        listed = [held[k] for k in sorted(places) if k >= 0]
+    listed = [f[:2] for f in listed]
     at = spark.createDataFrame(listed, "path string, start long")
     at = at.repartition(max(1, len(listed))) if listed else at
     schema = T.StructType().add("doc_id", "long").add("start", "long").add("n_tokens", "long")

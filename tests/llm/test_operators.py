@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -268,6 +269,14 @@ def test_token_files_round_trip(spark):
     assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows] == [(i, starts[i], len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for i, w in enumerate(want)]
     some = {r.doc_id: bytes(r.ids) for r in token_files.read_token_files(manifest, {3, len(texts) - 1}).collect()}
     assert some == {i: np.array(want[i], "<u4").tobytes() for i in (3, len(texts) - 1)}
+    assert manifest.count() > 2
+    last = manifest.orderBy(F.desc("part")).first()
+    gone = last.path.removeprefix("file://")
+    os.rename(gone, gone + ".away")
+    first = token_files.read_token_files(manifest, {0}).collect()  # the last file isn't opened for it
+    assert [(r.doc_id, bytes(r.ids)) for r in first] == [(0, np.array(want[0], "<u4").tobytes())]
+    os.rename(gone + ".away", gone)
+    assert token_files.read_token_files(manifest, {-5}).count() == 0 and token_files.read_token_files(manifest, set()).count() == 0
 
 
 def test_token_files_frames_and_damage(spark, tmp_path):

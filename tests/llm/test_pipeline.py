@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from quillstone.llm import pieces
+from quillstone.llm import language_id, pieces
 from quillstone.llm.common import tokenizer_path
 
 from .test_operators import brute_lines, classes, near_copies
@@ -55,5 +55,20 @@ def test_empty_documents(spark, tables, tmp_path):
     assert P.run(spark, str(tmp_path)).count() == 0
 
 
-def test_crc_is_the_contracts():
-    assert zlib.crc32(b"12") % 4 in range(4) and F is not None
+def test_crc_is_the_contracts(spark):
+    ids = [0, 1, 7, 12, 12, 10**12, -3, None]
+    rows = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", language_id.held_out(F.col("doc_id")).alias("held")).collect()
+    assert [(r.doc_id, r.held) for r in rows] == [(i, i is not None and zlib.crc32(str(i).encode()) % 4 == 2) for i in ids]
+
+
+def test_nulls_repeats_and_long_texts(spark, tables, tmp_path):
+    """Null ids and repeated rows pass or go like others, a long text stays whole, and no stage gives a row twice."""
+    at, rows = tables
+    long = "these are words of a long text that say something new each time " + " ".join(f"word{n}" for n in range(60000))
+    odd = [(None, "a text without an id but with a language and some words in it", None, None, None), (900, long, "en", "s", len(long)), (901, None, None, None, None), (902, "", "en", None, 0)]
+    spark.createDataFrame(rows + odd, COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{at}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    sp = pieces.processor(tokenizer_path("piece_bpe_32k.model"))
+    out = P.run(spark, str(tmp_path)).collect()
+    counts = {r.doc_id: r.n_tokens for r in out}
+    assert len(counts) == len(out) and None in counts and counts[900] == len(sp.encode(long)) and not {901, 902} & set(counts)
