@@ -23,6 +23,8 @@ from .common import bounded, plus, without
 BUCKETS = 1 << 14
 #: The bound on training: so many rows of each language on average, fewer where all languages would give more than SAMPLE together. No language is left out.
 SAMPLE_PER_LANG, SAMPLE = 1200, 1200 * 256
+#: Labels up to this size are broadcast with their quotas, so that only sampled texts are shuffled.
+QUOTA_BYTES = 8 << 20
 UNDETERMINED = "und"
 
 
@@ -177,6 +179,8 @@ def train(labelled: DataFrame, order_col: str = "doc_id", text_col: str = "text"
         return Model([], np.zeros((0, BUCKETS + 1), np.float32), 1.0, idf)
     each, place = min(SAMPLE_PER_LANG, max(1, SAMPLE // len(langs))), {lang: k for k, lang in enumerate(langs)}
     quotas = rows.sparkSession.createDataFrame([(lang, place[lang], min(1.0, each / n)) for lang, n in shares], T.StructType([T.StructField("l", rows.schema["l"].dataType), T.StructField("y", T.IntegerType()), T.StructField("quota", T.DoubleType())]))
+    if sum(len(str(lang)) + 64 for lang in langs) <= QUOTA_BYTES:  # else Spark joins as it sees fit, and whole texts may be shuffled
+        quotas = F.broadcast(quotas)
     sample = rows.join(quotas, "l").where(F.pmod("o", F.lit(1 << 20)) < F.col("quota") * (1 << 20)).select("o", "y", "t")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
