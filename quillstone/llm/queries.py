@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, graph_search, html_text, language_id, line_dedup, near_dedup, pieces, secret_scan, token_counts, token_files
+from . import centroids, decontaminate, graph_search, html_text, language_id, line_dedup, near_dedup, pieces, secret_scan, token_counts, token_files, turn_repair
 from .common import tokenizer_path
 
 
@@ -58,9 +58,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(spark, _documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.drop("n_exact")
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.digests(turn_repair.repairs(turn_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_graph_search, op4_html_text, op5_sentencepiece, op6_decontaminate, op7_near_dedup, op8_token_counts, op9_language_id, op10_token_files)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_graph_search, op4_html_text, op5_sentencepiece, op6_decontaminate, op7_near_dedup, op8_token_counts, op9_language_id, op10_token_files, op11_centroid_clusters, op12_turn_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.SQL}
+    return {"op2_line_dedup": line_dedup.SQL, "op11_centroid_clusters": centroids.SQL, "op12_turn_repair": turn_repair.SQL}
