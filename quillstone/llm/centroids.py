@@ -1,9 +1,9 @@
 """Centroid clustering of integer vectors with block-norm screening.
 
-Vectors and centroids are compressed to the norms of their segments. By Cauchy and Schwarz no segment's inner product is larger than the product of its norms, so the squared
-distance is at least the sum over segments of (norm of x - norm of c)^2. A vector meets the centroids in the order of these bounds, and exact integer
-distances are computed only while the next bound isn't above the least distance found. Vectors' norms are computed once and kept beside them; a round is one pass over that table,
-whose tasks return integer sums of each cluster.
+Vectors and centroids are compressed to each segment's mean and the norm of what deviates from it. By Cauchy and Schwarz no inner product of deviations is larger than the product of their
+norms, so the squared distance is at least the sum over segments of (difference of means)^2 times the width plus (difference of norms)^2. A vector meets the centroids in the order of these bounds, and
+exact integer distances are computed only while the next bound isn't above the least distance found. Vectors are compressed once and kept so; a round is
+one pass over that table, whose tasks return integer sums of each cluster.
 """
 
 from __future__ import annotations
@@ -18,23 +18,24 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-DIM, SEGMENT, SCALE = 64, 4, 256
+DIM, SEGMENT, SCALE = 64, 2, 256
 #: Largest component that is clustered, as an integer: squared distances of such vectors fit a long.
 LARGEST = 1 << 27
 #: Vectors that meet the centroids at once.
 BLOCK = 1024
 
 
-def segment_norms(x: np.ndarray) -> np.ndarray:
-    """Norms of each row's segments."""
+def compressed(x: np.ndarray) -> np.ndarray:
+    """Each row's segment means, times the root of the width, and norms of deviations: the squared distance of two such rows bounds that of the vectors from below."""
     parts = x.reshape(len(x), DIM // SEGMENT, SEGMENT).astype(float)
-    return np.sqrt((parts * parts).sum(axis=2))
+    mean = parts.mean(axis=2)
+    return np.hstack([mean * np.sqrt(SEGMENT), np.sqrt(((parts - mean[:, :, None]) ** 2).sum(axis=2))])
 
 
-def nearest(x: np.ndarray, norms: np.ndarray, centroids: np.ndarray, centroid_norms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest(x: np.ndarray, short: np.ndarray, centroids: np.ndarray, short_centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number, squared distance, exact distances computed) of each vector's nearest centroid, the smallest number of equals."""
-    squares = (norms * norms).sum(axis=1)[:, None] + (centroid_norms * centroid_norms).sum(axis=1)
-    bound = squares - 2 * (norms @ centroid_norms.T) - 1e-9 * squares - 1e-6  # less what rounding can add
+    squares = (short * short).sum(axis=1)[:, None] + (short_centroids * short_centroids).sum(axis=1)
+    bound = squares - 2 * (short @ short_centroids.T) - 1e-9 * squares - 1e-6  # less what rounding can add
     order = np.argsort(bound, axis=1, kind="stable")
     best, at, met = np.full(len(x), np.iinfo(np.int64).max), np.full(len(x), len(centroids)), np.zeros(len(x), np.int32)
     active = np.arange(len(x))
@@ -53,7 +54,7 @@ def nearest(x: np.ndarray, norms: np.ndarray, centroids: np.ndarray, centroid_no
 
 
 def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(vec_id, x, norms): vectors of exactly DIM components, none null or non-finite, as floor(SCALE * component), with their segments' norms.
+    """(vec_id, x, short): vectors of exactly DIM components, none null or non-finite, as floor(SCALE * component), and compressed.
 
     Components whose integer is beyond LARGEST count as non-finite, as distances wouldn't fit a long.
     """
@@ -64,11 +65,11 @@ def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = segment_norms(_matrix(b.column(1)))
-            norms = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), norms], names=["vec_id", "x", "norms"])
+            flat = compressed(_matrix(b.column(1)))
+            short = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), short], names=["vec_id", "x", "short"])
 
-    return kept.mapInArrow(run, f"vec_id {kept.schema['vec_id'].dataType.simpleString()}, x array<int>, norms array<double>")
+    return kept.mapInArrow(run, f"vec_id {kept.schema['vec_id'].dataType.simpleString()}, x array<int>, short array<double>")
 
 
 def _matrix(column: pa.Array, width: int = DIM) -> np.ndarray:
@@ -78,12 +79,12 @@ def _matrix(column: pa.Array, width: int = DIM) -> np.ndarray:
 
 def _met(batches: Iterator[pa.RecordBatch], centroids: list[list[int]]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, tuple]]:
     c = np.array(centroids, np.int64)
-    norms = segment_norms(c)
+    short = compressed(c)
     for big in batches:
         for k in range(0, big.num_rows, BLOCK):
             b = big.slice(k, BLOCK)
             x = _matrix(b.column("x"))
-            yield b, x, nearest(x, _matrix(b.column("norms"), DIM // SEGMENT), c, norms)
+            yield b, x, nearest(x, _matrix(b.column("short"), 2 * DIM // SEGMENT), c, short)
 
 
 def moved(table: DataFrame, centroids: list[list[int]]) -> list[list[int]]:
@@ -97,12 +98,12 @@ def moved(table: DataFrame, centroids: list[list[int]]) -> list[list[int]]:
         of = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), pa.array(counts[of]), pa.array(list(sums[of]), pa.list_(pa.int64()))], names=["cluster", "n", "sums"])
 
-    parts = table.select("x", "norms").mapInArrow(run, "cluster int, n long, sums array<long>")
-    whole = lambda c: F.sum(c.cast("decimal(38,0)"))
-    totals = parts.groupBy("cluster").agg(F.sum("n").alias("n"), F.array(*[whole(F.col("sums")[i]) for i in range(DIM)]).alias("sums")).collect()  # a row for each centroid
-    new = list(centroids)
+    parts = table.select("x", "short").mapInArrow(run, "cluster int, n long, sums array<long>")
+    parts = parts.select("cluster", "n", F.posexplode("sums").alias("i", "s"))
+    totals = parts.groupBy("cluster", "i").agg(F.sum("n").alias("n"), F.sum(F.col("s").cast("decimal(38,0)")).alias("s")).collect()  # a number for each component of each centroid
+    new = [list(c) for c in centroids]
     for r in totals:
-        new[r["cluster"]] = [int(s) // r["n"] for s in r["sums"]]
+        new[r["cluster"]][r["i"]] = int(r["s"]) // r["n"]
     return new
 
 
