@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontaminate, graph_search, html_text, language_id, line_dedup, near_dedup, pieces, secret_scan, token_counts, token_files, turn_repair
+from . import centroids, decontaminate, graph_search, html_text, language_id, line_dedup, near_dedup, pieces, secret_scan, token_counts, token_files, turn_repair, vector_dedup
 from .common import tokenizer_path
 
 
@@ -67,9 +67,13 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.digests(turn_repair.repairs(turn_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
 
 
+def op13_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_graph_search, op4_html_text, op5_sentencepiece, op6_decontaminate, op7_near_dedup, op8_token_counts, op9_language_id, op10_token_files, op11_centroid_clusters, op12_turn_repair)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_graph_search, op4_html_text, op5_sentencepiece, op6_decontaminate, op7_near_dedup, op8_token_counts, op9_language_id, op10_token_files, op11_centroid_clusters, op12_turn_repair, op13_vector_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.SQL, "op11_centroid_clusters": centroids.SQL, "op12_turn_repair": turn_repair.SQL}
+    return {"op2_line_dedup": line_dedup.SQL, "op11_centroid_clusters": centroids.SQL, "op12_turn_repair": turn_repair.SQL, "op13_vector_dedup": vector_dedup.SQL}
