@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import contact_classes as N
 from ..operators import contact_rules as C
 from ..operators import document_rules as D
 from ..operators import duplicate_rules as U
@@ -321,6 +322,28 @@ def r34(s, d):
     return C.duplicate_contacts(contacts(s, d))
 
 
+#: Similarity of all pairs of these names, none with fillers: the common subsequence by bits, of the names and of their words in order, both of which are at most 62 characters.
+_SIMILAR = """WITH c AS (SELECT concat('C', c_custkey) AS contact_id, c_name AS name, c_custkey AS k, true AS cust FROM customer WHERE c_custkey % 11 > 0 UNION ALL SELECT concat('S', s_suppkey), s_name, s_suppkey, false FROM supplier WHERE s_suppkey % 11 > 0),
+n AS (SELECT contact_id, cust, CASE WHEN k % 4 > 0 THEN concat('GB', k % 50) END AS vat, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS p FROM c),
+f AS (SELECT *, array_to_string(list_sort(string_split(p, ' ')), ' ') AS q, replace(p, ' ', '') AS squeezed FROM n),
+b AS (SELECT *, list_distinct(list_transform(range(1, length(squeezed) - 1), lambda i: substr(squeezed, i, 3))) AS grams,
+  map_from_entries(list_transform(list_distinct(string_split(p, '')), lambda ch: (ch, list_sum(list_transform(range(1, length(p) + 1), lambda i: CASE WHEN substr(p, i, 1) = ch THEN 1::BIGINT << (i - 1) ELSE 0 END))::BIGINT))) AS pb,
+  map_from_entries(list_transform(list_distinct(string_split(q, '')), lambda ch: (ch, list_sum(list_transform(range(1, length(q) + 1), lambda i: CASE WHEN substr(q, i, 1) = ch THEN 1::BIGINT << (i - 1) ELSE 0 END))::BIGINT))) AS qb FROM f),
+pairs AS (SELECT x.contact_id AS a, y.contact_id AS b, x.p AS ap, y.p AS bp, x.q AS aq, y.q AS bq, x.pb AS apb, x.qb AS aqb, x.vat AS av, y.vat AS bv, x.cust <> y.cust AS is_split FROM b x JOIN b y ON x.contact_id < y.contact_id AND list_has_any(x.grams, y.grams)),
+s AS (SELECT *, greatest(2 * (length(ap) - bit_count(list_reduce(list_prepend((1::BIGINT << length(ap)) - 1, list_transform(string_split(bp, ''), lambda ch: coalesce(apb[ch], 0))), lambda v, m: ((v + (v & m)) | (v - (v & m))) & ((1::BIGINT << length(ap)) - 1)))),
+  2 * (length(aq) - bit_count(list_reduce(list_prepend((1::BIGINT << length(aq)) - 1, list_transform(string_split(bq, ''), lambda ch: coalesce(aqb[ch], 0))), lambda v, m: ((v + (v & m)) | (v - (v & m))) & ((1::BIGINT << length(aq)) - 1))))) / (length(ap) + length(bp))::DOUBLE AS r FROM pairs),
+l AS (SELECT *, 0.85 * r + 0.15 * r AS sim FROM s WHERE 0.85 * r + 0.15 * r >= 0.7)"""
+
+
+@rule("r34_contact_classes", _SIMILAR + """, e AS (SELECT a, b, ap, bp, av, bv, is_split, sim FROM l UNION ALL SELECT b, a, bp, ap, bv, av, is_split, sim FROM l),
+t1 AS (SELECT a, least(a, min(b)) AS c FROM e GROUP BY a), t2 AS (SELECT e.a, least(e.a, min(c)) AS c FROM e JOIN t1 ON t1.a = e.b GROUP BY e.a), t3 AS (SELECT e.a, least(e.a, min(c)) AS c FROM e JOIN t2 ON t2.a = e.b GROUP BY e.a), top AS (SELECT e.a, least(e.a, min(c)) AS class_id FROM e JOIN t3 ON t3.a = e.b GROUP BY e.a),
+best AS (SELECT *, count(*) OVER (PARTITION BY a) AS n_links, row_number() OVER (PARTITION BY a ORDER BY sim DESC, bp, b) AS nth, CASE WHEN coalesce(av, '') = '' OR coalesce(bv, '') = '' THEN 'unknown' WHEN av = bv THEN 'match' ELSE 'mismatch' END AS vat_status FROM e),
+z AS (SELECT *, CASE vat_status WHEN 'match' THEN least(sim + 0.1, 1.0) WHEN 'mismatch' THEN sim * 0.4 ELSE sim END AS conf FROM best WHERE nth = 1)
+SELECT a AS contact_id, class_id, n_links, b AS partner_id, round(sim, 4) AS similarity, round(conf, 4) AS confidence, vat_status, CASE WHEN is_split OR vat_status = 'mismatch' THEN 'low' WHEN conf >= 0.85 THEN 'high' ELSE 'medium' END AS severity, is_split FROM z JOIN top USING (a)""", "contact_id", "class_id", "n_links", "partner_id", "similarity", "confidence", "vat_status", "severity", "is_split")
+def r34_classes(s, d):
+    return N.contact_classes(contacts(s, d))
+
+
 @rule("r35_contact_defaults", _CONTACTS + """ SELECT contact_id, concat_ws(',', CASE WHEN k % 3 = 0 THEN side || '_account' END, CASE WHEN k % 5 = 0 THEN side || '_tax' END) AS missing FROM contacts WHERE k % 3 = 0 OR k % 5 = 0""")
 def r35(s, d):
     return C.missing_defaults(contacts(s, d)).select("contact_id", F.array_join("missing", ",").alias("missing"))

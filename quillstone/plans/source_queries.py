@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from datetime import date
 
@@ -20,7 +19,7 @@ from ..operators import flag_ops as O
 from ..operators import kpis as K
 from ..operators import scored_rules as G
 from ..operators import verdicts as S
-from ..operators.groups import connected
+from ..operators.groups import connected, shared_folder
 from ..sources import files as W
 from ..sources import mirror as M
 from ..sources import reports as R
@@ -45,9 +44,8 @@ def source(name: str, sql: str | None = None, prelude: bool = False):
 
 
 def _folder(s, label: str) -> str:
-    """A new folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    shared = s.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp()
+    """A new folder that driver and executors share."""
+    return f"{shared_folder(s)}/{label}-{uuid.uuid4().hex}"
 
 
 def _raw(entity, df, ident, json):
