@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import next_year_end, period, whole_months
 from ..functions.text import blank, contact_key, has_any, no_vat, payee_key, phrase, strip, upper
 from .base import DOC, EXPENSE_TYPES, MONEY_IN, MONEY_OUT, PURCHASES, PURE_EXPENSE, REVENUE_TYPES, SALES, Settings, dominant, first_line, flags, is_credit, kind, lines, with_account
+from .phrases import found
 
 # Words in names and codes.
 NO_TAX_BY_NATURE = ("wage", "salary", "salaries", "payroll", "employer ni", "national insurance", "paye", "director remuneration", "pension", "depreciat", "amortis", "corporation tax", "income tax", "donation", "rates", "grant", "dividend")
@@ -31,15 +32,31 @@ def low_cost_assets(txn: DataFrame, accounts: DataFrame, settings: Settings = Se
     return flags(hit, "low_cost_fixed_asset", "medium", line_no=F.col("line_no"), current_code=F.col("acct"))
 
 
-def capital_review(txn: DataFrame, accounts: DataFrame, settings: Settings = Settings(), words: tuple = CAPITAL_WORDS) -> DataFrame:
-    """Every large line of expense that may be a purchase of something lasting: by account, by words, or by supplier; upkeep isn't."""
+def capital_catalogue(spark: SparkSession, words: tuple = CAPITAL_WORDS) -> DataFrame:
+    """(kind, phrase): the catalogue that capital_review takes where none is given."""
+    kinds = (("capital", words), ("exclusion", NOT_CAPITAL), ("supplier", CAPITAL_SUPPLIERS))
+    return spark.createDataFrame([(kind, w) for kind, phrases in kinds for w in phrases], "kind string, phrase string")
+
+
+def capital_review(txn: DataFrame, accounts: DataFrame, settings: Settings = Settings(), words: tuple = CAPITAL_WORDS, catalogue: DataFrame | None = None) -> DataFrame:
+    """Every large line of expense that may be a purchase of something lasting: by account, by a phrase, or by supplier; upkeep isn't.
+
+    catalogue: (kind, phrase) with the kinds capital, exclusion and supplier, for a trade's own phrases; words are the capital ones where it isn't given. The reason is the capital phrase found, else
+    the supplier, else account."""
     rows = with_account(lines(txn.where(kind().isin("ACCPAY", "SPEND", "MANJOURNAL")), "description", "reference"), accounts)
-    text = F.concat_ws(" ", "description", "reference", "vendor_name", "line_text")
+    rows = rows.where(F.col("account_type").isin(*PURE_EXPENSE) & (F.abs("line_amount") > settings.capital_min))
     codes = [c.upper() for c in settings.monitored_accounts]
     watched = F.upper("acct").isin(*codes) if codes else has_any("account_name", REVIEWED_NAMES)
-    hit = rows.where(F.col("account_type").isin(*PURE_EXPENSE) & (F.abs("line_amount") > settings.capital_min) & (phrase(text, NOT_CAPITAL) == ""))
-    hit = hit.where(F.coalesce(watched, F.lit(False)) | (phrase(text, words) != "") | (phrase("vendor_name", CAPITAL_SUPPLIERS) != ""))
-    return flags(hit, "capital_item_review", "medium", line_no=F.col("line_no"), current_code=F.col("acct"))
+    key = [*DOC, "line_no"]
+    both = F.array(F.struct(F.concat_ws(" ", "description", "reference", "vendor_name", "line_text").alias("text"), F.lit(False).alias("name")), F.struct(F.col("vendor_name").alias("text"), F.lit(True).alias("name")))
+    texts = rows.select(*key, F.explode(both).alias("x")).select(*key, "x.text", "x.name")
+    hits = found(texts, [*key, "name"], catalogue if catalogue is not None else capital_catalogue(txn.sparkSession, words)).where(F.col("name") == (F.col("kind") == "supplier"))
+    of = lambda k: F.max(F.when(F.col("kind") == k, F.col("phrase"))).alias(k)
+    hits = hits.groupBy(*[F.col(k).alias(f"p_{k}") for k in key]).agg(of("capital"), of("exclusion"), of("supplier"))
+    same = (F.col("company_id") == F.col("p_company_id")) & (F.col("transaction_id") == F.col("p_transaction_id")) & F.col("line_no").eqNullSafe(F.col("p_line_no"))
+    hit = rows.join(hits, same, "left").where(F.col("exclusion").isNull())
+    hit = hit.where(F.coalesce(watched, F.lit(False)) | F.col("capital").isNotNull() | F.col("supplier").isNotNull())
+    return flags(hit, "capital_item_review", "medium", line_no=F.col("line_no"), current_code=F.col("acct"), reason=F.coalesce("capital", "supplier", F.lit("account")))
 
 
 def _prepaid(txn: DataFrame, accounts: DataFrame, settings: Settings) -> DataFrame:

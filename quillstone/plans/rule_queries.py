@@ -112,6 +112,24 @@ def r13(s, d):
     return L.capital_review(V.documents(s, d), V.accounts(s))
 
 
+#: A trade's catalogue from the tables: parts that last, those that are used up, and some suppliers.
+_CATALOGUE = """SELECT DISTINCT 'capital' AS kind, p_name AS phrase FROM {part} WHERE p_name LIKE '%gear' OR p_name LIKE '%gizmo'
+UNION ALL SELECT DISTINCT 'capital', split_part(p_name, ' ', 1) FROM {part} WHERE p_name LIKE 'small %' UNION ALL SELECT DISTINCT 'capital', split_part(p_name, ' ', 2) FROM {part} WHERE p_name LIKE '% widget'
+UNION ALL SELECT DISTINCT 'exclusion', p_name FROM {part} WHERE p_name = 'old bolt' UNION ALL SELECT DISTINCT 'exclusion', split_part(p_name, ' ', 1) FROM {part} WHERE p_name LIKE 'hot %'
+UNION ALL SELECT DISTINCT 'supplier', s_name FROM {supplier} WHERE s_suppkey % 7 = 0"""
+
+
+@rule("r13_phrase_catalogue", f"""WITH k AS ({_CATALOGUE.format(part='part', supplier='supplier')}),
+h AS (SELECT transaction_id, kind, phrase, strpos(' ' || lower(CASE WHEN kind = 'supplier' THEN vendor_name ELSE concat_ws(' ', description, vendor_name) END) || ' ', ' ' || lower(phrase) || ' ') AS place FROM v_bills, k WHERE account_code IN ('429', '461', '473') AND amount > 500 AND place > 0),
+f AS (SELECT transaction_id, kind, phrase FROM h QUALIFY row_number() OVER (PARTITION BY transaction_id, kind ORDER BY place, length(phrase) DESC, phrase) = 1),
+w AS (SELECT transaction_id, max(CASE WHEN kind = 'capital' THEN phrase END) AS capital, max(CASE WHEN kind = 'exclusion' THEN phrase END) AS exclusion, max(CASE WHEN kind = 'supplier' THEN lower(phrase) END) AS supplier FROM f GROUP BY 1)
+SELECT b.transaction_id, 'capital_item_review' AS issue_type, 'medium' AS severity, b.account_code AS current_code, coalesce(capital, supplier, 'account') AS reason FROM v_bills b LEFT JOIN w USING (transaction_id)
+WHERE account_code IN ('429', '461', '473') AND amount > 500 AND exclusion IS NULL AND (account_code IN ('461', '473') OR capital IS NOT NULL OR supplier IS NOT NULL)""", *ID, "current_code", "reason")
+def r13_catalogue(s, d):
+    table = lambda t: f"parquet.`{d}/{t}.parquet`"
+    return L.capital_review(V.documents(s, d), V.accounts(s), catalogue=s.sql(_CATALOGUE.format(part=table("part"), supplier=table("supplier"))))
+
+
 _TERMS = """WITH p AS (SELECT seq, transaction_id, amount, account_code, CASE WHEN seq % 3 = 0 THEN make_date(year(date), 3, 15) ELSE date END AS s, CASE WHEN seq % 3 = 0 THEN make_date(year(date) + 1, 3, 14) ELSE CAST(date + INTERVAL 12 MONTH - INTERVAL 1 DAY AS DATE) END AS e
 FROM v_bills WHERE account_code IN ('429', '461', '473') AND amount > 250),
 q AS (SELECT *, make_date(year(s), 12, 31) AS y FROM p),
