@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from datetime import date
 
@@ -22,12 +23,17 @@ DOC = ["company_id", "transaction_id"]
 FLAG = {"company_id": "string", "transaction_id": "string", "issue_type": "string", "severity": "string", "line_no": "int", "current_code": "string", "suggested_code": "string", "confidence": "double", "dup_of_id": "string", "likely_original": "boolean", "reason": "string"}
 
 
+#: Values that a setting may have, where only some make sense.
+CHOICES = {"old_unpaid_age_basis": ("due_date", "invoice_date")}
+
+
 @dataclass(frozen=True)
 class Settings:
     """Thresholds and lists of the rules; unknown names and bad values are ignored by of()."""
 
     old_unpaid_invoice_days: int = 1
     old_unpaid_bill_days: int = 1
+    old_unpaid_age_basis: str = "due_date"
     old_credit_days: int = 60
     unapproved_days: int = 0
     inactive_days: int = 180
@@ -59,10 +65,14 @@ class Settings:
     historical_code: str = "840"
     monitored_accounts: tuple = ()
     ignored_contacts: tuple = ()
+    undocumented_ignored_contacts: tuple = ()
     ignored_accounts: tuple = ()
     vague_codes: tuple = ()
     account_whitelist: tuple = ()
     disabled_rules: tuple = field(default=())
+    payroll_names: tuple = ()
+    excluded_bank_accounts: tuple = ()
+    least_model_confidence: float = 0.8
 
     @classmethod
     def of(cls, values: dict | None) -> Settings:
@@ -79,9 +89,10 @@ class Settings:
                 if f.type == "bool":
                     good[k] = v if isinstance(v, bool) else str(v).strip().lower() in ("1", "true", "yes", "on")
                 elif f.type == "tuple":
-                    good[k] = tuple(str(x).strip() for x in v if str(x).strip())
+                    good[k] = tuple(str(x).strip() for x in (v.split(",") if isinstance(v, str) else v) if str(x).strip())
                 elif f.type == "str":
-                    good[k] = str(v).strip()
+                    if (text := str(v).strip()) and text.lower() in CHOICES.get(k, (text.lower(),)):
+                        good[k] = text.lower() if k in CHOICES else text
                 else:
                     x = float(v)
                     if x != x or x in (float("inf"), float("-inf")) or x < 0:
@@ -91,6 +102,64 @@ class Settings:
                 continue
         return cls(**good)
 
+    def as_json(self) -> str:
+        """All settings as a JSON object, lists as arrays."""
+        return json.dumps({k: list(v) if isinstance(v, tuple) else v for k in self.__dataclass_fields__ for v in (getattr(self, k),)})
+
+    def joined(self, rows: DataFrame) -> DataFrame:
+        """rows ready for value(): these settings hold for all companies, so nothing is added."""
+        return rows
+
+    def value(self, name: str) -> Column:
+        """A setting as a column of rows that went through joined(); a list is an array."""
+        v = getattr(self, name)
+        return F.array(*map(F.lit, v)).cast("array<string>") if isinstance(v, tuple) else F.lit(v)
+
+
+class CompanySettings:
+    """Settings of any number of companies as a frame that rules join by company_id: thresholds are columns, and one plan serves all companies.
+
+    configs: company_id, config (a JSON object as it is stored). Unknown names and bad values are ignored, as by Settings.of; a company without a config, or with none that
+    can be read, has the defaults. Of several configs of a company the least text counts.
+    """
+
+    def __init__(self, configs: DataFrame):
+        raw = configs.groupBy(F.col("company_id").alias("cfg_co")).agg(F.min("config").alias("config")).select("cfg_co", F.from_json("config", "map<string,string>").alias("raw"))
+        self.frame = raw.select("cfg_co", F.struct(*(self._coerced(name, f.type).alias(name) for name, f in Settings.__dataclass_fields__.items())).alias("cfg"))
+
+    @staticmethod
+    def _coerced(name: str, kind: str) -> Column:
+        v = F.trim(F.col("raw")[name])
+        if name in ("old_unpaid_invoice_days", "old_unpaid_bill_days"):
+            v = F.coalesce(v, F.trim(F.col("raw")["overdue_days"]))
+        if kind == "bool":
+            return F.when(v.isNotNull(), F.lower(v).isin("1", "true", "yes", "on"))
+        if kind == "tuple":
+            listed = F.when(v.startswith("["), F.from_json(v, "array<string>")).otherwise(F.split(v, ","))
+            return F.filter(F.transform(listed, lambda x: F.trim(x)), lambda x: x != "")
+        if kind == "str":
+            return F.when((v != "") & (F.lower(v).isin(*CHOICES[name]) if name in CHOICES else F.lit(True)), F.lower(v) if name in CHOICES else v)
+        x = v.try_cast("double")
+        good = F.when((x >= 0) & ~F.isnan(x) & (x < float("inf")), x)
+        return good.cast("int") if kind == "int" else good
+
+    def joined(self, rows: DataFrame) -> DataFrame:
+        """rows with their company's settings as cfg; Spark broadcasts the frame where it is small."""
+        return rows.join(self.frame, F.col("company_id") == F.col("cfg_co"), "left").drop("cfg_co")
+
+    def value(self, name: str) -> Column:
+        return F.coalesce(F.col("cfg")[name], Settings().value(name))
+
+    def least(self, name: str) -> float:
+        """The least value of a number over all companies, defaults included."""
+        own = self.frame.select(F.min(F.col("cfg")[name])).first()[0]
+        return min(getattr(Settings(), name), own if own is not None else getattr(Settings(), name))
+
+
+def is_listed(x: Column | str, names: Column) -> Column:
+    """Whether an upper-case text is on a list of settings, in any case."""
+    return F.array_contains(F.transform(names, lambda n: F.upper(n)), F.col(x) if isinstance(x, str) else x)
+
 
 def flags(rows: DataFrame, issue: Column | str, severity: Column | str, **more: Column | str) -> DataFrame:
     """Rows as flags; columns that aren't given are null."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, has_any, squeezed, strip, upper
-from .base import CREDITS, DRAFTS, MONEY_OUT, OPEN, PURCHASES, SALES, Settings, days_old, flags, is_credit, kind, lines, outstanding
+from .base import CREDITS, DRAFTS, MONEY_OUT, OPEN, PURCHASES, SALES, Settings, days_old, flags, is_credit, is_listed, kind, lines, outstanding
 
 
 def missing_tax(txn: DataFrame) -> DataFrame:
@@ -42,11 +42,11 @@ def future_dated(txn: DataFrame, as_of: date) -> DataFrame:
 
 
 def old_unpaid(txn: DataFrame, as_of: date, settings: Settings = Settings()) -> DataFrame:
-    """Open documents with something owing, a threshold of days past their due date (else their date). What isn't sales counts as a bill."""
+    """Open documents with something owing, a threshold of days past their due date (else their date), or past their date by old_unpaid_age_basis. What isn't sales counts as a bill."""
     sales = kind().isin(*SALES)
-    age = days_old(F.coalesce("due_date", "date"), as_of)
-    limit = F.when(sales, settings.old_unpaid_invoice_days).otherwise(settings.old_unpaid_bill_days)
-    hit = txn.where(~is_credit() & (blank("status") | upper("status").isin(*OPEN)) & (outstanding() > 0) & (age >= limit))
+    age = days_old(F.when(settings.value("old_unpaid_age_basis") == "due_date", F.coalesce("due_date", "date")).otherwise(F.col("date")), as_of)
+    limit = F.when(sales, settings.value("old_unpaid_invoice_days")).otherwise(settings.value("old_unpaid_bill_days"))
+    hit = settings.joined(txn).where(~is_credit() & (blank("status") | upper("status").isin(*OPEN)) & (outstanding() > 0) & (age >= limit))
     return flags(hit, F.when(sales, "old_unpaid_invoice").otherwise("old_unpaid_bill"), "high", reason=F.concat(age.cast("string"), F.lit(" days")))
 
 
@@ -58,24 +58,22 @@ def invalid_status(txn: DataFrame) -> DataFrame:
 
 
 def old_credits(txn: DataFrame, as_of: date, settings: Settings = Settings()) -> DataFrame:
-    hit = txn.where(is_credit() & (outstanding() > 0) & (days_old("date", as_of) >= settings.old_credit_days))
+    hit = settings.joined(txn).where(is_credit() & (outstanding() > 0) & (days_old("date", as_of) >= settings.value("old_credit_days")))
     return flags(hit, F.when(kind() == CREDITS[0], "old_unsettled_sales_credit").otherwise("old_unsettled_purchase_credit"), "high")
 
 
 def unapproved(txn: DataFrame, as_of: date, settings: Settings = Settings()) -> DataFrame:
     """Drafts and submitted documents of the threshold's age; those dated ahead aren't old."""
-    hit = txn.where(upper("status").isin(*DRAFTS) & (days_old(F.coalesce("posted_date", "date"), as_of) >= settings.unapproved_days))
+    hit = settings.joined(txn).where(upper("status").isin(*DRAFTS) & (days_old(F.coalesce("posted_date", "date"), as_of) >= settings.value("unapproved_days")))
     return flags(hit, F.when(kind().isin(*SALES), "unapproved_invoice").otherwise("unapproved_bill"), "medium")
 
 
 def undocumented(txn: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Bills and payments known to have no attachment; unknown isn't none."""
-    ignored = [c.upper() for c in settings.ignored_contacts]
-    hit = txn.where(kind().isin("ACCPAY", *MONEY_OUT) & F.col("has_attachments").eqNullSafe(F.lit(False)) & (F.abs("amount") >= settings.undocumented_min))
-    if settings.undocumented_tax_only:
-        hit = hit.where(~blank("tax_code"))
-    if ignored:
-        hit = hit.where(~upper("contact_id").isin(*ignored) & ~upper("vendor_name").isin(*ignored))
+    ignored = settings.value("undocumented_ignored_contacts")
+    hit = settings.joined(txn.where(kind().isin("ACCPAY", *MONEY_OUT) & F.col("has_attachments").eqNullSafe(F.lit(False))))
+    hit = hit.where((F.abs("amount") >= settings.value("undocumented_min")) & (~settings.value("undocumented_tax_only") | ~blank("tax_code")))
+    hit = hit.where(~is_listed(upper("contact_id"), ignored) & ~is_listed(upper("vendor_name"), ignored))
     return flags(hit, "undocumented_bill", "medium")
 
 
@@ -83,7 +81,7 @@ def opening_balance_postings(txn: DataFrame, accounts: DataFrame, settings: Sett
     """Documents posted to the historical adjustment account, by code or by name."""
     named = accounts.where(has_any("name", ("historical adjustment", "opening balance"))).select(F.col("company_id").alias("a_co"), strip("code").alias("a_code")).distinct()
     rows = txn.withColumn("acct", strip("account_code")).join(named, (F.col("company_id") == F.col("a_co")) & (F.col("acct") == F.col("a_code")), "left")
-    hit = rows.where((F.col("acct") != "") & ((F.col("acct") == settings.historical_code) | F.col("a_code").isNotNull()))
+    hit = settings.joined(rows).where((F.col("acct") != "") & ((F.col("acct") == settings.value("historical_code")) | F.col("a_code").isNotNull()))
     return flags(hit, "opening_balance_difference", "high", current_code=F.col("acct"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import next_year_end, period, whole_months
 from ..functions.text import blank, contact_key, has_any, no_vat, payee_key, phrase, strip, upper
-from .base import DOC, EXPENSE_TYPES, MONEY_IN, MONEY_OUT, PURCHASES, PURE_EXPENSE, REVENUE_TYPES, SALES, Settings, dominant, first_line, flags, is_credit, kind, lines, with_account
+from .base import DOC, EXPENSE_TYPES, MONEY_IN, MONEY_OUT, PURCHASES, PURE_EXPENSE, REVENUE_TYPES, SALES, Settings, dominant, first_line, flags, is_credit, is_listed, kind, lines, with_account
 from .phrases import found
 
 # Words in names and codes.
@@ -27,8 +27,8 @@ CAPITAL_WORDS = ("laptop", "computer", "server", "printer", "monitor", "furnitur
 
 def low_cost_assets(txn: DataFrame, accounts: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Every line on a fixed-asset account below the limit; credit notes aside."""
-    rows = with_account(lines(txn.where(~is_credit())), accounts)
-    hit = rows.where(F.col("account_type").isin("FIXED", "FIXEDASSET") & (F.abs("line_amount") > 0) & (F.abs("line_amount") < settings.low_cost_limit))
+    rows = settings.joined(with_account(lines(txn.where(~is_credit())), accounts))
+    hit = rows.where(F.col("account_type").isin("FIXED", "FIXEDASSET") & (F.abs("line_amount") > 0) & (F.abs("line_amount") < settings.value("low_cost_limit")))
     return flags(hit, "low_cost_fixed_asset", "medium", line_no=F.col("line_no"), current_code=F.col("acct"))
 
 
@@ -44,9 +44,9 @@ def capital_review(txn: DataFrame, accounts: DataFrame, settings: Settings = Set
     catalogue: (kind, phrase) with the kinds capital, exclusion and supplier, for a trade's own phrases; words are the capital ones where it isn't given. The reason is the capital phrase found, else
     the supplier, else account."""
     rows = with_account(lines(txn.where(kind().isin("ACCPAY", "SPEND", "MANJOURNAL")), "description", "reference"), accounts)
-    rows = rows.where(F.col("account_type").isin(*PURE_EXPENSE) & (F.abs("line_amount") > settings.capital_min))
-    codes = [c.upper() for c in settings.monitored_accounts]
-    watched = F.upper("acct").isin(*codes) if codes else has_any("account_name", REVIEWED_NAMES)
+    rows = settings.joined(rows.where(F.col("account_type").isin(*PURE_EXPENSE)))
+    codes = settings.value("monitored_accounts")
+    rows = rows.where(F.abs("line_amount") > settings.value("capital_min")).withColumn("watched", F.when(F.size(codes) > 0, is_listed(F.upper("acct"), codes)).otherwise(has_any("account_name", REVIEWED_NAMES)))
     key = [*DOC, "line_no"]
     both = F.array(F.struct(F.concat_ws(" ", "description", "reference", "vendor_name", "line_text").alias("text"), F.lit(False).alias("name")), F.struct(F.col("vendor_name").alias("text"), F.lit(True).alias("name")))
     texts = rows.select(*key, F.explode(both).alias("x")).select(*key, "x.text", "x.name")
@@ -55,15 +55,16 @@ def capital_review(txn: DataFrame, accounts: DataFrame, settings: Settings = Set
     hits = hits.groupBy(*[F.col(k).alias(f"p_{k}") for k in key]).agg(of("capital"), of("exclusion"), of("supplier"))
     same = (F.col("company_id") == F.col("p_company_id")) & (F.col("transaction_id") == F.col("p_transaction_id")) & F.col("line_no").eqNullSafe(F.col("p_line_no"))
     hit = rows.join(hits, same, "left").where(F.col("exclusion").isNull())
-    hit = hit.where(F.coalesce(watched, F.lit(False)) | F.col("capital").isNotNull() | F.col("supplier").isNotNull())
+    hit = hit.where(F.coalesce("watched", F.lit(False)) | F.col("capital").isNotNull() | F.col("supplier").isNotNull())
     return flags(hit, "capital_item_review", "medium", line_no=F.col("line_no"), current_code=F.col("acct"), reason=F.coalesce("capital", "supplier", F.lit("account")))
 
 
 def _prepaid(txn: DataFrame, accounts: DataFrame, settings: Settings) -> DataFrame:
     """Every large line of expense whose term runs past the year-end by a whole month: year_end, months after it and in total, the prepaid part."""
-    rows = with_account(lines(txn.where(~is_credit()), "date", "description", "reference"), accounts).where(F.col("account_type").isin(*PURE_EXPENSE) & (F.abs("line_amount") > settings.prepayment_min))
+    rows = settings.joined(with_account(lines(txn.where(~is_credit()), "date", "description", "reference"), accounts).where(F.col("account_type").isin(*PURE_EXPENSE)))
+    rows = rows.where(F.abs("line_amount") > settings.value("prepayment_min"))
     rows = rows.withColumn("p", period(F.concat_ws(" ", "line_text", "description", "reference"), "date")).where("p.start is not null")
-    rows = rows.withColumn("year_end", next_year_end("p.start", settings.year_end_month, settings.year_end_day)).withColumn("after", whole_months("year_end", "p.end"))
+    rows = rows.withColumn("year_end", next_year_end("p.start", settings.value("year_end_month"), settings.value("year_end_day"))).withColumn("after", whole_months("year_end", "p.end"))
     rows = rows.withColumn("total", F.greatest(F.rint(F.datediff("p.end", "p.start") / 30.44), F.lit(1)))
     hit = rows.where((F.col("p.end") > F.col("year_end")) & (F.col("after") >= 1))
     prepaid = F.bround(F.col("line_amount") * F.least(F.col("after"), F.col("total")).cast("decimal(10,0)") / F.col("total").cast("decimal(10,0)"), 2)
@@ -93,26 +94,24 @@ def unusual_payments(txn: DataFrame, accounts: DataFrame, settings: Settings = S
     seen = paid.groupBy(F.col("company_id").alias("s_co"), F.col("payee").alias("s_payee")).agg(F.count(F.lit(1)).alias("n_seen"))
     texts = F.concat_ws(" ", "description", "reference", F.array_join(F.transform("line_items", lambda x: x["description"]), " "))
     unclear = (F.regexp_replace(texts, r"(?U)\s", "") == "") | F.lower(F.regexp_replace(strip("description"), r"(?U)\s+", " ")).isin(*GENERIC)
-    known = paid.join(seen, (F.col("company_id") == F.col("s_co")) & (F.col("payee") == F.col("s_payee")))
-    large = (F.abs(F.coalesce("amount", F.lit(0))) >= settings.large_payment) & (F.col("n_seen") <= settings.one_off_max)
+    known = settings.joined(paid.join(seen, (F.col("company_id") == F.col("s_co")) & (F.col("payee") == F.col("s_payee"))))
+    large = (F.abs(F.coalesce("amount", F.lit(0))) >= settings.value("large_payment")) & (F.col("n_seen") <= settings.value("one_off_max"))
     reason = F.when(unclear & (F.col("n_seen") == 1), "unidentified_supplier").when(unclear, "unclear_description").when(large, "one_off_supplier")
     rows = with_account(lines(paid), accounts).where((F.col("acct") != "") & F.col("account_type").isin(*PURE_EXPENSE) & F.col("line_amount").isNotNull())
-    usual = rows.groupBy(F.col("company_id").alias("u_co"), F.col("acct").alias("u_acct")).agg(F.sum(F.abs("line_amount")).alias("total"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= settings.account_min_count) & (F.col("total") > 0))
-    above = rows.join(usual, (F.col("company_id") == F.col("u_co")) & (F.col("acct") == F.col("u_acct"))).where(F.abs("line_amount") * F.col("n") >= F.col("total") * F.lit(settings.account_multiple).cast("decimal(6,2)"))
+    usual = rows.groupBy(F.col("company_id").alias("u_co"), F.col("acct").alias("u_acct")).agg(F.sum(F.abs("line_amount")).alias("total"), F.count(F.lit(1)).alias("n")).where(F.col("total") > 0)
+    above = settings.joined(rows.join(usual, (F.col("company_id") == F.col("u_co")) & (F.col("acct") == F.col("u_acct")))).where(F.col("n") >= settings.value("account_min_count"))
+    above = above.where(F.abs("line_amount") * F.col("n") >= F.col("total") * settings.value("account_multiple").cast("decimal(6,2)"))
     first = first_line(above, "acct")
     all_ = known.select(*DOC, reason.alias("why")).join(first, DOC, "left").withColumn("r", F.coalesce("why", F.when(F.col("acct").isNotNull(), "large_vs_account"))).where("r is not null")
     return flags(all_, "unusual_payment", "medium", line_no=F.when(F.col("why").isNull(), F.col("line_no")), current_code=F.when(F.col("why").isNull(), F.col("acct")), reason=F.col("r"))
 
 
 def _tax_missing(txn: DataFrame, accounts: DataFrame, types: tuple, issue: str, exempt: tuple, settings: Settings) -> DataFrame:
-    contacts, codes = [c.upper() for c in settings.ignored_contacts], [c.upper() for c in settings.ignored_accounts]
     rows = with_account(lines(txn), accounts).where((F.col("acct") != "") & F.col("account_type").isin(*types) & no_vat("tax"))
     if exempt:
         rows = rows.where(~has_any("account_name", exempt))
-    if codes:
-        rows = rows.where(~F.upper("acct").isin(*codes))
-    if contacts:
-        rows = rows.where(~upper("contact_id").isin(*contacts) & ~upper("vendor_name").isin(*contacts))
+    rows, contacts = settings.joined(rows), settings.value("ignored_contacts")
+    rows = rows.where(~is_listed(F.upper("acct"), settings.value("ignored_accounts")) & ~is_listed(upper("contact_id"), contacts) & ~is_listed(upper("vendor_name"), contacts))
     return flags(first_line(rows.withColumn("code", strip("tax")), "code"), issue, "medium", line_no=F.col("line_no"), current_code=F.col("code"))
 
 
@@ -146,12 +145,12 @@ def purchase_tax_on_invoices(txn: DataFrame, accounts: DataFrame, rates: DataFra
     return _wrong_side(txn, accounts, rates, SALES + MONEY_IN, "applies_to_revenue", INPUT_WORDS, "purchase_tax_on_invoices")
 
 
-def _several_codes(txn: DataFrame, value: str, issue: str, code, skip: tuple = ()) -> DataFrame:
+def _several_codes(txn: DataFrame, value: str, issue: str, code, settings: Settings | None = None) -> DataFrame:
     """Contacts whose lines carry two codes or more: their documents, at the first line that isn't the contact's usual code."""
     rows = lines(txn).withColumn("who", contact_key()).withColumn("code", code(value)).where("code <> ''")
-    if skip:
-        low = [s.lower() for s in skip]
-        rows = rows.where(~F.lower("who").isin(*low) & ~F.lower(strip("vendor_name")).isin(*low))
+    if settings is not None:
+        rows, skip = settings.joined(rows), settings.value("account_whitelist")
+        rows = rows.where(~is_listed(F.upper("who"), skip) & ~is_listed(upper("vendor_name"), skip))
     usual = dominant(rows, ["company_id", "who"], "code").where("n_values >= 2")
     odd = rows.join(usual, ["company_id", "who"]).where("code <> top_code")
     return flags(first_line(odd, "code", "top_code"), issue, "medium", line_no=F.col("line_no"), current_code=F.col("code"), suggested_code=F.col("top_code"))
@@ -162,7 +161,7 @@ def several_tax_codes(txn: DataFrame) -> DataFrame:
 
 
 def several_accounts(txn: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    return _several_codes(txn, "account", "multi_account_supplier", strip, settings.account_whitelist)
+    return _several_codes(txn, "account", "multi_account_supplier", strip, settings)
 
 
 def _unexpected(txn: DataFrame, defaults: DataFrame, value: str, sales: str, purchases: str, issue: str, code) -> DataFrame:
@@ -191,19 +190,18 @@ def wrong_direction(txn: DataFrame, accounts: DataFrame) -> DataFrame:
 
 def misallocated(txn: DataFrame, accounts: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The first line of some size on an account for things nobody sorted."""
-    vague = F.coalesce(has_any("account_name", VAGUE), F.lit(False))
-    if settings.vague_codes:
-        vague = vague | F.col("acct").isin(*settings.vague_codes)
-    rows = with_account(lines(txn), accounts).where((F.col("acct") != "") & (F.abs("line_amount") >= settings.misallocated_min) & vague)
+    vague = F.coalesce(has_any("account_name", VAGUE), F.lit(False)) | is_listed(F.upper("acct"), settings.value("vague_codes"))
+    rows = settings.joined(with_account(lines(txn), accounts)).where((F.col("acct") != "") & (F.abs("line_amount") >= settings.value("misallocated_min")) & vague)
     return flags(first_line(rows, "acct"), "misallocated_item", "medium", line_no=F.col("line_no"), current_code=F.col("acct"))
 
 
 def outliers(txn: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Documents of some multiple of their contact's exact median, which takes a number of documents; with the contact's usual account."""
     rows = txn.where(F.col("amount") > 0).withColumn("who", contact_key())
-    usual = rows.groupBy("company_id", "who").agg(F.count(F.lit(1)).alias("n"), F.percentile("amount", F.lit(0.5)).alias("mid")).where(F.col("n") >= settings.outlier_min_count)
+    usual = rows.groupBy("company_id", "who").agg(F.count(F.lit(1)).alias("n"), F.percentile("amount", F.lit(0.5)).alias("mid"))
     coded = dominant(rows.where(~blank("account_code")).select("company_id", "who", "seq", F.lit(0).alias("line_no"), strip("account_code").alias("code")), ["company_id", "who"], "code")
-    hit = rows.join(usual, ["company_id", "who"]).where((F.col("amount") >= settings.outlier_multiple * F.col("mid")) & (F.col("amount") >= settings.outlier_min_amount)).join(coded, ["company_id", "who"], "left")
+    rows = settings.joined(rows.join(usual, ["company_id", "who"])).where(F.col("n") >= settings.value("outlier_min_count"))
+    hit = rows.where((F.col("amount") >= settings.value("outlier_multiple") * F.col("mid")) & (F.col("amount") >= settings.value("outlier_min_amount"))).join(coded, ["company_id", "who"], "left")
     return flags(hit, "amount_outlier", "medium", confidence=F.lit(0.85), current_code=F.col("top_code"), reason=F.round(F.col("amount").cast("double") / F.col("mid"), 2).cast("string"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import vendor_account
 from ..functions.text import blank, code_in_text, strip
-from .base import Settings
+from .base import CompanySettings, Settings
 from .verdicts import KEY
 
 #: Rules whose fix is another account.
@@ -25,18 +25,28 @@ class AuditContext:
     accounts: DataFrame
     tax_rates: DataFrame
     contacts: DataFrame
-    settings: dict[str, Settings] = field(default_factory=dict)
+    settings: Settings | CompanySettings = Settings()
+    employees: DataFrame | None = None
+    companies: DataFrame | None = None
+    catalogue: DataFrame | None = None
 
-    def of(self, company: str) -> Settings:
-        return self.settings.get(company, Settings())
+    def payroll(self, settings: Settings | CompanySettings) -> DataFrame:
+        """(company_id, name): employees of the payroll, and names that the settings add."""
+        if isinstance(settings, CompanySettings):
+            named = settings.frame.select(F.col("cfg_co").alias("company_id"), F.explode("cfg.payroll_names").alias("name"))
+        else:
+            named = self.accounts.select("company_id").distinct().select("company_id", F.explode(settings.value("payroll_names")).alias("name"))
+        return named if self.employees is None else self.employees.select("company_id", "name").union(named)
 
 
-def context(accounts: DataFrame, tax_rates: DataFrame, contacts: DataFrame, configs: dict[str, dict] | None = None) -> AuditContext:
+def context(accounts: DataFrame, tax_rates: DataFrame, contacts: DataFrame, configs: DataFrame | None = None, employees: DataFrame | None = None, companies: DataFrame | None = None, catalogue: DataFrame | None = None) -> AuditContext:
     """Context of a run: accounts and rates without a code and contacts without an id are left out, active ones come first where a code repeats.
 
-    accounts, tax_rates: company_id, code, active and more; contacts: company_id, contact_id and more; configs: a company's settings as they are stored."""
+    accounts, tax_rates: company_id, code, active and more; contacts: company_id, contact_id and more; configs: company_id, config (settings as JSON, as they are stored); employees: company_id, name;
+    companies: company_id, vat_registered, ignore_before; catalogue: phrases of capital items (kind, phrase)."""
     coded = lambda df: one_of(df.where(~blank("code")).withColumn("code", strip("code")), ["company_id", "code"])
-    return AuditContext(coded(accounts), coded(tax_rates), contacts.where(~blank("contact_id")), {c: Settings.of(v) for c, v in (configs or {}).items()})
+    settings = Settings() if configs is None else CompanySettings(configs)
+    return AuditContext(coded(accounts), coded(tax_rates), contacts.where(~blank("contact_id")), settings, employees, companies, catalogue)
 
 
 def one_of(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -320,9 +320,13 @@ f AS (SELECT a FROM t WHERE n >= 8 AND NOT EXISTS (SELECT 1 FROM m WHERE m.a = t
 SELECT a AS account, CASE WHEN run >= 2 THEN 'large_gap' ELSE 'missing_month' END AS reason, CASE WHEN run >= 2 THEN 'high' ELSE 'medium' END AS severity, '1998-' || lpad(CAST(k + 1 AS VARCHAR), 2, '0') AS month, CAST(run AS INT) AS run, CAST(average AS DECIMAL(18,2)) AS average FROM runs JOIN t USING (a)
 UNION ALL SELECT a, CASE WHEN EXISTS (SELECT 1 FROM x WHERE x.a = f.a AND x.date > DATE '1998-12-31' AND x.amount > 0) THEN 'post_year_cutoff' ELSE 'final_month_missing' END, 'high', '1998-12', 1, CAST(average AS DECIMAL(18,2)) FROM f JOIN t USING (a)""", "account", "reason", "severity", "month", "run", "average")
 def r33(s, d):
+    return L.accruals(accrual_bills(s, d), V.accounts(s), date(1998, 12, 31))
+
+
+def accrual_bills(s, d):
+    """Bills with months that lack an account's."""
     acct = F.col("account_code")
-    b = V.bills(s, d).where(~F.month("date").isin(3, 4) & (F.month("date") != acct.cast("int") % 7 + 6) & ~((acct == "461") & F.col("date").between(date(1998, 12, 1), date(1998, 12, 31))))
-    return L.accruals(b, V.accounts(s), date(1998, 12, 31))
+    return V.bills(s, d).where(~F.month("date").isin(3, 4) & (F.month("date") != acct.cast("int") % 7 + 6) & ~((acct == "461") & F.col("date").between(date(1998, 12, 1), date(1998, 12, 31))))
 
 
 def contacts(s: SparkSession, d: str) -> DataFrame:

@@ -11,8 +11,6 @@ from ..functions import classify as Z
 from ..functions import dates as T
 from ..functions import text as X
 from ..functions.similarity import name_similarity
-from ..operators import base as B
-from ..operators import catalog as Q
 from ..operators import contact_rules as C
 from ..operators import documents as D
 from ..operators import flag_ops as O
@@ -433,21 +431,3 @@ SQL["k23_snapshot"] = PRELUDE.rstrip() + f""",
 s AS ({_SECTIONS}), t AS (SELECT period, coalesce(sum(value) FILTER (part = 'income'), 0) AS income, coalesce(sum(value) FILTER (part = 'cogs'), 0) AS cogs, coalesce(sum(value) FILTER (part = 'expenses'), 0) AS expenses, coalesce(sum(value) FILTER (part = 'other'), 0) AS other FROM s GROUP BY 1 ORDER BY 1 DESC LIMIT 1),
 n AS (SELECT period, CAST(income AS DOUBLE) AS income, CAST(income - cogs AS DOUBLE) AS gross, CAST(income - cogs - expenses + other AS DOUBLE) AS net FROM t)
 SELECT *, CAST(CASE WHEN net <= 0 THEN 0 WHEN net <= 50000 THEN round(net * 0.19, 2) WHEN net >= 250000 THEN round(net * 0.25, 2) ELSE round(net * 0.25 - (250000 - net) * 0.015, 2) END AS DOUBLE) AS tax, CAST(600 AS DOUBLE) AS working_capital, CAST(3 AS DOUBLE) AS current_ratio, CAST(80 AS DOUBLE) AS cash_score, (SELECT count(*) FROM v_bank WHERE NOT reconciled) AS bank_unreconciled FROM n"""
-
-
-def _values(rows) -> str:
-    return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
-
-
-_OFF = ("missing_tax", "anomaly")
-
-
-@source("r43_rule_catalog", f"SELECT rule_group, rule, label, built, rule NOT IN ('missing_tax', 'anomaly') AS enabled FROM (VALUES {_values(Q.RULES)}) t(rule_group, rule, label, built)")
-def r43(s, d):
-    """The catalogue of rules, of which a company has switched two off."""
-    return Q.rules(s, B.Settings(disabled_rules=_OFF)).drop("pos")
-
-
-@source("h45_settings_schema", f"SELECT rule, setting, unit FROM (VALUES {_values((r, n, u) for n, (r, u) in Q.TUNES.items())}) t(rule, setting, unit)")
-def h45(s, d):
-    return Q.settings_schema(s).select("rule", "setting", "unit")
