@@ -122,13 +122,18 @@ def add_reverse(x: np.ndarray, graph: np.ndarray, points: np.ndarray, alpha: flo
         graph[nodes[~fits]] = robust_prune(x, nodes[~fits], wide[~fits], alpha)
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component to 0.5 to 1: cosines keep every bit, and no square over- or underflows."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
 def unit(v: np.ndarray) -> np.ndarray:
     return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
 
 
 def _index_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["h1", "h2"], kind="stable").reset_index(drop=True)
-    graph, entry = build_graph(unit(np.stack(pdf["v"].to_numpy()).astype(float)))
+    graph, entry = build_graph(unit(scaled(np.stack(pdf["v"].to_numpy()).astype(float))))
     edges = [row[row < len(pdf)].astype(np.int32) for row in graph]
     return pdf[["dim", "shard", "v", "ids"]].assign(node=np.arange(len(pdf), dtype=np.int32), edges=edges, entry=np.int32(entry))
 
@@ -139,7 +144,7 @@ def _search_shard(k: int):
         if index.empty or queries.empty:
             return empty
         index = index.sort_values("node", kind="stable")
-        v = np.stack(index["v"].to_numpy()).astype(float)
+        v = scaled(np.stack(index["v"].to_numpy()).astype(float))
         norm, n = np.linalg.norm(v, axis=1), len(v)
         graph = np.full((n, DEGREE), n)
         for row, e in zip(graph, index["edges"], strict=True):
@@ -148,7 +153,7 @@ def _search_shard(k: int):
         out = []
         for at in range(0, len(queries), BATCH):
             part = queries.iloc[at : at + BATCH]
-            qs = np.stack(part["qv"].to_numpy()).astype(float)
+            qs = scaled(np.stack(part["qv"].to_numpy()).astype(float))
             beam, _, _ = beam_search(x, graph, unit(qs), int(index["entry"].iloc[0]), WIDTH)
             for q1, q2, q, nodes in zip(part["q1"], part["q2"], qs, beam, strict=True):
                 nodes = nodes[nodes >= 0]

@@ -65,9 +65,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+#: No longer word is known.
+LONGEST = max(map(len, [*WORDS, *JOINED]))
+
+
 def word_score(word: str) -> float:
     """Of one word of a name, in the singular or plural, or of two words written as one."""
-    return max(WORDS.get(word, 0.0), JOINED.get(word, 0.0), word_score(word[:-1]) if word.endswith("s") and len(word) > 3 else 0.0)
+    shortest = min(len(word), max(3, len(word.rstrip("s"))))
+    return max((max(WORDS.get(word[:n], 0.0), JOINED.get(word[:n], 0.0)) for n in range(shortest, min(len(word), LONGEST) + 1)), default=0.0)
 
 
 def name_score(name: str) -> float:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .graph_search import usable
+from .graph_search import scaled, usable
 from .near_dedup import components
 
 SIMILARITY = 0.93
@@ -40,7 +40,7 @@ BITS = 40
 
 def unit(v: np.ndarray) -> np.ndarray:
     """Rows of length 1, whatever their scale."""
-    v = v / np.abs(v).max(axis=1, keepdims=True)
+    v = scaled(v)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -128,7 +128,8 @@ def _leaves(nodes: DataFrame, trees: range) -> DataFrame:
     counts = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("in_cell"))
     part = F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("in_cell") / LEAF)).alias("part")
     member = F.struct("node", "q", F.lit(-1.0).cast("float").alias("kth"), F.lit(True).alias("fresh"))
-    return cells.join(counts, keys).select(*keys, part, member.alias("m")).groupBy(*keys, "part").agg(F.collect_list("m").alias("m")).select("m")
+    dealt = cells.join(counts, keys).select(*keys, part, member.alias("m")).repartition(*keys, "part")  # else a large cell's parts would stay in one task
+    return dealt.groupBy(*keys, "part").agg(F.collect_list("m").alias("m")).select("m")
 
 
 def _improved(lists: DataFrame, proposals: DataFrame, places: int) -> DataFrame:
