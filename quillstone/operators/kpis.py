@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import year_month_ends
-from ..functions.text import has_any, label_code, label_name
+from ..functions.classify import outgoing_category
+from ..functions.text import has_any, label_code, label_name, strip, upper
 
 MONEY = "decimal(18,2)"
+# Types of liability accounts.
+LIABILITY_TYPES = ("CURRLIAB", "TERMLIAB", "LIABILITY", "PAYGLIABILITY")
 #: Outgoings in the order in which cash pays them, with their weight in the score: short-term ones count threefold.
 OUTGOINGS = {"suppliers": 3, "net_wages": 3, "paye_nic": 3, "pension": 3, "credit_cards": 3, "vat": 3, "corporation_tax": 1, "loans_other": 1}
 BASES = ("none", "previous_month", "average_3", "average_6", "average_12", "same_month_last_year", "budget", "manual")
@@ -166,6 +169,31 @@ def schedule_totals(schedule: DataFrame) -> DataFrame:
     return schedule.where("month is not null").groupBy("company_id", "month").agg(F.sum("monthly").cast("decimal(18,3)").alias("released"), F.count(F.lit(1)).alias("items"))
 
 
+def account_balances(accounts: DataFrame, trial: DataFrame) -> DataFrame:
+    """accounts with balance and found_by: the trial balance's by code, else by the account's id, else 0 (found_by code, id or null).
+
+    accounts: company_id, code, account_id and more; trial: company_id, code, account_id, balance, pos. Accounts of blank code are left out; of accounts that share a code the last by name and id stays. Of trial rows that share a
+    code, and of those that share an id, the last by pos counts, so that an account has one row whatever repeats."""
+    clean = accounts.withColumn("code", strip("code")).withColumn("account_id", strip("account_id")).where("code <> ''")
+    rest = [c for c in clean.columns if c not in ("company_id", "code")]
+    one = clean.groupBy("company_id", "code").agg(F.max(F.struct(*sorted(rest, key=lambda c: (c != "name", c != "account_id")))).alias("r")).select("company_id", "code", *(F.col(f"r.{c}").alias(c) for c in rest))
+    look = lambda key, name: trial.where(strip(key) != "").groupBy(F.col("company_id").alias(f"{name}_co"), strip(key).alias(f"{name}_key")).agg(F.max_by("balance", "pos").alias(name))
+    by_code, by_id = look("code", "by_code"), look("account_id", "by_id")
+    rows = one.join(by_code, (F.col("company_id") == F.col("by_code_co")) & (F.col("code") == F.col("by_code_key")), "left").join(by_id, (F.col("company_id") == F.col("by_id_co")) & (F.col("account_id") == F.col("by_id_key")), "left")
+    found = F.when(F.col("by_code").isNotNull(), "code").when(F.col("by_id").isNotNull(), "id")
+    return rows.select(*one.columns, F.coalesce("by_code", "by_id", F.lit(0)).cast(MONEY).alias("balance"), found.alias("found_by"))
+
+
+def cash_and_liabilities(balances: DataFrame, disregarded: tuple = ()) -> tuple[DataFrame, DataFrame]:
+    """(company_id, cash) over bank accounts that aren't disregarded, and (company_id, code, category, owed) of liabilities: what outgoings() takes. A liability's credit balance is owed.
+
+    balances: account_balances() with name, type, klass, bank_type, system."""
+    bank = upper("type") == "BANK"
+    cash = balances.groupBy("company_id").agg(F.coalesce(F.sum(F.when(bank & ~F.col("code").isin(*disregarded), F.col("balance"))), F.lit(0)).cast(MONEY).alias("cash"))
+    owing = balances.where(~bank & (upper("type").isin(*LIABILITY_TYPES) | (upper("klass") == "LIABILITY")))
+    return cash, owing.select("company_id", "code", outgoing_category("name", "code", "bank_type", "system").alias("category"), (-F.col("balance")).cast(MONEY).alias("owed"))
+
+
 def snapshot(profit: DataFrame, position_: DataFrame, cash: DataFrame, bank: DataFrame) -> DataFrame:
     """One row a company with the promoted figures of the other KPIs; companies without a profit and loss have none.
 

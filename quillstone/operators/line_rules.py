@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import next_year_end, period, whole_months
 from ..functions.text import blank, contact_key, has_any, no_vat, payee_key, phrase, strip, upper
 from .base import DOC, EXPENSE_TYPES, MONEY_IN, MONEY_OUT, PURCHASES, PURE_EXPENSE, REVENUE_TYPES, SALES, Settings, dominant, first_line, flags, is_credit, is_listed, kind, lines, with_account
+from .medians import exact_medians
 from .phrases import found
 
 # Words in names and codes.
@@ -198,7 +199,7 @@ def misallocated(txn: DataFrame, accounts: DataFrame, settings: Settings = Setti
 def outliers(txn: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Documents of some multiple of their contact's exact median, which takes a number of documents; with the contact's usual account."""
     rows = txn.where(F.col("amount") > 0).withColumn("who", contact_key())
-    usual = rows.groupBy("company_id", "who").agg(F.count(F.lit(1)).alias("n"), F.percentile("amount", F.lit(0.5)).alias("mid"))
+    usual = exact_medians(rows, ["company_id", "who"], "amount")
     coded = dominant(rows.where(~blank("account_code")).select("company_id", "who", "seq", F.lit(0).alias("line_no"), strip("account_code").alias("code")), ["company_id", "who"], "code")
     rows = settings.joined(rows.join(usual, ["company_id", "who"])).where(F.col("n") >= settings.value("outlier_min_count"))
     hit = rows.where((F.col("amount") >= settings.value("outlier_multiple") * F.col("mid")) & (F.col("amount") >= settings.value("outlier_min_amount"))).join(coded, ["company_id", "who"], "left")

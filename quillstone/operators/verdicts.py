@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ids import name_id
 from .catalog import label
 
+# Fixed value: the namespace of ids of documents that aren't in the ledger yet.
+PRE_LEDGER = "9b6f7e2a-1c3d-4e5f-8a9b-0c1d2e3f4a5b"
 KEY = ["company_id", "document_id"]
 USER = ("resolved", "dismissed", "marked_ok")
 DUPLICATES = ("duplicate_invoice", "duplicate_bill", "duplicate_credit_note")
@@ -159,6 +162,34 @@ def page(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return rows.orderBy(F.desc("ran_at"), "document_id").offset(offset).limit(limit)
 
 
+def page_after(rows: DataFrame, limit: int, at: datetime | None = None, ident: str | None = None, id_col: str = "document_id") -> DataFrame:
+    """The page of a feed behind the row (at, ident), newest run first, ids in order within a run; the first page without them.
+
+    A key instead of an offset: the condition reaches the scan, and Spark keeps only limit rows a task, however deep the page. Rows never run come last; behind one of them at is None and ident its id."""
+    ident_after = F.col(id_col) > F.lit(ident)
+    if ident is None:
+        behind = F.lit(True)
+    elif at is None:
+        behind = F.col("ran_at").isNull() & ident_after
+    else:
+        behind = (F.col("ran_at") <= F.lit(at)) & ((F.col("ran_at") < F.lit(at)) | ident_after) | F.col("ran_at").isNull()
+    return rows.where(behind).orderBy(F.desc_nulls_last("ran_at"), id_col).limit(limit)
+
+
+def log_page(results: DataFrame, limit: int, status: str | None = None, kind: str | None = None, at: datetime | None = None, ident: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """A page of all recorded verdicts, of one status or kind if asked for, and the counts of each status (whatever status is asked for). results: company_id, document_id, status, kind, ran_at."""
+    asked = results.where(F.lower("kind") == kind.strip().lower()) if kind else results
+    counts = asked.groupBy("company_id").agg(F.count(F.lit(1)).alias("all"), *(F.count_if(F.col("status") == s).alias(s) for s in ("blocked", "passed", "unavailable", "skipped")))
+    rows = asked.where(F.lower("status") == status.strip().lower()) if status else asked
+    return page_after(rows, limit, at, ident), counts
+
+
+def pre_ledger(checked: DataFrame) -> DataFrame:
+    """Verdicts on documents that aren't in the ledger yet, as they are inserted: document_id follows from the document's own id, so that a repeated check meets the same row. checked: company_id, transaction_id, errors, status."""
+    named = checked.where(F.col("status") == "blocked")
+    return named.select("company_id", name_id(PRE_LEDGER, "transaction_id").alias("document_id"), F.lit("pre_ledger").alias("kind"), "status", "errors", F.col("transaction_id").alias("original_id"))
+
+
 def feed_totals(rows: DataFrame) -> DataFrame:
     """Count and value of a feed: what is due, else the amount."""
     return rows.groupBy("company_id").agg(F.count(F.lit(1)).alias("total"), F.sum(F.coalesce("amount_due", "amount", F.lit(0))).cast("decimal(18,2)").alias("total_value"))

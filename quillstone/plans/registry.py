@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit_queries, entity_queries, kpi_queries, record_queries, rule_queries, source_queries
+from . import audit_queries, entity_queries, kpi_queries, record_queries, rule_queries, served_queries, source_queries
 
-_MODULES = (rule_queries, audit_queries, kpi_queries, entity_queries, record_queries, source_queries)
+_MODULES = (rule_queries, audit_queries, kpi_queries, entity_queries, record_queries, served_queries, source_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from decimal import Decimal, InvalidOperation
@@ -13,19 +14,46 @@ from pyspark.sql import functions as F
 
 from ..functions.text import amount, label_code, label_name
 
-_CELL = "struct<Value:string,Attributes:array<struct<Id:string,Value:string>>>"
-_ROW = f"struct<RowType:string,Title:string,Cells:array<{_CELL}>"
-#: Reports nest sections in sections at most; deeper rows don't occur.
-REPORT = f"struct<Rows:array<{_ROW},Rows:array<{_ROW},Rows:array<{_ROW}>>>>>>>"
+_PAIR = T.StructType().add("Id", T.StringType()).add("Value", T.StringType())
+_CELL = T.StructType().add("Value", T.StringType()).add("Attributes", T.ArrayType(_PAIR))
+_FLAT = T.ArrayType(T.StructType().add("pos", T.ArrayType(T.IntegerType())).add("title", T.StringType()).add("row_type", T.StringType()).add("cells", T.ArrayType(_CELL)))
+
+
+def flat_rows(document: str | None) -> list[dict]:
+    """Rows with cells of a report's JSON, sections in sections to any depth: their place (a number for each level), the title of the nearest section that has one, type and cells. None where it isn't a report."""
+    try:
+        report = json.loads(document or "")
+    except (ValueError, RecursionError):
+        return []
+    found, stack = [], [((), "", report)] if isinstance(report, dict) else []
+    while stack:
+        pos, title, at = stack.pop()
+        own = at.get("Title")
+        title = str(own) if own not in (None, "") else title
+        cells = at.get("Cells")
+        if pos and isinstance(cells, list):
+            found.append({"pos": list(pos), "title": title or None, "row_type": at.get("RowType"), "cells": [_cell(c) for c in cells]})
+        below = at.get("Rows")
+        stack += [((*pos, k), title, r) for k, r in enumerate(below if isinstance(below, list) else []) if isinstance(r, dict)]
+    return sorted(found, key=lambda r: r["pos"])
+
+
+def _cell(c: object) -> dict:
+    text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v)
+    c = c if isinstance(c, dict) else {}
+    attributes = c.get("Attributes")
+    return {"Value": text(c.get("Value")), "Attributes": [{"Id": text(a.get("Id")), "Value": text(a.get("Value"))} for a in attributes if isinstance(a, dict)] if isinstance(attributes, list) else None}
+
+
+@F.pandas_udf(_FLAT)
+def _flat(documents: pd.Series) -> pd.Series:
+    return documents.map(flat_rows)
 
 
 def rows(reports: DataFrame, json_col: str = "report_json") -> DataFrame:
-    """Every row of the reports: the reports' other columns, title of its section, row_type, pos, cells."""
+    """Every row of the reports, at any depth: the reports' other columns, pos (an array that orders rows), title of its section, row_type, cells. Spark's JSON functions need a schema of fixed depth, hence a Python walk."""
     keep = [c for c in reports.columns if c != json_col]
-    top = reports.select(*keep, F.from_json(json_col, REPORT).alias("r")).select(*keep, F.posexplode("r.Rows").alias("i", "a"))
-    second = top.select(*keep, "i", F.col("a.Title").alias("title"), F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("j"), F.col("a.RowType").alias("t"), F.col("a.Title").alias("s"), F.col("a.Cells").alias("c"), F.lit(None).cast(f"array<{_ROW}>>").alias("sub"))), F.coalesce(F.transform("a.Rows", lambda x, k: F.struct(k.alias("j"), x["RowType"].alias("t"), x["Title"].alias("s"), x["Cells"].alias("c"), x["Rows"].alias("sub"))), F.array()))).alias("b"))
-    third = second.select(*keep, "i", "title", F.explode(F.concat(F.array(F.struct(F.col("b.j").alias("j"), F.lit(-1).alias("k"), F.col("b.t").alias("t"), F.col("b.c").alias("c"))), F.coalesce(F.transform("b.sub", lambda x, k: F.struct(F.col("b.j").alias("j"), k.alias("k"), x["RowType"].alias("t"), x["Cells"].alias("c"))), F.array()))).alias("d"))
-    return third.where("d.c is not null").select(*keep, F.struct("i", "d.j", "d.k").alias("pos"), "title", F.col("d.t").alias("row_type"), F.col("d.c").alias("cells"))
+    return reports.select(*keep, F.explode(_flat(json_col)).alias("r")).select(*keep, "r.*")
 
 
 def section_totals(reports: DataFrame) -> DataFrame:
@@ -38,14 +66,14 @@ def section_totals(reports: DataFrame) -> DataFrame:
 
 
 def trial_balance(reports: DataFrame) -> DataFrame:
-    """(company_id, account_id, code, name, debit, credit, balance) of trial balance rows; year-to-date columns where there are any."""
+    """(company_id, pos, account_id, code, name, debit, credit, balance) of trial balance rows; year-to-date columns where there are any."""
     r = rows(reports).where("row_type = 'Row'")
     label = F.get("cells", F.lit(0))
     ident = F.get(F.filter(label["Attributes"], lambda x: F.lower(x["Id"]) == "account"), F.lit(0))["Value"]
     at = lambda k: amount(F.get("cells", F.lit(k))["Value"])
     wide = F.size("cells") >= 5
     debit, credit = F.when(wide, at(3)).otherwise(at(1)), F.when(wide, at(4)).otherwise(at(2))
-    return r.select("company_id", ident.alias("account_id"), label_code(label["Value"]).alias("code"), label_name(label["Value"]).alias("name"), debit.alias("debit"), credit.alias("credit"), (debit - credit).cast("decimal(18,2)").alias("balance"))
+    return r.select("company_id", "pos", ident.alias("account_id"), label_code(label["Value"]).alias("code"), label_name(label["Value"]).alias("name"), debit.alias("debit"), credit.alias("credit"), (debit - credit).cast("decimal(18,2)").alias("balance"))
 
 
 def bank_summary(reports: DataFrame) -> DataFrame:
