@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import html
 import re
-import sys
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,8 +36,9 @@ IMPLIED = {
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: An end tag doesn't reach past these.
 SCOPES = {"table", "td", "th", "caption", "html", "template", "button"}
-DEPTH = 400  # deeper elements become siblings, as in browsers
-FRAMES = 1000 + 8 * DEPTH  # of Python's stack: a nested list or table takes up to five an element
+
+#: Columns from the margin from which on nested lists keep their marks without further indentation, and cells of nested tables stand below one another: 100 lists or tables deep. Else the lines of a page would grow with its depth.
+MOST_INSET = 200
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*))(?:>|\Z)", re.DOTALL)
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -68,9 +69,17 @@ def tree(text: str) -> Node:
     """The document as a tree of nodes and strings; never fails."""
     root = Node("html", {})
     stack = [root]
+    depth = Counter({"html": 1})  # open elements by name, so that nothing is sought in vain however deep the page is
+
+    def end(k: int) -> None:
+        """Ends the open elements from place k on."""
+        depth.subtract(n.name for n in stack[k:])
+        del stack[k:]
 
     def close(names: set[str], stops: set[str]) -> None:
         """Ends the nearest open element of these names, and all inside it, unless a stop is nearer; then the next."""
+        if not any(depth[n] for n in names):
+            return
         k = len(stack) - 1
         lowest = None
         while k > 0 and stack[k].name not in stops:
@@ -78,7 +87,7 @@ def tree(text: str) -> Node:
                 lowest = k
             k -= 1
         if lowest:
-            del stack[lowest:]
+            end(lowest)
 
     at, size = 0, len(text)
     while at < size:
@@ -97,26 +106,26 @@ def tree(text: str) -> Node:
         if m["end"]:
             if name == "br":
                 stack[-1].children.append(Node("br", {}))
-            elif name == "p" and not any(n.name == "p" for n in stack):
+            elif name == "p" and not depth["p"]:
                 stack[-1].children.append(Node("p", {}))
             elif name in HEADINGS:
                 close(HEADINGS, SCOPES)
-            else:
+            elif depth[name]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].name == name:
-                        del stack[k:]
+                        end(k)
                         break
                     if stack[k].name in SCOPES and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html", "td", "th"):
                         break
                     if stack[k].name == "table" and name != "table":
                         break
             continue
-        if name in ("html", "body", "head") and any(n.name == name for n in stack):
+        if name in ("html", "body", "head") and depth[name]:
             continue
         if name in CLOSES_P:
             close({"p"}, SCOPES)
         if name in HEADINGS and stack[-1].name in HEADINGS:
-            stack.pop()
+            end(len(stack) - 1)
         if name in IMPLIED:
             close(*IMPLIED[name])
         if name == "body" or name in BLOCK:
@@ -130,10 +139,11 @@ def tree(text: str) -> Node:
             inside = text[at : e.start() if e else size]
             node.children.append(html.unescape(inside) if name in RCDATA else inside)
             at = text.find(">", e.start()) + 1 or size if e else size
-        elif m["attrs"].endswith("/") and CLOSED.search(m["attrs"]) and (name in ("svg", "math") or any(n.name in ("svg", "math") for n in stack)):
+        elif m["attrs"].endswith("/") and CLOSED.search(m["attrs"]) and (name in ("svg", "math") or depth["svg"] or depth["math"]):
             pass  # only there a slash ends an element
-        elif name not in VOID and len(stack) < DEPTH:
+        elif name not in VOID:
             stack.append(node)
+            depth[name] += 1
     return root
 
 
@@ -143,9 +153,10 @@ def width(text: str) -> int:
 
 
 class Page:
-    """Lines under construction: finished lines, the open line, and how many blank lines the next block asks for."""
+    """Lines under construction: finished lines, the open line, how many blank lines the next block asks for, and how far the whole stands from the margin."""
 
-    def __init__(self):
+    def __init__(self, inset: int = 0):
+        self.inset = inset
         self.lines: list[str] = []
         self.open: list[str] = []
         self.ends_in_space, self.gap = True, 0
@@ -212,7 +223,20 @@ def drawn(node: Node) -> list:
     return found
 
 
-def flow(nodes: list, page: Page, keep: bool) -> None:
+def finished(step: Generator) -> object:
+    """What a rendering step returns. Steps yield the steps that they wait for, which are kept in a list rather than on Python's stack: pages may be nested to any depth."""
+    waiting, value = [step], None
+    while waiting:
+        try:
+            waiting.append(waiting[-1].send(value))
+            value = None
+        except StopIteration as e:
+            waiting.pop()
+            value = e.value
+    return value
+
+
+def flow(nodes: list, page: Page, keep: bool) -> Generator:
     for n in nodes:
         if isinstance(n, str):
             page.text(n, keep)
@@ -225,14 +249,16 @@ def flow(nodes: list, page: Page, keep: bool) -> None:
         elif name == "wbr" or name == "img":
             pass
         elif name == "svg":
-            flow(drawn(n), page, keep)
+            yield flow(drawn(n), page, keep)
         elif name == "input":
             page.text(n.attrs.get("value", ""), False)
         elif name in ("ul", "ol", "menu", "dir"):
-            listed(n, page, keep)
+            yield listed(n, page, keep)
         elif name == "table":
             page.block(True)
-            for line in table_lines(n):
+            if page.inset >= MOST_INSET:
+                yield flow([x for c in n.children for x in ("\n", c)], page, keep)
+            for line in (yield table_lines(n, page.inset + 2)) if page.inset < MOST_INSET else ():
                 page.text(line, True)
                 page.line_end()
             page.block(True)
@@ -242,36 +268,41 @@ def flow(nodes: list, page: Page, keep: bool) -> None:
             page.block(False)
         elif name == "details" and "open" not in n.attrs:
             page.block(False)
-            flow([c for c in n.children if isinstance(c, Node) and c.name == "summary"][:1], page, keep)
+            yield flow([c for c in n.children if isinstance(c, Node) and c.name == "summary"][:1], page, keep)
             page.block(False)
         elif name == "q":
-            flow(["“", *n.children, "”"], page, keep)
+            yield flow(["“", *n.children, "”"], page, keep)
         elif name in BLOCK:
             page.block(name in SPACED)
             if name in ("blockquote", "dd"):
-                indented(n.children, page, "  ", "  ", keep)
+                yield indented(n.children, page, "  ", "  ", keep)
             else:
                 children = n.children
                 inner = keep or name in ("pre", "textarea", "xmp")
                 if inner and not keep and children and isinstance(children[0], str):
                     children = [children[0].removeprefix("\r").removeprefix("\n"), *children[1:]]
-                flow(children, page, inner)
+                yield flow(children, page, inner)
             page.block(name in SPACED)
         else:
-            flow(n.children, page, keep)
+            yield flow(n.children, page, keep)
 
 
-def indented(nodes: list, page: Page, first: str, rest: str, keep: bool, tight: bool = False) -> None:
+def indented(nodes: list, page: Page, first: str, rest: str, keep: bool, tight: bool = False) -> Generator:
     """The nodes as lines of their own behind a mark."""
-    inner = Page()
+    if page.inset >= MOST_INSET:
+        page.text(first, True)
+        yield flow(nodes, page, keep)
+        page.block(False)
+        return
+    inner = Page(page.inset + len(rest))
     inner.tight = tight
-    flow(nodes, inner, keep)
+    yield flow(nodes, inner, keep)
     for k, line in enumerate(inner.done()):
         page.text((first if k == 0 else rest) + line if line or k == 0 else line, True)
         page.line_end()
 
 
-def listed(node: Node, page: Page, keep: bool) -> None:
+def listed(node: Node, page: Page, keep: bool) -> Generator:
     page.block(not page.tight)
     start = node.attrs.get("start", "")
     number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
@@ -285,37 +316,37 @@ def listed(node: Node, page: Page, keep: bool) -> None:
                 number = int(value) if re.fullmatch(r"-?\d{1,9}", value) else number
                 mark, number = f"{number}. ", number + 1
             page.block(False)
-            indented(c.children, page, mark, " " * len(mark), keep, tight=True)
+            yield indented(c.children, page, mark, " " * len(mark), keep, tight=True)
         elif isinstance(c, Node) and c.name in ("ul", "ol", "menu", "dir") and not c.hidden():
-            indented([c], page, "  ", "  ", keep, tight=True)
+            yield indented([c], page, "  ", "  ", keep, tight=True)
         else:
-            flow([c], page, keep)
+            yield flow([c], page, keep)
     page.block(not page.tight)
 
 
-def table_lines(node: Node) -> list[str]:
+def table_lines(node: Node, inset: int) -> Generator:
     """A table's caption, and its rows with cells padded to their columns, two spaces apart. Cells of several lines take as many."""
     rows: list[list[tuple[list[str], int]]] = []
     above: list[str] = []
 
-    def cells(parent: Node) -> None:
+    def cells(parent: Node) -> Generator:
         row: list[tuple[list[str], int]] = []
         for c in parent.children:
             if isinstance(c, str) or c.hidden():
                 if isinstance(c, str) and c.strip():
-                    above.extend(lines_of([c]))
+                    above.extend((yield lines_of([c], inset)))
                 continue
             if c.name in ("td", "th"):
                 span = c.attrs.get("colspan", "1")
-                row.append((lines_of(c.children), max(1, min(int(span), 1000)) if re.fullmatch(r"\d{1,6}", span) else 1))
+                row.append(((yield lines_of(c.children, inset)), max(1, min(int(span), 1000)) if re.fullmatch(r"\d{1,6}", span) else 1))
             elif c.name in ("tr", "tbody", "thead", "tfoot"):
-                cells(c)
+                yield cells(c)
             else:
-                above.extend(lines_of([c]))
+                above.extend((yield lines_of([c], inset)))
         if row:
             rows.append(row)
 
-    cells(node)
+    yield cells(node)
     widths: dict[int, int] = {}
     for row in rows:
         k = 0
@@ -336,18 +367,16 @@ def table_lines(node: Node) -> list[str]:
     return out
 
 
-def lines_of(nodes: list) -> list[str]:
-    page = Page()
-    flow(nodes, page, False)
+def lines_of(nodes: list, inset: int) -> Generator:
+    page = Page(inset)
+    yield flow(nodes, page, False)
     return [line for line in page.done() if line]
 
 
 def rendered(page_html: str | None) -> str:
     """All visible text of a page: that of formulas and drawings too."""
-    if sys.getrecursionlimit() < FRAMES:
-        sys.setrecursionlimit(FRAMES)
     page = Page()
-    flow(tree(page_html or "").children, page, False)
+    finished(flow(tree(page_html or "").children, page, False))
     return "\n".join(page.done()).replace("\xa0", " ")
 
 
@@ -355,7 +384,7 @@ def visible_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Adds text (string): the page's visible text.
 
     Null and empty pages, and pages without visible text, give an empty text; broken markup is read as a browser would, never refused. Whole
-    pages are read; a page without a tag is its own text with white space collapsed. Repeated rows are rendered each. Other columns pass through; an
+    pages are read, to any depth; lists and tables that stand MOST_INSET columns from the margin aren't indented or aligned further. A page without a tag is its own text with white space collapsed. Repeated rows are rendered each. Other columns pass through; an
     input column text is replaced. An empty table gives an empty table.
     """
     kept = without(pages, ["text"] if html_col != "text" else [])

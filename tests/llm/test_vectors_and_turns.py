@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from quillstone.llm import centroids, graph_search, queries, secret_scan, turn_repair, vector_dedup
+from quillstone.llm import centroids, graph_search, html_text, queries, secret_scan, turn_repair, vector_dedup
 
 DATA = "/root/testdata/sf0.001"
 NAN, INF = float("nan"), float("inf")
@@ -243,3 +243,16 @@ def test_scores_of_vectors_of_any_scale_and_of_several_shards(spark, monkeypatch
     assert len(got) == 150 and all(abs(r.score - sims[r.query_id, r.vec_id]) < 1e-12 for r in got)
     true = {(q, int(i)) for q in range(0, 600, 20) for i in np.argsort(-sims[q])[:5]}
     assert len(true & {(r.query_id, r.vec_id) for r in got}) >= 0.9 * len(true)
+
+
+def test_pages_of_any_depth_keep_their_layout():
+    inner = "<ul><li>a<ul><li>b</ul></ul><table><tr><td>x<td>long cell<tr><td>y<td>z</table>"
+    want = "- a\n  - b\n\nx  long cell\ny  z"
+    assert html_text.rendered(inner) == want
+    for depth in (3, 398, 10_000):
+        assert html_text.rendered("<div>" * depth + inner) == want
+    assert html_text.rendered("<ul><li>a" * 90) == "\n".join("  " * k + "- a" for k in range(90))
+    deep = html_text.rendered("<ul><li>a" * 5000 + "<table><tr><td>x<td>y</table>")
+    assert deep.count("- a") == 5000 and max(map(len, deep.split("\n"))) < html_text.MOST_INSET + 10 and deep.split()[-2:] == ["x", "y"]
+    assert html_text.rendered("<table><tr><td>b<td>" * 5000 + "end").split() == ["b"] * 5000 + ["end"]
+    assert html_text.rendered("<p>a" + "<span>" * 100_000 + "</i>" * 100_000 + "b") == "ab"
