@@ -67,6 +67,24 @@ def health_stats(verdicts: DataFrame, audits: DataFrame) -> DataFrame:
     return rows.withColumn("score", score(F.col("documents") + F.col("contacts"), F.col("open"), truncate=True))
 
 
+def company_panorama(companies: DataFrame, verdicts: DataFrame, audits: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """One row for each active company, the worst score first, those never audited last, ties by name: name, score, open verdicts in total and of documents and contacts, what was audited, the last audit, the commonest first rule.
+
+    companies: company_id, name, active; verdicts: KEY, document_type, rule_ids, seq and the users' decisions; audits: company_id, documents, contacts, completed_at, status, of which completed ones count, the widest for
+    the score; allowed: the company_ids that a reader may see (all without it). Of rules that are equally common the one seen first counts."""
+    shown = companies.where("active").select("company_id", "name")
+    if allowed is not None:
+        shown = shown.join(allowed.select("company_id").distinct(), "company_id", "left_semi")
+    o = verdicts.where(is_open() & (F.size("rule_ids") > 0))
+    contact = F.upper(F.coalesce("document_type", F.lit(""))) == "CONTACT"
+    counts = o.groupBy("company_id").agg(F.count(F.lit(1)).alias("trapped"), F.count_if(~contact).alias("open_documents"), F.count_if(contact).alias("open_contacts"))
+    top = o.groupBy("company_id", F.get("rule_ids", F.lit(0)).alias("rule")).agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("o")).groupBy("company_id").agg(F.max_by("rule", F.struct("n", -F.col("o"))).alias("top_rule"))
+    widest = audits.where("status = 'completed'").groupBy("company_id").agg(F.max("documents").alias("documents"), F.max("contacts").alias("contacts"), F.max("completed_at").alias("last_audit"))
+    rows = shown.join(widest, "company_id", "left").join(counts, "company_id", "left").join(top, "company_id", "left").fillna(0, ["documents", "contacts", "trapped", "open_documents", "open_contacts"])
+    rows = rows.withColumn("score", score(F.col("documents") + F.col("contacts"), F.col("trapped")))
+    return rows.select("company_id", "name", "score", "trapped", "open_documents", "open_contacts", "documents", "contacts", "last_audit", "top_rule").orderBy(F.asc_nulls_last("score"), F.lower("name"))
+
+
 def severity_stats(verdicts: DataFrame) -> DataFrame:
     """Open verdicts by severity: each counts once for every severity among its flags. verdicts: KEY, flagged (array of structs with severity)."""
     each = verdicts.where(is_open()).select("company_id", F.explode(F.array_distinct(F.transform("flagged", lambda f: F.coalesce(f["severity"], F.lit("medium"))))).alias("severity"))

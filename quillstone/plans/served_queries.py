@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import document_rules as D
+from ..operators import entity_verdicts as E
 from ..operators import kpis as K
 from ..operators import verdicts as S
 from ..operators.groups import shared_folder
@@ -133,6 +135,29 @@ def k19_counts(s, d):
     return _log(s, d, status="passed")[1]
 
 
+_PANORAMA = f"""WITH {P._VERDICTS}, w AS (SELECT concat('co', seq % 6) AS company_id, seq, rule_ids, seq % 7 = 0 AS contact FROM v WHERE {P._OPEN} AND len(rule_ids) > 0),
+c AS (SELECT concat('co', r_regionkey) AS company_id, r_name AS name, r_regionkey AS k FROM region WHERE r_regionkey <> 2 UNION ALL SELECT 'co5', 'africa again', 5),
+n AS (SELECT company_id, count(*) AS trapped, count(*) FILTER (NOT contact) AS open_documents, count(*) FILTER (contact) AS open_contacts FROM w GROUP BY 1), r AS (SELECT company_id, rule_ids[1] AS rule, count(*) AS m, min(seq) AS o FROM w GROUP BY 1, 2),
+t AS (SELECT company_id, rule AS top_rule FROM r QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY m DESC, o) = 1), a AS (SELECT concat('co', seq % 6) AS company_id, count(*) AS documents, count(*) FILTER (seq % 7 = 0) AS contacts, max(date) AS last FROM docs WHERE seq % 6 <> 3 GROUP BY 1)
+SELECT row_number() OVER (ORDER BY score NULLS LAST, lower(name)) AS place, * FROM (SELECT c.company_id, name, CASE WHEN documents > 0 THEN {P._score('(documents + contacts)', 'coalesce(trapped, 0)')} END AS score, coalesce(trapped, 0) AS trapped, coalesce(open_documents, 0) AS open_documents, coalesce(open_contacts, 0) AS open_contacts,
+  coalesce(documents, 0) AS documents, coalesce(contacts, 0) AS contacts, coalesce(CAST(last AS VARCHAR), '') AS last_audit, coalesce(top_rule, '') AS top_rule FROM c LEFT JOIN n USING (company_id) LEFT JOIN t USING (company_id) LEFT JOIN a USING (company_id))"""
+
+
+@served("k15_panorama_split", _PANORAMA.replace("CASE WHEN documents > 0 THEN", "CASE WHEN documents + contacts > 0 THEN"), prelude=True)
+def k15_split(s, d):
+    """Active companies of a reader's with their verdicts on documents and contacts apart; one was never audited to the end, one has no verdicts."""
+    company = F.concat(F.lit("co"), (F.col("seq") % 6).cast("string"))
+    region = _t(s, d, "region").select(F.concat(F.lit("co"), "r_regionkey").alias("company_id"), F.col("r_name").alias("name"), (F.col("r_regionkey") != 2).alias("active"))
+    companies = region.union(s.createDataFrame([("co5", "africa again", True), ("co9", "not allowed", True)], region.schema))
+    v = P.verdicts(s, d).withColumn("company_id", company).withColumn("document_type", F.when(F.col("seq") % 7 == 0, "Contact"))
+    docs = V.documents(s, d).groupBy(company.alias("company_id")).agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("seq") % 7 == 0).alias("contacts"), F.max("date").alias("completed_at"))
+    audits = docs.withColumn("status", F.when(F.col("company_id") == "co3", "failed").otherwise("completed"))
+    audits = audits.unionByName(audits.withColumn("documents", F.lit(1)).withColumn("contacts", F.lit(0)))  # a narrower run counts for nothing
+    found = E.company_panorama(companies, v, audits, companies.where("company_id <> 'co9'"))
+    place = F.row_number().over(Window.orderBy(F.asc_nulls_last("score"), F.lower("name")))  # six rows
+    return found.select(place.cast("long").alias("place"), "company_id", "name", "score", "trapped", "open_documents", "open_contacts", "documents", "contacts", F.coalesce(F.col("last_audit").cast("string"), F.lit("")).alias("last_audit"), F.coalesce("top_rule", F.lit("")).alias("top_rule"))
+
+
 # --- state and snapshots ------------------------------------------------------------------
 @served("t06_keyed_state", "SELECT CAST(user_id AS VARCHAR) AS source_id, arg_max(event_type, ts) AS raw_json, CASE WHEN max(event_id % 2) = 0 THEN 'first' ELSE 'second' END AS seen FROM events WHERE user_id IS NOT NULL GROUP BY 1")
 def t06(s, d):

@@ -207,6 +207,24 @@ def x05(s, d):
     return v.select("s_suppkey", F.round(name_similarity("s_name", F.concat(F.lit("THE "), "s_name", F.lit(" Limited"))), 6).alias("same"), name_similarity("s_name", F.lit("")).alias("nothing"))
 
 
+#: The common subsequence of two texts of at most 62 characters by bits, and the similarity of two names without fillers.
+_BITS = "map_from_entries(list_transform(list_distinct(string_split({a}, '')), lambda ch: (ch, list_sum(list_transform(range(1, length({a}) + 1), lambda i: CASE WHEN substr({a}, i, 1) = ch THEN 1::BIGINT << (i - 1) ELSE 0 END))::BIGINT)))"
+_COMMON = "(length({a}) - bit_count(list_reduce(list_prepend((1::BIGINT << length({a})) - 1, list_transform(string_split({b}, ''), lambda ch: coalesce(({bits})[ch], 0))), lambda v, m: ((v + (v & m)) | (v - (v & m))) & ((1::BIGINT << length({a})) - 1))))"
+
+
+def _common(a: str, b: str) -> str:
+    return _COMMON.format(a=a, b=b, bits=_BITS.format(a=a))
+
+
+@source("x05_similar_names", f"""WITH n AS (SELECT s_suppkey AS k, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')) AS a, concat('customer ', reverse(lpad(CAST(s_suppkey * 7 AS VARCHAR), 9, '0'))) AS b FROM supplier),
+w AS (SELECT *, array_to_string(list_sort(string_split(a, ' ')), ' ') AS p, array_to_string(list_sort(string_split(b, ' ')), ' ') AS q FROM n)
+SELECT k AS s_suppkey, round(2 * greatest({_common('a', 'b')}, {_common('p', 'q')}) / (length(a) + length(b))::DOUBLE, 6) AS similar FROM w""")
+def x05_similar(s, d):
+    v = _t(s, d, "supplier")
+    other = F.concat(F.lit("The Customer-"), F.reverse(F.lpad((F.col("s_suppkey") * 7).cast("string"), 9, "0")), F.lit(" Ltd"))
+    return v.select("s_suppkey", F.round(name_similarity("s_name", other), 6).alias("similar"))
+
+
 @source("x06_trigrams", "SELECT s_suppkey, CAST(len(list_distinct(list_transform(range(1, length(replace(s_name, ' ', '')) - 1), lambda i: substr(replace(s_name, ' ', ''), i, 3)))) AS INT) AS n FROM supplier")
 def x06(s, d):
     return _t(s, d, "supplier").select("s_suppkey", F.size(X.trigrams("s_name")).alias("n"))
