@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, written
@@ -29,6 +29,8 @@ REGISTERS = BANDS * ROWS
 SIMILARITY = 0.8
 #: Members of a bucket up to which all pairs of different groups are compared.
 SMALL = 48
+#: Bits of a set's bitmap; a power of two.
+BITS = 1024
 #: Sizes of sets are told apart in so many steps for a factor of e.
 SIZE_STEPS = 64
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -91,8 +93,16 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return bounded(rows).mapInArrow(run, "n_id long, n_text long, n_key binary, n_bands array<long>")
 
 
+def bitmap(shingles_: np.ndarray) -> np.ndarray:
+    """A set of shingles as BITS bits in longs, a bit for each by its hash."""
+    at = ((shingles_.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (BITS - 1).bit_length())).astype(np.int64)
+    out = np.zeros(BITS // 64, np.uint64)
+    np.bitwise_or.at(out, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    return out.view(np.int64)
+
+
 def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(s_key, s_set, s_size) of the wanted (s_key, s_id, s_text): the distinct shingles of one row of each key, and their number."""
+    """(s_key, s_set, s_size, s_bits) of the wanted (s_key, s_id, s_text): the distinct shingles of one row of each key, their number and their bitmap."""
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"), F.col(f"`{text_col}`").alias("t"))
     rows = texts.join(wanted, F.col("i").eqNullSafe(F.col("s_id")) & (F.col("h") == F.col("s_text"))).select("s_key", "t")
 
@@ -101,9 +111,20 @@ def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame
         for big in batches:
             for batch in few(big):
                 sets = [np.unique(shingles(table.of(table.words(t.as_py())))).view(np.int64) for t in batch.column(1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(map(len, sets), pa.int32())], names=["s_key", "s_set", "s_size"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(map(len, sets), pa.int32()), pa.array(map(bitmap, sets), pa.list_(pa.int64()))], names=["s_key", "s_set", "s_size", "s_bits"])
+
+    return bounded(rows).mapInArrow(run, "s_key binary, s_set array<long>, s_size int, s_bits array<long>")
+
+
+def _bit_columns(side: str) -> list:
+    """The longs of s_bits as columns, for conditions that are compiled."""
+    return [F.get("s_bits", F.lit(k)).alias(f"{side}{k}") for k in range(BITS // 64)]
+
 
-    return bounded(rows).mapInArrow(run, "s_key binary, s_set array<long>, s_size int")
+def _may_be_linked(a: str, b: str, size_a: str, size_b: str, similarity: float) -> Column:
+    """Whether two sets can have the similarity: each bit that only one of them has stands for a shingle that only it has, of which linked sets have few."""
+    apart = sum((F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(BITS // 64)), F.lit(0))
+    return apart <= (F.col(size_a) + F.col(size_b)) * ((1 - similarity) / (1 + similarity)) + 1e-9
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -181,14 +202,16 @@ def _remaining(now: DataFrame, centre: DataFrame, sets: DataFrame, similarity: f
 
     Buckets of at most SMALL members: all pairs of different groups. Larger ones: sets a and b of similarity s share at least
     s / (1 + s) * (|a| + |b|) shingles, hence one of the first |a| - s |a| + 1 of a in any order that both follow, and enough of them can still follow the first
-    that they share. The order puts the shingles first that the bucket's centre lacks, the rarest among the centre's members foremost, so that
+    that they share. A pair is made at the first such shingle only, and where the sets' bitmaps leave the similarity possible, which drops all but few of the pairs that aren't linked. The order puts the shingles first that the bucket's centre lacks, the rarest among the centre's members foremost, so that
     few members meet at each: what one member holds alone fills its prefix, and meets nobody. |b| is at least
     s |a|, and at least the next size that occurs at all (in steps of SIZE_STEPS to the power e), which shortens what is dealt. Members of a
     shingle's foremost group meet only those of other groups.
     """
-    small = now.join(centre.where(F.col("n") <= SMALL), ["band", "h"]).select("band", "h", "key", "label")
-    other = small.select("band", "h", F.col("key").alias("key2"), F.col("label").alias("label2"))
-    full = small.join(other, ["band", "h"]).where("label < label2").select(*_ordered("key", "key2"))
+    bits = sets.select(F.col("s_key").alias("key"), F.col("s_size").alias("size"), *_bit_columns("a"))
+    small = now.join(centre.where(F.col("n") <= SMALL), ["band", "h"]).select("band", "h", "key", "label").join(bits, "key")
+    renamed = {"key": "key2", "label": "label2", "size": "size2"} | {f"a{k}": f"b{k}" for k in range(BITS // 64)}
+    other = small.select(*[F.col(c).alias(renamed.get(c, c)) for c in small.columns])
+    full = small.join(other, ["band", "h"]).where((F.col("label") < F.col("label2")) & _may_be_linked("a", "b", "size", "size2", similarity)).select(*_ordered("key", "key2"))
 
     large = now.join(centre.where(F.col("n") > SMALL), ["band", "h"]).where("key != c_key").select("c_key", "key", "label", "degree").distinct()
     large = large.join(sets.select(F.col("s_key").alias("key"), F.col("s_size").alias("size")), "key")
@@ -206,14 +229,18 @@ def _remaining(now: DataFrame, centre: DataFrame, sets: DataFrame, similarity: f
     both = both.join(ranked, (F.col("c_key") == F.col("r_c")) & (F.col("key") == F.col("r_key")), "left").withColumn("shared", F.coalesce(F.col("ranked.x"), F.array().cast("array<long>")))
     alone = F.size("own") - F.size("shared")  # those come first in the order, and meet nobody
     both = both.withColumn("alone", alone).where("alone < n_first")
-    meeting = F.slice(F.concat("shared", "common"), F.lit(1), F.col("n_first") - F.col("alone"))
-    entries = both.select("c_key", "key", "label", "degree", "size", "alone", F.posexplode(meeting).alias("k", "x"))
-    entries = written(entries.withColumn("at", F.col("alone") + F.col("k")).drop("alone", "k"), "entries")
+    both = both.withColumn("meeting", F.slice(F.concat("shared", "common"), F.lit(1), F.col("n_first") - F.col("alone"))).drop("size").join(bits, "key")
+    entries = both.select("c_key", "key", "label", "degree", "size", "alone", "meeting", *[f"a{k}" for k in range(BITS // 64)], F.posexplode("meeting").alias("k", "x"))
+    entries = written(entries.withColumn("at", F.col("alone") + F.col("k")).withColumn("before", F.slice("meeting", F.lit(1), F.col("k"))).drop("alone", "k", "meeting"), "entries")
     groups = entries.groupBy("c_key", "x").agg(F.max(F.struct("degree", "key", "label")).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("c_key", "x", F.col("m.label").alias("foremost"))
-    outer = entries.join(groups, ["c_key", "x"]).where("label != foremost").select("c_key", "x", "key", "label", "size", "at")
-    inner = entries.select("c_key", "x", F.col("key").alias("key2"), F.col("label").alias("label2"), F.col("size").alias("size2"), F.col("at").alias("at2"))
+    outer = entries.join(groups, ["c_key", "x"]).where("label != foremost").drop("degree", "foremost")
+    renamed |= {"at": "at2", "before": "before2"}
+    inner = entries.drop("degree").select(*[F.col(c).alias(renamed.get(c, c)) for c in entries.columns if c != "degree"])
     enough = F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2")) >= (F.col("size") + F.col("size2")) * (similarity / (1 + similarity)) - 1e-9
-    beyond = outer.join(inner, ["c_key", "x"]).where((F.col("label") != F.col("label2")) & enough).select(*_ordered("key", "key2"))
+    first = ~F.arrays_overlap("before", "before2")  # a pair is made at the first shingle that both have, and at no other
+    once = (F.col("label2") == F.col("foremost2")) | (F.col("label") < F.col("label2"))  # pairs of two others would come from both sides
+    inner = inner.join(groups.withColumnRenamed("foremost", "foremost2"), ["c_key", "x"])
+    beyond = outer.join(inner, ["c_key", "x"]).where((F.col("label") != F.col("label2")) & once & enough & _may_be_linked("a", "b", "size", "size2", similarity) & first).select(*_ordered("key", "key2"))
     return full.union(beyond)
 
 

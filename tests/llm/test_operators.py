@@ -433,6 +433,12 @@ def test_near_duplicates_large_group_and_repeats(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def set_frame(spark, sets):
+    """Sets by key as near_dedup keeps them."""
+    rows = [(k, v, len(v), near_dedup.bitmap(np.array(v, np.int64)).tolist()) for k, v in sets.items()]
+    return spark.createDataFrame(rows, "s_key binary, s_set array<long>, s_size int, s_bits array<long>")
+
+
 def test_remaining_pairs_of_a_large_bucket_lose_no_link(spark):
     rng = random.Random(11)
     centre = list(range(100, 160))
@@ -444,7 +450,7 @@ def test_remaining_pairs_of_a_large_bucket_lose_no_link(spark):
         sets[b"k%02d" % i] = sorted(s)
     now = spark.createDataFrame([(0, 1, k, 1, k) for k in sets], "band int, h long, key binary, degree int, label binary")
     middle = spark.createDataFrame([(0, 1, len(sets), b"c", b"c")], "band int, h long, n int, c_key binary, c_label binary")
-    found = near_dedup._remaining(now, middle, spark.createDataFrame([(k, v, len(v)) for k, v in sets.items()], "s_key binary, s_set array<long>, s_size int"), 0.8).collect()
+    found = near_dedup._remaining(now, middle, set_frame(spark, sets), 0.8).collect()
     found = {(bytes(r.a), bytes(r.b)) for r in found}
     linked = {(a, b) for a, b in itertools.combinations(sorted(set(sets) - {b"c"}), 2) if len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})}
     assert linked and linked <= found
@@ -459,10 +465,28 @@ def test_large_group_of_copies_that_differ_makes_few_candidates(spark):
         rows.append((b"k%03d" % i, sorted(set(rng.sample(centre, 160) + own))))
     now = spark.createDataFrame([(0, 1, k, 1, k) for k, _ in rows] + [(0, 1, b"c", 9, b"c")], "band int, h long, key binary, degree int, label binary")
     middle = spark.createDataFrame([(0, 1, len(rows) + 1, b"c", b"c")], "band int, h long, n int, c_key binary, c_label binary")
-    sets = spark.createDataFrame([(k, v, len(v)) for k, v in [*rows, (b"c", centre)]], "s_key binary, s_set array<long>, s_size int")
+    sets = set_frame(spark, dict([*rows, (b"c", centre)]))
     assert near_dedup._remaining(now, middle, sets, 0.8).count() <= 2 * len(rows)  # all pairs: 79,800
 
 
+@pytest.mark.parametrize("n", [400, 1600])
+def test_large_group_with_a_shared_stock_of_phrases_makes_few_candidates(spark, n):
+    rng = np.random.default_rng(n)
+    centre, pool = np.arange(200), 10_000 + np.arange(60)
+    rows = [(b"k%04d" % i, sorted([*rng.choice(centre, 170, replace=False).tolist(), *rng.choice(pool, 30, replace=False).tolist()])) for i in range(n)]
+    rows += [(b"l%04d" % i, sorted({*rows[i][1]} - {*rows[i][1][:4]} | {50_000 + i})) for i in range(0, 40, 2)]  # links that must stay
+    now = spark.createDataFrame([(0, 1, k, 1, k) for k, _ in rows] + [(0, 1, b"c", 9, b"c")], "band int, h long, key binary, degree int, label binary")
+    middle = spark.createDataFrame([(0, 1, len(rows) + 1, b"c", b"c")], "band int, h long, n int, c_key binary, c_label binary")
+    found = [(bytes(a), bytes(b)) for a, b in near_dedup._remaining(now, middle, set_frame(spark, dict([*rows, (b"c", centre.tolist())])), 0.8).collect()]
+    assert len(found) == len(set(found)) <= len(rows)  # all pairs: 1,279,200 of 1,600, each some 22 times
+    x = np.zeros((len(rows), 60_000), np.float32)
+    for k, (_, v) in enumerate(rows):
+        x[k, v] = 1
+    both, size = x @ x.T, x.sum(axis=1)
+    linked = np.triu(both >= 0.8 * (size[:, None] + size - both), 1)
+    assert linked.sum() >= 20 and {(rows[i][0], rows[j][0]) for i, j in zip(*np.nonzero(linked), strict=True)} <= set(found)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(10)
     a = rng.integers(1 << 62, size=400).astype(np.uint64)
