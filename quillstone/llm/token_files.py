@@ -33,8 +33,8 @@ SKIPPABLE, SEEKABLE, CHECKED = 0x184D2A5E, 0x8F92EAB1, 0x80
 TABLE = 700_000
 #: Splits before a space that has other characters on both sides: a pre-token of the byte-level pattern always starts there.
 INNER_SPACE = re.compile(r"(?<=\S)(?= \S)")
-#: A plain word, perhaps after a space, and the marks behind it.
-PLAIN = re.compile(f"( ?[{LETTERS}]+)([{MARKS}]*)")
+#: A plain word and the marks behind it.
+PLAIN = re.compile(f"([{LETTERS}]+)([{MARKS}]*)")
 MANIFEST = "path string, first_id long, n_docs long, n_tokens long, part int"
 
 
@@ -48,52 +48,65 @@ def starts_at_space(path: str) -> bool:
     return kind and sum((t.encode(p, add_special_tokens=False).ids for p in parts), []) == t.encode(probe, add_special_tokens=False).ids
 
 
-class IdTable:
-    """From a stretch of text between inner spaces to its ids as bytes; each distinct stretch is encoded once by the library."""
+class IdTable(dict):
+    """From a stretch of text behind an inner space, without it, to its ids as bytes; each distinct stretch is encoded once by the library."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.ids, self.whole = tokenizer(path), {}, not starts_at_space(path)
+        self.tokenizer, self.whole = tokenizer(path), not starts_at_space(path)
+        self.atoms: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # the table before this one: what is met again moves here
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         letters = "".join(chr(c) for c in range(65, 256) if re.match(f"[{LETTERS}]", chr(c)))
         probe = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(f" {letters}{MARKS}\n{letters}")] if self.tokenizer.pre_tokenizer else []
         self.plain = not self.whole and probe == [x.translate(ALPHABET) for x in (f" {letters}", MARKS, "\n", letters)]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _encoded(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _atom(self, text: str) -> bytes:
-        """Ids of one pre-token of letters, perhaps after a space, or of marks or one line end."""
-        if (found := self.ids.get(text)) is None:
-            found = self.ids[text] = np.array([t.id for t in self.tokenizer.model.tokenize(text.translate(ALPHABET))], "<u4").tobytes()
+    def _made(self, pretoken: str) -> bytes:
+        ids = [t.id for t in self.tokenizer.model.tokenize(pretoken.translate(ALPHABET))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _atom(self, pretoken: str) -> bytes:
+        """Ids of a word that no space is before, of marks, or of one line end."""
+        if (found := self.atoms.get(pretoken)) is None:
+            found = self.atoms[pretoken] = self._made(pretoken)
         return found
 
-    def _add(self, parts: list[str]) -> None:
-        """Adds stretches. Letters, marks and line ends between words are pre-tokens of their own, and are shared among stretches."""
-        other = []
-        for p in parts:
-            lines = [PLAIN.fullmatch(x) for x in p.split("\n")]
-            if self.plain and all(lines):
-                self.ids[p] = self._atom("\n").join(self._atom(m[1]) + (self._atom(m[2]) if m[2] else b"") for m in lines)
-            else:
-                other.append(p)
-        if other:
-            self.ids.update(zip(other, self._encode(other), strict=True))
+    def _line(self, text: str) -> bytes | None:
+        """Ids of a word that no space is before, and its marks; null if it's something else."""
+        m = PLAIN.fullmatch(text) if self.plain else None
+        return m and (self._atom(m[1]) + self._atom(m[2]) if m[2] else self._atom(m[1]))
+
+    def __missing__(self, rest: str) -> bytes:
+        """Letters, marks and line ends between words are pre-tokens of their own: the word is what is kept. Stretches over lines seldom repeat and aren't kept."""
+        if (found := self.old.get(rest)) is None:
+            word, *lines = rest.split("\n")
+            m = PLAIN.fullmatch(word) if self.plain else None
+            if m and lines:
+                parts = [self[word], *map(self._line, lines)]
+                return self._encoded(" " + rest) if None in parts else self._atom("\n").join(parts)
+            found = self._encoded(" " + rest) if m is None else self[m[1]] + self._atom(m[2]) if m[2] else self._made(" " + rest)
+        self[rest] = found
+        return found
 
     def encode(self, text: str) -> bytes:
         if self.whole or self.special and self.special.search(text):
-            return self._encode([text])[0]
+            return self._encoded(text)
         if "  " in text or " \n" in text or "\n " in text or not text.isprintable() and re.search(r"[^\S\n ]", text) or text[:1].isspace() or text[-1:].isspace():
-            parts = INNER_SPACE.split(text)
+            first, *parts = INNER_SPACE.split(text)
+            parts = [p[1:] for p in parts]
         else:
-            parts = text.split(" ")
-            parts[1:] = [" " + p for p in parts[1:]]
-        ids = self.ids
-        if len(ids) > TABLE:
-            ids.clear()
-        if new := [p for p in set(parts) if p not in ids]:
-            self._add(new)
-        return b"".join(map(ids.__getitem__, parts))
+            first, *parts = text.split(" ")
+        if len(self) > TABLE // 2:
+            self.old = dict(self)
+            self.clear()
+        if len(self.atoms) > TABLE // 4:
+            self.atoms.clear()
+        line = self._line(first)
+        return (self._encoded(first) if line is None else line) + b"".join(map(self.__getitem__, parts))
 
 
 @lru_cache(maxsize=1)
