@@ -16,31 +16,41 @@ LEAST_SCORE = 0.5
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters, null texts, and texts whose language stays below LEAST_SCORE. The model learns from documents as op9 does."""
+    """Rejects documents without letters, null texts, and texts whose language stays below LEAST_SCORE. The model learns from documents as op9 does.
+
+    Rows of null doc_id or lang teach nothing and are judged like others; equal probabilities go to the language that sorts first; rows that repeat stay or go together. Whole texts of any length. Without a row to
+    learn from no language is known, so nothing stays; an empty table gives an empty table. Extra columns pass through, whatever their names."""
     model = language_id.train(docs.where(F.col("doc_id").isNotNull() & ~language_id.held_out(F.col("doc_id"))))
     scored = language_id.predict(docs, model)
     return scored.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts lines that repeat from earlier ones; a document that had text and has none left goes. n_chars follows the text."""
+    """Cuts lines that repeat from earlier ones; a document that had text and has none left goes. n_chars follows the text.
+
+    Of equal windows the first by doc_id (nulls last) and line stays, so rows that repeat an id lose their later lines; empty texts, and null ones, stay as they are. Whole texts of any length; an empty table gives an empty table; extra columns pass
+    through."""
     cut = line_dedup.without_repeated_lines(docs)
     stays = (F.col("n_removed") == 0) | F.col("text").rlike(r"[^ \t\r\n\f\x0B]")
     return _with_length(cut.where(stays).select(*docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near-duplicates."""
+    """Keeps one document of each class of near-duplicates: the row of the least doc_id, nulls last, of equal ids the one of the least text hash.
+
+    Rows that repeat id and text are one document. Null texts and texts without words are classes of their own and stay. Whole texts of any length; an empty table gives an empty table; extra columns pass through."""
     return near_dedup.deduplicated(docs).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain a benchmark item."""
+    """Drops documents that contain a benchmark item.
+
+    Null and empty texts contain none and stay; rows that repeat stay or go together. An item of null id counts, one without words doesn't; an empty benchmark drops nothing. Whole texts of any length; extra columns pass through."""
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes and decodes what is left: doc_id, n_tokens, ids_sha256 and decoded_sha256."""
+    """Encodes and decodes what is left: doc_id, n_tokens, ids_sha256 and decoded_sha256. A row for each row, repeats and null ids too; null and empty texts have no tokens."""
     return pieces.digests(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
