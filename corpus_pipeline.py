@@ -28,7 +28,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts lines that repeat from earlier ones; a document that had text and has none left goes. n_chars follows the text.
 
-    Of equal windows the first by doc_id (nulls last) and line stays, so rows that repeat an id lose their later lines; empty texts, and null ones, stay as they are. Whole texts of any length; an empty table gives an empty table; extra columns pass
+    Of equal windows the first by doc_id (null ids first) and line stays; texts of under three lines lose none; empty texts, and null ones, stay as they are. Whole texts of any length; an empty table gives an empty table; extra columns pass
     through."""
     cut = line_dedup.without_repeated_lines(docs)
     stays = (F.col("n_removed") == 0) | F.col("text").rlike(r"[^ \t\r\n\f\x0B]")
