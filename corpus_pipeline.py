@@ -21,8 +21,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows of null doc_id or lang teach nothing and are judged like others; equal probabilities go to the language that sorts first; rows that repeat stay or go together. Whole texts of any length. Without a row to
     learn from no language is known, so nothing stays; an empty table gives an empty table. Extra columns pass through, whatever their names."""
     model = language_id.train(docs.where(F.col("doc_id").isNotNull() & ~language_id.held_out(F.col("doc_id"))))
-    scored = language_id.predict(docs, model)
-    return scored.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    scored = language_id.predict(_packed(docs), model)
+    return _unpacked(scored.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +30,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Of equal windows the first by doc_id (null ids first) and line stays; texts of under three lines lose none; empty texts, and null ones, stay as they are. Whole texts of any length; an empty table gives an empty table; extra columns pass
     through."""
-    cut = line_dedup.without_repeated_lines(docs)
+    cut = line_dedup.without_repeated_lines(_packed(docs))
     stays = (F.col("n_removed") == 0) | F.col("text").rlike(r"[^ \t\r\n\f\x0B]")
-    return _with_length(cut.where(stays).select(*docs.columns))
+    return _with_length(_unpacked(cut.where(stays), docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +54,17 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pieces.digests(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the other columns as one, so that none is replaced by a column of its name that an operator adds."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", *([F.struct(*rest).alias("own")] if rest else []))
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows with the columns of docs again."""
+    return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"own.`{c}`").alias(c) for c in docs.columns])
+
+
 def _with_length(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 

@@ -72,3 +72,20 @@ def test_nulls_repeats_and_long_texts(spark, tables, tmp_path):
     out = P.run(spark, str(tmp_path)).collect()
     counts = {r.doc_id: r.n_tokens for r in out}
     assert len(counts) == len(out) and None in counts and counts[900] == len(sp.encode(long)) and not {901, 902} & set(counts)
+
+
+def test_extra_columns_of_clashing_names_pass_through(spark, tables):
+    """Columns named like those that stages add or use inside keep their values, and change nothing else."""
+    at, _ = tables
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    names = ["lang_pred", "score", "n_lines", "n_removed", "n_id", "n_key", "label", "kept", "k_id", "item_id", "text_hash", "w_id", "key", "h", "band"]
+    for (name, stage), (_, again) in zip(P.STAGES[:-1], P.STAGES[:-1], strict=True):
+        wide = docs
+        for n in names:
+            wide = wide.withColumn(n, F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")))
+        plain = sorted(map(tuple, stage(spark, docs, at).collect()), key=str)
+        found = again(spark, wide, at)
+        assert found.columns == wide.columns, name
+        rows = found.collect()
+        assert sorted((tuple(r)[: len(docs.columns)] for r in rows), key=str) == plain, name
+        assert all(r[n] == f"{n} of {r.doc_id}" for r in rows for n in names), name
