@@ -242,6 +242,30 @@ def x08(s, d):
     return _t(s, d, "nation").select("n_nationkey", X.no_vat(F.get(codes, F.col("n_nationkey") % 4)).alias("none"))
 
 
+_PHONES = ("concat('+44 (20) 79-', lpad(CAST(c_custkey AS STRING), 6, '0'))", "concat('0', c_custkey * 1237, ' ext')", "concat('00', c_custkey % 5000)", "concat('44', lpad(CAST(c_custkey AS STRING), 8, '3'))", "concat('tel. ', c_acctbal, '/', c_custkey)", "CAST(NULL AS STRING)")
+
+
+@source("x07_phone_forms", "WITH t AS (SELECT c_custkey, CASE c_custkey % 6 " + " ".join(f"WHEN {k} THEN {p.replace('STRING', 'VARCHAR')}" for k, p in enumerate(_PHONES)) + r""" END AS t FROM customer), d AS (SELECT c_custkey, regexp_replace(coalesce(t, ''), '\D', '', 'g') AS d FROM t),
+b AS (SELECT c_custkey, ltrim(CASE WHEN length(d) > 10 AND d LIKE '44%' THEN substr(d, 3) ELSE d END, '0') AS b FROM d) SELECT c_custkey, CASE WHEN length(b) >= 6 THEN b ELSE '' END AS phone FROM b""")
+def x07_forms(s, d):
+    text = F.expr("CASE c_custkey % 6 " + " ".join(f"WHEN {k} THEN {p}" for k, p in enumerate(_PHONES)) + " END")
+    return _t(s, d, "customer").select("c_custkey", F.coalesce(X.phone(text), F.lit("")).alias("phone"))
+
+
+_CODES = (" no vat ", "INPUT2", "Outside Scope", "", "N O N E", "no tax!", "x outside the uk", "NoTax", "nonesuch")
+
+
+@source("x08_code_forms", "WITH t AS (SELECT o_orderkey, concat(CASE o_orderkey % 9 " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(_CODES)) + " END, CASE WHEN o_orderkey % 7 = 0 THEN substr(o_orderpriority, 3, 3) ELSE '' END) AS t FROM orders) SELECT o_orderkey, upper(replace(t, ' ', '')) IN ('NONE', 'NOTAX', 'NOVAT') OR contains(upper(t), 'OUTSIDE') AS none FROM t")
+def x08_forms(s, d):
+    code = F.concat(F.get(F.array(*map(F.lit, _CODES)), (F.col("o_orderkey") % 9).cast("int")), F.when(F.col("o_orderkey") % 7 == 0, F.substring("o_orderpriority", 3, 3)).otherwise(""))
+    return _t(s, d, "orders").select("o_orderkey", X.no_vat(code).alias("none"))
+
+
+@source("x17_slugs_of_parts", "SELECT p_partkey, trim(regexp_replace(lower(concat(' ', p_name, ' / ', p_type, '__É#', p_partkey * 7919 % 1000, '!')), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
+def x17_parts(s, d):
+    return _t(s, d, "part").select("p_partkey", X.slug(F.concat(F.lit(" "), "p_name", F.lit(" / "), "p_type", F.lit("__É#"), (F.col("p_partkey") * 7919 % 1000).cast("string"), F.lit("!"))).alias("slug"))
+
+
 @source("x10_phrases", r"SELECT p_partkey, coalesce(regexp_extract(lower(p_name), '\b(widget|small|ring|bolt)s?\b', 1), '') AS found FROM part")
 def x10(s, d):
     return _t(s, d, "part").select("p_partkey", X.phrase(F.concat("p_name", F.lit("s")), ("ring", "widget", "bolt", "small")).alias("found"))
