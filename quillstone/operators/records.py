@@ -127,3 +127,26 @@ def suggestions(answers: DataFrame, vendors: dict[str, str] | None = None) -> Da
     rows = answers.select("*", given("fix_strategy", "manual_review").alias("strategy"), given("xero_action", "").alias("action"), steps.alias("steps"), given("rationale", "").alias("rationale"), F.coalesce(text("estimated_minutes").try_cast("double").cast("int"), F.lit(0)).alias("minutes"), updates.alias("updates"), F.nullif(text("target_transaction_id"), F.lit("")).alias("target"))
     code = F.coalesce(F.nullif(strip("suggested_code"), F.lit("")), vendor_account("vendor_name", vendors or {}), code_in_text(F.array_join("steps", " ")))
     return rows.select(*KEY, "strategy", "action", "steps", "rationale", "minutes", "updates", "target", F.when(F.col("primary_rule").isin(*RECODED), code).alias("account"))
+
+
+def events_recorded(log: DataFrame, events: DataFrame) -> DataFrame:
+    """An activity log with new events behind it: firm_id, type, severity (info if unknown), title, detail, actor_email, company_id, at. Events without a type or a title aren't recorded; what they don't say is null."""
+    fields = {"firm_id": "string", "type": "string", "severity": "string", "title": "string", "detail": "string", "actor_email": "string", "company_id": "string", "at": "timestamp"}
+    given = lambda c: F.col(c) if c in events.columns else F.lit(None)
+    rows = events.select(*(F.coalesce(given(c).cast(k), F.lit("info") if c == "severity" else F.lit(None).cast(k)).alias(c) for c, k in fields.items()))
+    return log.unionByName(rows.where(~blank("type") & ~blank("title")), allowMissingColumns=True)
+
+
+def sends_recorded(log: DataFrame, attempts: DataFrame) -> DataFrame:
+    """A send log with a row for each attempt behind it. attempts: user_id, recipient_email, kind, ok, channel, detail, provider_message_id, at. The address is stored trimmed in lower case; a detail is an error only where the attempt failed."""
+    ok = F.coalesce(F.col("ok"), F.lit(False))
+    rows = attempts.select("user_id", F.lower(strip("recipient_email")).alias("recipient_email"), "channel", "kind", F.when(ok, "sent").otherwise("failed").alias("status"), F.col("channel").alias("provider"), "provider_message_id", F.when(~ok, F.col("detail")).alias("error"), "at")
+    return log.unionByName(rows, allowMissingColumns=True)
+
+
+def users_marked(users: DataFrame, attempts: DataFrame) -> DataFrame:
+    """users with email_status as the last attempt to write to each left it (of attempts at one time a failed one counts); users nobody wrote to keep theirs. users: user_id, email_status and more."""
+    ok = F.coalesce(F.col("ok"), F.lit(False))
+    last = attempts.where(F.col("user_id").isNotNull()).groupBy(F.col("user_id").alias("s_user")).agg(F.max_by(F.when(ok, "sent").otherwise("failed"), F.struct("at", ~ok)).alias("s_status"))
+    rows = users.join(last, F.col("user_id") == F.col("s_user"), "left")
+    return rows.select(*[F.coalesce("s_status", "email_status").alias(c) if c == "email_status" else F.col(c) for c in users.columns])

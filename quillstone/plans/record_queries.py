@@ -94,3 +94,32 @@ def h44(s, d):
     raw = F.when(k == 0, '{"summary": "fine", "confidence": 0.5, "more": [1]}').when(k == 1, '{"summary": "fine", "confidence": "high"}').when(k == 2, "[1, 2]").when(k == 3, '{"summary": ').otherwise("{}")
     a = R.annotation("raw")
     return V.documents(s, d).select("transaction_id", raw.alias("raw")).select("transaction_id", a.isNotNull().alias("readable"), F.coalesce(a["summary"], F.lit("")).alias("summary"))
+
+
+def _attempts(s, d):
+    """Every event as an attempt to write to its user: some have no user, and some fail."""
+    e = s.read.parquet(f"{d}/events.parquet")
+    user = F.when(F.col("event_id") % 11 > 0, F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    return e.select(user.alias("user_id"), F.concat(F.lit(" User"), F.col("user_id").cast("string"), F.lit("@Mail.EXAMPLE ")).alias("recipient_email"), F.col("event_type").alias("kind"), F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 3 > 0).alias("ok"), F.lit("email").alias("channel"), F.concat(F.lit("d"), F.col("event_id").cast("string")).alias("detail"), F.col("event_id").cast("string").alias("provider_message_id"), F.col("ts").cast("timestamp").alias("at"))
+
+
+@record("h40_activity_log", "SELECT concat('f', user_id % 5) AS firm_id, event_type AS type, CASE WHEN event_id % 4 = 0 THEN 'warning' ELSE 'info' END AS severity, concat('event ', event_id) AS title, coalesce(concat('co', user_id), '') AS company_id FROM events WHERE event_id % 9 > 0 UNION ALL SELECT 'f0', 'started', 'info', r_name, '' FROM region", prelude=False)
+def h40(s, d):
+    e = s.read.parquet(f"{d}/events.parquet")
+    log = s.read.parquet(f"{d}/region.parquet").select(F.lit("f0").alias("firm_id"), F.lit("started").alias("type"), F.lit("info").alias("severity"), F.col("r_name").alias("title"))
+    events = e.select(F.concat(F.lit("f"), (F.col("user_id") % 5).cast("string")).alias("firm_id"), F.when(F.col("event_id") % 9 > 0, F.col("event_type")).otherwise(" ").alias("type"), F.when(F.col("event_id") % 4 == 0, "warning").alias("severity"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("title"), F.concat(F.lit("co"), F.col("user_id").cast("string")).alias("company_id"))
+    return R.events_recorded(log, events).select("firm_id", "type", "severity", "title", F.coalesce("company_id", F.lit("")).alias("company_id"))
+
+
+@record("h41_send_log", "SELECT coalesce(CASE WHEN event_id % 11 > 0 THEN concat('u', user_id) END, '') AS user_id, coalesce(concat('user', user_id, '@mail.example'), '') AS recipient_email, event_type AS kind, CASE WHEN event_id % 5 > 0 AND event_id % 3 > 0 THEN 'sent' ELSE 'failed' END AS status, CASE WHEN event_id % 5 > 0 AND event_id % 3 > 0 THEN '' ELSE concat('d', event_id) END AS error FROM events", prelude=False)
+def h41(s, d):
+    a = _attempts(s, d)
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return R.sends_recorded(R.sends_recorded(a.limit(0).select("user_id"), a.where("provider_message_id % 2 = 0")), a.where("provider_message_id % 2 = 1")).select(text("user_id"), text("recipient_email"), "kind", "status", text("error"))
+
+
+@record("h41_user_status", """WITH a AS (SELECT concat('u', user_id) AS user_id, ts, CASE WHEN event_id % 5 > 0 AND event_id % 3 > 0 THEN 'sent' ELSE 'failed' END AS s FROM events WHERE event_id % 11 > 0 AND user_id IS NOT NULL),
+l AS (SELECT user_id, arg_max(s, (ts, s = 'failed')) AS s FROM a GROUP BY 1) SELECT concat('u', c_custkey) AS user_id, coalesce(s, 'unknown') AS email_status FROM customer LEFT JOIN l ON l.user_id = concat('u', c_custkey)""", prelude=False)
+def h41_users(s, d):
+    users = s.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("user_id"), F.lit("unknown").alias("email_status"))
+    return R.users_marked(users, _attempts(s, d))
