@@ -30,9 +30,11 @@ from .token_counts import ALPHABET, LETTERS, MARKS, tokenizer
 FRAME = 65_536
 SKIPPABLE, SEEKABLE, CHECKED = 0x184D2A5E, 0x8F92EAB1, 0x80
 #: Entries of a task's table at most before it starts anew; bounds memory, not results.
-TABLE = 700_000
+TABLE = 1_200_000
 #: Splits before a space that has other characters on both sides: a pre-token of the byte-level pattern always starts there.
 INNER_SPACE = re.compile(r"(?<=\S)(?= \S)")
+#: White space but blanks and line ends.
+OTHER_SPACES = [c for c in map(chr, range(1 << 16)) if c.isspace() and c not in " \n"]
 #: A plain word and the marks behind it.
 PLAIN = re.compile(f"([{LETTERS}]+)([{MARKS}]*)")
 MANIFEST = "path string, first_id long, n_docs long, n_tokens long, part int"
@@ -83,11 +85,11 @@ class IdTable(dict):
     def __missing__(self, rest: str) -> bytes:
         """Letters, marks and line ends between words are pre-tokens of their own: the word is what is kept. Stretches over lines seldom repeat and aren't kept."""
         if (found := self.old.get(rest)) is None:
-            word, *lines = rest.split("\n")
-            m = PLAIN.fullmatch(word) if self.plain else None
-            if m and lines:
-                parts = [self[word], *map(self._line, lines)]
+            if self.plain and "\n" in rest:
+                word, *lines = rest.split("\n")
+                parts = [self[word] if PLAIN.fullmatch(word) else None, *map(self._line, lines)]
                 return self._encoded(" " + rest) if None in parts else self._atom("\n").join(parts)
+            m = PLAIN.fullmatch(rest) if self.plain else None
             found = self._encoded(" " + rest) if m is None else self[m[1]] + self._atom(m[2]) if m[2] else self._made(" " + rest)
         self[rest] = found
         return found
@@ -95,7 +97,7 @@ class IdTable(dict):
     def encode(self, text: str) -> bytes:
         if self.whole or self.special and self.special.search(text):
             return self._encoded(text)
-        if "  " in text or " \n" in text or "\n " in text or not text.isprintable() and re.search(r"[^\S\n ]", text) or text[:1].isspace() or text[-1:].isspace():
+        if "  " in text or " \n" in text or "\n " in text or any(map(text.__contains__, OTHER_SPACES)) or text[:1].isspace() or text[-1:].isspace():
             first, *parts = INNER_SPACE.split(text)
             parts = [p[1:] for p in parts]
         else:
