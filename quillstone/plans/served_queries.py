@@ -139,7 +139,7 @@ _PANORAMA = f"""WITH {P._VERDICTS}, w AS (SELECT concat('co', seq % 6) AS compan
 c AS (SELECT concat('co', r_regionkey) AS company_id, r_name AS name, r_regionkey AS k FROM region WHERE r_regionkey <> 2 UNION ALL SELECT 'co5', 'africa again', 5),
 n AS (SELECT company_id, count(*) AS trapped, count(*) FILTER (NOT contact) AS open_documents, count(*) FILTER (contact) AS open_contacts FROM w GROUP BY 1), r AS (SELECT company_id, rule_ids[1] AS rule, count(*) AS m, min(seq) AS o FROM w GROUP BY 1, 2),
 t AS (SELECT company_id, rule AS top_rule FROM r QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY m DESC, o) = 1), a AS (SELECT concat('co', seq % 6) AS company_id, count(*) AS documents, count(*) FILTER (seq % 7 = 0) AS contacts, max(date) AS last FROM docs WHERE seq % 6 <> 3 GROUP BY 1)
-SELECT row_number() OVER (ORDER BY score NULLS LAST, lower(name)) AS place, * FROM (SELECT c.company_id, name, CASE WHEN documents > 0 THEN {P._score('(documents + contacts)', 'coalesce(trapped, 0)')} END AS score, coalesce(trapped, 0) AS trapped, coalesce(open_documents, 0) AS open_documents, coalesce(open_contacts, 0) AS open_contacts,
+SELECT row_number() OVER (ORDER BY score NULLS LAST, lower(name)) AS place, * REPLACE (coalesce(score, -1) AS score) FROM (SELECT c.company_id, name, CASE WHEN documents > 0 THEN {P._score('(documents + contacts)', 'coalesce(trapped, 0)')} END AS score, coalesce(trapped, 0) AS trapped, coalesce(open_documents, 0) AS open_documents, coalesce(open_contacts, 0) AS open_contacts,
   coalesce(documents, 0) AS documents, coalesce(contacts, 0) AS contacts, coalesce(CAST(last AS VARCHAR), '') AS last_audit, coalesce(top_rule, '') AS top_rule FROM c LEFT JOIN n USING (company_id) LEFT JOIN t USING (company_id) LEFT JOIN a USING (company_id))"""
 
 
@@ -155,7 +155,7 @@ def k15_split(s, d):
     audits = audits.unionByName(audits.withColumn("documents", F.lit(1)).withColumn("contacts", F.lit(0)))  # a narrower run counts for nothing
     found = E.company_panorama(companies, v, audits, companies.where("company_id <> 'co9'"))
     place = F.row_number().over(Window.orderBy(F.asc_nulls_last("score"), F.lower("name")))  # six rows
-    return found.select(place.cast("long").alias("place"), "company_id", "name", "score", "trapped", "open_documents", "open_contacts", "documents", "contacts", F.coalesce(F.col("last_audit").cast("string"), F.lit("")).alias("last_audit"), F.coalesce("top_rule", F.lit("")).alias("top_rule"))
+    return found.select(place.cast("long").alias("place"), "company_id", "name", F.coalesce("score", F.lit(-1)).alias("score"), "trapped", "open_documents", "open_contacts", "documents", "contacts", F.coalesce(F.col("last_audit").cast("string"), F.lit("")).alias("last_audit"), F.coalesce("top_rule", F.lit("")).alias("top_rule"))
 
 
 # --- state and snapshots ------------------------------------------------------------------
