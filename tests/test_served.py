@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 import statistics
 import uuid
 from datetime import datetime, timedelta
@@ -112,3 +113,14 @@ def test_a_served_table_replaces_rows_and_reads_one_bucket(spark, tmp_path):
     assert [r.status for r in one.collect()] == ["failed"] and len(one.inputFiles()) <= 4 and before
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan
+
+
+def test_access_by_grants_makes_no_product_of_a_firm(spark):
+    companies = spark.createDataFrame([(1, 10), (1, 11), (2, 20), (None, 30)], "firm_id int, company_id int")
+    users = spark.createDataFrame([(1, 1, True), (1, 2, False), (2, 3, False), (None, 4, False), (1, 5, None)], "firm_id int, user_id int, is_owner boolean")
+    grants = spark.createDataFrame([(2, 10), (2, 10), (2, 20), (3, 20), (4, 30), (5, 10), (9, 10)], "user_id int, company_id int")
+    df = verdicts.accessible(companies, users, grants)
+    assert sorted(map(tuple, df.collect())) == [(1, 10), (1, 11), (2, 10), (3, 20)]
+    joins = re.findall(r"Join \w+, (.*)", df._jdf.queryExecution().optimizedPlan().toString())
+    assert [j.count("=") for j in joins].count(1) == 2, "owners by firm, grants by user"
+    assert sum("firm_id" in j and "company_id" not in j for j in joins) == 1, "only owners meet all companies of their firm"
