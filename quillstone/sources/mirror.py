@@ -28,7 +28,9 @@ def read(raw: DataFrame, entity: str, schema: str, company: str | None = None) -
     rows = raw.where(F.col("entity") == entity)
     if company is not None:
         rows = rows.where(F.col("company_id") == company)
-    return rows.where(F.col("raw_json").rlike(r"^\s*\{")).select("company_id", "source_id", "synced_ts", F.from_json("raw_json", schema).alias("j")).where("j is not null")
+    # a generator, which later filters don't pass: else each of them, and each column, would parse the text anew
+    parsed = F.explode(F.array(F.when(F.col("raw_json").rlike(r"^\s*\{"), F.from_json("raw_json", schema)))).alias("j")
+    return rows.select("company_id", "source_id", "synced_ts", parsed).where("j is not null")
 
 
 def first_row(raw: DataFrame, entity: str, schema: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import dates, similarity, text
 from quillstone.operators import catalog, contact_rules, document_rules, duplicate_rules, kpis, line_rules, records, verdicts
 from quillstone.operators.base import Settings, lines
+from quillstone.sources import mirror
 from quillstone.plans import rule_queries
 from quillstone.sources import files, reports
 from quillstone.streaming import ingest
@@ -247,3 +248,25 @@ def test_settings_belong_to_rules_of_the_catalogue():
     assert {r for r, _ in catalog.TUNES.values()} <= {r[1] for r in catalog.RULES}
     assert len({r[1] for r in catalog.RULES}) == len(catalog.RULES)
     assert set(catalog.TUNES) | {"historical_code", "disabled_rules"} == set(Settings.__dataclass_fields__)
+
+
+def test_terms_of_far_dates_and_repeated_texts(spark):
+    rows = [(i, t, s) for i, (t, s) in enumerate(3 * [("annual licence", date(9998, 2, 23)), ("annual licence", date(9999, 2, 23)), ("annual licence", date(2024, 2, 29)), ("Feb 2024 to Feb 2024", None), (None, date(2024, 1, 1)), ("lunch", None)])]
+    got = spark.createDataFrame(rows, "i int, t string, s date").select("i", dates.period("t", "s").alias("p")).collect()
+    want = [(date(9998, 2, 23), date(9999, 2, 22)), None, (date(2024, 2, 29), date(2025, 2, 27)), (date(2024, 2, 1), date(2024, 2, 29)), None, None]
+    assert {r.i: (r.p.start, r.p.end) if r.p and r.p.start else None for r in got} == {i: want[i % 6] for i in range(18)}
+
+
+def test_strip_takes_white_space_of_any_kind(spark):
+    spaces = [chr(c) for c in range(0x3100) if chr(c).isspace() and not 0x1C <= c <= 0x1F]
+    df = spark.createDataFrame([(f"{c} a{c}b \n{c}",) for c in spaces] + [("",), (" \n",), (None,), ("​a\x1c",)], "t string").select(text.strip("t").alias("x"))
+    assert [r.x for r in df.collect()] == [f"a{c}b" for c in spaces] + ["", "", "", "​a\x1c"]
+    assert "regexp_replace" not in df._jdf.queryExecution().optimizedPlan().toString(), "strip is on every key of every rule: no pattern is run for it"
+
+
+def test_raw_documents_are_parsed_once(spark):
+    raw = spark.range(5).selectExpr("'co' AS company_id", "'bank_transactions' AS entity", "CAST(id AS string) AS source_id", "CASE WHEN id < 3 THEN to_json(struct(concat('B', id) AS BankTransactionID, 'spend' AS Type, '7.5' AS Total, struct('S1' AS ContactID) AS Contact)) WHEN id = 3 THEN '[1]' END AS raw_json", "timestamp_seconds(0) AS synced_ts")
+    df = mirror.bank(raw)
+    assert sorted((r.transaction_id, r.type, float(r.amount)) for r in df.collect()) == [(f"B{i}", "SPEND", 7.5) for i in range(3)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1, "filters and columns share one parse"
