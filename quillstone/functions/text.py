@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 SUFFIXES = ("pvt", "ltd", "limited", "private", "inc", "incorporated", "llc", "llp", "plc", "co", "company", "corp", "corporation", "the")
 FILLERS = ("agency", "club", "group", "holdings", "services", "service", "solutions", "solution", "consulting", "consultancy", "consultants", "partners", "associates", "enterprises", "enterprise", "trading", "ventures", "industries")
 
+#: White space of any kind in Unicode.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 
 def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -19,7 +22,7 @@ def _c(col: Column | str) -> Column:
 
 def strip(col: Column | str) -> Column:
     """Text less white space of any kind at both ends; null becomes empty."""
-    return F.regexp_replace(F.coalesce(_c(col).cast("string"), F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.trim(F.coalesce(_c(col).cast("string"), F.lit("")), F.lit(WHITE))
 
 
 def upper(col: Column | str) -> Column:
