@@ -23,9 +23,11 @@ def _scored(facts: DataFrame, scorer: Scorer, columns: dict[str, str]) -> DataFr
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for at in range(0, len(part), CHUNK):
-                chunk = part.iloc[at : at + CHUNK].reset_index(drop=True)
-                yield pd.concat([chunk, scorer(chunk)[list(columns)].reset_index(drop=True)], axis=1)
+            if part.empty:
+                continue
+            part = part.reset_index(drop=True)  # noqa: PLW2901
+            said = [scorer(part.iloc[at : at + CHUNK].reset_index(drop=True))[list(columns)] for at in range(0, len(part), CHUNK)]
+            yield pd.concat([part, pd.concat(said, ignore_index=True)], axis=1)  # once a batch, as joining each chunk costs more than most answers
 
     return facts.mapInPandas(run, schema)
 
