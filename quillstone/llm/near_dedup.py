@@ -6,7 +6,8 @@ documents agree with their distinct shingles' Jaccard similarity, for which the
 probability 0.99995, whatever repeats in them. Those that do share a bucket. Buckets are never expanded into pairs: each member is held against its bucket's most central member, the one
 that shares buckets with the most others. The pairs of different groups that are
 left in a bucket are compared in full while it is small; in a large one by prefix filtering, which loses none: two sets of the needed similarity
-share one of their first shingles, in an order that puts those first that the centre lacks, rare ones foremost. A pair is linked when
+share one of their first shingles, in an order that puts those first that the centre lacks, rare ones foremost. Large buckets whose centres
+are of one group are compared as one, by that group's foremost centre. A pair is linked when
 the exact Jaccard similarity of its distinct shingles is at least 0.8, and linked documents form one class.
 """
 
@@ -213,7 +214,12 @@ def _remaining(now: DataFrame, centre: DataFrame, sets: DataFrame, similarity: f
     other = small.select(*[F.col(c).alias(renamed.get(c, c)) for c in small.columns])
     full = small.join(other, ["band", "h"]).where((F.col("label") < F.col("label2")) & _may_be_linked("a", "b", "size", "size2", similarity)).select(*_ordered("key", "key2"))
 
-    large = now.join(centre.where(F.col("n") > SMALL), ["band", "h"]).where("key != c_key").select("c_key", "key", "label", "degree").distinct()
+    # buckets whose centres are of one group share its foremost centre: a member is dealt once for such a group, in however many of its buckets it stands
+    dealt = now.join(centre.where(F.col("n") > SMALL), ["band", "h"])
+    foremost = dealt.where("key = c_key").groupBy(F.col("c_label").alias("f_label")).agg(F.max(F.struct("degree", "key")).alias("f"))
+    foremost = written(foremost.select("f_label", F.col("f.key").alias("c_key")), "centres")
+    large = dealt.select("c_label", "key", "label", "degree").distinct()
+    large = large.join(foremost, F.col("c_label") == F.col("f_label")).where("key != c_key").select("c_key", "key", "label", "degree")
     large = large.join(sets.select(F.col("s_key").alias("key"), F.col("s_size").alias("size")), "key")
     step = lambda size: F.floor(F.log(size) * SIZE_STEPS).cast("int")
     occurring = written(large.groupBy(F.col("c_key").alias("o_key")).agg(F.collect_set(step(F.col("size"))).alias("steps")), "occurring")  # of its own: the join can then be split

@@ -487,6 +487,26 @@ def test_large_group_with_a_shared_stock_of_phrases_makes_few_candidates(spark,
     assert linked.sum() >= 20 and {(rows[i][0], rows[j][0]) for i, j in zip(*np.nonzero(linked), strict=True)} <= set(found)
 
 
+def test_large_buckets_of_one_group_deal_a_member_once(spark, monkeypatch):
+    rng = random.Random(13)
+    base, rows = list(range(100)), {}
+    for i in range(120):
+        rows[b"k%03d" % i] = sorted({*rng.sample(base, 70), *(1000 + rng.randrange(200) for _ in range(30))})
+    rows |= {b"l%03d" % i: sorted({*rows[b"k%03d" % i][3:]} | {5000 + i}) for i in range(0, 120, 6)}  # links that must stay
+    rows |= {b"c%d" % b: sorted({*base} - {b}) for b in range(6)}
+    label = lambda k: b"c0" if k[:1] == b"c" else k
+    # six buckets hold all other members, and each has a centre of its own; the centres are of one group
+    now = spark.createDataFrame([(b, 1, k, 9 + b if k[:1] == b"c" else 1, label(k)) for b in range(6) for k in rows if k[:1] != b"c" or k == b"c%d" % b], "band int, h long, key binary, degree int, label binary")
+    middle = spark.createDataFrame([(b, 1, len(rows) - 5, b"c%d" % b, b"c0") for b in range(6)], "band int, h long, n int, c_key binary, c_label binary")
+    kept, real = {}, near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, name, *more: kept.setdefault(name, real(df, name, *more)))
+    found = {(bytes(r.a), bytes(r.b)) for r in near_dedup._remaining(now, middle, set_frame(spark, rows), 0.8).collect()}
+    assert kept["large"].count() == len(rows) - 1  # six times that before
+    others = sorted(k for k in rows if k[:1] != b"c")
+    linked = {(a, b) for a, b in itertools.combinations(others, 2) if len({*rows[a]} & {*rows[b]}) >= 0.8 * len({*rows[a]} | {*rows[b]})}
+    assert len(linked) >= 20 and linked <= found
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(10)
     a = rng.integers(1 << 62, size=400).astype(np.uint64)
