@@ -15,7 +15,7 @@ import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,6 @@ CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 HEAD, HEAD_CHARS = 600_000, 16_000_000
 #: Chunks and characters that a task counts before it reports those met twice and starts anew; bounds memory, not results.
 COUNTED, COUNTED_CHARS = 1_000_000, 64_000_000
-#: Bytes of entries that a task gathers by text before it passes them on.
-GROUPED = 16_000_000
 #: Bits of a text's hash, and of the place of a rare chunk among those of its text (further ones are segmented where the text is).
 HASH_BITS, PLACE_BITS = 39, 24
 
@@ -112,8 +110,14 @@ def numbers(data: bytes) -> np.ndarray:
 def shorthand(text: str, rank: dict[str, int]) -> bytes:
     """A text as the ranks of its chunks, 0 for those without one, and those in full (no chunk has a space in it)."""
     cs = chunks(text)
-    ranks = varints(np.array([rank.get(c, 0) for c in cs], "i8"))
-    return len(ranks).to_bytes(4, "little") + ranks + " ".join([c for c in cs if c not in rank]).encode()
+    found = list(map(rank.get, cs, repeat(0)))
+    ranks = varints(np.array(found, "i8"))
+    return len(ranks).to_bytes(4, "little") + ranks + " ".join([c for c, k in zip(cs, found, strict=True) if not k]).encode()
+
+
+def rare_chunks(cs: list[str], rank: dict[str, int]) -> list[str]:
+    """The distinct chunks without a rank, by name: a chunk's place is its index."""
+    return sorted(set(cs).difference(rank))
 
 
 def _sized(n: int) -> bytes:
@@ -205,36 +209,23 @@ def _by_chunk(kept: DataFrame, path: str, text_col: str, shown: list[str]) -> Da
         rank = head_table(name, shared.value, "ranks")
         for big in batches:
             for batch in few(big):
-                found = [[w for w in dict.fromkeys(chunks(t)) if w not in rank][: 1 << PLACE_BITS] if t else [] for t in batch.column(1).to_pylist()]
+                found = [rare_chunks(chunks(t), rank)[: 1 << PLACE_BITS] if t else [] for t in batch.column(1).to_pylist()]
                 places = [(h << PLACE_BITS) + np.arange(len(x)) for h, x in zip(batch.column(0).to_pylist(), found, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(places), pa.int64()), pa.array([w for x in found for w in x], pa.string())], names=["p", "w"])
 
     def segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each rare chunk of each text. Spark gathers them by text: what a task gathered itself, a text has a row for each task that holds one of its chunks, more of them on larger inputs."""
         segment, last, known = segmenter(path), (None, None), (None, b"")
-        held: dict[int, bytearray] = {}
-        size = 0
-
-        def grouped() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([bytes(e) for e in held.values()], pa.binary())], names=["h", "e"])
-
         for batch in batches:  # in the order of chunks, then of texts and places
-            words = batch.column(1).to_pylist()
-            new = list(dict.fromkeys(w for w in words if w != known[0]))
+            pairs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            new = list(dict.fromkeys(w for _, w in pairs if w != known[0]))
             table = dict(zip(new, map(entry, segment(new)), strict=True)) | {known[0]: known[1]}
-            for p, w in zip(batch.column(0).to_pylist(), words, strict=True):
-                if (p, w) != last:  # else it is a copy of the text
-                    last = p, w
-                    e = _sized(p & (1 << PLACE_BITS) - 1) + table[w]
-                    held.setdefault(p >> PLACE_BITS, bytearray()).extend(e)
-                    size += len(e)
-            if words:
-                known = words[-1], table[words[-1]]
-            if size > GROUPED:
-                yield grouped()
-                held.clear()
-                size = 0
-        if held:
-            yield grouped()
+            fresh = [x for x, before in zip(pairs, [last, *pairs[:-1]], strict=True) if x != before]  # else it is a copy of the text
+            if pairs:
+                last = pairs[-1]
+                known = last[1], table[last[1]]
+            texts = pa.array([p >> PLACE_BITS for p, _ in fresh], pa.int64())
+            yield pa.RecordBatch.from_arrays([texts, pa.array([_sized(p & (1 << PLACE_BITS) - 1) + table[w] for p, w in fresh], pa.binary())], names=["h", "e"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -273,7 +264,7 @@ def _by_chunk(kept: DataFrame, path: str, text_col: str, shown: list[str]) -> Da
                     holes = np.flatnonzero(rank < 0)
                     if len(holes):
                         full = data[end:].decode().split(" ")
-                        place = {w: k for k, w in enumerate(dict.fromkeys(full))}
+                        place = {w: k for k, w in enumerate(rare_chunks(full, {}))}
                         rank[holes] = np.array([place[w] for w in full]) + len(number) + len(own)
                         own += rare(list(place), more or [])
                     at.append(rank)

@@ -242,6 +242,31 @@ def test_chunk_table_equals_library(spark, monkeypatch, head, counted, bits, pla
     assert all(r.ids == sp.encode(texts[r.doc_id] or "") and r.text == texts[r.doc_id] and r.own == "own" for r in out)
 
 
+def test_rare_chunks_make_rows_in_proportion_to_texts(spark, monkeypatch):
+    path = tokenizer_path("piece_bpe_32k.model")
+    monkeypatch.setattr(pieces, "HEAD", 0)
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(50)]
+    made = {}
+    for tasks in ("2", "16"):  # a larger input is dealt over more tasks
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            out = pieces.encode(docs(spark, texts), path)
+            seen, walk = [], [out._jdf.queryExecution().executedPlan()]
+            assert len(out.collect()) == len(texts)
+            while walk:
+                node = walk.pop()
+                if node.nodeName() == "MapInArrow" and "segmented(" in node.simpleString(1000):
+                    seen.append(node.metrics().get("pythonNumRowsReceived").get().value())
+                walk += [node.children().apply(k) for k in range(node.children().size())]
+            made[tasks] = seen[0]
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.enabled")
+    assert made["2"] == made["16"] == 50 * 40  # before, a row for each text and task: 100 and 751
+
+
+
 @pytest.mark.parametrize("name, head", [("word_bpe_49k.json", None), ("word_bpe_49k.json", 5), ("byte_bpe_50k.json", None), ("piece_bpe_32k.model", None), ("piece_bpe_32k.model", 5)])
 def test_token_counts_equal_library(spark, monkeypatch, name, head):
     if head:  # most pre-tokens go by the shuffle
