@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 from datetime import date
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -214,9 +215,16 @@ def first_line(rows: DataFrame, *cols: str) -> DataFrame:
 
 
 def dominant(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, top_<value> and n_values: the most frequent value of each group (of equals the first by seq and line), and how many differ."""
-    counted = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("seq", F.coalesce("line_no", F.lit(0)).alias("line"))).alias("o"))
-    return counted.groupBy(*keys).agg(F.max_by(value, F.struct(F.col("n"), -F.col("o.seq"), -F.col("o.line"))).alias(f"top_{value}"), F.count(F.lit(1)).alias("n_values"))
+    """keys, top_<value> and n_values: the most frequent value of each group (of equals the first by seq and line), and how many differ.
+
+    A row's place (seq, then line) is one number, as rows are counted by hash only where what is kept for a group has a fixed width: a struct would have them sorted first. Rows without a seq stand first, and lose ties."""
+    long = lambda c: F.col(c).cast("decimal(20,0)")
+    width, unplaced = F.lit(Decimal(1 << 32)), F.lit(Decimal(-(10**19)))  # below any seq
+    place = F.coalesce(long("seq"), unplaced) * width + F.coalesce("line_no", F.lit(0)).cast("decimal(10,0)")
+    counted = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("o"))
+    without = F.col("o") < F.lit(Decimal(-(1 << 95) - (1 << 40)))  # a long times the width, and a line, are never below
+    late = F.col("o") + F.when(without, F.lit(Decimal(10**30))).otherwise(F.lit(Decimal(0)))
+    return counted.groupBy(*keys).agg(F.max_by(value, F.struct(F.col("n"), -late)).alias(f"top_{value}"), F.count(F.lit(1)).alias("n_values"))
 
 
 def days_old(d: Column | str, as_of: date) -> Column:

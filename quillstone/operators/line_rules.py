@@ -147,14 +147,20 @@ def purchase_tax_on_invoices(txn: DataFrame, accounts: DataFrame, rates: DataFra
 
 
 def _several_codes(txn: DataFrame, value: str, issue: str, code, settings: Settings | None = None) -> DataFrame:
-    """Contacts whose lines carry two codes or more: their documents, at the first line that isn't the contact's usual code."""
-    rows = lines(txn).withColumn("who", contact_key()).withColumn("code", code(value)).where("code <> ''")
+    """Contacts whose lines carry two codes or more: their documents, at the first line that isn't the contact's usual code.
+
+    A document travels as one row with the codes of its lines; rows that repeat a document count as one."""
+    item = lambda n, c: F.struct(n.cast("int").alias("line_no"), code(c).alias("code"))
+    items = F.when(F.size("line_items") > 0, F.transform("line_items", lambda x, i: item(i + 1, x[f"{value}_code"]))).otherwise(F.array(item(F.lit(None), F.col(f"{value}_code"))))
+    docs = txn.select(*DOC, "seq", "vendor_name", contact_key().alias("who"), F.filter(items, lambda x: x["code"] != "").alias("items")).where(F.size("items") > 0)
     if settings is not None:
-        rows, skip = settings.joined(rows), settings.value("account_whitelist")
-        rows = rows.where(~is_listed(F.upper("who"), skip) & ~is_listed(upper("vendor_name"), skip))
-    usual = dominant(rows, ["company_id", "who"], "code").where("n_values >= 2")
-    odd = rows.join(usual, ["company_id", "who"]).where("code <> top_code")
-    return flags(first_line(odd, "code", "top_code"), issue, "medium", line_no=F.col("line_no"), current_code=F.col("code"), suggested_code=F.col("top_code"))
+        docs, skip = settings.joined(docs), settings.value("account_whitelist")
+        docs = docs.where(~is_listed(F.upper("who"), skip) & ~is_listed(upper("vendor_name"), skip))
+    usual = dominant(docs.select("company_id", "who", "seq", F.explode("items").alias("x")).select("company_id", "who", "seq", "x.*"), ["company_id", "who"], "code").where("n_values >= 2")
+    odd = docs.join(usual, ["company_id", "who"]).select(*DOC, "top_code", F.get(F.filter("items", lambda x: x["code"] != F.col("top_code")), F.lit(0)).alias("x")).where("x is not null")
+    # dealt first, as a document has one row here but for repeats: nothing to combine, and so nothing to sort, before
+    first = first_line(odd.select(*DOC, "x.*", "top_code").repartition(*DOC), "code", "top_code")
+    return flags(first, issue, "medium", line_no=F.col("line_no"), current_code=F.col("code"), suggested_code=F.col("top_code"))
 
 
 def several_tax_codes(txn: DataFrame) -> DataFrame:

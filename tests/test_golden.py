@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.functions import dates, similarity, text
-from quillstone.operators import catalog, contact_rules, document_rules, duplicate_rules, kpis, line_rules, records, verdicts
+from quillstone.operators import base, catalog, contact_rules, document_rules, duplicate_rules, kpis, line_rules, records, verdicts
 from quillstone.operators.base import Settings, lines
 from quillstone.sources import mirror
 from quillstone.plans import rule_queries
@@ -270,3 +270,46 @@ def test_raw_documents_are_parsed_once(spark):
     assert sorted((r.transaction_id, r.type, float(r.amount)) for r in df.collect()) == [(f"B{i}", "SPEND", 7.5) for i in range(3)]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1, "filters and columns share one parse"
+
+
+def _usual_by_brute_force(rows):
+    """The most frequent code of each contact and how many differ; of equals the first place, those without a seq last."""
+    found = {}
+    for who in {r[1] for r in rows}:
+        mine = [r for r in rows if r[1] == who]
+        place = lambda c: min((-(1 << 70) if seq is None else seq, line or 0) for _, _, seq, line, code in mine if code == c)
+        last = lambda p: (p[0] == -(1 << 70), *p)
+        codes = sorted({r[4] for r in mine}, key=lambda c: (-sum(r[4] == c for r in mine), last(place(c))))
+        found[who] = codes[0], len(codes)
+    return found
+
+
+def test_usual_values_are_counted_without_sorting_rows(spark):
+    rng = random.Random(9)
+    rows = [("co", f"w{rng.randint(0, 60)}", rng.choice([None, -(1 << 63) + 1, -5, 0, 3, 4, (1 << 63) - 1]), rng.choice([None, 1, 2, 2147483647]), rng.choice("abcd")) for _ in range(500)]
+    rows = [r for k, r in enumerate(rows) if all(o[1:4] != r[1:4] for o in rows[:k])]  # places of their own
+    rows = [r for k, r in enumerate(rows) if not any(o[1:3] == r[1:3] and (o[3] or 0) == (r[3] or 0) for o in rows[:k])]
+    df = spark.createDataFrame(rows, "company_id string, who string, seq long, line_no int, code string")
+    out = base.dominant(df, ["company_id", "who"], "code")
+    assert {r.who: (r.top_code, r.n_values) for r in out.collect()} == _usual_by_brute_force(rows)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert " HashAggregate" in next(x for x in plan if "partial_min" in x)
+
+
+def test_lines_of_the_ledger_are_dealt_once(spark):
+    data = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    from quillstone.plans import ledger_views
+
+    plan = ledger_views.sales(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") - plan.count("Exchange hashpartitioning(seq") == 1  # the lines by their order: for their numbers, their lists and the join
+
+
+def test_codes_of_repeated_documents_give_one_flag(spark):
+    lines = "array<struct<line_no:int,account_code:string,tax_code:string,amount:decimal(12,2),description:string>>"
+    row = lambda i, seq, codes, header=None: ("co", i, seq, "c1", "Acme", "ACCPAY", header, header, Decimal(1), "x", [(9, c, c, Decimal(1), "x") for c in codes] if codes is not None else None)
+    txn = spark.createDataFrame([row("d1", 1, ["a", "a", "b"]), row("d1", 1, ["a", "a", "b"]), row("d2", 2, None, " a "), row("d3", 3, [" ", None, "B"]), row("d4", 4, [], "b"), row("d5", 5, None, None)], f"company_id string, transaction_id string, seq long, contact_id string, vendor_name string, type string, account_code string, tax_code string, amount decimal(12,2), description string, line_items {lines}")
+    got = line_rules.several_accounts(txn).collect()
+    assert sorted((r.transaction_id, r.line_no, r.current_code, r.suggested_code) for r in got if r.transaction_id != "d4") == [("d1", 3, "b", "a"), ("d3", 3, "B", "a")]
+    assert [(r.line_no, r.current_code) for r in got if r.transaction_id == "d4"] == [(None, "b")]
