@@ -6,11 +6,14 @@ import json
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from decimal import Decimal, InvalidOperation
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import amount, label_code, label_name
 
@@ -18,42 +21,62 @@ _PAIR = T.StructType().add("Id", T.StringType()).add("Value", T.StringType())
 _CELL = T.StructType().add("Value", T.StringType()).add("Attributes", T.ArrayType(_PAIR))
 _FLAT = T.ArrayType(T.StructType().add("pos", T.ArrayType(T.IntegerType())).add("title", T.StringType()).add("row_type", T.StringType()).add("cells", T.ArrayType(_CELL)))
 
+#: Rows of a report that leave Python at once.
+AT_ONCE = 4096
 
-def flat_rows(document: str | None) -> list[dict]:
-    """Rows with cells of a report's JSON, sections in sections to any depth: their place (a number for each level), the title of the nearest section that has one, type and cells. None where it isn't a report."""
+
+def _walked(document: str | None) -> Iterator[dict]:
+    """Rows with cells of a report's JSON in their order, sections in sections to any depth: their place (a number for each level), the title of the nearest section that has one, type and cells. None where it isn't a report."""
     try:
         report = json.loads(document or "")
     except (ValueError, RecursionError):
-        return []
-    found, stack = [], [((), "", report)] if isinstance(report, dict) else []
+        return
+    stack = [((), "", report)] if isinstance(report, dict) else []
     while stack:
         pos, title, at = stack.pop()
         own = at.get("Title")
         title = str(own) if own not in (None, "") else title
         cells = at.get("Cells")
         if pos and isinstance(cells, list):
-            found.append({"pos": list(pos), "title": title or None, "row_type": at.get("RowType"), "cells": [_cell(c) for c in cells]})
+            yield {"pos": list(pos), "title": title or None, "row_type": _text(at.get("RowType")), "cells": [_cell(c) for c in cells]}
         below = at.get("Rows")
-        stack += [((*pos, k), title, r) for k, r in enumerate(below if isinstance(below, list) else []) if isinstance(r, dict)]
-    return sorted(found, key=lambda r: r["pos"])
+        below = below if isinstance(below, list) else []
+        stack += [((*pos, k), title, below[k]) for k in range(len(below) - 1, -1, -1) if isinstance(below[k], dict)]
+
+
+def flat_rows(document: str | None) -> list[dict]:
+    """All rows of a report at once."""
+    return list(_walked(document))
+
+
+def _text(v: object) -> str | None:
+    return v if v is None or isinstance(v, str) else json.dumps(v)
 
 
 def _cell(c: object) -> dict:
-    text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v)
     c = c if isinstance(c, dict) else {}
     attributes = c.get("Attributes")
-    return {"Value": text(c.get("Value")), "Attributes": [{"Id": text(a.get("Id")), "Value": text(a.get("Value"))} for a in attributes if isinstance(a, dict)] if isinstance(attributes, list) else None}
-
-
-@F.pandas_udf(_FLAT)
-def _flat(documents: pd.Series) -> pd.Series:
-    return documents.map(flat_rows)
+    return {"Value": _text(c.get("Value")), "Attributes": [{"Id": _text(a.get("Id")), "Value": _text(a.get("Value"))} for a in attributes if isinstance(a, dict)] if isinstance(attributes, list) else None}
 
 
 def rows(reports: DataFrame, json_col: str = "report_json") -> DataFrame:
-    """Every row of the reports, at any depth: the reports' other columns, pos (an array that orders rows), title of its section, row_type, cells. Spark's JSON functions need a schema of fixed depth, hence a Python walk."""
+    """Every row of the reports, at any depth: the reports' other columns, pos (an array that orders rows), title of its section, row_type, cells. Spark's JSON functions need a schema of fixed depth, hence a Python walk.
+
+    Reports are read one after another, and their rows leave in batches of AT_ONCE: beside the texts of a batch, a task holds one report's tree."""
     keep = [c for c in reports.columns if c != json_col]
-    return reports.select(*keep, F.explode(_flat(json_col)).alias("r")).select(*keep, "r.*")
+    row = _FLAT.elementType
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(row)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = _walked(batch.column(len(keep))[k].as_py())
+                while some := list(islice(found, AT_ONCE)):
+                    same = pa.array([k] * len(some), pa.int32())
+                    made = pa.Table.from_pylist(some, schema=kinds).combine_chunks()
+                    yield pa.RecordBatch.from_arrays([*(batch.column(n).take(same) for n in range(len(keep))), *(made.column(f.name).combine_chunks() for f in kinds)], names=[*keep, *row.names])
+
+    return reports.select(*keep, json_col).mapInArrow(walk, T.StructType([*(reports.schema[c] for c in keep), *row.fields]))
 
 
 def section_totals(reports: DataFrame) -> DataFrame:

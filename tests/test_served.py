@@ -1,16 +1,19 @@
 """Ids from names, medians, nested reports, balances by two keys, pages by key, keyed stream state, served snapshots."""
 
 import json
+import os
 import random
 import re
 import statistics
 import uuid
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillstone.functions.ids import name_id
-from quillstone.operators import kpis, medians, verdicts
+from quillstone.operators import kpis, medians, records, verdicts
+from quillstone.plans import served_queries
 from quillstone.sources import reports
 from quillstone.sources.snapshots import ServedTable
 from quillstone.streaming import keyed
@@ -124,3 +127,17 @@ def test_access_by_grants_makes_no_product_of_a_firm(spark):
     joins = re.findall(r"Join \w+, (.*)", df._jdf.queryExecution().optimizedPlan().toString())
     assert [j.count("=") for j in joins].count(1) == 2, "owners by firm, grants by user"
     assert sum("firm_id" in j and "company_id" not in j for j in joins) == 1, "only owners meet all companies of their firm"
+
+
+def test_reports_leave_python_in_parts(spark, monkeypatch):
+    """Of a large report no list of all its rows is made; other columns come with every row."""
+    taken = []
+    monkeypatch.setattr(reports, "_cell", lambda c: taken.append(c) or {"Value": c["Value"], "Attributes": None})
+    report = json.dumps({"Rows": [{"RowType": 7, "Cells": [{"Value": str(k)}]} for k in range(9)]})
+    walk = reports._walked(report)
+    assert next(walk)["row_type"] == "7" and len(taken) == 1
+    monkeypatch.undo()
+    monkeypatch.setattr(reports, "AT_ONCE", 4)
+    df = spark.createDataFrame([(1, report, "a"), (2, None, "b"), (3, "[]", "c"), (4, report, None)], "n int, report_json string, more string").coalesce(1)
+    got = [(r.n, r.more, r.pos, r.row_type, r.cells[0].Value) for r in reports.rows(df).collect()]
+    assert got == [(n, more, [k], "7", str(k)) for n, more in ((1, "a"), (4, None)) for k in range(9)]
