@@ -187,6 +187,7 @@ _TABLE = "company_id string, computed_at timestamp, status string, period string
 @served("k23_served_snapshots", _SNAP.replace("n.n AS bank_unreconciled", "bank.n AS bank_unreconciled").replace("JOIN bank n USING", "JOIN bank USING"), prelude=True)
 def k23_served(s, d):
     """Snapshots of four companies from the other KPIs, served by a table: a failed run goes in first, then the whole one, which replaces it; at last an older one that comes late."""
+    at = f"{shared_folder(s)}/snapshots-{uuid.uuid4().hex}"
     own = lambda df: df.withColumn("company_id", F.concat(F.lit("co"), (F.col("seq") % 4).cast("string")))
     profit = K.profitability(_by_company(own(V.documents(s, d))))
     money = lambda c: F.col(c).cast("decimal(18,2)")
@@ -196,8 +197,8 @@ def k23_served(s, d):
     position = K.position(assets.unionByName(debts).withColumn("pos", F.lit(0))).select("company_id", "working_capital", "current_ratio")
     cash = K.cash_score(P._outgoings(s, d)).select("company_id", "score")
     snap = K.snapshot(profit, position, cash, K.bank_reconciliation(own(V.bank(s, d))))
-    rows = snap.select("company_id", F.lit(datetime(2002, 1, 2)).alias("computed_at"), F.lit("ok").alias("status"), "period", *(F.col(c).cast("double").alias(c) for c in _SHOWN), "bank_unreconciled")
-    table = ServedTable(s, f"{shared_folder(s)}/snapshots-{uuid.uuid4().hex}", _TABLE, buckets=8)
+    rows = snap.select("company_id", F.lit(datetime(2002, 1, 2)).alias("computed_at"), F.lit("ok").alias("status"), "period", *(F.col(c).cast("double").alias(c) for c in _SHOWN), "bank_unreconciled").checkpoint()  # a row a company, read by three upserts
+    table = ServedTable(s, at, _TABLE, buckets=8)
     companies = rows.select("company_id")
     blank = [F.lit(None).alias(c) for c in ("period", *_SHOWN, "bank_unreconciled")]
     table.upsert(companies.select("company_id", F.lit(datetime(2002, 1, 1)).alias("computed_at"), F.lit("failed").alias("status"), *blank))

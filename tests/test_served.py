@@ -141,3 +141,15 @@ def test_reports_leave_python_in_parts(spark, monkeypatch):
     df = spark.createDataFrame([(1, report, "a"), (2, None, "b"), (3, "[]", "c"), (4, report, None)], "n int, report_json string, more string").coalesce(1)
     got = [(r.n, r.more, r.pos, r.row_type, r.cells[0].Value) for r in reports.rows(df).collect()]
     assert got == [(n, more, [k], "7", str(k)) for n, more in ((1, "a"), (4, None)) for k in range(9)]
+
+
+def test_snapshots_are_computed_once(spark, monkeypatch):
+    """What three upserts read of the snapshots comes from a checkpoint, not from the ledger each time."""
+    data = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    plans = []
+    plain = ServedTable.upsert
+    monkeypatch.setattr(ServedTable, "upsert", lambda table, rows: (plans.append(rows._jdf.queryExecution().optimizedPlan().toString()), plain(table, rows)))
+    assert served_queries.QUERIES["k23_served_snapshots"](spark, data).count() == 4
+    assert len(plans) == 3 and not any("l_orderkey" in p for p in plans)
