@@ -63,7 +63,7 @@ def without_types(old: DataFrame, types: tuple = DUPLICATES) -> DataFrame:
 
 def inserted(old: DataFrame, new: DataFrame) -> DataFrame:
     """The new rows whose key isn't there yet."""
-    return new.join(old.select(*KEY).distinct(), KEY, "left_anti")
+    return new.join(old.select(*KEY), KEY, "left_anti")  # no distinct(): repeats on that side change nothing, and a table of them in memory would
 
 
 def states(actions: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
 
 def pruned(state: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """State less the rows that a full refresh didn't bring."""
-    return state.join(incoming.select(*keys).distinct(), keys, "left_semi")
+    return state.join(incoming.select(*keys), keys, "left_semi")
 
 
 def organisations(known: DataFrame, live: DataFrame) -> DataFrame:

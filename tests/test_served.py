@@ -153,3 +153,12 @@ def test_snapshots_are_computed_once(spark, monkeypatch):
     monkeypatch.setattr(ServedTable, "upsert", lambda table, rows: (plans.append(rows._jdf.queryExecution().optimizedPlan().toString()), plain(table, rows)))
     assert served_queries.QUERIES["k23_served_snapshots"](spark, data).count() == 4
     assert len(plans) == 3 and not any("l_orderkey" in p for p in plans)
+
+
+def test_keys_to_look_up_are_not_made_distinct(spark):
+    """Repeats and nulls among the keys that are there change nothing, and no table of them is built in memory."""
+    rows = spark.createDataFrame([("co", "a", "v1"), ("co", "b", "v2"), ("co", "b", "v2"), (None, "c", "v3"), ("co", None, None)], "company_id string, document_id string, verdict_id string")
+    there = rows.where("document_id = 'b' or document_id is null or company_id is null")
+    outs = verdicts.inserted(there, rows), verdicts.pruned(rows, there, verdicts.KEY), records.found(rows, there)
+    assert [sorted((r.document_id or "") for r in out.collect()) for out in outs] == [["", "a", "c"], ["b", "b"], ["b", "b"]]
+    assert not any("Aggregate" in out._jdf.queryExecution().executedPlan().toString() for out in outs)
