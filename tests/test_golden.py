@@ -163,6 +163,18 @@ def test_duplicate_contacts_against_brute_force(spark, monkeypatch):
     assert len(want) > 1000 and _shown_duplicates(got) == want
 
 
+def test_duplicate_contacts_are_scored_by_blocks_not_pair_by_pair(spark, monkeypatch):
+    monkeypatch.setattr(contact_rules, "BLOCK", 16)
+    made = [(f"{side}{i}", f"{name} {i // 3:04d}", ["GB1", None, " gb1 "][i % 3], side == "C", side == "S", i == 5) for side, name in (("C", "Customer"), ("S", "Supplier")) for i in range(60)]
+    made += [(f"T{i}", "Twice " + "long " * 20, None, True, True, False) for i in range(40)]
+    got = contact_rules.duplicate_contacts(spark.createDataFrame([("co", *m) for m in made], "company_id string, contact_id string, name string, vat string, is_customer boolean, is_supplier boolean, is_archived boolean"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and "FlatMapCoGroupsInArrow" in plan
+    assert _shown_duplicates(got) == _duplicates_by_brute_force(made)
+    rows = got.collect()
+    assert [(-r.confidence, r.company_id, r.contact_id, r.partner_id) for r in rows] == sorted((-r.confidence, r.company_id, r.contact_id, r.partner_id) for r in rows)
+
+
 def test_duplicate_contacts_query_covers_customers_and_suppliers(spark):
     data = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
     if not os.path.isdir(data):
