@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.text import strip
 from .base import EXPENSE_TYPES, PURCHASES, REVENUE_TYPES, SALES, flags, kind, with_account
@@ -17,19 +20,23 @@ Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 CHUNK = 10
 
 
-def _scored(facts: DataFrame, scorer: Scorer, columns: dict[str, str]) -> DataFrame:
-    """Facts with the scorer's columns; it sees CHUNK rows at once."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in facts.schema.fields), *(f"{k} {v}" for k, v in columns.items())])
+def _scored(facts: DataFrame, scorer: Scorer, columns: dict[str, str], seen: list[str] | None = None) -> DataFrame:
+    """Facts with the scorer's columns; it sees CHUNK rows at once, of the columns seen (all if not given). The facts' own columns pass by it as they are."""
+    seen = seen or facts.columns
+    types = StructType.fromDDL(", ".join(f"{k} {v}" for k, v in columns.items()))
+    schema = StructType([*facts.schema.fields, *types.fields])
+    said_as = to_arrow_schema(types)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            if part.empty:
+            if not part.num_rows:
                 continue
-            part = part.reset_index(drop=True)  # noqa: PLW2901
-            said = [scorer(part.iloc[at : at + CHUNK].reset_index(drop=True))[list(columns)] for at in range(0, len(part), CHUNK)]
-            yield pd.concat([part, pd.concat(said, ignore_index=True)], axis=1)  # once a batch, as joining each chunk costs more than most answers
+            shown = part.select(seen).to_pandas()
+            said = [scorer(shown.iloc[at : at + CHUNK].reset_index(drop=True))[list(columns)] for at in range(0, len(shown), CHUNK)]
+            new = pa.Table.from_pandas(pd.concat(said, ignore_index=True), schema=said_as, preserve_index=False)  # once a batch, as joining each chunk costs more than most answers
+            yield pa.RecordBatch.from_arrays([*part.columns, *(new[c].combine_chunks() for c in columns)], names=[*part.schema.names, *columns])
 
-    return facts.mapInPandas(run, schema)
+    return facts.mapInArrow(run, schema)
 
 
 def wrong_category(docs: DataFrame, accounts: DataFrame, scorer: Scorer, least: float = 0.8, least_if_right_side: float = 0.9) -> DataFrame:
@@ -55,8 +62,8 @@ def anomalies(docs: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame] |
     found = outliers(docs)
     if scorer is None:
         return found
-    said = _scored(found.select("company_id", "transaction_id", "current_code", "reason"), scorer, {"sure": "double"}).where(F.col("sure") >= least)
-    return found.join(said.select("company_id", "transaction_id", "sure"), ["company_id", "transaction_id"]).withColumn("confidence", F.col("sure")).drop("sure")
+    said = _scored(found, scorer, {"sure": "double"}, ["company_id", "transaction_id", "current_code", "reason"])  # no join with what was found, which would find it twice
+    return said.where(F.col("sure") >= least).withColumn("confidence", F.col("sure")).drop("sure")
 
 
 def not_annotated(verdicts: DataFrame, annotations: DataFrame) -> DataFrame:

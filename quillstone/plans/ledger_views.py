@@ -95,10 +95,10 @@ def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales documents with their lines as an array; header codes are the first line's."""
     head = _view(spark, sf_dir, "v_sales")
-    lines = line_rows(spark, sf_dir).groupBy("ord").agg(F.sort_array(F.collect_list(F.struct("line_no", "account_code", "tax_code", "amount", "description"))).alias("line_items"))
-    joined = head.join(lines, head["seq"] == lines["ord"], "left").drop("ord")
-    first = F.get("line_items", F.lit(0))
-    return _txn(joined.select("*", first["account_code"].alias("account_code"), first["tax_code"].alias("tax_code"), first["description"].alias("description")))
+    # the first line's codes are aggregates of their own: who reads no lines gathers none, as Spark then drops the array
+    codes = [F.min_by(c, "line_no").alias(c) for c in ("account_code", "tax_code", "description")]
+    lines = line_rows(spark, sf_dir).groupBy("ord").agg(F.sort_array(F.collect_list(F.struct("line_no", "account_code", "tax_code", "amount", "description"))).alias("line_items"), *codes)
+    return _txn(head.join(lines, head["seq"] == lines["ord"], "left").drop("ord"))
 
 
 def bills(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,6 +185,20 @@ def test_duplicate_contacts_query_covers_customers_and_suppliers(spark):
     assert _shown_duplicates(rule_queries.QUERIES["r34_duplicate_contact"](spark, data)) == want
 
 
+def test_anomalies_are_scored_as_found_without_finding_them_again(spark):
+    from quillstone.operators import scored_rules
+
+    rows = [("co", f"t{i}", i, date(2001, 1, 1), Decimal(a), "c1", "v", "429") for i, a in enumerate((100, 100, 100, 100, 100, 900))] + [("co", "t5", 9, date(2001, 1, 2), Decimal(950), "c1", "v", None)]
+    docs = spark.createDataFrame(rows, "company_id string, transaction_id string, seq long, date date, amount decimal(12,2), contact_id string, vendor_name string, account_code string")
+
+    def scorer(part):
+        assert list(part) == ["company_id", "transaction_id", "current_code", "reason"]
+        return part.assign(sure=[0.9 if r == "9.0" else 0.85 for r in part["reason"]])
+
+    out = scored_rules.anomalies(docs, scorer)
+    assert sorted((r.transaction_id, r.confidence, r.current_code, r.reason, r.line_no, r.likely_original) for r in out.collect()) == [("t5", 0.85, "429", "9.5", None, None), ("t5", 0.9, "429", "9.0", None, None)]  # not each with each
+
+
 def test_settings_ignore_what_is_bad():
     s = Settings.of({"overdue_days": "7", "capital_min": "x", "unknown": 1, "duplicate_also_check_paid": "yes", "vague_codes": [" 1 ", ""], "low_cost_limit": float("inf")})
     assert (s.old_unpaid_bill_days, s.capital_min, s.duplicate_also_check_paid, s.vague_codes, s.low_cost_limit) == (7, 500, True, ("1",), 10000)
