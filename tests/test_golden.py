@@ -199,6 +199,17 @@ def test_anomalies_are_scored_as_found_without_finding_them_again(spark):
     assert sorted((r.transaction_id, r.confidence, r.current_code, r.reason, r.line_no, r.likely_original) for r in out.collect()) == [("t5", 0.85, "429", "9.5", None, None), ("t5", 0.9, "429", "9.0", None, None)]  # not each with each
 
 
+def test_cross_contact_names_are_not_scored_where_vat_numbers_decide(spark):
+    rows = [(f"t{i}", i, f"c{i}", name) for i, name in enumerate(("Acme", "Zebra", "Acme Ltd", "Acme"))]
+    docs = spark.createDataFrame(rows, "transaction_id string, seq long, contact_id string, vendor_name string").selectExpr("'co' AS company_id", "*", "DATE '2001-01-01' AS date", "CAST(10 AS DECIMAL(12,2)) AS amount", "'ACCPAY' AS type", "'x' AS invoice_number", "'y' AS reference", "'AUTHORISED' AS status", "CAST(10 AS DECIMAL(12,2)) AS amount_due", "CAST(NULL AS DATE) AS posted_date", "'d' AS description")
+    vat = spark.createDataFrame([("co", "c0", "1"), ("co", "c1", "1"), ("co", "c2", "2")], "company_id string, contact_id string, vat string")
+    out = duplicate_rules.cross_contact(docs, vat)
+    got = {(r.transaction_id, r.dup_of_id) for r in out.collect()}
+    assert got == {("t0", "t1"), ("t1", "t0"), ("t0", "t3"), ("t3", "t0"), ("t2", "t3"), ("t3", "t2")}  # equal numbers, else alike names
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and not re.search(r"lower\((coalesce\()?a_vendor", plan)
+
+
 def test_settings_ignore_what_is_bad():
     s = Settings.of({"overdue_days": "7", "capital_min": "x", "unknown": 1, "duplicate_also_check_paid": "yes", "vague_codes": [" 1 ", ""], "low_cost_limit": float("inf")})
     assert (s.old_unpaid_bill_days, s.capital_min, s.duplicate_also_check_paid, s.vague_codes, s.low_cost_limit) == (7, 500, True, ("1",), 10000)
