@@ -210,6 +210,16 @@ def test_cross_contact_names_are_not_scored_where_vat_numbers_decide(spark):
     assert "ArrowEvalPython" in plan and not re.search(r"lower\((coalesce\()?a_vendor", plan)
 
 
+def test_phrases_split_each_text_once(spark):
+    from quillstone.operators import phrases
+
+    texts = spark.createDataFrame([(1, "A new laptop -- bag"), (2, ""), (3, None), (4, " -- "), (5, "LAPTOPS")], "id long, text string")
+    out = phrases.found(texts, ["id"], spark.createDataFrame([("capital", "laptop"), ("exclusion", "new")], "kind string, phrase string"))
+    assert sorted(map(tuple, out.collect())) == [(1, "capital", "laptop"), (1, "exclusion", "new"), (5, "capital", "laptop")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"regexp_extract_all\(lower\(text", plan)) == 1
+
+
 def test_settings_ignore_what_is_bad():
     s = Settings.of({"overdue_days": "7", "capital_min": "x", "unknown": 1, "duplicate_also_check_paid": "yes", "vague_codes": [" 1 ", ""], "low_cost_limit": float("inf")})
     assert (s.old_unpaid_bill_days, s.capital_min, s.duplicate_also_check_paid, s.vague_codes, s.low_cost_limit) == (7, 500, True, ("1",), 10000)
