@@ -97,12 +97,14 @@ def organisations(known: DataFrame, live: DataFrame) -> DataFrame:
 
 def accessible(companies: DataFrame, users: DataFrame, grants: DataFrame) -> DataFrame:
     """(user_id, company_id) that a user may see: owners all of their firm's companies, others those granted that are their firm's."""
-    own = companies.select("firm_id", "company_id")
     owners, others = users.where("is_owner").select("firm_id", "user_id"), users.where(~F.col("is_owner")).select("firm_id", "user_id")
     tasks = 4 * int(companies.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a firm's product is made in many tasks, whatever the files and the number of firms
-    all_ = owners.join(own.repartition(tasks, "company_id"), "firm_id").select("user_id", "company_id")
-    # a grant meets its user and its company by their ids, so that no firm's product is made for those who see a part; a grant counts once, copies of users and companies as often as they are listed
-    granted = grants.select("user_id", "company_id").distinct().join(others, "user_id").join(own, ["company_id", "firm_id"]).select("user_id", "company_id")
+    own = companies.select("firm_id", "company_id").repartition(tasks, "company_id")
+    all_ = owners.join(own, "firm_id").select("user_id", "company_id")
+    # a grant meets its company by id, and the firm is compared behind: grants that come dealt by company are so neither dealt again to be counted once, nor to be joined. No firm's product is made for those who
+    # see a part; a grant counts once, copies of users and companies as often as they are listed
+    mine = own.withColumnRenamed("firm_id", "own_firm")
+    granted = grants.select("user_id", "company_id").distinct().join(mine, "company_id").join(others.withColumnRenamed("firm_id", "user_firm"), "user_id").where("own_firm = user_firm").select("user_id", "company_id")
     return all_.union(granted)
 
 

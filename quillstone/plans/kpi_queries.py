@@ -364,5 +364,6 @@ def m11(s, d):
 def m12(s, d):
     c = _t(s, d, "customer").select(F.col("c_nationkey").alias("firm_id"), F.col("c_custkey").alias("company_id"))
     u = _t(s, d, "supplier").select(F.col("s_nationkey").alias("firm_id"), F.col("s_suppkey").alias("user_id"), (F.col("s_suppkey") % 5 == 0).alias("is_owner"))
-    grants = u.join(c, "firm_id").where((F.col("user_id") * 31 + F.col("company_id")) % 4 == 0).select("user_id", "company_id")
+    tasks = 4 * int(s.conf.get("spark.sql.shuffle.partitions"))
+    grants = u.join(c.repartition(tasks, "company_id"), "firm_id").where((F.col("user_id") * 31 + F.col("company_id")) % 4 == 0).select("user_id", "company_id")
     return S.accessible(c, u, grants)
