@@ -209,7 +209,9 @@ def outliers(txn: DataFrame, settings: Settings = Settings()) -> DataFrame:
     coded = dominant(rows.where(~blank("account_code")).select("company_id", "who", "seq", F.lit(0).alias("line_no"), strip("account_code").alias("code")), ["company_id", "who"], "code")
     rows = settings.joined(rows.join(usual, ["company_id", "who"])).where(F.col("n") >= settings.value("outlier_min_count"))
     hit = rows.where((F.col("amount") >= settings.value("outlier_multiple") * F.col("mid")) & (F.col("amount") >= settings.value("outlier_min_amount"))).join(coded, ["company_id", "who"], "left")
-    return flags(hit, "amount_outlier", "medium", confidence=F.lit(0.85), current_code=F.col("top_code"), reason=F.round(F.col("amount").cast("double") / F.col("mid"), 2).cast("string"))
+    # without a usual account the document's own is blank too; that it is read here as well lets Spark deal and number the lines once for both
+    code = F.coalesce("top_code", F.nullif(strip("account_code"), F.lit("")))
+    return flags(hit, "amount_outlier", "medium", confidence=F.lit(0.85), current_code=code, reason=F.round(F.col("amount").cast("double") / F.col("mid"), 2).cast("string"))
 
 
 def accruals(txn: DataFrame, accounts: DataFrame, year_end: date, predefined: tuple = ()) -> DataFrame:

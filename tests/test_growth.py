@@ -29,3 +29,14 @@ def test_many_grants_are_not_dealt(spark):
     df = registry.queries()["m12_tenant_access"](spark, DATA)
     dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", df._jdf.queryExecution().executedPlan().toString())
     assert dealt and all("user_id" not in d for d in dealt), dealt
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_outliers_and_usual_accounts_deal_lines_once(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = registry.queries()["r17_amount_outlier"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    dealt = [x for x in plan.splitlines() if re.search(r"Exchange hashpartitioning\(ord#", x)]
+    assert len([x for x in dealt if "ReusedExchange" not in x]) == 2, "bills' lines and sales' lines"
