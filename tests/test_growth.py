@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.operators import verdicts
-from quillstone.plans import registry
+from quillstone.plans import ledger_views, registry
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -40,3 +40,18 @@ def test_outliers_and_usual_accounts_deal_lines_once(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     dealt = [x for x in plan.splitlines() if re.search(r"Exchange hashpartitioning\(ord#", x)]
     assert len([x for x in dealt if "ReusedExchange" not in x]) == 2, "bills' lines and sales' lines"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_documents_and_bank_in_one_deal_lines_twice(spark):
+    """Bills and payments come of one numbering of the lines, sales' lines of another."""
+    apart = ledger_views.documents(spark, DATA).unionByName(ledger_views.bank(spark, DATA), allowMissingColumns=True)
+    one = ledger_views.everything(spark, DATA).select(apart.columns)
+    assert one.schema.simpleString() == apart.schema.simpleString()
+    assert apart.exceptAll(one).isEmpty() and one.exceptAll(apart).isEmpty()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = ledger_views.everything(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(re.findall(r"(?<!, )Exchange hashpartitioning\(ord#", plan)) == 2
